@@ -67,7 +67,7 @@ def probe_phrase(content: Column) -> Column:
 
 def parse_fields(text: Column) -> Column:
     """map of `key: value` lines, the last of a key winning; lines without a colon are joined under notes."""
-    lines = F.transform(F.split(text, r"\r?\n"), F.trim)
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x))
     with_colon = F.filter(lines, lambda x: F.contains(x, F.lit(":")))
     pair = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.char_length(x))).alias("v"))
     pairs = F.filter(F.transform(with_colon, pair), lambda p: (p["k"] != "") & (p["v"] != ""))
@@ -97,7 +97,7 @@ def strip_citation_tags(text: Column) -> Column:
 
 
 def citation_labels(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\[source:\s*([^\]]+)\]"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\[source:\s*([^\]]+)\]"), F.lit(1)), lambda x: F.trim(x))
 
 
 def claim_count(text: Column) -> Column:

@@ -228,4 +228,10 @@ def oracle(body: str) -> str:
                 need.append(name)
 
     add(body)
-    return ("WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in need) + " " if need else "") + (body if not body.lstrip().startswith("WITH ") else ", " + body.lstrip()[5:] if need else body)
+    views = ", ".join(f"{n} AS ({SQL[n]})" for n in need)
+    if not need:
+        return body
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{views}, {body[len(start):]}"
+    return f"WITH {views} {body}"
