@@ -163,14 +163,18 @@ def tidy_lines(text: str, window: int = 12, prefix: int = 40) -> str:
     return "\n".join(kept[solid[0] : solid[-1] + 1]) if solid else ""
 
 
-@F.arrow_udf("string")
-def dedupe_lines(column: pa.Array) -> pa.Array:
+def dedupe_lines(text: Column) -> Column:
     """Lines of generated text without repeats, compared without citation tags and extra spaces.
 
     Runs of blank lines keep their first; lines of dots and bare bullets go; a line goes if it equals one of the last 12 kept or starts with
     the first 40 characters of the last one kept. Lines of citation tags only stay and count for nothing. Outer blank lines go.
     """
-    return pa.array([None if t is None else tidy_lines(t) for t in column.to_pylist()], pa.string())
+
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else tidy_lines(t) for t in column.to_pylist()], pa.string())
+
+    return run(text)
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,5 @@
 """Queries over the driver's tables for every operator, and DuckDB SQL for those that SQL can express."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
