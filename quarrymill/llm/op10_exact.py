@@ -22,7 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import save, work_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, checkpointed as changes. Without preallocated logs, which take megabytes for every state partition.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: A table of at most so many short rows (about 40 bytes each) is broadcast; a larger one is joined by shuffle.
 SMALL = 2_000_000
 
@@ -47,8 +52,9 @@ def located(docs: DataFrame, path: str) -> DataFrame:
 
 def stream_state(spark: SparkSession, landing: str, schema, checkpoint: str, updates: str, files: int = 1000) -> DataFrame:
     """Runs the stream over what has landed -> (key, keep struct(doc_id, locator), group_size) as the state has it."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         arrivals = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(landing)
         state = arrivals.groupBy("key").agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count("*").alias("group_size"))
@@ -58,7 +64,8 @@ def stream_state(spark: SparkSession, landing: str, schema, checkpoint: str, upd
 
         state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # an updated key appears once in each batch that touched it; the last has the most rows
     all_of = spark.read.schema(f"key binary, keep struct<doc_id: bigint, locator: {schema['locator'].dataType.simpleString()}>, group_size bigint, batch bigint").parquet(updates)
     return all_of.groupBy("key").agg(F.max_by("keep", "group_size").alias("keep"), F.max("group_size").alias("group_size"))
