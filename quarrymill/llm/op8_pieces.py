@@ -17,6 +17,7 @@ tables are broadcast (its size is fixed by the file).
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,12 @@ from .common import mix64, segment_hash
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 _MASK = (1 << 64) - 1
+_FREE = np.uint32(2**32 - 1)
 LONG = 48
-TABLE_BITS = 20
-NEVER = np.int64(1) << 62
+TABLE_BITS = 19
+NEVER = np.int32(2**31 - 1)
+#: Merged units that a task keeps for reuse.
+KEPT = 400_000
 
 
 def _mix(x: int) -> int:
@@ -73,14 +77,18 @@ class Pieces:
         for p, i in ids.items():
             for k in range(1, len(p)):
                 if p[:k] in ids and p[k:] in ids:
-                    self.merges[(ids[p[:k]] << 24) | ids[p[k:]]] = (ranks[model.get_score(i)], i)
-        keys = np.array(list(self.merges), np.int64)
-        self.keys = np.full(1 << TABLE_BITS, -1, np.int64)
-        self.values = np.zeros((1 << TABLE_BITS, 2), np.int64)
+                    self.merges[(ids[p[:k]] << 16) | ids[p[k:]]] = (ranks[model.get_score(i)], i)
+        if n > 1 << 16:
+            raise ValueError("more than 65536 pieces are not supported")
+        self.rank = np.zeros(n, np.int32)
+        for i in ids.values():
+            self.rank[i] = ranks[model.get_score(i)]
+        keys = np.array(list(self.merges), np.uint32)
+        self.keys, self.to = np.full(1 << TABLE_BITS, _FREE, np.uint32), np.zeros(1 << TABLE_BITS, np.int32)
         for key, slot in zip(keys.tolist(), self.slots(keys).tolist(), strict=True):
-            while self.keys[slot] != -1:
+            while self.keys[slot] != _FREE:
                 slot = (slot + 1) % (1 << TABLE_BITS)
-            self.keys[slot], self.values[slot] = key, self.merges[key]
+            self.keys[slot], self.to[slot] = key, self.merges[key][1]
         raw = [bytes([i - self.byte0]) if model.is_byte(i) else p.replace("▁", " ").encode() if normal[i] else b"" for i, p in enumerate(pieces)]
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.sizes = np.array([len(b) for b in raw], np.int64)
@@ -88,37 +96,43 @@ class Pieces:
 
     @staticmethod
     def slots(keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - TABLE_BITS)
 
-    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and id of each pair's merge; NEVER where there is none."""
-        key = (left << 24) | right
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each pair merges to, or -1. Symbols without a piece are never in a pair."""
+        key = (left.astype(np.uint32) << np.uint32(16)) | right.astype(np.uint32)
         slot = self.slots(key)
-        rank, to = np.full(len(key), NEVER), np.zeros(len(key), np.int64)
-        at = np.flatnonzero((left < self.base) & (right < self.base))
+        there = self.keys[slot]
+        to = np.where(there == key, self.to[slot], np.int32(-1))
+        at = np.flatnonzero((there != key) & (there != _FREE))
         while len(at):
+            slot[at] = (slot[at] + np.uint32(1)) & np.uint32((1 << TABLE_BITS) - 1)
             there = self.keys[slot[at]]
             hit = at[there == key[at]]
-            rank[hit], to[hit] = self.values[slot[hit]].T
-            at = at[(there != key[at]) & (there != -1)]
-            slot[at] = (slot[at] + 1) % (1 << TABLE_BITS)
-        return rank, to
+            to[hit] = self.to[slot[hit]]
+            at = at[(there != key[at]) & (there != _FREE)]
+        return to
+
+
+_LEFT, _RIGHT, _AT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
 def _candidates(p: Pieces, left, right, at, key, limit: int):
-    """Packed rank and position of each candidate (the least goes first), and the merged ids; a skipped one is NEVER."""
-    rank, to = p.find(left, right)
+    """Packed rank and position of each candidate (the least goes first), and the merged pieces; a skipped one is NEVER."""
+    to = p.find(left, right)
+    value = np.where(to < 0, NEVER, (p.rank[to] << np.int32(6)) | at)
     if limit:
-        h = mix64(key ^ mix64((at.astype(np.uint64) << np.uint64(48)) ^ (left.astype(np.uint64) << np.uint64(24)) ^ right.astype(np.uint64)))
-        rank = np.where(h < np.uint64(limit), NEVER, rank)
-    return np.where(rank == NEVER, NEVER, (rank << 20) | at), to
+        some = np.flatnonzero(to >= 0)
+        h = key[some] + left[some].astype(np.uint64) * np.uint64(_LEFT) + right[some].astype(np.uint64) * np.uint64(_RIGHT) + at[some].astype(np.uint64) * np.uint64(_AT)
+        value[some[mix64(h) < np.uint64(limit)]] = NEVER
+    return value, to
 
 
 def lockstep(p: Pieces, symbols: np.ndarray, unit: np.ndarray, place: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Merges many short units at once. symbols, with unit numbers and places in the unit -> (symbols, unit numbers), in order."""
-    s, u, at = symbols.copy(), unit, place
+    s, u, at = symbols.astype(np.int32), unit.astype(np.int32), place.astype(np.int32)
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    value, to = np.full(len(s), NEVER), np.zeros(len(s), np.int64)
+    value, to = np.full(len(s), NEVER), np.zeros(len(s), np.int32)
     same = np.flatnonzero(u[1:] == u[:-1]) if len(u) else np.zeros(0, np.int64)
     value[same], to[same] = _candidates(p, s[same], s[same + 1], at[same], keys[u[same]], limit)
     while len(s):
@@ -147,8 +161,8 @@ def lockstep(p: Pieces, symbols: np.ndarray, unit: np.ndarray, place: np.ndarray
     if not done:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     u, at, s = (np.concatenate(x) for x in zip(*done, strict=True))
-    order = np.argsort((u << 20) | at, kind="stable")
-    return s[order], u[order]
+    order = np.argsort((u.astype(np.int64) << 6) | at, kind="stable")
+    return s[order].astype(np.int64), u[order].astype(np.int64)
 
 
 def agenda(p: Pieces, symbols: list[int], key: int, limit: int) -> list[int]:
@@ -159,8 +173,8 @@ def agenda(p: Pieces, symbols: list[int], key: int, limit: int) -> list[int]:
 
     def offer(i: int) -> None:
         j = after[i]
-        if j < n and s[i] < p.base and s[j] < p.base and (m := p.merges.get((s[i] << 24) | s[j])):
-            if not limit or _mix(key ^ _mix(((i << 48) ^ (s[i] << 24) ^ s[j]) & _MASK)) >= limit:
+        if j < n and s[i] < p.base and s[j] < p.base and (m := p.merges.get((s[i] << 16) | s[j])):
+            if not limit or _mix((key + s[i] * _LEFT + s[j] * _RIGHT + i * _AT) & _MASK) >= limit:
                 heapq.heappush(heap, (m[0], i, m[1], s[i], s[j]))
 
     for i in range(n - 1):
@@ -194,7 +208,37 @@ def to_bytes(p: Pieces, s: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, n
     return np.where(np.repeat(odd, n), p.byte0 + byte, np.repeat(s, n)), np.repeat(owner, n)
 
 
-def encode_texts(p: Pieces, texts: list[str], seed: int, rate: float, variants: int) -> tuple[np.ndarray, np.ndarray]:
+def merge_units(p: Pieces, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each unit symbols[start:start+size], one after another, and how many each has."""
+    short = np.flatnonzero((size <= LONG) & (symbols[start] < p.base))
+    unit = np.repeat(short, size[short])
+    place = np.arange(len(unit)) - np.repeat(np.cumsum(size[short]) - size[short], size[short])
+    s, u = lockstep(p, symbols[start[unit] + place], unit, place, keys, limit)
+    rest = np.flatnonzero((size > LONG) | (symbols[start] >= p.base))
+    if len(rest):
+        more = [agenda(p, symbols[start[i] : start[i] + size[i]].tolist(), int(keys[i]), limit) for i in rest]
+        s, u = np.concatenate([s, *(np.array(m, np.int64) for m in more)]), np.concatenate([u, np.repeat(rest, [len(m) for m in more])])
+        order = np.argsort(u, kind="stable")
+        s, u = s[order], u[order]
+    s, u = to_bytes(p, s, u)
+    return s, np.bincount(u, minlength=len(start))
+
+
+class Merged:
+    """Ids of units merged before, by key; when it is full it takes no more."""
+
+    def __init__(self):
+        self.place: dict[int, int] = {}
+        self.ids, self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        n = len(self.first)
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+        self.ids, self.count = np.concatenate([self.ids, ids]), np.concatenate([self.count, count])
+        self.place.update(zip(keys.tolist(), range(n, n + len(keys)), strict=True))
+
+
+def encode_texts(p: Pieces, texts: list[str], seed: int, rate: float, variants: int, known: Merged | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, and the number of each text's ids."""
     limit = min(int(rate * 2**64), _MASK)
     points = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -218,30 +262,30 @@ def encode_texts(p: Pieces, texts: list[str], seed: int, rate: float, variants:
         salt[filled] = np.add.reduceat(keys * (nth.astype(np.uint64) * np.uint64(2) + np.uint64(1)), text_first[filled])
         variant = mix64(salt[owner] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) % np.uint64(variants)
         keys = mix64(keys + variant * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed))
-    _, pick, back = np.unique(keys, return_index=True, return_inverse=True)
-    start, size, keys = start[pick], size[pick], keys[pick]
-
-    short = np.flatnonzero(size <= LONG)
-    unit = np.repeat(short, size[short])
-    place = np.arange(len(unit)) - np.repeat(np.cumsum(size[short]) - size[short], size[short])
-    s, u = lockstep(p, symbols[start[unit] + place], unit, place, keys, limit)
-    for i in np.flatnonzero(size > LONG):
-        got = np.array(agenda(p, symbols[start[i] : start[i] + size[i]].tolist(), int(keys[i]), limit), np.int64)
-        s, u = np.concatenate([s, got]), np.concatenate([u, np.full(len(got), i)])
-    s, u = to_bytes(p, s, u)
-    if (size > LONG).any():
-        order = np.argsort(u, kind="stable")
-        s, u = s[order], u[order]
-    count = np.bincount(u, minlength=len(pick))
-    first = np.cumsum(count) - count
+    different, pick, back = np.unique(keys, return_index=True, return_inverse=True)
+    known = Merged() if known is None else known
+    at = np.fromiter(map(known.place.get, different.tolist(), itertools.repeat(-1)), np.int64, len(different))
+    new = np.flatnonzero(at < 0)
+    ids, count = merge_units(p, symbols, start[pick[new]], size[pick[new]], different[new], limit)
+    if len(known.first) + len(new) <= KEPT:
+        at[new] = len(known.first) + np.arange(len(new))
+        known.add(different[new], ids, count)
+        pool, first, count = known.ids, known.first[at], known.count[at]
+    else:
+        pool = np.concatenate([known.ids, ids])
+        fresh_first, fresh_count = len(known.ids) + np.cumsum(count) - count, count
+        old = at >= 0
+        first, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        first[old], count[old] = known.first[at[old]], known.count[at[old]]
+        first[new], count[new] = fresh_first, fresh_count
     n = count[back]
     total = np.cumsum(n)
-    ids = s[np.repeat(first[back] - (total - n), n) + np.arange(total[-1])]
+    ids = pool[np.repeat(first[back] - (total - n), n) + np.arange(total[-1])]
     bounds = np.append(0, total)[np.searchsorted(np.flatnonzero(cut), np.append(0, np.cumsum(lengths)))]
     return ids, np.diff(bounds)
 
 
-def slices(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+def slices(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
     part, total = [], 0
     for t in texts:
         if part and total + len(t) > most:
@@ -260,21 +304,28 @@ def coder(spark: SparkSession, path: str = MODEL, seed: int = 8, rate: float = 0
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
         p, texts = Pieces.of(shared.value), column.fill_null("").to_pylist()
-        got = [encode_texts(p, part, seed, rate, variants) for part in slices(texts)]
-        ids = np.concatenate([x for x, _ in got]) if got else np.zeros(0)
-        count = np.concatenate([n for _, n in got]) if got else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(ids.astype(np.int32)))
+        ids, count, known = [np.zeros(0, np.int32)], [np.zeros(1, np.int32)], Merged()
+        for part in slices(texts):
+            some, n = encode_texts(p, part, seed, rate, variants, known)
+            ids.append(some.astype(np.int32))
+            count.append(n)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(count), dtype=np.int32)), pa.array(np.concatenate(ids)))
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
         p = Pieces.of(shared.value)
-        limits = column.offsets.to_numpy().astype(np.int64)
-        ids = column.values.to_numpy()[limits[0] : limits[-1]]
-        n = p.sizes[ids]
-        total = np.append(0, np.cumsum(n))
-        flat = p.bytes[np.repeat(p.starts[ids] - total[:-1], n) + np.arange(total[-1])].tobytes()
-        ends = total[limits - limits[0]].tolist()
-        out = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        limits, ids = column.offsets.to_numpy(), column.values.to_numpy()
+        out: list[bytes] = []
+        i = 0
+        while i < len(column):
+            j = max(i + 1, int(np.searchsorted(limits, limits[i] + (1 << 17), "right")) - 1)
+            some = ids[limits[i] : limits[j]]
+            n = p.sizes[some]
+            total = np.append(0, np.cumsum(n))
+            flat = p.bytes[np.repeat(p.starts[some] - total[:-1], n) + np.arange(total[-1])].tobytes()
+            ends = total[limits[i : j + 1] - limits[i]].tolist()
+            out += [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            i = j
         return pa.array([(b[1:] if b[:1] == b" " else b).decode("utf-8", "replace") for b in out], pa.string())
 
     return encode, decode
