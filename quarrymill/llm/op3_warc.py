@@ -10,7 +10,8 @@ file system that Spark writes, and a lost executor's archives are written again.
 `archive_bytes` (one record at least), and parsed by Content-Length, so payloads may hold anything, record headers included.
 
 A null html is an empty payload. A null page_id gets no archive record that could be named: its row is a response without id. Rows that
-repeat a page_id with one payload are one record each, the first of them (by url) the response, the others revisits of that id. Null
+repeat a page_id with one payload and other urls are one record each, the first url the response, the others revisits of that id; rows
+equal in all are responses alike. Null
 urls are empty. Control characters and line ends in urls are percent-encoded in headers. Empty tables give no rows.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import work_dir
+from .common import save, work_dir
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -31,22 +32,27 @@ DATE = "2024-01-31T00:00:00Z"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, payload binary"
 
 
-def records(pages: DataFrame, least: int = 100) -> DataFrame:
-    """pages (page_id, url, html) -> page_id, uri, payload, payload_bytes, payload_digest, record_type, refers_to, refers_uri."""
+KEY = ["page_id", "uri", "payload_digest"]
+
+
+def payloads(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) -> page_id, uri, payload, payload_bytes, payload_digest."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary"))
     uri = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\x00-\x20\x7F]", "%20")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), uri.alias("uri"), payload.alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    heads = rows.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("payload_digest", "page_id", "uri")
-    first = heads.groupBy("payload_digest").agg(F.min(F.struct("page_id", "uri")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = heads.join(first, "payload_digest").where((F.col("page_id") != F.col("first.page_id")) | (F.col("uri") != F.col("first.uri")))
-    later = later.select("page_id", "uri", F.col("first.page_id").alias("refers_to"), F.col("first.uri").alias("refers_uri")).dropDuplicates(["page_id", "uri"])
-    out = rows.join(later, ["page_id", "uri"], "left")
-    return out.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    return rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
+
+
+def revisits(heads: DataFrame, least: int = 100) -> DataFrame:
+    """heads (KEY, payload_bytes) -> KEY, refers_to, refers_uri of the records that revisit another."""
+    some = heads.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select(*KEY)
+    first = some.groupBy("payload_digest").agg(F.min(F.struct("page_id", "uri")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = some.join(first, "payload_digest").where((F.col("page_id") != F.col("first.page_id")) | (F.col("uri") != F.col("first.uri")))
+    return later.select(*KEY, F.col("first.page_id").alias("refers_to"), F.col("first.uri").alias("refers_uri")).dropDuplicates(KEY)
 
 
 def record_text(date: str = DATE):
-    """A record of columns of `records`, without the separator that ends it; its bytes are kept as they are."""
+    """A record of the columns of a payload and its revisit, without the separator that ends it; its bytes are kept as they are."""
     name = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(">"))
     revisit = F.col("record_type") == "revisit"
     body = F.when(revisit, F.lit(b"").cast("binary")).otherwise(F.col("payload"))
@@ -67,10 +73,14 @@ def record_text(date: str = DATE):
 
 def write_archives(pages: DataFrame, path: str, least: int = 100, archive_bytes: int = 32 << 20) -> None:
     """Writes the deduplicated archives of pages under path, each of about archive_bytes before compression."""
-    total = pages.select(F.sum(F.octet_length(F.col("html").cast("binary")) + 500)).first()[0] or 0
+    rows = payloads(pages)
+    heads = save(rows.drop("payload"), f"{path}-headers")
+    total = heads.agg(F.sum(F.col("payload_bytes") + 500)).first()[0] or 0
     count = max(1, -(-int(total) // archive_bytes), min(64, pages.sparkSession.sparkContext.defaultParallelism))
-    rows = records(pages, least).repartition(count, F.xxhash64("page_id", "uri"))
-    rows.select(record_text().alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    # payloads are shuffled this once, and the join keeps to it
+    out = rows.repartition(count, *KEY).join(revisits(heads, least), KEY, "left")
+    out = out.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    out.select(record_text().alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
