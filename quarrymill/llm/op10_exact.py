@@ -28,8 +28,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-#: A table of at most so many short rows (about 40 bytes each) is broadcast; a larger one is joined by shuffle.
-SMALL = 2_000_000
+#: Hit rows (a locator and a digest, about 300 bytes) are broadcast up to so many; more are joined by shuffle.
+SMALL = 200_000
 
 
 def normalised(text: str = "text") -> Column:
