@@ -44,8 +44,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def byte_batches(column: pa.Array, most: int = 1 << 21):
-    """Slices a string column: yields (first row, bytes, offsets) of up to `most` bytes or one row; null is empty."""
+def byte_batches(column: pa.Array, most: int = 1 << 21, rows: int = 1 << 30):
+    """Slices a string column: yields (first row, bytes, offsets) of up to `most` bytes and `rows` rows, or one row; null is empty."""
     column = column.fill_null("") if column.null_count else column
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     buffers = column.buffers()
@@ -53,7 +53,7 @@ def byte_batches(column: pa.Array, most: int = 1 << 21):
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1))
         yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
