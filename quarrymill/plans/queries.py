@@ -808,7 +808,7 @@ def j3b(spark, d):
 
 @query(
     "j4_probe",
-    f"""WITH good AS ({_GOOD}), p AS (SELECT document_id, embedding::DOUBLE[] AS q, category AS own FROM (SELECT * FROM ({_VISIBLE})) JOIN (SELECT document_id AS i, status FROM v_documents) ON i = document_id WHERE status = 'indexed' AND chunk_id % 10 = 3),
+    f"""WITH good AS ({_GOOD}), p AS (SELECT document_id, min_by(v, chunk_id) AS q, any_value(category) AS own FROM good JOIN (SELECT document_id AS i, status FROM v_documents) ON i = document_id WHERE status = 'indexed' GROUP BY 1),
     s AS (SELECT p.document_id AS request_id, p.own, g.document_id, g.chunk_id, g.category, round(list_cosine_similarity(g.v, p.q), 12) AS similarity FROM good g, p),
     a AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY similarity DESC, chunk_id) AS n FROM s WHERE similarity > 0),
     h AS (SELECT request_id, count(*) AS hits, max(similarity) AS best FROM a WHERE n <= 5 AND document_id = request_id GROUP BY 1)
@@ -817,7 +817,8 @@ def j3b(spark, d):
 )
 def j4(spark, d):
     c = visible(spark, d)
-    return Q.retrievability_probe(V.documents(spark, d), c.where("chunk_id % 10 = 3").select("document_id", "embedding"), c, DIM, 5)
+    probes = E.valid_vectors(c, DIM).groupBy("document_id").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
+    return Q.retrievability_probe(V.documents(spark, d), probes, c, DIM, 5)
 
 
 @query("j5_errors", "SELECT document_id, title AS name, category, status, coalesce(error_message, '(no message)') AS error, left(coalesce(error_message, '(no message)'), 60) AS error_line FROM v_documents WHERE status <> 'indexed'")
