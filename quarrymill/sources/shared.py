@@ -8,10 +8,13 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, a temporary one is set."""
+    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, under a temporary one for the application."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="spark-")
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
