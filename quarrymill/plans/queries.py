@@ -261,7 +261,7 @@ def c4(spark, d):
     return K.chunk_documents(paragraphed(spark, d), headings=NONE, target=40, hard_max=40, overlap=0)
 
 
-@query("c8_chunk_stats", packed(200) + " SELECT b.document_id, len(blocks) AS num_blocks, count(n_tokens) AS num_chunks, coalesce(max(n_tokens), 0) AS max_tokens, coalesce(sum(n_tokens), 0) AS total_tokens FROM b LEFT JOIN c ON c.document_id = b.document_id GROUP BY 1, 2")
+@query("c8_chunk_stats", packed(200) + " SELECT b.document_id, len(blocks) AS num_blocks, count(n_tokens) AS num_chunks, coalesce(max(n_tokens), 0)::BIGINT AS max_tokens, coalesce(sum(n_tokens), 0)::BIGINT AS total_tokens FROM b LEFT JOIN c ON c.document_id = b.document_id GROUP BY 1, 2")
 def c8(spark, d):
     docs = paragraphed(spark, d)
     return K.chunk_stats(docs, K.chunk_documents(docs, headings=NONE, overlap=0), headings=NONE)
