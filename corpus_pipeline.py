@@ -23,9 +23,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    kept = op7_minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).dropDuplicates()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One row of each group of near copies, that of the least doc_id (null last). Every row is judged by its own text, whatever its doc_id."""
+    rows = save(docs.withColumn("_row", F.monotonically_increasing_id()), f"{work_dir(spark, 'near')}/rows")
+    parts = op7_minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = rows.select("_row", "doc_id").join(parts, "_row").groupBy("component_id").agg(first.alias("k")).select(F.col("k._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

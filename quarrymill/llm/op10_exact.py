@@ -20,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, work_dir
+from .common import located, save, work_dir
 
 #: State on disk, checkpointed as changes. Without preallocated logs, which take megabytes for every state partition.
 STATE = {
@@ -38,18 +38,6 @@ def normalised(text: str = "text") -> Column:
     return F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def located(docs: DataFrame, path: str) -> DataFrame:
-    """docs with _locator, the file and row that hold the content; rows that come from no Parquet file are written to one first."""
-    if "_locator" in docs.columns:
-        return docs
-    try:
-        return docs.withColumn("_locator", F.struct("_metadata.file_path", "_metadata.row_index"))
-    except Exception as e:  # noqa: BLE001  columns of files exist only on file scans
-        if "UNRESOLVED_COLUMN" not in str(e) and "FIELD_NOT_FOUND" not in str(e):
-            raise
-        return save(docs, path).withColumn("_locator", F.struct("_metadata.file_path", "_metadata.row_index"))
-
-
 def stream_state(spark: SparkSession, landing: str, schema, checkpoint: str, updates: str, files: int = 1000) -> DataFrame:
     """Runs the stream over what has landed -> (key, keep struct(doc_id, locator), group_size) as the state has it."""
     before = {k: spark.conf.get(k, None) for k in STATE}

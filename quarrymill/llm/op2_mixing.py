@@ -11,7 +11,8 @@ spread over many tasks.
 
 Only DataFrame and SQL functions. A null text has size 0. Null sources are one source, the last. Documents of size 0 are repeated with
 their source's epochs and never in the fraction; a source without words has target 0. Rows with a null doc_id, and rows that repeat one,
-count each on their own; equal keys are ordered by doc_id and size. Empty tables give no rows; other columns are kept by `mixed` only.
+count each on their own; equal keys are ordered by doc_id and size, then by the row's place where it is given. Empty tables give no rows; other columns are kept by `mixed` only, which
+joins by the row's place (file and row number), never by doc_id.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, work_dir
+from .common import located, save, work_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,9 +55,13 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most_
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (5, 2, 1), most_epochs: int = 3, seed: int = 2) -> DataFrame:
-    """docs (doc_id, text, source), quality (doc_id, weight > 0) -> doc_id, size, source, source_size, target, copies, taken for each row."""
+    """docs (doc_id, text, source), quality (doc_id, weight > 0) -> doc_id, size, source, source_size, target, copies, taken for each row.
+
+    Where docs have _locator, it comes along.
+    """
     work = work_dir(docs.sparkSession, "mixing")
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    row = [c for c in docs.columns if c == "_locator"]
+    sized = docs.select("doc_id", *row, F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     if quality is None:
         sized = sized.withColumn("weight", F.lit(1.0))
     else:
@@ -64,7 +69,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
         sized = sized.join(one, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     keyed = sized.withColumn("key", -F.ln(uniform(F.col("doc_id"), seed)) / F.col("weight"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keyed.repartitionByRange(parts, F.col("source").asc_nulls_last(), "key", "doc_id", "size").withColumn("range", F.spark_partition_id())
+    ranged = keyed.repartitionByRange(parts, F.col("source").asc_nulls_last(), "key", "doc_id", "size", *row).withColumn("range", F.spark_partition_id())
     ranged = save(ranged, f"{work}/ranges")
 
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("n"))
@@ -74,14 +79,14 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     plan = sums.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumnRenamed("source", "_source").withColumnRenamed("range", "_range")
     rows = ranged.join(plan, (F.col("range") == F.col("_range")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_range")
 
-    inside = Window.partitionBy("range", "source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("range", "source").orderBy("key", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     out = rows.withColumns({"before": before, "epochs": epochs})
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     more = (F.col("size") > 0) & (2 * F.col("before") + F.col("size") <= 2 * rest)
     out = out.withColumn("copies", F.col("epochs") + F.when(more, 1).otherwise(0))
-    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", *row, "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
@@ -90,10 +95,11 @@ def label_weights(labels: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
-    """docs as the mix has them: each row as often as it is taken, with all columns. doc_id must identify a row."""
-    times = mix(docs, quality, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    """docs as the mix has them: each row as often as it is taken, with all columns. Rows are told apart by locator, whatever their doc_id."""
+    rows = located(docs, f"{work_dir(docs.sparkSession, 'mixed')}/rows")
+    times = mix(rows, quality, **options).where("copies > 0").select("_locator", "copies")
+    out = rows.join(times, "_locator").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))))
+    return out.select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """The pipeline against a plain version of each stage, and the registered queries' shape."""
 
+from collections import defaultdict
+
 import numpy as np
 import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from quarrymill.llm import op8_pieces, op9_quality
+from quarrymill.llm import op2_mixing, op8_pieces, op9_quality
 from quarrymill.llm.op6_language import held_out
 
 from .test_operators import brute_components, fold, prose
@@ -63,6 +65,26 @@ def test_stages_in_order_match_plain_versions(spark, folder):
     assert sorted((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, folder).collect()) == sorted((r.doc_id, tuple(r.ids)) for r in last)
 
 
+def test_null_and_repeated_ids_count_each_on_their_own(spark, folder):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None if i < 20 else 5 if i < 40 else i, prose(3000 + i, 40), "en", f"s{i % 3}", 0) for i in range(60)]
+    table = spark.createDataFrame(rows, schema)
+    times = defaultdict(int)
+    for r in corpus_pipeline.mix(spark, table, folder).collect():
+        times[r.text] += 1
+    assert set(times) <= {t for _, t, *_ in rows} and max(times.values()) <= 3
+    taken, target = defaultdict(int), {r.source: r.target for r in op2_mixing.mix(table).collect()}
+    for _, t, _, s, _ in rows:
+        taken[s] += 40 * times[t]
+    assert all(abs(taken[s] - target[s]) <= 40 for s in target)
+
+    # one doc_id with a text of its own, one that copies another's, and two null ids of near texts
+    texts = [prose(4000, 60), prose(4001, 60), prose(4000, 60) + " w1", prose(4002, 60), prose(4002, 60) + " w2"]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip((1, 2, 2, None, None), texts)], schema)
+    kept = [r.text for r in corpus_pipeline.near(spark, table, folder).collect()]
+    assert len(kept) == 3 and set(texts[:2]) < set(kept) and len(set(kept) & set(texts[3:])) == 1
+
+
 def test_every_number_is_registered_once():
     names = __spark_entry__.queries()
     for n in range(1, 11):
