@@ -1,14 +1,14 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 A text gets one leading space, its spaces become the piece mark, and neighbouring symbols whose concatenation is a piece are merged,
-best score first and leftmost among equals. With dropout a candidate merge is skipped when a keyed hash of (seed, unit, variant, position,
-left piece, right piece) falls under the rate; a merge that makes a new neighbour makes a new candidate. Characters without a piece, and
+best score first and leftmost among equals. With dropout a candidate merge is skipped when a keyed hash of (seed, text, place of the unit
+in it, position, left piece, right piece) falls under the rate; a merge that makes a new neighbour makes a new candidate. Characters without a piece, and
 a literal piece mark, become their UTF-8 byte pieces, so that decoding gives back every text exactly.
 
 Pieces never hold a space after another character, so a text falls into units (a run of spaces with what follows) that are merged on
-their own. An occurrence of a unit has one of `variants` segmentations, chosen by a keyed hash of its text and place: equal
-units of a batch with one variant are merged once. Short units run their agendas in lockstep over numpy arrays, long ones on a heap; both
-skip the same candidates. Seed, rate and text fix the ids: reruns agree.
+their own. Every occurrence decides each of its candidates. Equal units of a batch are merged without dropout once, with the candidates
+that this offers; an occurrence that skips none of them has those ids, every other is merged on its own. Short units run their agendas in
+lockstep over numpy arrays, long ones on a heap; both skip the same candidates. Seed, rate and text fix the ids: reruns agree.
 
 Null texts are empty; empty texts have no ids. Texts of any length are encoded whole. The vocabulary file is read on the driver and its
 tables are broadcast (its size is fixed by the file).
@@ -34,7 +34,7 @@ _FREE = np.uint32(2**32 - 1)
 LONG = 48
 TABLE_BITS = 19
 NEVER = np.int32(2**31 - 1)
-#: Merged units that a task keeps for reuse.
+#: Units merged without dropout that a task keeps for reuse.
 KEPT = 400_000
 
 
@@ -117,24 +117,34 @@ class Pieces:
 _LEFT, _RIGHT, _AT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
+def _terms(left, right, at) -> np.ndarray:
+    """What a candidate adds to its occurrence's key before the skip hash."""
+    return left.astype(np.uint64) * np.uint64(_LEFT) + right.astype(np.uint64) * np.uint64(_RIGHT) + at.astype(np.uint64) * np.uint64(_AT)
+
+
 def _candidates(p: Pieces, left, right, at, key, limit: int):
     """Packed rank and position of each candidate (the least goes first), and the merged pieces; a skipped one is NEVER."""
     to = p.find(left, right)
     value = np.where(to < 0, NEVER, (p.rank[to] << np.int32(6)) | at)
     if limit:
         some = np.flatnonzero(to >= 0)
-        h = key[some] + left[some].astype(np.uint64) * np.uint64(_LEFT) + right[some].astype(np.uint64) * np.uint64(_RIGHT) + at[some].astype(np.uint64) * np.uint64(_AT)
-        value[some[mix64(h) < np.uint64(limit)]] = NEVER
+        value[some[mix64(key[some] + _terms(left[some], right[some], at[some])) < np.uint64(limit)]] = NEVER
     return value, to
 
 
-def lockstep(p: Pieces, symbols: np.ndarray, unit: np.ndarray, place: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merges many short units at once. symbols, with unit numbers and places in the unit -> (symbols, unit numbers), in order."""
+def lockstep(p: Pieces, symbols: np.ndarray, unit: np.ndarray, place: np.ndarray, keys: np.ndarray, limit: int, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Merges many short units at once. symbols, with unit numbers and places in the unit -> (symbols, unit numbers), in order.
+
+    `offered` takes the unit numbers and terms of all candidates.
+    """
     s, u, at = symbols.astype(np.int32), unit.astype(np.int32), place.astype(np.int32)
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     value, to = np.full(len(s), NEVER), np.zeros(len(s), np.int32)
     same = np.flatnonzero(u[1:] == u[:-1]) if len(u) else np.zeros(0, np.int64)
     value[same], to[same] = _candidates(p, s[same], s[same + 1], at[same], keys[u[same]], limit)
+    if offered is not None:
+        some = same[to[same] >= 0]
+        offered.append((u[some], _terms(s[some], s[some + 1], at[some])))
     while len(s):
         first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
         size = np.diff(np.append(first, len(u)))
@@ -158,6 +168,9 @@ def lockstep(p: Pieces, symbols: np.ndarray, unit: np.ndarray, place: np.ndarray
         pairs = changed[changed + 1 < len(s)]
         pairs = pairs[u[pairs] == u[pairs + 1]]
         value[pairs], to[pairs] = _candidates(p, s[pairs], s[pairs + 1], at[pairs], keys[u[pairs]], limit)
+        if offered is not None:
+            some = pairs[to[pairs] >= 0]
+            offered.append((u[some], _terms(s[some], s[some + 1], at[some])))
     if not done:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     u, at, s = (np.concatenate(x) for x in zip(*done, strict=True))
@@ -165,8 +178,8 @@ def lockstep(p: Pieces, symbols: np.ndarray, unit: np.ndarray, place: np.ndarray
     return s[order].astype(np.int64), u[order].astype(np.int64)
 
 
-def agenda(p: Pieces, symbols: list[int], key: int, limit: int) -> list[int]:
-    """One unit on a heap of candidates."""
+def agenda(p: Pieces, symbols: list[int], key: int, limit: int, offered: list[int] | None = None) -> list[int]:
+    """One unit on a heap of candidates; `offered` takes the terms of all of them."""
     n = len(symbols)
     s, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list[tuple[int, int, int, int, int]] = []
@@ -174,7 +187,10 @@ def agenda(p: Pieces, symbols: list[int], key: int, limit: int) -> list[int]:
     def offer(i: int) -> None:
         j = after[i]
         if j < n and s[i] < p.base and s[j] < p.base and (m := p.merges.get((s[i] << 16) | s[j])):
-            if not limit or _mix((key + s[i] * _LEFT + s[j] * _RIGHT + i * _AT) & _MASK) >= limit:
+            term = (s[i] * _LEFT + s[j] * _RIGHT + i * _AT) & _MASK
+            if offered is not None:
+                offered.append(term)
+            if not limit or _mix((key + term) & _MASK) >= limit:
                 heapq.heappush(heap, (m[0], i, m[1], s[i], s[j]))
 
     for i in range(n - 1):
@@ -208,15 +224,18 @@ def to_bytes(p: Pieces, s: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, n
     return np.where(np.repeat(odd, n), p.byte0 + byte, np.repeat(s, n)), np.repeat(owner, n)
 
 
-def merge_units(p: Pieces, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each unit symbols[start:start+size], one after another, and how many each has."""
+def merge_units(p: Pieces, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray, limit: int, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each unit symbols[start:start+size], one after another, and how many each has; `offered` as in lockstep."""
     short = np.flatnonzero((size <= LONG) & (symbols[start] < p.base))
     unit = np.repeat(short, size[short])
     place = np.arange(len(unit)) - np.repeat(np.cumsum(size[short]) - size[short], size[short])
-    s, u = lockstep(p, symbols[start[unit] + place], unit, place, keys, limit)
+    s, u = lockstep(p, symbols[start[unit] + place], unit, place, keys, limit, offered)
     rest = np.flatnonzero((size > LONG) | (symbols[start] >= p.base))
     if len(rest):
-        more = [agenda(p, symbols[start[i] : start[i] + size[i]].tolist(), int(keys[i]), limit) for i in rest]
+        terms: list[list[int]] = [[] for _ in rest]
+        more = [agenda(p, symbols[start[i] : start[i] + size[i]].tolist(), int(keys[i]), limit, None if offered is None else t) for i, t in zip(rest, terms, strict=True)]
+        if offered is not None:
+            offered.append((np.repeat(rest, [len(t) for t in terms]), np.array([x for t in terms for x in t], np.uint64)))
         s, u = np.concatenate([s, *(np.array(m, np.int64) for m in more)]), np.concatenate([u, np.repeat(rest, [len(m) for m in more])])
         order = np.argsort(u, kind="stable")
         s, u = s[order], u[order]
@@ -224,22 +243,46 @@ def merge_units(p: Pieces, symbols: np.ndarray, start: np.ndarray, size: np.ndar
     return s, np.bincount(u, minlength=len(start))
 
 
+class Runs:
+    """Runs of values, one after another."""
+
+    def __init__(self, values: np.ndarray, count: np.ndarray):
+        self.values, self.count = values, count
+        self.first = np.cumsum(count) - count
+
+    def __add__(self, other: Runs) -> Runs:
+        return Runs(np.concatenate([self.values, other.values]), np.concatenate([self.count, other.count]))
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of those runs, and how many each has."""
+        n = self.count[which]
+        total = np.cumsum(n)
+        return self.values[np.repeat(self.first[which] - (total - n), n) + np.arange(total[-1] if len(n) else 0)], n
+
+
+def merged_plain(p: Pieces, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[Runs, Runs]:
+    """Ids of each unit without dropout, and the terms of the candidates that were offered."""
+    offered: list[tuple[np.ndarray, np.ndarray]] = []
+    ids, count = merge_units(p, symbols, start, size, np.zeros(len(start), np.uint64), 0, offered)
+    u, terms = (np.concatenate(x) for x in zip(*offered, strict=True)) if offered else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return Runs(ids, count), Runs(terms[np.argsort(u, kind="stable")], np.bincount(u, minlength=len(start)))
+
+
 class Merged:
-    """Ids of units merged before, by key; when it is full it takes no more."""
+    """Units merged before without dropout, by key: their ids and the terms of their candidates."""
 
     def __init__(self):
         self.place: dict[int, int] = {}
-        self.ids, self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.terms = Runs(np.zeros(0, np.int64), np.zeros(0, np.int64)), Runs(np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        n = len(self.first)
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
-        self.ids, self.count = np.concatenate([self.ids, ids]), np.concatenate([self.count, count])
+    def add(self, keys: np.ndarray, ids: Runs, terms: Runs) -> None:
+        n = len(self.place)
+        self.ids, self.terms = ids, terms
         self.place.update(zip(keys.tolist(), range(n, n + len(keys)), strict=True))
 
 
-def encode_texts(p: Pieces, texts: list[str], seed: int, rate: float, variants: int, known: Merged | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in one array, and the number of each text's ids."""
+def encode_texts(p: Pieces, texts: list[str], seed: int, rate: float, kept: int = KEPT, known: Merged | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in one array, and the number of each text's ids. `known` grows to `kept` units."""
     limit = min(int(rate * 2**64), _MASK)
     points = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
@@ -253,34 +296,32 @@ def encode_texts(p: Pieces, texts: list[str], seed: int, rate: float, variants:
     start = np.flatnonzero(cut)
     size = np.diff(np.append(start, len(points)))
     keys = segment_hash(points, start, size)
+    different, pick, back = np.unique(keys, return_index=True, return_inverse=True)
+    known = Merged() if known is None else known
+    at = np.fromiter(map(known.place.get, different.tolist(), itertools.repeat(-1)), np.int64, len(different))
+    new = np.flatnonzero(at < 0)
+    more_ids, more_terms = merged_plain(p, symbols, start[pick[new]], size[pick[new]])
+    ids, terms = known.ids + more_ids, known.terms + more_terms
+    at[new] = len(known.place) + np.arange(len(new))
+    if len(known.place) + len(new) <= kept:
+        known.add(different[new], ids, terms)
+    which = at[back]
     if limit:
         owner = row[start]
         text_first = np.searchsorted(owner, np.arange(len(texts)))
-        nth = np.arange(len(start)) - text_first[owner]
+        nth = (np.arange(len(start)) - text_first[owner]).astype(np.uint64)
         salt = np.zeros(len(texts), np.uint64)
         filled = np.flatnonzero(lengths)
-        salt[filled] = np.add.reduceat(keys * (nth.astype(np.uint64) * np.uint64(2) + np.uint64(1)), text_first[filled])
-        variant = mix64(salt[owner] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) % np.uint64(variants)
-        keys = mix64(keys + variant * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed))
-    different, pick, back = np.unique(keys, return_index=True, return_inverse=True)
-    known = Merged() if known is None else known
-    at = np.fromiter(map(known.place.get, different.tolist(), itertools.repeat(-1)), np.int64, len(different))
-    new = np.flatnonzero(at < 0)
-    ids, count = merge_units(p, symbols, start[pick[new]], size[pick[new]], different[new], limit)
-    if len(known.first) + len(new) <= KEPT:
-        at[new] = len(known.first) + np.arange(len(new))
-        known.add(different[new], ids, count)
-        pool, first, count = known.ids, known.first[at], known.count[at]
-    else:
-        pool = np.concatenate([known.ids, ids])
-        fresh_first, fresh_count = len(known.ids) + np.cumsum(count) - count, count
-        old = at >= 0
-        first, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        first[old], count[old] = known.first[at[old]], known.count[at[old]]
-        first[new], count[new] = fresh_first, fresh_count
-    n = count[back]
+        salt[filled] = np.add.reduceat(keys * (nth * np.uint64(2) + np.uint64(1)), text_first[filled])
+        own = mix64(keys + mix64(salt[owner] + nth * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)))
+        offered, n = terms.take(which)
+        hit = mix64(np.repeat(own, n) + offered) < np.uint64(limit)
+        skips = np.unique(np.repeat(np.arange(len(start)), n)[hit])
+        some, count = merge_units(p, symbols, start[skips], size[skips], own[skips], limit)
+        which[skips] = len(ids.count) + np.arange(len(skips))
+        ids += Runs(some, count)
+    ids, n = ids.take(which)
     total = np.cumsum(n)
-    ids = pool[np.repeat(first[back] - (total - n), n) + np.arange(total[-1])]
     bounds = np.append(0, total)[np.searchsorted(np.flatnonzero(cut), np.append(0, np.cumsum(lengths)))]
     return ids, np.diff(bounds)
 
@@ -297,7 +338,7 @@ def slices(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
         yield part
 
 
-def coder(spark: SparkSession, path: str = MODEL, seed: int = 8, rate: float = 0.1, variants: int = 8):
+def coder(spark: SparkSession, path: str = MODEL, seed: int = 8, rate: float = 0.1):
     """Column functions encode(text) -> array<int> and decode(ids) -> string for one vocabulary."""
     shared = spark.sparkContext.broadcast(vars(Pieces(path)))
 
@@ -306,7 +347,7 @@ def coder(spark: SparkSession, path: str = MODEL, seed: int = 8, rate: float = 0
         p, texts = Pieces.of(shared.value), column.fill_null("").to_pylist()
         ids, count, known = [np.zeros(0, np.int32)], [np.zeros(1, np.int32)], Merged()
         for part in slices(texts):
-            some, n = encode_texts(p, part, seed, rate, variants, known)
+            some, n = encode_texts(p, part, seed, rate, known=known)
             ids.append(some.astype(np.int32))
             count.append(n)
         return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(count), dtype=np.int32)), pa.array(np.concatenate(ids)))

@@ -261,6 +261,30 @@ def test_op8_dropout_is_lossless_and_varied(spark):
     assert a[2].ids == [] and a[len(TEXTS)].ids == []
 
 
+def test_op8_every_occurrence_decides(pieces):
+    word = "internationalization"
+    texts = [" ".join([word] * 100) + f" {i}" for i in range(20)]
+    found = set()
+    for kept in (0, 10, 400_000):  # full or not, the cache changes nothing
+        known = op8_pieces.Merged()
+        got = [op8_pieces.encode_texts(pieces, texts[i : i + 5], 8, 0.1, kept, known) for i in range(0, 20, 5)]
+        found.add(tuple(np.concatenate([ids for ids, _ in got]).tolist()))
+    (flat,) = found
+    place = np.cumsum(pieces.sizes[list(flat)])
+    seen, a = [], 0
+    for t in texts:
+        for _ in range(100):
+            b = int(np.searchsorted(place, place[a - 1] + len(word) + 1 if a else len(word) + 1)) + 1
+            seen.append(flat[a:b])
+            a = b
+        a = int(np.searchsorted(place, sum(len(x) + 1 for x in texts[: texts.index(t) + 1]))) + 1
+    symbols = pieces.char[np.frombuffer((" " + word).encode("utf-32-le"), np.uint32)].tolist()
+    brute = [tuple(op8_pieces.agenda(pieces, symbols, op8_pieces._mix(k + 1), int(0.1 * 2**64))) for k in range(2000)]
+    plain = tuple(op8_pieces.agenda(pieces, symbols, 0, 0))
+    assert len(set(seen)) > 100 and abs(seen.count(plain) - brute.count(plain)) < 150
+    assert 0.8 < len(set(seen)) / len(set(brute)) < 1.25
+
+
 def test_op9_ranks_junk_below_prose(spark):
     rng = np.random.default_rng(4)
     good = lambda n: " ".join("".join(rng.choice(list("aeioulnrst"), 5)) for _ in range(n)).capitalize() + "."
