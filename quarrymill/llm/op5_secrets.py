@@ -1,6 +1,8 @@
 """Secret scanning with a random forest that removes false findings.
 
-A candidate is a run of 16 or more characters of keys, tokens, paths and numbers inside a word. Its features: length; character
+A candidate is a run of 16 or more characters of keys, tokens, paths and numbers inside a word, or the value of an assignment whatever its
+length and characters, up to white space: after = or := of any name, after : or => of a credential's name, in a URL after ?name= or &name=.
+Its features: length; character
 transitions (runs of one class for each character), shares of digits, upper case and vowels, share of distinct characters, hexadecimal only;
 dictionary coverage (the share taken by frequent words of the whole corpus); path (kind of source, slashes and dots); neighbouring words
 (an assignment mark or quote before it, hashes of the two words before and the one after, whether they are dictionary words). The forest
@@ -25,8 +27,14 @@ from .op6_language import held_out
 
 RUN = r"[A-Za-z0-9+/_=.\-]{16,}"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Names that a credential is assigned to.
-NAMES = ["token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "auth", "key"]
+#: Parts of names that a credential is assigned to, as db_password or githubToken; "key" counts alone and after the words in KEYS.
+PARTS = ["token", "secret", "password", "passwd", "passphrase", "pwd", "apikey", "auth", "credential", "credentials"]
+KEYS = ["api", "access", "secret", "private", "encryption", "signing", "account", "auth", "master", "ssh", "client", "service", "storage"]
+#: A word that assigns: a name of its own before the sign, and what follows. A scheme (https://) doesn't assign.
+OWN = r"""^[^\w]*(\w[\w.\-]*)["'\]]*(:=|=>|=|:(?!//))(.*)$"""
+#: A word that ends a name, with the sign or without.
+SIGN = r"^(?::=|=>|=|:)"
+PARAMETER = r"""[?&][\w.\-]+=([^&#"'<>]+)"""
 FEATURES = ["length", "transitions", "digits", "upper", "vowels", "distinct", "hexadecimal", "coverage", "path_kind", "slashes", "dots", "assigned", "quoted", "before_1", "before_2", "after_1", "known_before", "known_after"]
 
 
@@ -38,11 +46,55 @@ def frequent_words(docs: DataFrame, most: int = 500) -> list[str]:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, source) -> doc_id, source, place (number of the word), candidate and the words around it."""
-    some = docs.where(F.col("text").rlike(RUN)).select("doc_id", "source", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
-    placed = some.select("doc_id", "source", "words", F.posexplode("words").alias("place", "word")).where(F.col("word").rlike(RUN))
+    may = lambda w: w.rlike(RUN) | w.rlike("[=:]")
+    some = docs.where(may(F.col("text"))).select("doc_id", "source", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
+    placed = some.select("doc_id", "source", "words", F.posexplode("words").alias("place", "word"))
     near = lambda k: F.coalesce(F.get("words", F.col("place") + k), F.lit(""))
+    placed = placed.where(may(F.col("word")) | near(-1).rlike("[=:>]$"))
     placed = placed.select("doc_id", "source", F.col("place").cast("long").alias("place"), "word", near(-1).alias("w1"), near(-2).alias("w2"), near(1).alias("w3"))
-    return placed.withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(RUN), F.lit(0))))
+    runs = F.regexp_extract_all("word", F.lit(RUN), F.lit(0))
+    values = F.filter(assigned_values(), lambda v: v != "")
+    apart = lambda r: ~F.exists(F.col("_values"), lambda v: F.contains(v, r) | F.contains(r, v))
+    placed = placed.withColumn("_values", values).withColumn("candidate", F.explode(F.concat("_values", F.filter(runs, apart))))
+    return placed.drop("_values")
+
+
+def bare_value(v: Column) -> Column:
+    """A value without its quotes, or without the marks that close what is around it."""
+    quoted = F.regexp_extract(v, r"""^(["'`])(.*)\1""", 2)
+    return F.when(v.rlike(r"""^(["'`]).*\1"""), quoted).otherwise(F.regexp_replace(F.regexp_replace(v, r"""^["'`]+""", ""), r"""["'`,;)\]}]+$""", ""))
+
+
+def name_and_sign() -> tuple[Column, Column]:
+    """Name and sign of what assigns to the word: its own prefix where it has one, else the words before; empty where nothing does."""
+    own = F.col("word").rlike(OWN) & (F.regexp_extract("word", OWN, 3) != "")
+    alone, ends = F.col("w1").rlike("^(:=|=>|=|:)$"), F.col("w1").rlike("(:=|=>|=|:)$")
+    name = F.when(own, F.regexp_extract("word", OWN, 1)).when(F.col("word").rlike(SIGN), F.col("w1")).when(alone, F.col("w2")).when(ends, F.col("w1"))
+    sign = F.when(own, F.regexp_extract("word", OWN, 2)).when(F.col("word").rlike(SIGN), F.regexp_extract("word", "^(:=|=>|=|:)", 1)).when(ends, F.regexp_extract("w1", "(:=|=>|=|:)$", 1))
+    return F.coalesce(name, F.lit("")), F.coalesce(sign, F.lit(""))
+
+
+def name_parts(name: Column) -> Column:
+    """Lower-case parts of a name, cut at other characters than letters and where case changes."""
+    apart = F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2")
+    return F.filter(F.split(F.lower(apart), "[^a-z]+"), lambda p: p != "")
+
+
+def is_credential(name: Column) -> Column:
+    parts = name_parts(name)
+    strong = F.arrays_overlap(parts, F.array(*map(F.lit, PARTS)))
+    key = F.array_contains(parts, "key") & ((F.size(parts) == 1) | F.arrays_overlap(parts, F.array(*map(F.lit, KEYS))))
+    return strong | key
+
+
+def assigned_values() -> Column:
+    """The values that the word is given, or gives in a URL."""
+    name, sign = name_and_sign()
+    own = F.col("word").rlike(OWN) & (F.regexp_extract("word", OWN, 3) != "")
+    raw = F.when(own, F.regexp_extract("word", OWN, 3)).otherwise(F.regexp_replace("word", SIGN, ""))
+    value = F.when((sign.isin("=", ":=") & (name != "")) | ((sign != "") & is_credential(name)), bare_value(raw))
+    url = F.col("word").contains("://")
+    return F.when(url, F.regexp_extract_all("word", F.lit(PARAMETER), F.lit(1))).otherwise(F.array(F.coalesce(value, F.lit(""))))
 
 
 def featured(found: DataFrame, dictionary: list[str]) -> DataFrame:
@@ -101,10 +153,24 @@ def scan(docs: DataFrame, label: Column | None = None, known: Column | None = No
 
 
 def assigned_name() -> Column:
-    """Labels where no reviewed findings are at hand: 1.0 for a mixed or hexadecimal value assigned to a credential's name, else 0.0."""
-    name = F.regexp_replace(F.lower(F.when(F.col("w1").isin("=", ":", ":="), F.col("w2")).otherwise(F.concat_ws("", "w1", F.regexp_extract("word", r"^(\w+)[=:]", 1)))), r"[^a-z_]", "")
-    value = F.col("candidate").rlike("[0-9]") & F.col("candidate").rlike("[A-Za-z]")
-    return (name.isin(*NAMES) & F.concat_ws(" ", "w1", "word").rlike("[=:]") & value).cast("double")
+    """Labels where no reviewed findings are at hand: 1.0 for a value of letters and digits, 8 characters at least, assigned to a credential's
+    name; 0.0 for what is assigned to another name, or to none and is a number, host or file; null (unknown) for the doubtful rest.
+    """
+    name, sign = name_and_sign()
+    c = F.col("candidate")
+    given = (sign != "") & (name != "")
+    parameter = F.col("word").contains("://") & F.contains(F.col("word"), F.concat(F.lit("="), c))
+    mixed = c.rlike("[0-9]") & c.rlike("[A-Za-z]")
+    clear = mixed & (F.char_length(c) >= 8)
+    near = is_credential(F.concat_ws(" ", "w2", "w1", "word"))
+    plain = ~mixed | c.rlike(r"\.[A-Za-z]{2,}(?:/|$)")
+    doubtful_key = F.array_contains(name_parts(name), "key")
+    return (
+        F.when(parameter, F.lit(None).cast("double"))
+        .when(given & is_credential(name), F.when(clear, 1.0))
+        .when(given & ~doubtful_key & ~near, 0.0)
+        .when(~given & plain & ~near, 0.0)
+    )
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,6 +207,18 @@ def test_op5_findings(spark):
     assert [(r.probability, r.is_secret) for r in one] == [(0.0, False)]
 
 
+def test_op5_glued_compound_and_short(spark):
+    d = hashlib.sha1(b"x").hexdigest()
+    real = ["the api_key=" + d, "see token:" + d, "aws_secret_access_key = " + d, 'db_password: "p4ss!w0rd#x"', "githubToken := Ab3$9zQ1", "export GITHUB_TOKEN=Ab3xY9zQ17"]
+    other = ["card 9807915762811111 here", "see mail1.example.com/path/to/file", "commit_id=" + d, "order = 12345678"]
+    doubtful = ["primary_key = " + d, "password = hunter", "the token " + d, d]
+    texts = real + other + doubtful
+    found = op5_secrets.candidates(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    got = {r.doc_id: (r.candidate, r.label) for r in found.withColumn("label", op5_secrets.assigned_name()).collect()}
+    assert [got[i][1] for i in range(len(texts))] == [1.0] * len(real) + [0.0] * len(other) + [None] * len(doubtful)
+    assert [got[i][0] for i in range(len(real))] == [d, d, d, "p4ss!w0rd#x", "Ab3$9zQ1", "Ab3xY9zQ17"]
+
+
 def test_op6_accuracy_and_edges(spark):
     rng = np.random.default_rng(1)
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["schu", "ber", "tz"], "cc": ["ção", "eau", "ñi"]}
