@@ -274,8 +274,10 @@ DIM = 64
 
 @query("d1_embed_column")
 def d1(spark, d):
-    rows = E.embed_column(V.chunks(spark, d).select("chunk_id", "content"), "content", E.hashing_embedder(DIM), DIM)
-    return rows.select("chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"), F.size("embedding").alias("dim"))
+    # documents differ much in length
+    chunks = c7(spark, d).repartition("document_id", "chunk_index")
+    rows = E.embed_column(chunks, "content", E.hashing_embedder(DIM), DIM)
+    return rows.select("document_id", "chunk_index", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"), F.size("embedding").alias("dim"))
 
 
 @query("d2_valid_vectors", "SELECT chunk_id FROM v_chunks WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: abs(x) >= 1e-9)) > 0")

@@ -199,3 +199,14 @@ def test_streams(spark, tmp_path):
     go()
     got = spark.read.parquet(str(tmp_path / "chunks"))
     assert got.count() == 4 and got.select("file_id", "chunk_index").distinct().count() == 4
+
+
+def test_d1_embeds_whole_texts(spark, tmp_path, monkeypatch):
+    from quarrymill.plans import queries
+
+    texts = [words(1000), words(30), "", words(300) + "\n" + words(20)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(E, "hashing_embedder", lambda dim: lambda batch: [[float(len(t.split()))] + [0.0] * (dim - 1) for t in batch])
+    want = [(i, k, float(n * n), 64) for i, t in enumerate(texts) for k, (_, n) in enumerate(K.chunk_blocks([b for b in t.split("\n") if b], 200, 256, 40))]
+    assert sorted(map(tuple, queries.d1(spark, str(tmp_path)).select("document_id", "chunk_index", "norm", "dim").collect())) == want
