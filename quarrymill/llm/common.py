@@ -7,8 +7,9 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: 1 where a byte parts words: space and \x09-\x0D.
 _SPACE = np.zeros(256, bool)
@@ -18,20 +19,38 @@ _LOWER[65:91] += 32
 
 
 _own: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests, a temporary one for the application."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, or the one set by setCheckpointDir. Where neither is set a local master gets a temporary folder for
+    the application, as in tests; on a cluster that is an error, as executors would write to disks of their own.
+    """
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
-        app = spark.sparkContext.applicationId
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = context.applicationId
         where = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="spark-")
     return where.rstrip("/")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one run of an operator. It may be deleted once the run's result has been written."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_work(spark: SparkSession) -> int:
+    """Deletes the work folders of all runs in this application, whose results must have been written; gives their number."""
+    jvm = spark.sparkContext._jvm
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def save(df: DataFrame, path: str) -> DataFrame:
@@ -40,16 +59,45 @@ def save(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def located(docs: DataFrame, path: str) -> DataFrame:
-    """docs with _locator, the file and row that hold the content; rows that come from no Parquet file are written to one first."""
-    if "_locator" in docs.columns:
-        return docs
-    try:
-        return docs.withColumn("_locator", F.struct("_metadata.file_path", "_metadata.row_index"))
-    except Exception as e:  # noqa: BLE001  columns of files exist only on file scans
-        if "UNRESOLVED_COLUMN" not in str(e) and "FIELD_NOT_FOUND" not in str(e):
-            raise
-        return save(docs, path).withColumn("_locator", F.struct("_metadata.file_path", "_metadata.row_index"))
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(df: DataFrame, path: str, name: str) -> DataFrame:
+    """df written under path, with a number of its own for each row in the column name, which df must not have."""
+    return save(df.withColumn(name, F.monotonically_increasing_id()), path)
+
+
+#: A key with more than a PARTS-th of all rows, and more than LEAST_HOT, is dealt to several tasks.
+PARTS, LEAST_HOT = 1000, 200
+
+
+def hot_keys(sizes: DataFrame, keys: list[str], total: int) -> list:
+    """Of sizes (keys, n) the keys with too many of `total` rows, each with the number of tasks to deal it to: PARTS of them at most."""
+    most = max(total // PARTS, LEAST_HOT)
+    return sizes.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("_parts")).collect()
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, hot: list) -> DataFrame:
+    """left.join(right, keys) where right has one row a key at most: rows of hot keys are dealt by a hash of `by`, and right's row is copied to each part."""
+    if not hot:
+        return left.join(right, keys)
+    schema = [left.schema[k] for k in keys] + [StructField("_parts", IntegerType())]
+    few = F.broadcast(left.sparkSession.createDataFrame([tuple(r) for r in hot], StructType(schema)))
+    n = F.coalesce("_parts", F.lit(1))
+    one = left.join(few, keys, "left").withColumn("_part", F.pmod(F.xxhash64(F.lit(29), by), n).cast("int")).drop("_parts")
+    many = right.join(few, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    return one.join(many, [*keys, "_part"]).drop("_part")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """dealt_join of a written table left, whose hot keys are counted first."""
+    sizes = left.groupBy(*keys).agg(F.count("*").alias("n"))
+    return dealt_join(left, right, keys, by, hot_keys(sizes, keys, left.count()))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -126,14 +174,18 @@ def shingle_sets(column: pa.Array, n: int = 5):
             yield first + i, np.unique(flat[limits[i] : limits[i + 1]])
 
 
-def block_pairs(df: DataFrame, keys: list[str], by: str, most: int) -> DataFrame:
+def block_pairs(df: DataFrame, keys: list[str], by: str, most: int, weight: Column | None = None, most_weight: int = 1) -> DataFrame:
     """Deals the rows of each key to tasks that meet every pair of its rows exactly once, however large the group.
 
-    A group of n rows is cut into ceil(n / most) blocks by a hash of `by`, and a row goes to each pair of blocks that holds its own.
-    Adds lo, hi (the blocks) and side (0: the row is of block lo). The result is partitioned and sorted by keys, lo, hi, side.
+    A group of n rows is cut into ceil(n / most) blocks by a hash of `by`, more where its weights add up to more than most_weight a block, and
+    a row goes to each pair of blocks that holds its own. Adds lo, hi (the blocks) and side (0: the row is of block lo). The result is
+    partitioned and sorted by keys, lo, hi, side.
     """
-    sizes = df.groupBy(*keys).count().where(F.col("count") > most).withColumn("_blocks", F.ceil(F.col("count") / most)).drop("count")
-    out = df.join(sizes, keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)).cast("int"))
+    blocks = F.ceil(F.count("*") / most)
+    if weight is not None:
+        blocks = F.greatest(blocks, F.ceil(F.sum(weight) / most_weight))
+    sizes = df.groupBy(*keys).agg(blocks.cast("int").alias("_blocks")).where("_blocks > 1")
+    out = df.join(sizes, keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     out = out.withColumn("_own", F.pmod(F.xxhash64(by, F.lit(11)), F.col("_blocks")).cast("int"))
     out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     out = out.withColumns({"lo": F.least("_own", "_other"), "hi": F.greatest("_own", "_other")}).withColumn("side", (F.col("_own") > F.col("lo")).cast("int"))

@@ -11,8 +11,9 @@ spread over many tasks.
 
 Only DataFrame and SQL functions. A null text has size 0. Null sources are one source, the last. Documents of size 0 are repeated with
 their source's epochs and never in the fraction; a source without words has target 0. Rows with a null doc_id, and rows that repeat one,
-count each on their own; equal keys are ordered by doc_id and size, then by the row's place where it is given. Empty tables give no rows; other columns are kept by `mixed` only, which
-joins by the row's place (file and row number), never by doc_id.
+count each on their own; equal keys are ordered by doc_id and size, then by the row's number where it is given. Texts of any length count
+whole. Empty tables give no rows; other columns, whatever their names, are kept by `mixed` only, which joins by the row's number, never by
+doc_id.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import located, save, work_dir
+from .common import fresh, numbered, save, work_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,14 +55,14 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most_
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (5, 2, 1), most_epochs: int = 3, seed: int = 2) -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (5, 2, 1), most_epochs: int = 3, seed: int = 2, number: str | None = None) -> DataFrame:
     """docs (doc_id, text, source), quality (doc_id, weight > 0) -> doc_id, size, source, source_size, target, copies, taken for each row.
 
-    Where docs have _locator, it comes along.
+    `number` names a column that numbers the rows of docs; it comes along as row.
     """
     work = work_dir(docs.sparkSession, "mixing")
-    row = [c for c in docs.columns if c == "_locator"]
-    sized = docs.select("doc_id", *row, F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    row = ["row"] if number else []
+    sized = docs.select("doc_id", *([F.col(number).alias("row")] if number else []), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     if quality is None:
         sized = sized.withColumn("weight", F.lit(1.0))
     else:
@@ -95,11 +96,12 @@ def label_weights(labels: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
-    """docs as the mix has them: each row as often as it is taken, with all columns. Rows are told apart by locator, whatever their doc_id."""
-    rows = located(docs, f"{work_dir(docs.sparkSession, 'mixed')}/rows")
-    times = mix(rows, quality, **options).where("copies > 0").select("_locator", "copies")
-    out = rows.join(times, "_locator").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))))
-    return out.select(*docs.columns)
+    """docs as the mix has them: each row as often as it is taken, with all columns. docs is written to a work table, whose rows are numbered."""
+    row = fresh(docs, "_row")
+    rows = numbered(docs, f"{work_dir(docs.sparkSession, 'mixed')}/rows", row)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))
+    times = mix(rows, quality, number=row, **options).where("copies > 0").select(F.col("row").alias(row), each.alias(fresh(docs, "_copy")))
+    return rows.join(times, row).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

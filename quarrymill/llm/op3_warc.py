@@ -1,7 +1,7 @@
 r"""WARC archives with revisit records.
 
 Payloads are digested (SHA-256 of the whole). Headers alone (digest, page_id, length) are shuffled by digest, with map-side minima, so a
-payload that a third of all pages share costs one row for each task. Of equal payloads of at least `least` bytes the smallest page_id is
+payload that a third of all pages share costs one row for each task, and its pages meet their response in many. Of equal payloads of at least `least` bytes the smallest page_id is
 the response; the revisit records, joined to their responses, get fresh headers that name them (WARC-Refers-To,
 WARC-Refers-To-Target-URI) and no payload. Records are dealt to archives by page_id, so archives are even however the payloads repeat.
 
@@ -11,8 +11,8 @@ file system that Spark writes, and a lost executor's archives are written again.
 
 A null html is an empty payload. A null page_id gets no archive record that could be named: its row is a response without id. Rows that
 repeat a page_id with one payload and other urls are one record each, the first url the response, the others revisits of that id; rows
-equal in all are responses alike. Null
-urls are empty. Control characters and line ends in urls are percent-encoded in headers. Empty tables give no rows.
+equal in all are responses alike. Null urls are empty. Control characters and line ends in urls are percent-encoded in headers. A payload
+of any length is one record, which has to fit a row (2 GB). Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, work_dir
+from .common import dealt_join, hot_keys, save, work_dir
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -44,10 +44,12 @@ def payloads(pages: DataFrame) -> DataFrame:
 
 
 def revisits(heads: DataFrame, least: int = 100) -> DataFrame:
-    """heads (KEY, payload_bytes) -> KEY, refers_to, refers_uri of the records that revisit another."""
+    """A written table heads (KEY, payload_bytes) -> KEY, refers_to, refers_uri of the records that revisit another."""
     some = heads.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select(*KEY)
-    first = some.groupBy("payload_digest").agg(F.min(F.struct("page_id", "uri")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = some.join(first, "payload_digest").where((F.col("page_id") != F.col("first.page_id")) | (F.col("uri") != F.col("first.uri")))
+    first = some.groupBy("payload_digest").agg(F.min(F.struct("page_id", "uri")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # payloads that over a thousandth of all pages share meet their response in several tasks
+    later = dealt_join(some, first.drop("n"), ["payload_digest"], "page_id", hot_keys(some.groupBy("payload_digest").agg(F.count("*").alias("n")), ["payload_digest"], heads.count()))
+    later = later.where((F.col("page_id") != F.col("first.page_id")) | (F.col("uri") != F.col("first.uri")))
     return later.select(*KEY, F.col("first.page_id").alias("refers_to"), F.col("first.uri").alias("refers_uri")).dropDuplicates(KEY)
 
 

@@ -13,9 +13,13 @@
    documents into groups, and inside a group, again in blocks, all such pairs are confirmed on the full shingle sets from the texts.
    Tasks send on spanning forests of links, never all pairs.
 
+Copies of a set, found by a 128-bit hash of it, are confirmed on the full sets as all other links are. Shingles are told apart by 64-bit
+hashes of their words' 64-bit hashes. Keys, hubs and sets that over a thousandth of all rows share are dealt to several tasks.
+
 Everything but (1) and the set comparison is DataFrame code. Nulls: a null text is empty; a null doc_id is never linked, and its row
-is returned with component_id null and kept true. Rows that repeat a doc_id share one result. Empty tables give no rows. Other
-columns are ignored.
+is returned with component_id null and kept true. Rows that repeat a doc_id are documents of their own (the rows are numbered then, in a
+work table); component_id is the smallest doc_id reached. Texts of any length are used whole; blocks are cut smaller where texts are long.
+Pairs at the threshold are linked. Empty tables give no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_pairs, groups, mix64, save, shingle_sets, work_dir
+from .common import block_pairs, dealt_join, groups, hot_keys, mix64, numbered, save, shingle_sets, work_dir
 from .graph import connected_components
 
 SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, signature binary"
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 
 
 def signatures(docs: DataFrame, chunks: int = 10, width: int = 4, errors: int = 1, shingle: int = 5, symbols: int = 256, seed: int = 7) -> DataFrame:
@@ -82,7 +86,7 @@ def signatures(docs: DataFrame, chunks: int = 10, width: int = 4, errors: int =
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
-    """Of pairs (a, b) those with 100 * |A and B| >= percent * |A or B| on the full shingle sets of texts (doc_id, text)."""
+    """Of a written table of pairs (a, b) those with 100 * |A and B| >= percent * |A or B| on the full shingle sets of texts (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
@@ -95,14 +99,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = 75, shingle: in
                 first[new[j]] = s
             for i, s in shingle_sets(batch.column(3), shingle):
                 left = first.pop(i, left)
-                both = len(left) + len(s) - len(np.unique(np.concatenate([left, s])))
+                both = len(s) if np.array_equal(left, s) else len(left) + len(s) - len(np.unique(np.concatenate([left, s])))
                 keep[i] = both > 0 and 100 * both >= percent * (len(left) + len(s) - both)
             last = ids[-1] if ids else last
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"], pairs.count())
+    return dealt_join(pairs.join(b, "b"), a, ["a"], "b", hot).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _near(signs: np.ndarray, c: np.ndarray, side: np.ndarray, most: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -134,8 +139,12 @@ def crossing(rows: DataFrame, by: str, percent: int, symbols: int, shingle: int
     p = 1 - percent / 100
     most = symbols * p + 5 * (symbols * p * (1 - p)) ** 0.5
 
-    def exact(g: pa.Table, hits: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
-        sets = dict(shingle_sets(g.column("text").combine_chunks(), shingle))
+    def exact(g: pa.Table, hits: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+        need = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.append(js, i) for i, js in hits)]))
+        sets, at = {}, 0
+        for part in g.column("text").take(pa.array(need)).chunks:
+            sets.update((int(need[at + i]), s) for i, s in shingle_sets(part, shingle))
+            at += len(part)
         for i, js in hits:
             both = np.array([len(sets[i]) + len(sets[j]) - len(np.unique(np.concatenate([sets[i], sets[j]]))) for j in js])
             total = len(sets[i]) + np.array([len(sets[j]) for j in js]) - both
@@ -147,47 +156,65 @@ def crossing(rows: DataFrame, by: str, percent: int, symbols: int, shingle: int
             ids, c, side = (g.column(x).to_numpy() for x in ("doc_id", "c", "side"))
             signs = np.frombuffer(b"".join(g.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
             hits = _near(signs, c, side, most)
-            i, j = _forest(len(ids), exact(g, hits) if shingle else hits)
+            i, j = _forest(len(ids), exact(g, list(hits)) if shingle else hits)
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
 
-    return block_pairs(rows, [by], "doc_id", BLOCK).mapInArrow(run, "a long, b long")
+    weight = F.octet_length("text") if shingle else None
+    return block_pairs(rows, [by], "doc_id", BLOCK, weight, BLOCK_BYTES).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, chunks: int = 10, width: int = 4, errors: int = 1, symbols: int = 256) -> DataFrame:
-    """docs (doc_id, text) -> one row per row of docs: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    work = work_dir(spark, "minhash")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    every = save(signatures(docs, chunks, width, errors, shingle, symbols), f"{work}/signatures")
-    filled = every.where("n_shingles > 0 and doc_id is not null")
+def linked(texts: DataFrame, work: str, percent: int, shingle: int, chunks: int, width: int, errors: int, symbols: int) -> DataFrame:
+    """texts (doc_id, text), each doc_id once and none null -> doc_id, n_shingles, component (null for a document without links)."""
+    every = save(signatures(texts, chunks, width, errors, shingle, symbols), f"{work}/signatures")
+    filled = every.where("n_shingles > 0")
 
     # documents with the same set: one representative; hot groups shrink before the shuffle
     same = ["h1", "h2", "n_shingles"]
     reps = save(filled.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), f"{work}/sets")
-    copies = filled.join(reps.where("n > 1"), same).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    total = every.count()
+    copies = dealt_join(filled.select(*same, "doc_id"), reps.where("n > 1").drop("n"), same, "doc_id", hot_keys(reps, same, total))
+    copies = copies.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     # the index: keys that several representatives have, with the least of them as hub
     index = filled.join(reps.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
-    hubs = index.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    members = save(index.join(hubs, "key"), f"{work}/members")
+    hubs = save(index.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1"), f"{work}/hubs")
+    hot = hot_keys(hubs, ["key"], total)
+    members = save(dealt_join(index, hubs.drop("n"), ["key"], "doc_id", hot), f"{work}/members")
     star = members.where("doc_id <> hub").groupBy("hub", "doc_id").count()
     best = star.groupBy("doc_id").agg(F.max(F.struct("count", F.negative("hub"))).alias("m")).select(F.negative(F.col("m.col2")).alias("a"), F.col("doc_id").alias("b"))
-    links = save(confirmed(save(best, f"{work}/best"), texts, percent, shingle), f"{work}/links")
+    links = save(confirmed(save(best.union(copies), f"{work}/pairs"), texts, percent, shingle), f"{work}/links")
     part = save(connected_components(links, f"{work}/parts"), f"{work}/part")
 
     # what is left: pairs under one key that lie in different components
     placed = members.join(part, members.doc_id == part.id, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("from_c"), F.max("c").alias("to_c")).where("from_c <> to_c").select("key")
-    signs = filled.select("doc_id", "signature").dropDuplicates(["doc_id"])
-    open_ = save(placed.join(mixed, "key", "left_semi").join(signs, "doc_id"), f"{work}/open")
+    signs = filled.select("doc_id", "signature")
+    open_ = save(dealt_join(placed, mixed, ["key"], "doc_id", hot).join(signs, "doc_id"), f"{work}/open")
     close = connected_components(crossing(open_, "key", percent, symbols), f"{work}/close")
     close = close.select(F.col("id").alias("doc_id"), F.col("component").alias("g")).join(open_.select("doc_id", "c", "signature").dropDuplicates(["doc_id"]), "doc_id")
     more = save(crossing(close.join(texts, "doc_id"), "g", percent, symbols, shingle), f"{work}/more")
 
-    ends = connected_components(copies.union(links).union(more), f"{work}/ends")
-    return every.join(ends, every.doc_id == ends.id, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("component", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept")
-    )
+    ends = connected_components(links.union(more), f"{work}/ends")
+    return every.join(ends, every.doc_id == ends.id, "left").select("doc_id", "n_shingles", "component")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, chunks: int = 10, width: int = 4, errors: int = 1, symbols: int = 256) -> DataFrame:
+    """docs (doc_id, text) -> one row per row of docs: doc_id, n_shingles, component_id, kept."""
+    work = work_dir(docs.sparkSession, "minhash")
+    options = (percent, shingle, chunks, width, errors, symbols)
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = every.where("doc_id is not null")
+    alone = signatures(every.where("doc_id is null"), chunks, width, errors, shingle, symbols).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = linked(named, work, *options).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    else:
+        rows = numbered(named.withColumnRenamed("doc_id", "id"), f"{work}/rows", "doc_id")
+        parts = save(linked(rows, work, *options).join(rows.select("doc_id", "id"), "doc_id"), f"{work}/numbered")
+        tied = parts.where("component is not null")
+        least = tied.groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+        tied = dealt_join(tied, least.drop("n"), ["component"], "doc_id", hot_keys(least, ["component"], parts.count())).select("id", "n_shingles", "least")
+        out = tied.union(parts.where("component is null").select("id", "n_shingles", "id")).toDF("doc_id", "n_shingles", "component_id")
+    return out.union(alone).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
