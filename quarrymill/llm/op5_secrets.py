@@ -2,16 +2,23 @@
 
 A candidate is a run of 16 or more characters of keys, tokens, paths and numbers inside a word, or the value of an assignment whatever its
 length and characters, up to white space: after = or := of any name, after : or => of a credential's name, in a URL after ?name= or &name=.
-Its features: length; character
+
+Labels and features are two views of a finding that share nothing. Where no reviewed findings are at hand, labels come from the name that
+a value is assigned to (`assigned_name`). The forest never sees that name or its sign. Its features are the candidate's length; character
 transitions (runs of one class for each character), shares of digits, upper case and vowels, share of distinct characters, hexadecimal only;
-dictionary coverage (the share taken by frequent words of the whole corpus); path (kind of source, slashes and dots); neighbouring words
-(an assignment mark or quote before it, hashes of the two words before and the one after, whether they are dictionary words). The forest
-learns from labelled findings; `sample` bounds how many of each label it is fitted on, and its trees are all that is broadcast. Counts behind
+dictionary coverage (the share taken by frequent words of the whole corpus); path (the source, slashes and dots); neighbouring words (the two
+words before name and value and the one after, whether they are dictionary words, quotes). So it can turn down what an ill-chosen name made
+a finding (`password = hunter_season2`), and find what no name points to. Source and words are no numbers: each is a category, hashed to
+`RATES` values, and stands for the share of secrets among the labelled findings that have it, drawn to the mean where they are few. Shares
+are learned from one half of the labelled documents and the forest from the other, so that it sees shares as they are for new documents.
+
+`sample` bounds how many findings of each label the forest is fitted on; its trees and the shares are all that is broadcast. Counts behind
 the dictionary cover all documents; `dictionary` bounds its size.
 
-Only DataFrame and SQL functions with Spark's own random forest. A null text has no candidates, whatever its length a text is scanned
-whole; a null source is a path of its own kind. Where findings of one label only are known the forest can't be fitted, and each finding gets
-the share of secrets among the known ones (0.5 where none is known). Repeated rows give repeated findings. Other columns are ignored.
+Only DataFrame and SQL functions with Spark's own random forest. A null text has no candidates; a text is scanned whole, whatever its
+length. A null source is a path of its own kind. Where findings of one label only are known the forest can't be fitted, and each finding gets
+the share of secrets among the known ones (0.5 where none is known). A probability of 0.5 is a secret. Repeated rows give repeated
+findings, rows with a null doc_id too. Empty tables give no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +42,11 @@ OWN = r"""^[^\w]*(\w[\w.\-]*)["'\]]*(:=|=>|=|:(?!//))(.*)$"""
 #: A word that ends a name, with the sign or without.
 SIGN = r"^(?::=|=>|=|:)"
 PARAMETER = r"""[?&][\w.\-]+=([^&#"'<>]+)"""
-FEATURES = ["length", "transitions", "digits", "upper", "vowels", "distinct", "hexadecimal", "coverage", "path_kind", "slashes", "dots", "assigned", "quoted", "before_1", "before_2", "after_1", "known_before", "known_after"]
+NUMBERS = ["length", "transitions", "digits", "upper", "vowels", "distinct", "hexadecimal", "coverage", "slashes", "dots", "quoted", "known_before", "known_after"]
+CATEGORIES = ["path", "before_1", "before_2", "after_1"]
+FEATURES = [*NUMBERS, *[f"{c}_rate" for c in CATEGORIES]]
+#: Values that a category is hashed to, and how many findings its mean counts for.
+RATES, DRAW = 256, 10
 
 
 def frequent_words(docs: DataFrame, most: int = 500) -> list[str]:
@@ -45,18 +56,31 @@ def frequent_words(docs: DataFrame, most: int = 500) -> list[str]:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, source, place (number of the word), candidate and the words around it."""
+    """docs (doc_id, text, source) -> doc_id, source, place (number of the word), candidate, the words around it (w1, w2, w3), and its view for
+    the forest: the words before the assignment (b1, b2).
+    """
     may = lambda w: w.rlike(RUN) | w.rlike("[=:]")
-    some = docs.where(may(F.col("text"))).select("doc_id", "source", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"))
-    placed = some.select("doc_id", "source", "words", F.posexplode("words").alias("place", "word"))
-    near = lambda k: F.coalesce(F.get("words", F.col("place") + k), F.lit(""))
-    placed = placed.where(may(F.col("word")) | near(-1).rlike("[=:>]$"))
-    placed = placed.select("doc_id", "source", F.col("place").cast("long").alias("place"), "word", near(-1).alias("w1"), near(-2).alias("w2"), near(1).alias("w3"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    near = lambda all_, i, k: F.coalesce(F.get(all_, i + k), F.lit(""))
+    # only words that may hold a candidate leave the array, each with its neighbours
+    some = docs.where(may(F.col("text"))).select("doc_id", "source", words.alias("words"))
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: may(F.get("words", i)) | near(F.col("words"), i, -1).rlike("[=:>]$"))
+    one = lambda i: F.struct(i.cast("long").alias("place"), F.get("words", i).alias("word"), *[near(F.col("words"), i, k).alias(n) for n, k in (("w1", -1), ("w2", -2), ("w3", 1), ("w4", -3), ("w5", -4))])
+    placed = some.select("doc_id", "source", F.explode(F.transform(at, one)).alias("p")).select("doc_id", "source", "p.*")
     runs = F.regexp_extract_all("word", F.lit(RUN), F.lit(0))
     values = F.filter(assigned_values(), lambda v: v != "")
-    apart = lambda r: ~F.exists(F.col("_values"), lambda v: F.contains(v, r) | F.contains(r, v))
-    placed = placed.withColumn("_values", values).withColumn("candidate", F.explode(F.concat("_values", F.filter(runs, apart))))
-    return placed.drop("_values")
+    apart = lambda r: ~F.exists(F.col("values_"), lambda v: F.contains(v, r) | F.contains(r, v))
+    placed = placed.withColumn("values_", values).withColumn("candidate", F.explode(F.concat("values_", F.filter(runs, apart))))
+    taken = words_of_name()
+    before = lambda k: F.element_at(F.array("w1", "w2", "w4", "w5"), (taken + k).cast("int"))
+    return placed.withColumns({"b1": before(1), "b2": before(2)}).drop("values_", "w4", "w5")
+
+
+def words_of_name() -> Column:
+    """How many words before the candidate's own belong to the name that it is assigned to, or to its sign: 0, 1 or 2."""
+    own = F.col("word").rlike(OWN) & (F.regexp_extract("word", OWN, 3) != "")
+    alone, ends = F.col("w1").rlike("^(:=|=>|=|:)$"), F.col("w1").rlike("(:=|=>|=|:)$")
+    return F.when(own, 0).when(F.col("word").rlike(SIGN), 1).when(alone, 2).when(ends, 1).otherwise(0)
 
 
 def bare_value(v: Column) -> Column:
@@ -97,13 +121,17 @@ def assigned_values() -> Column:
     return F.when(url, F.regexp_extract_all("word", F.lit(PARAMETER), F.lit(1))).otherwise(F.array(F.coalesce(value, F.lit(""))))
 
 
+def bare(w: Column) -> Column:
+    return F.regexp_replace(F.lower(w), r"[^\p{L}_]", "")
+
+
 def featured(found: DataFrame, dictionary: list[str]) -> DataFrame:
+    """found with the numbers, and the categories as hashes; nothing here reads the name or sign of an assignment."""
     c, low = F.col("candidate"), F.lower("candidate")
     words = F.array(*map(F.lit, dictionary)) if dictionary else F.array().cast("array<string>")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / F.char_length(c)
     rest = F.aggregate(F.filter(words, lambda w: F.contains(low, w)), low, lambda left, w: F.replace(left, w, F.lit("")))
-    bare = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}_]", "")
-    bucket = lambda w: F.pmod(F.xxhash64(bare(F.col(w))), F.lit(64)).cast("double")
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(RATES)).cast("int")
     known = lambda w: F.array_contains(words, bare(F.col(w))).cast("double")
     columns: dict[str, Column] = {
         "length": F.char_length(c).cast("double"),
@@ -114,29 +142,45 @@ def featured(found: DataFrame, dictionary: list[str]) -> DataFrame:
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.char_length(c),
         "hexadecimal": c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "coverage": 1 - F.char_length(rest) / F.char_length(c),
-        "path_kind": F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(16)).cast("double"),
         "slashes": share("/"),
         "dots": share(r"\."),
-        "assigned": F.concat_ws(" ", "w1", "word").rlike("[=:]").cast("double"),
         "quoted": F.col("word").rlike("[\"']").cast("double"),
-        "before_1": bucket("w1"),
-        "before_2": bucket("w2"),
-        "after_1": bucket("w3"),
-        "known_before": known("w1"),
+        "known_before": known("b1"),
         "known_after": known("w3"),
+        "path": bucket(F.coalesce("source", F.lit(""))),
+        "before_1": bucket(bare(F.col("b1"))),
+        "before_2": bucket(bare(F.col("b2"))),
+        "after_1": bucket(bare(F.col("w3"))),
     }
     return found.withColumns(columns)
 
 
+def rated(found: DataFrame, labelled: DataFrame) -> DataFrame:
+    """found with each category's share of secrets among the findings of labelled, drawn to the mean: RATES numbers a category reach the driver."""
+    rows = labelled.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in CATEGORIES])).alias("x"), "label").groupBy("x.c", "x.v")
+    got = {(r["c"], r["v"]): (r["s"], r["n"]) for r in rows.agg(F.sum("label").alias("s"), F.count("*").alias("n")).collect()}
+    mean = lambda c: sum(s for (k, _), (s, _) in got.items() if k == c) / max(1, sum(n for (k, _), (_, n) in got.items() if k == c))
+    rates = {}
+    for c in CATEGORIES:
+        m = mean(c)
+        rates[c] = [(s + DRAW * m) / (n + DRAW) for s, n in (got.get((c, v), (0.0, 0)) for v in range(RATES))]
+    return found.withColumns({f"{c}_rate": F.get(F.lit(rates[c]), F.col(c)) for c in CATEGORIES})
+
+
 def judged(found: DataFrame, labelled: DataFrame, sample: int = 10_000, trees: int = 30, depth: int = 6, seed: int = 5) -> DataFrame:
-    """found with probability; labelled has the features and label 0.0 or 1.0."""
-    n = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    if len(n) < 2:
-        return found.withColumn("probability", F.lit(n.get(1.0, 0) / sum(n.values()) if n else 0.5))
-    parts = [labelled.where(F.col("label") == y).orderBy(F.xxhash64("candidate", "doc_id", "place"), "candidate", "doc_id", "place").limit(sample) for y in (0.0, 1.0)]
+    """found with probability; labelled has the same columns and label 0.0 or 1.0."""
+    half = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2))
+    n = {(r["label"], r["half"]): r["count"] for r in labelled.groupBy("label", half.alias("half")).count().collect()}
+    known = {y: n.get((y, 0), 0) + n.get((y, 1), 0) for y in (0.0, 1.0)}
+    if not all(known.values()):
+        return found.withColumn("probability", F.lit(known[1.0] / sum(known.values()) if sum(known.values()) else 0.5))
+    apart = all(n.get((y, h)) for y in (0.0, 1.0) for h in (0, 1))  # both labels in both halves; else all are used twice
+    fitted = rated(labelled.where(half == 1) if apart else labelled, labelled.where(half == 0) if apart else labelled)
+    order = [F.xxhash64("candidate", "doc_id", "place"), "candidate", "doc_id", "place"]
+    parts = [fitted.where(F.col("label") == y).orderBy(*order).limit(sample) for y in (0.0, 1.0)]
     rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(parts[0].union(parts[1])).select("label", "x").coalesce(1)  # at most 2 * sample rows
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
-    out = forest.transform(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(found))
+    out = forest.transform(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rated(found, labelled.where(half == 0) if apart else labelled)))
     return out.withColumn("probability", vector_to_array("probability")[1]).drop("x", "rawPrediction", "prediction")
 
 
@@ -153,23 +197,19 @@ def scan(docs: DataFrame, label: Column | None = None, known: Column | None = No
 
 
 def assigned_name() -> Column:
-    """Labels where no reviewed findings are at hand: 1.0 for a value of letters and digits, 8 characters at least, assigned to a credential's
-    name; 0.0 for what is assigned to another name, or to none and is a number, host or file; null (unknown) for the doubtful rest.
+    """Labels where no reviewed findings are at hand, by names and signs alone: 1.0 for what is assigned to a credential's name; 0.0 for what is
+    assigned to another name, or to none and has no such name beside it; null (unknown) for the doubtful rest.
     """
     name, sign = name_and_sign()
-    c = F.col("candidate")
     given = (sign != "") & (name != "")
-    parameter = F.col("word").contains("://") & F.contains(F.col("word"), F.concat(F.lit("="), c))
-    mixed = c.rlike("[0-9]") & c.rlike("[A-Za-z]")
-    clear = mixed & (F.char_length(c) >= 8)
-    near = is_credential(F.concat_ws(" ", "w2", "w1", "word"))
-    plain = ~mixed | c.rlike(r"\.[A-Za-z]{2,}(?:/|$)")
+    parameter = F.col("word").contains("://") & F.contains(F.col("word"), F.concat(F.lit("="), F.col("candidate")))
+    near = is_credential(F.concat_ws(" ", "w2", "w1", "word", "w3"))
     doubtful_key = F.array_contains(name_parts(name), "key")
     return (
         F.when(parameter, F.lit(None).cast("double"))
-        .when(given & is_credential(name), F.when(clear, 1.0))
+        .when(given & is_credential(name), 1.0)
         .when(given & ~doubtful_key & ~near, 0.0)
-        .when(~given & plain & ~near, 0.0)
+        .when(~given & ~near, 0.0)
     )
 
 
