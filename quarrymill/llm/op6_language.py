@@ -2,12 +2,13 @@
 
 Training counts the hashed 1- to `orders`-grams of the lower-cased texts of every labelled row. A task counts into one vector per
 language and sends on only its sums, which are added up by language and bucket; the model, a log-probability matrix of languages x
-2^bits, is the one thing that reaches the driver, and is broadcast. Its size is fixed by the parameters and the number of languages,
-which is checked against `most_languages`. A batch of texts is scored at once: n-gram buckets in one array, one gather from the
-matrix, one sum for each document.
+2^bits, is the one thing that reaches the driver, language by language, and is broadcast. Its size is fixed by the parameters and the number
+of languages, which is checked against `most_languages` (52 MB at the default limits). All languages are equally likely beforehand. A batch
+of texts is scored at once: n-gram buckets in one array, gathers of 16 MB at most from the matrix, one sum for each document.
 
-A text that is null or has no letter gets `und` and score 0. Without any labelled row every text gets `und`. Texts of any length are
-used whole, in slices of n-grams. Rows that repeat are scored alike; null and repeated doc_ids are passed through.
+A text that is null or has no letter gets `und` and score 0. Without any labelled row (an empty table, say) every text gets `und`; of equal
+posteriors the first language in order wins. Texts of any length are used whole, in slices of n-grams. Rows that repeat are scored alike;
+null and repeated doc_ids are passed through. Other columns are kept, but for lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import fresh
 
-SLICE = 1 << 20
+#: Characters of a slice, and numbers that a gather from the model gives.
+SLICE, GATHER = 1 << 20, 1 << 22
 
 
 def held_out(doc_id):
@@ -52,7 +54,7 @@ def gram_buckets(texts: list[str], orders: int, bits: int) -> Iterator[tuple[int
         i = j
 
 
-def train(labelled: DataFrame, orders: int = 3, bits: int = 16, most_languages: int = 500, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, orders: int = 3, bits: int = 16, most_languages: int = 200, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """labelled (text, lang) -> the languages in order, and the matrix of log probabilities (2^bits, languages)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,14 +72,16 @@ def train(labelled: DataFrame, orders: int = 3, bits: int = 16, most_languages:
 
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
     sums = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    docs = rows.groupBy("lang").count().orderBy("lang").limit(most_languages + 1).toPandas()
-    if len(docs) > most_languages:
+    langs = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(most_languages + 1).collect()]
+    if len(langs) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
-    langs = docs["lang"].tolist()
-    counts = np.full((1 << bits, max(len(langs), 1)), smoothing)
-    found = sums.toPandas()
-    np.add.at(counts, (found["bucket"].to_numpy(int), np.searchsorted(np.array(langs), found["lang"].to_numpy(object)) if len(found) else np.zeros(0, int)), found["n"].to_numpy(float))
-    return langs, (np.log(counts) - np.log(counts.sum(axis=0))).astype(np.float32)
+    matrix = np.full((1 << bits, max(len(langs), 1)), smoothing, np.float32)
+    by_lang = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("s"))  # 2^bits entries at most
+    for lang, buckets, n in by_lang.select("lang", "s.bucket", "s.n").toLocalIterator():
+        column = np.full(1 << bits, smoothing)
+        column[buckets] += n
+        matrix[:, langs.index(lang)] = np.log(column) - np.log(column.sum())
+    return langs, matrix
 
 
 def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, orders: int = 3, text: str = "text") -> DataFrame:
@@ -86,6 +90,7 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, orders: int
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     model = docs.sparkSession.sparkContext.broadcast(matrix)
     bits = int(np.log2(len(matrix)))
+    step = max(1, GATHER // len(langs))
 
     @F.pandas_udf("lang string, score double")
     def predict(column: pd.Series) -> pd.DataFrame:
@@ -93,15 +98,18 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, orders: int
         total = np.zeros((len(texts), len(langs)))
         for _, buckets, rows in gram_buckets(texts, orders, bits):
             if len(rows):
-                at = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-                total[rows[at]] += np.add.reduceat(model.value[buckets], at, axis=0, dtype=np.float64)
+                for a in range(0, len(rows), step):
+                    some = rows[a : a + step]
+                    at = np.flatnonzero(np.append(True, some[1:] != some[:-1]))
+                    total[some[at]] += np.add.reduceat(model.value[buckets[a : a + step]], at, axis=0, dtype=np.float64)
         best = total.argmax(axis=1)
         score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
         return pd.DataFrame({"lang": np.array(langs, object)[best], "score": score})
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    out = docs.withColumn("_p", predict(F.col(text).cast("string")))
-    return out.withColumns({"lang_pred": F.when(letters, F.col("_p.lang")).otherwise("und"), "score": F.when(letters, F.col("_p.score")).otherwise(0.0)}).drop("_p")
+    own = fresh(docs, "_predicted")
+    out = docs.withColumn(own, predict(F.col(text).cast("string")))
+    return out.withColumns({"lang_pred": F.when(letters, F.col(f"{own}.lang")).otherwise("und"), "score": F.when(letters, F.col(f"{own}.score")).otherwise(0.0)}).drop(own)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
