@@ -209,14 +209,14 @@ def test_op5_findings(spark):
 
 def test_op5_glued_compound_and_short(spark):
     d = hashlib.sha1(b"x").hexdigest()
-    real = ["the api_key=" + d, "see token:" + d, "aws_secret_access_key = " + d, 'db_password: "p4ss!w0rd#x"', "githubToken := Ab3$9zQ1", "export GITHUB_TOKEN=Ab3xY9zQ17"]
-    other = ["card 9807915762811111 here", "see mail1.example.com/path/to/file", "commit_id=" + d, "order = 12345678"]
-    doubtful = ["primary_key = " + d, "password = hunter", "the token " + d, d]
+    real = ["the api_key=" + d, "see token:" + d, "aws_secret_access_key = " + d, 'db_password: "p4ss!w0rd#x"', "githubToken := Ab3$9zQ1", "export GITHUB_TOKEN=Ab3xY9zQ17", "password = hunter"]
+    other = ["card 9807915762811111 here", "see mail1.example.com/path/to/file", "commit_id=" + d, "order = 12345678", d]
+    doubtful = ["primary_key = " + d, "the token " + d, "http://a.example/x?token=" + d]
     texts = real + other + doubtful
     found = op5_secrets.candidates(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]))
     got = {r.doc_id: (r.candidate, r.label) for r in found.withColumn("label", op5_secrets.assigned_name()).collect()}
     assert [got[i][1] for i in range(len(texts))] == [1.0] * len(real) + [0.0] * len(other) + [None] * len(doubtful)
-    assert [got[i][0] for i in range(len(real))] == [d, d, d, "p4ss!w0rd#x", "Ab3$9zQ1", "Ab3xY9zQ17"]
+    assert [got[i][0] for i in range(len(real))] == [d, d, d, "p4ss!w0rd#x", "Ab3$9zQ1", "Ab3xY9zQ17", "hunter"]
 
 
 def test_op6_accuracy_and_edges(spark):
@@ -259,7 +259,7 @@ def test_op8_lockstep_equals_agenda(pieces):
         symbols = pieces.char[np.frombuffer((" " + "".join(rng.choice(list("theinagorst日"), 12))).encode("utf-32-le"), np.uint32)]
         key = np.array([op8_pieces._mix(k)], np.uint64)
         limit = int(0.3 * 2**64)
-        s, _ = op8_pieces.lockstep(pieces, symbols, np.zeros(len(symbols), np.int64), np.arange(len(symbols)), key, limit)
+        s, _ = op8_pieces.lockstep(pieces, symbols, np.array([len(symbols)]), key, limit)
         assert s.tolist() == op8_pieces.agenda(pieces, symbols.tolist(), int(key[0]), limit)
 
 
