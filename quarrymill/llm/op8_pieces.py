@@ -8,10 +8,12 @@ a literal piece mark, become their UTF-8 byte pieces, so that decoding gives bac
 Pieces never hold a space after another character, so a text falls into units (a run of spaces with what follows) that are merged on
 their own. Every occurrence decides each of its candidates. Equal units of a batch are merged without dropout once, with the candidates
 that this offers; an occurrence that skips none of them has those ids, every other is merged on its own. Short units run their agendas in
-lockstep over numpy arrays, long ones on a heap; both skip the same candidates. Seed, rate and text fix the ids: reruns agree.
+lockstep over numpy arrays, long ones on a heap; both skip the same candidates. Seed, rate, text and row key fix the ids: reruns agree.
+Without a row key equal texts have equal ids; with one (an epoch, a copy's number) each row has its own.
 
-Null texts are empty; empty texts have no ids. Texts of any length are encoded whole. The vocabulary file is read on the driver and its
-tables are broadcast (its size is fixed by the file).
+Null texts are empty; empty texts have no ids. Texts of any length are encoded whole, repeated rows each on their own. The vocabulary file
+is read on the driver and its tables are broadcast (its size is fixed by the file). Empty tables give no rows. Other columns are kept, but
+for ids, n_ids and lossless, which are replaced.
 """
 
 from __future__ import annotations
@@ -132,50 +134,61 @@ def _candidates(p: Pieces, left, right, at, key, limit: int):
     return value, to
 
 
-def lockstep(p: Pieces, symbols: np.ndarray, unit: np.ndarray, place: np.ndarray, keys: np.ndarray, limit: int, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Merges many short units at once. symbols, with unit numbers and places in the unit -> (symbols, unit numbers), in order.
+def lockstep(p: Pieces, symbols: np.ndarray, size: np.ndarray, keys: np.ndarray, limit: int, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Merges many short units at once: symbols of units of `size` -> the symbols that are left, and how many each unit has.
 
-    `offered` takes the unit numbers and terms of all candidates.
+    A step makes the next merge of every unit that has one. `offered` takes the unit numbers and terms of all candidates.
     """
-    s, u, at = symbols.astype(np.int32), unit.astype(np.int32), place.astype(np.int32)
-    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    value, to = np.full(len(s), NEVER), np.zeros(len(s), np.int32)
-    same = np.flatnonzero(u[1:] == u[:-1]) if len(u) else np.zeros(0, np.int64)
-    value[same], to[same] = _candidates(p, s[same], s[same + 1], at[same], keys[u[same]], limit)
-    if offered is not None:
-        some = same[to[same] >= 0]
-        offered.append((u[some], _terms(s[some], s[some + 1], at[some])))
-    while len(s):
-        first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
-        size = np.diff(np.append(first, len(u)))
-        least = np.minimum.reduceat(value, first)
-        over = np.repeat(least == NEVER, size)
-        if over.any():
-            done.append((u[over], at[over], s[over]))
-        stay = ~over
-        merged = stay & (value == np.repeat(least, size))
-        s = np.where(merged, to, s)
-        gone = np.zeros(len(s), bool)
-        gone[1:] = merged[:-1]
-        stay &= ~gone
-        changed = merged.copy()
-        back = np.flatnonzero(merged) - 1  # the left neighbour stands: no two merges of a unit in one step
-        changed[back[back >= 0]] = True
-        s, u, at, value, to, changed = s[stay], u[stay], at[stay], value[stay], to[stay], np.flatnonzero(changed[stay])
-        if not len(s):
-            break
-        value[changed] = NEVER
-        pairs = changed[changed + 1 < len(s)]
-        pairs = pairs[u[pairs] == u[pairs + 1]]
-        value[pairs], to[pairs] = _candidates(p, s[pairs], s[pairs + 1], at[pairs], keys[u[pairs]], limit)
+    n = len(symbols)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(len(size), np.int64)
+    first = np.cumsum(size) - size
+    s = symbols.astype(np.int32)
+    at = (np.arange(n) - np.repeat(first, size)).astype(np.int32)
+    after, before = at + np.int32(1), at - np.int32(1)
+    alive = np.ones(n, bool)
+    value, to = np.full(n, NEVER), np.zeros(n, np.int32)
+    owner = np.repeat(np.arange(len(size)), size)
+
+    def offer(place: np.ndarray, right: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The candidates of symbols `place` with their neighbours `right`: packed rank and position."""
+        found, to[place] = _candidates(p, s[place], s[right], at[place], keys[u], limit)
         if offered is not None:
-            some = pairs[to[pairs] >= 0]
-            offered.append((u[some], _terms(s[some], s[some + 1], at[some])))
-    if not done:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    u, at, s = (np.concatenate(x) for x in zip(*done, strict=True))
-    order = np.argsort((u.astype(np.int64) << 6) | at, kind="stable")
-    return s[order].astype(np.int64), u[order].astype(np.int64)
+            some = np.flatnonzero(to[place] >= 0)
+            offered.append((u[some], _terms(s[place[some]], s[right[some]], at[place[some]])))
+        return found
+
+    same = np.flatnonzero(owner[1:] == owner[:-1])
+    value[same] = offer(same, same + 1, owner[same])
+    unit, begin = np.arange(len(size)), first  # units in value, and where they begin there
+    while len(unit):
+        least = np.minimum.reduceat(value, begin)
+        go = least != NEVER
+        if 3 * np.count_nonzero(go) < 2 * len(go):  # leave out those that are done
+            value, unit, least = value[np.repeat(go, size[unit])], unit[go], least[go]
+            begin = np.cumsum(size[unit]) - size[unit]
+            u, b = unit, begin
+        else:
+            u, b, least = unit[go], begin[go], least[go]
+        if not len(u):
+            break
+        place = (least & np.int32(63)).astype(np.int64)
+        here = first[u] + place
+        next_ = after[here]
+        gone = first[u] + next_
+        s[here] = to[here]
+        alive[gone] = False
+        value[b + next_] = NEVER
+        rest = after[gone]
+        after[here] = rest
+        right = np.flatnonzero(rest < size[u])
+        before[(first[u] + rest)[right]] = place[right]
+        back = before[here]
+        left = np.flatnonzero(back >= 0)
+        found = offer(np.concatenate([here[right], (first[u] + back)[left]]), np.concatenate([(first[u] + rest)[right], here[left]]), np.concatenate([u[right], u[left]]))
+        value[b + place] = NEVER
+        value[np.concatenate([(b + place)[right], (b + back)[left]])] = found
+    return s[alive].astype(np.int64), np.add.reduceat(alive, first, dtype=np.int64)
 
 
 def agenda(p: Pieces, symbols: list[int], key: int, limit: int, offered: list[int] | None = None) -> list[int]:
@@ -226,11 +239,14 @@ def to_bytes(p: Pieces, s: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, n
 
 def merge_units(p: Pieces, symbols: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray, limit: int, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each unit symbols[start:start+size], one after another, and how many each has; `offered` as in lockstep."""
-    short = np.flatnonzero((size <= LONG) & (symbols[start] < p.base))
-    unit = np.repeat(short, size[short])
-    place = np.arange(len(unit)) - np.repeat(np.cumsum(size[short]) - size[short], size[short])
-    s, u = lockstep(p, symbols[start[unit] + place], unit, place, keys, limit, offered)
-    rest = np.flatnonzero((size > LONG) | (symbols[start] >= p.base))
+    long = (size > LONG) | (symbols[start] >= p.base)
+    short, rest = np.flatnonzero(~long), np.flatnonzero(long)
+    place = np.arange(size[short].sum()) - np.repeat(np.cumsum(size[short]) - size[short], size[short])
+    own: list = []
+    s, count = lockstep(p, symbols[np.repeat(start[short], size[short]) + place], size[short], keys[short], limit, None if offered is None else own)
+    u = np.repeat(short, count)
+    if offered is not None:
+        offered += [(short[i], terms) for i, terms in own]
     if len(rest):
         terms: list[list[int]] = [[] for _ in rest]
         more = [agenda(p, symbols[start[i] : start[i] + size[i]].tolist(), int(keys[i]), limit, None if offered is None else t) for i, t in zip(rest, terms, strict=True)]
@@ -281,7 +297,7 @@ class Merged:
         self.place.update(zip(keys.tolist(), range(n, n + len(keys)), strict=True))
 
 
-def encode_texts(p: Pieces, texts: list[str], seed: int, rate: float, kept: int = KEPT, known: Merged | None = None) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(p: Pieces, texts: list[str], seed: int, rate: float, kept: int = KEPT, known: Merged | None = None, row_keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, and the number of each text's ids. `known` grows to `kept` units."""
     limit = min(int(rate * 2**64), _MASK)
     points = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -313,6 +329,8 @@ def encode_texts(p: Pieces, texts: list[str], seed: int, rate: float, kept: int
         salt = np.zeros(len(texts), np.uint64)
         filled = np.flatnonzero(lengths)
         salt[filled] = np.add.reduceat(keys * (nth * np.uint64(2) + np.uint64(1)), text_first[filled])
+        if row_keys is not None:
+            salt += mix64(row_keys)
         own = mix64(keys + mix64(salt[owner] + nth * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)))
         offered, n = terms.take(which)
         hit = mix64(np.repeat(own, n) + offered) < np.uint64(limit)
@@ -338,45 +356,66 @@ def slices(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
         yield part
 
 
+def utf8(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The strings between `ends` in data; bytes that are no UTF-8, which no encoded text gives, are replaced."""
+    try:
+        data.tobytes().decode()
+        if ends[-1] < 1 << 31:
+            return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+    except UnicodeDecodeError:
+        pass
+    return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.large_string())
+
+
 def coder(spark: SparkSession, path: str = MODEL, seed: int = 8, rate: float = 0.1):
-    """Column functions encode(text) -> array<int> and decode(ids) -> string for one vocabulary."""
+    """Column functions encode(text, row key) -> array<int>, where a null row key is none, and decode(ids) -> string for one vocabulary."""
     shared = spark.sparkContext.broadcast(vars(Pieces(path)))
 
     @F.arrow_udf("array<int>")
-    def encode(column: pa.Array) -> pa.Array:
+    def encode_rows(column: pa.Array, keys: pa.Array) -> pa.Array:
         p, texts = Pieces.of(shared.value), column.fill_null("").to_pylist()
-        ids, count, known = [np.zeros(0, np.int32)], [np.zeros(1, np.int32)], Merged()
+        salts = keys.fill_null(0).to_numpy().view(np.uint64)
+        ids, count, known, at = [np.zeros(0, np.int32)], [np.zeros(1, np.int32)], Merged(), 0
         for part in slices(texts):
-            some, n = encode_texts(p, part, seed, rate, known=known)
+            some, n = encode_texts(p, part, seed, rate, known=known, row_keys=salts[at : at + len(part)])
+            at += len(part)
             ids.append(some.astype(np.int32))
             count.append(n)
         return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(count), dtype=np.int32)), pa.array(np.concatenate(ids)))
 
+    def encode(text: Column, key: Column | None = None) -> Column:
+        return encode_rows(text, F.lit(0).cast("long") if key is None else key.cast("long"))
+
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
         p = Pieces.of(shared.value)
         limits, ids = column.offsets.to_numpy(), column.values.to_numpy()
-        out: list[bytes] = []
+        flat, size = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)]
         i = 0
         while i < len(column):
             j = max(i + 1, int(np.searchsorted(limits, limits[i] + (1 << 17), "right")) - 1)
             some = ids[limits[i] : limits[j]]
             n = p.sizes[some]
             total = np.append(0, np.cumsum(n))
-            flat = p.bytes[np.repeat(p.starts[some] - total[:-1], n) + np.arange(total[-1])].tobytes()
-            ends = total[limits[i : j + 1] - limits[i]].tolist()
-            out += [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            got = p.bytes[np.repeat(p.starts[some] - total[:-1], n) + np.arange(total[-1])]
+            ends = total[limits[i : j + 1] - limits[i]]
+            led = np.flatnonzero(np.diff(ends))  # texts that aren't empty have one space in front
+            led = led[got[ends[led]] == 0x20]
+            length = np.diff(ends)
+            length[led] -= 1
+            flat.append(np.delete(got, ends[led]))
+            size.append(length)
             i = j
-        return pa.array([(b[1:] if b[:1] == b" " else b).decode("utf-8", "replace") for b in out], pa.string())
+        return utf8(np.concatenate(flat), np.cumsum(np.concatenate(size)))
 
     return encode, decode
 
 
-def encode_documents(docs: DataFrame, path: str = MODEL, seed: int = 8, rate: float = 0.1, text: str = "text") -> DataFrame:
-    """Adds ids, n_ids and lossless (the ids decode to the text)."""
+def encode_documents(docs: DataFrame, path: str = MODEL, seed: int = 8, rate: float = 0.1, text: str = "text", key: Column | None = None) -> DataFrame:
+    """Adds ids, n_ids and lossless (the ids decode to the text). key, a long, is the row key."""
     encode, decode = coder(docs.sparkSession, path, seed, rate)
     whole: Column = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs.withColumn("ids", encode(whole))
+    out = docs.withColumn("ids", encode(whole, key))
     return out.withColumns({"n_ids": F.size("ids").cast("long"), "lossless": decode("ids") == whole})
 
 
