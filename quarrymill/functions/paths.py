@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # fixed values: categories, and the bucket of each
 CATEGORIES = ["templates", "national_regulations", "internal_policies", "examples", "other"]
 BUCKETS = {"templates": "templates", "national_regulations": "regulations", "internal_policies": "policies", "examples": "examples"}
-#: Folder names and their categories; the first entry that a path has wins.
+# fixed values: folder names and their categories; the first entry that a path has wins
 FOLDERS = {
     "templates": "templates",
     "regulations": "national_regulations",

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -27,31 +30,39 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
-#: Markdown headings and numbered sections; words that open a chapter are added by `heading_pattern`.
-MARKS = [r"#{1,6}\s+", r"\(?\s*\d{1,3}\s*[.\-/]\s*[).]?\s*"]
+#: A block that starts like a Markdown heading, or with a number and a mark as sections have; chapter words come on top of these.
+MARKDOWN, NUMBERED = r"#{1,6}\s", r"\(?\s*\d{1,3}\s*[./-]"
 
 
 def heading_pattern(chapter_words: list[str] = ()) -> str:
-    words = [r"(?:" + "|".join(map(re.escape, chapter_words)) + r")"] if chapter_words else []
-    return r"(?U)^\s*(?:" + "|".join(words + MARKS) + ")"
+    starts = [*(re.escape(w) for w in chapter_words), MARKDOWN, NUMBERED]
+    return r"(?U)^\s*(?:" + "|".join(starts) + ")"
 
 
 def is_heading(block: Column, pattern: str = heading_pattern()) -> Column:
     return (block != "") & (F.char_length(block) <= 200) & block.rlike(pattern)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def attach_headings(blocks: Column, pattern: str = heading_pattern()) -> Column:
-    """A heading with a block after it is glued to it, and both are used up; the last one stays."""
-    empty = F.array().cast("array<string>")
+    """A heading with a block after it is glued to it, and both are used up; the last one stays.
 
-    def step(state: Column, block: Column) -> Column:
-        waiting = state["heading"]
-        glued = F.concat(F.regexp_replace(waiting, r"[ :.\-]+$", ""), F.lit("\n"), block)
-        out = F.when(waiting.isNotNull(), F.array_append(state["out"], glued)).when(is_heading(block, pattern), state["out"]).otherwise(F.array_append(state["out"], block))
-        return F.struct(out.alias("out"), F.when(waiting.isNull() & is_heading(block, pattern), block).alias("heading"))
+    Blocks become a string of one letter each, in which every heading takes up its successor, from left to right.
+    """
+    letters = lambda all_: F.array_join(F.transform(all_, lambda b: F.when(is_heading(b, pattern), "h").otherwise("t")), "")
+    glued = lambda x: F.concat(F.regexp_replace(x["block"], r"[ :.\-]+$", ""), F.lit("\n"), x["following"])
+    one = lambda x: F.when(x["role"] == "O", glued(x)).when(x["role"] != "U", x["block"])
 
-    start = F.struct(empty.alias("out"), F.lit(None).cast("string").alias("heading"))
-    return F.aggregate(blocks, start, step, lambda s: F.when(s["heading"].isNotNull(), F.array_append(s["out"], s["heading"])).otherwise(s["out"]))
+    def whole(all_: Column) -> Column:
+        roles = F.split(F.regexp_replace(letters(all_), "h.", "OU"), "")
+        rows = F.arrays_zip(all_.alias("block"), roles.alias("role"), F.slice(all_, 2, 1 << 30).alias("following"))
+        return F.filter(F.transform(rows, one), lambda b: b.isNotNull())
+
+    return F.when(F.size(blocks) > 0, let(blocks, whole)).otherwise(blocks)
 
 
 def probe_phrase(content: Column) -> Column:
@@ -67,25 +78,33 @@ def probe_phrase(content: Column) -> Column:
 
 def parse_fields(text: Column) -> Column:
     """map of `key: value` lines, the last of a key winning; lines without a colon are joined under notes."""
-    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(text, r"\r?\n"), _strip)
     with_colon = F.filter(lines, lambda x: F.contains(x, F.lit(":")))
-    pair = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.char_length(x))).alias("v"))
+    pair = lambda x: F.struct(_strip(F.substring_index(x, ":", 1)).alias("k"), _strip(F.substring(x, F.instr(x, ":") + 1, F.char_length(x))).alias("v"))
     pairs = F.filter(F.transform(with_colon, pair), lambda p: (p["k"] != "") & (p["v"] != ""))
-    notes = F.trim(F.array_join(F.filter(lines, lambda x: (x != "") & ~F.contains(x, F.lit(":"))), "\n"))
+    notes = _strip(F.array_join(F.filter(lines, lambda x: (x != "") & ~F.contains(x, F.lit(":"))), "\n"))
     pairs = F.when(notes != "", F.array_append(pairs, F.struct(F.lit("notes").alias("k"), notes.alias("v")))).otherwise(pairs)
-    last = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["k"] == p["k"]).alias("again")))
-    return F.map_from_entries(F.transform(F.filter(last, lambda p: ~p["again"]), lambda p: F.struct(p["k"], p["v"])))
+    last = lambda all_: F.map_from_entries(F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_) + 1), lambda q: q["k"] == p["k"])))
+    return let(pairs, last)
+
 
+# fixed values: the fields of a file's progress, in order
+COUNTERS = ["total_chunks", "processed_chunks", "failed_chunks", "current_batch"]
+PROGRESS = [*COUNTERS, "retry_count", "last_error", "started_at", "updated_at"]
 
-def merge_progress(existing: Column, updates: Column, error: Column) -> Column:
-    """Counters of a file's progress: defaults, over them what is stored, over it the updates that are not null; an error counts a retry."""
-    pick = lambda name, default: F.coalesce(updates[name], existing[name], F.lit(default))
+
+def merge_progress(existing: Column, updates: Column, error: Column, now: Column) -> Column:
+    """A file's progress: defaults, over them what is stored, over it the updates (the counters and started_at) that aren't null.
+
+    A new error takes the place of the last one, cut to 500 characters; one that isn't empty counts a retry. updated_at is now.
+    """
+    pick = lambda name, *default: F.coalesce(updates[name], existing[name], *default)
     return F.struct(
-        pick("total_chunks", 0).alias("total_chunks"),
-        pick("embedded_chunks", 0).alias("embedded_chunks"),
-        pick("stage", "pending").alias("stage"),
-        (F.coalesce(existing["retry_count"], F.lit(0)) + error.isNotNull().cast("int")).alias("retry_count"),
+        *[pick(c, F.lit(0)).alias(c) for c in COUNTERS],
+        (F.coalesce(existing["retry_count"], F.lit(0)) + F.coalesce((error != "").cast("int"), F.lit(0))).alias("retry_count"),
         F.coalesce(F.left(error, F.lit(500)), existing["last_error"]).alias("last_error"),
+        pick("started_at").alias("started_at"),
+        now.alias("updated_at"),
     )
 
 
@@ -109,58 +128,64 @@ def has_unverified(text: Column, marker: str) -> Column:
 
 
 def split_sources_block(text: Column, heading: str = "Sources") -> Column:
-    """struct(body, block), parted at the first line that is the heading."""
-    line = rf"(?m)^(?:##\s*)?{re.escape(heading)}[ \t]*$"
-    at = F.regexp_instr(text, F.lit(line))
+    """struct(body, block), parted at the first line that is the heading: `##` and its words."""
+    at = F.regexp_instr(text, F.lit(rf"(?Umd)^##\s*{re.escape(heading)}\s*$"))
     found = at > 0
     return F.struct(
-        F.when(found, F.regexp_replace(F.left(text, at - 1), r"\s+\z", "")).otherwise(text).alias("body"),
+        F.when(found, F.regexp_replace(F.left(text, at - 1), r"(?U)\s+\z", "")).otherwise(text).alias("body"),
         F.when(found, _strip(F.substring(text, at, F.char_length(text)))).otherwise("").alias("block"),
     )
 
 
-#: label, title, chunk and similarity of a line of a sources block
-CITATION = r"^[\s\-\x{2022}*]*\[([^\]]+)\]\s*:?\s*(.+?)\s*[\x{2014}\-]\s*chunk\s*#(\d+)\s*[\x{2014}\-]\s*similarity=([\d.]+)"
+#: What follows the title in a line of a sources block; an em dash or a hyphen parts it.
+_DASH = r"\s*[\x{2014}-]\s*"
+ORIGIN = rf"{_DASH}chunk\s*#(\d+){_DASH}similarity=([0-9.]+)"
 
 
 def parse_citations(block: Column) -> Column:
-    """array<struct(label, title, chunk_index, similarity)> of the lines that are citations."""
-    group = lambda line, k: F.trim(F.regexp_extract(line, CITATION, k))
-    lines = F.filter(F.split(block, "\n"), lambda line: line.rlike(CITATION))
-    return F.transform(lines, lambda x: F.struct(group(x, 1).alias("label"), group(x, 2).alias("title"), group(x, 3).cast("int").alias("chunk_index"), group(x, 4).cast("double").alias("similarity")))
+    """array<struct(label, title, chunk_index, similarity)> of the lines `[label]: title - chunk #n - similarity=s`, bullets before them or not."""
+
+    def parts(line: Column) -> Column:
+        rest = F.ltrim(F.regexp_replace(line, r"^[\s\x{2022}*-]*\[[^\]]+\]\s*:?\s*", ""))
+        label = F.regexp_extract(line, r"^[\s\x{2022}*-]*\[([^\]]+)\]", 1)
+        return F.struct(label.alias("label"), rest.alias("rest"), F.regexp_instr(F.substring(rest, 2, 1 << 30), F.lit(ORIGIN)).alias("at"))
+
+    cited = F.filter(F.transform(F.split(block, "\n"), parts), lambda p: (p["label"] != "") & (p["at"] > 0))
+    origin = lambda p, k: F.regexp_extract(F.substring(p["rest"], p["at"] + 1, F.char_length(p["rest"])), ORIGIN, k)
+    one = lambda p: F.struct(F.trim(p["label"]).alias("label"), F.trim(F.left(p["rest"], p["at"])).alias("title"), origin(p, 1).try_cast("int").alias("chunk_index"), origin(p, 2).try_cast("double").alias("similarity"))
+    return F.transform(cited, one)
 
 
 # drafts ----------------------------------------------------------------------------------------------------------------------
 
-_BULLETS = {"-", "*", "•"}
-_DOTS = {"...", "…", ". . ."}
+#: Lines that say nothing: dots and bare bullets.
+FILLERS = {"...", "…", ". . .", "-", "*", "•"}
+
+
+class Lately:
+    """The last lines that were kept, in the form in which lines are compared: without citation tags and extra spaces."""
+
+    def __init__(self, window: int, prefix: int):
+        self.forms: deque[str] = deque(maxlen=window)
+        self.prefix = prefix
+
+    def keeps(self, line: str) -> bool:
+        form = " ".join(re.sub(TAG, "", line).split())
+        if not form:
+            return True
+        head = self.forms[-1][: self.prefix] if self.forms else ""
+        if form in self.forms or (len(head) == self.prefix and form.startswith(head)):
+            return False
+        self.forms.append(form)
+        return True
 
 
 def tidy_lines(text: str, window: int = 12, prefix: int = 40) -> str:
-    """One text without repeated lines; the order of the rules matters and is described in `dedupe_lines`."""
-    kept: list[str] = []
-    seen: list[str] = []
-    blank_before = False
-    for line in map(str.rstrip, text.split("\n")):
-        bare = line.strip()
-        if not bare:
-            if not blank_before:
-                kept.append("")
-            blank_before = True
-            continue
-        blank_before = False
-        if bare in _DOTS or bare in _BULLETS:
-            continue
-        form = " ".join(re.sub(TAG, "", bare).split())
-        if form:
-            last = seen[-1] if seen else None
-            repeats = form in seen or (last is not None and len(last) >= prefix and form.startswith(last[:prefix]))
-            if repeats:
-                continue
-            seen = [*seen, form][-window:]
-        kept.append(line)
-    solid = [i for i, line in enumerate(kept) if line.strip()]
-    return "\n".join(kept[solid[0] : solid[-1] + 1]) if solid else ""
+    """One text without repeated lines, as `dedupe_lines` describes."""
+    lately, out = Lately(window, prefix), []
+    for blank, run in groupby(map(str.rstrip, text.split("\n")), lambda line: not line):
+        out += [""] if blank else [line for line in run if line.strip() not in FILLERS and lately.keeps(line)]
+    return "\n".join(out).strip("\n")
 
 
 def dedupe_lines(text: Column) -> Column:
@@ -274,30 +299,46 @@ def template_profile(paragraphs: Column) -> Column:
 
 
 def coerce_content(value: Column) -> Column:
-    """Text of a JSON string or of a list of parts; null is empty."""
-    part = F.from_json(value, "array<struct<type:string,text:string,content:string>>")
-    texts = F.transform(part, lambda p: F.when(p["type"].isNull() | (p["type"] == "text"), F.coalesce(p["text"], p["content"])).otherwise(p["content"]))
-    listed = F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n")
-    plain = F.from_json(F.concat(F.lit('{"s":'), value, F.lit("}")), "struct<s:string>")["s"]
-    return F.when(value.isNull() | (value == "null"), "").when(value.startswith("["), listed).when(value.startswith('"'), plain).otherwise(value)
+    """Text of a JSON string, or of a list of parts joined by line ends; null is empty, anything else its JSON.
+
+    A part is a string, an object of type text or without type that has a text, or one whose content is a string; other parts say nothing.
+    """
+
+    def part(p: Column) -> Column:
+        kind, text, content = F.try_variant_get(p, "$.type", "string"), F.try_variant_get(p, "$.text", "string"), F.try_variant_get(p, "$.content", "variant")
+        own = F.when(kind.isNull() | (kind == "text"), text)
+        return F.when(F.schema_of_variant(p) == "STRING", p.try_cast("string")).otherwise(F.coalesce(own, F.when(F.schema_of_variant(content) == "STRING", content.try_cast("string"))))
+
+    def text(v: Column) -> Column:
+        listed = F.array_join(F.filter(F.transform(v.try_cast("array<variant>"), part), lambda t: t.isNotNull()), "\n")
+        kind = F.schema_of_variant(v)
+        return F.when(v.isNull(), F.coalesce(value, F.lit(""))).when(kind == "VOID", "").when(kind == "STRING", v.try_cast("string")).when(kind.startswith("ARRAY"), listed).otherwise(value)
 
+    return let(F.try_parse_json(value), text)
 
-FINDINGS = ["unsupported_claims", "missing_fields", "contradictions", "outdated_references", "wrong_citations", "missing_citations", "structure_issues", "tone_issues", "language_issues", "other_issues"]
-REVIEW = "struct<verdict:string," + ",".join(f"{f}:array<string>" for f in FINDINGS) + ",corrections:array<string>,summary:string>"
+
+# fixed values: the lists of findings in a review, in order
+FINDINGS = [
+    "unverified_claims", "dangling_citations", "placeholder_claims", "duplicate_segments", "incomplete_sentences",
+    "unintended_placeholders", "contradictions", "wrong_names", "unsupported_facts", "unprofessional_phrasing",
+]
+REVIEW = "struct<verdict:string," + ",".join(f"{f}:array<string>" for f in FINDINGS) + ",suggested_corrections:string,summary_ar:string>"
 
 
 def unfenced(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\s*|\s*```$", ""))
+    return F.trim(F.regexp_replace(F.trim(text), r"(?m)^```(?:json)?\s*|\s*```$", ""))
 
 
 def parse_review(text: Column) -> Column:
-    """A review's verdict, findings, corrections and summary; what isn't JSON is unverifiable, with nothing found."""
-    got = F.from_json(unfenced(text), REVIEW)
+    """A review's verdict, its ten lists of findings, suggested_corrections and summary_ar; what isn't JSON, or has no verdict, is unverifiable."""
     none = F.array().cast("array<string>")
-    return F.struct(
-        F.coalesce(F.nullif(F.trim(got["verdict"]), F.lit("")), F.lit("unverifiable")).alias("verdict"),
-        *[F.coalesce(got[f], none).alias(f) for f in [*FINDINGS, "corrections"]],
-        F.coalesce(got["summary"], F.lit("")).alias("summary"),
+    return let(
+        F.from_json(unfenced(text), REVIEW),
+        lambda got: F.struct(
+            F.coalesce(got["verdict"], F.lit("unverifiable")).alias("verdict"),
+            *[F.coalesce(got[f], none).alias(f) for f in FINDINGS],
+            *[F.coalesce(got[f], F.lit("")).alias(f) for f in ("suggested_corrections", "summary_ar")],
+        ),
     )
 
 

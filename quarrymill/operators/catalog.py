@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.paths import is_local_path
 
@@ -204,10 +205,13 @@ def unlink_sessions(drafts: DataFrame, deleted: DataFrame) -> DataFrame:
     return drafts.join(gone, "session_id", "left").withColumn("session_id", F.when(F.col("_gone").isNull(), F.col("session_id"))).drop("_gone")
 
 
-def backfill_files(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """files with a first version for each document that has none."""
+def backfill_files(documents: DataFrame, files: DataFrame, file_id: Column | None = None) -> DataFrame:
+    """files with a first version for each document that has none; `file_id` is made of document_id, unset its number with a 1 after it, or its text with -v1."""
     add = documents.join(files.select("document_id").distinct(), "document_id", "left_anti")
-    rows = add.select((F.col("document_id") * 10 + 1).alias("file_id"), "document_id", F.lit(1).alias("version"), F.lit("pending").alias("status"))
+    if file_id is None:
+        i = F.col("document_id")
+        file_id = F.concat(i, F.lit("-v1")) if isinstance(documents.schema["document_id"].dataType, StringType) else i * 10 + 1
+    rows = add.select(file_id.alias("file_id"), "document_id", F.lit(1).alias("version"), F.lit("pending").alias("status"))
     return files.select("file_id", "document_id", "version", "status").unionByName(rows)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -15,14 +15,17 @@ TINY = 1e-9
 
 
 def hashing_embedder(dim: int) -> Callable[[list[str]], list[list[float]]]:
-    """A deterministic embedder: hashed words, unit length. For tests and as a stand-in."""
+    """A deterministic embedder: words hashed by MD5 to a place and a sign, unit length. For tests and as a stand-in."""
 
     def embed(texts: list[str]) -> list[list[float]]:
+        parts = [t.lower().split() for t in texts]
+        words, at = np.unique(np.array([w for p in parts for w in p] or [""]), return_inverse=True)
+        digests = [int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16) for w in words.tolist()]
+        place, sign = np.array([h // 2 % dim for h in digests]), np.array([1.0 if h % 2 else -1.0 for h in digests])
         out = np.zeros((len(texts), dim))
-        for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = zlib.crc32(w.encode())
-                out[i, h % dim] += 1 if h & 0x80000000 else -1
+        rows = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+        at = at[: len(rows)]
+        np.add.at(out, (rows, place[at]), sign[at])
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
 
     return embed

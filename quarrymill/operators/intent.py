@@ -9,31 +9,40 @@ LEFT, RIGHT = r"(?:^|[\s،,:;])", r"(?:$|[\s،,:;.])"
 GENERAL = "general"
 
 
-def _entries(catalogue: DataFrame) -> Column:
-    """The catalogue as one array literal; it is a small table by nature, and its size is checked."""
-    rows = catalogue.orderBy("ord").limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("a catalogue has at most 1000 types")
-    one = lambda r: F.struct(F.lit(r["type"]).alias("type"), F.lit(r["ord"]).alias("ord"), F.lit(r["label"]).alias("label"), F.array(*map(F.lit, r["keywords"])).cast("array<string>").alias("keywords"))
-    return F.array(*map(one, rows)) if rows else F.array().cast("array<struct<type:string,ord:int,label:string,keywords:array<string>>>")
+#: Types, and keywords of all types, that a catalogue may have: it becomes literals.
+MOST_TYPES, MOST_KEYWORDS = 1000, 5000
 
 
-def _hits(text: Column, keywords: Column) -> Column:
-    """Keywords of a list that stand in the text as whole words, in the order of the list."""
-    quoted = lambda w: F.concat(F.lit("(?U)" + LEFT + r"\Q"), F.replace(w, F.lit("\\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E" + RIGHT))
-    return F.filter(keywords, lambda w: F.rlike(text, quoted(w)))
+def _entries(catalogue: DataFrame) -> list:
+    """The catalogue's rows in order; it is a small table by nature, and its size is checked."""
+    rows = catalogue.orderBy("ord").limit(MOST_TYPES + 1).collect()
+    if len(rows) > MOST_TYPES or sum(len(r["keywords"]) for r in rows) > MOST_KEYWORDS:
+        raise ValueError(f"a catalogue has at most {MOST_TYPES} types and {MOST_KEYWORDS} keywords")
+    return rows
+
+
+def _scored(text: Column, catalogue: DataFrame) -> Column:
+    """array<struct(n, ord, type, label, hits)> of the types: keywords that stand in the text as whole words, in the order of the list.
+
+    Each keyword is a constant pattern, compiled once, and looked up once in a text.
+    """
+    whole = lambda w: "(?U)" + LEFT + r"\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E" + RIGHT
+    found = lambda words: F.array_compact(F.array(*[F.when(text.rlike(whole(w)), F.lit(w)) for w in words])) if words else F.array().cast("array<string>")
+    one = lambda r: F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["type"]).alias("type"), F.lit(r["label"]).alias("label"), found(r["keywords"]).alias("hits"))
+    rows = _entries(catalogue)
+    scored = F.array(*map(one, rows)) if rows else F.array().cast("array<struct<ord:int,type:string,label:string,hits:array<string>>>")
+    return F.transform(scored, lambda e: F.struct(F.size(e["hits"]).alias("n"), e["ord"].alias("ord"), e["type"].alias("type"), e["label"].alias("label"), e["hits"].alias("hits")))
 
 
 def keyword_hits(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(request_id, type, hits) for every type with a hit. No shuffle: the catalogue travels as a literal."""
-    rows = requests.select("request_id", F.explode(F.transform(_entries(catalogue), lambda e: F.struct(e["type"].alias("type"), e["ord"].alias("ord"), e["label"].alias("label"), _hits(F.col("text"), e["keywords"]).alias("hits")))).alias("e"))
+    """(request_id, type, ord, label, hits) for every type with a hit. No shuffle: the catalogue travels as literals."""
+    rows = requests.select("request_id", F.explode(_scored(F.col("text"), catalogue)).alias("e"))
     return rows.select("request_id", "e.type", "e.ord", "e.label", "e.hits").where(F.size("hits") > 0)
 
 
 def detect_intent(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     """The type with most hits, the later entry on a tie; without hits general with confidence 0, else min(1, 0.5 + 0.1 * hits)."""
-    scored = F.transform(_entries(catalogue), lambda e: F.struct(F.size(_hits(F.col("text"), e["keywords"])).alias("n"), e["ord"].alias("ord"), e["type"].alias("type"), e["label"].alias("label"), _hits(F.col("text"), e["keywords"]).alias("hits")))
-    best = F.array_max(F.filter(scored, lambda e: (e["n"] > 0) & (e["type"] != GENERAL)))
+    best = F.array_max(F.filter(_scored(F.col("text"), catalogue), lambda e: (e["n"] > 0) & (e["type"] != GENERAL)))
     out = requests.withColumn("best", best)
     none = F.array().cast("array<string>")
     return out.select(
@@ -75,7 +84,9 @@ def refine_queries(intents: DataFrame, prefixes: dict[str, str] = {"templates":
 
 def resolve_style(requests: DataFrame, defaults: DataFrame, fallback: str = GENERAL) -> DataFrame:
     """requests (request_id, type, overrides map) with defaults (type, style map): known keys overridden, unknown ones reported as rejected."""
-    d = F.broadcast(defaults.select(F.col("type").alias("_t"), "style").limit(1000))
+    if defaults.limit(MOST_TYPES + 1).count() > MOST_TYPES:
+        raise ValueError(f"more than {MOST_TYPES} default styles")
+    d = F.broadcast(defaults.select(F.col("type").alias("_t"), "style"))
     rest = defaults.where(F.col("type") == fallback).select(F.col("style").alias("_fallback")).limit(1)
     rows = requests.join(d, requests["type"] == F.col("_t"), "left").join(F.broadcast(rest), how="left")
     base = F.coalesce("style", "_fallback")

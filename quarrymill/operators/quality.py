@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .embedding import TINY
+from ..sources.shared import save, shared_folder
 from .retrieval import match_batch
 
+#: Categories that documents may have.
+MOST_CATEGORIES = 1000
+
 
 def catalog_stats(documents: DataFrame, files: DataFrame, jobs: DataFrame) -> DataFrame:
     """One row of eleven counters, one pass for each table."""
@@ -62,7 +66,8 @@ def status_pivot(documents: DataFrame, statuses: list[str]) -> DataFrame:
 def retrievability_probe(documents: DataFrame, probes: DataFrame, chunks: DataFrame, dim: int, k: int = 50) -> DataFrame:
     """Whether each indexed document is among the k nearest chunks to its probe vector: among all, else within its category.
 
-    probes (document_id, embedding); chunks as of current versions. Verdicts: ok, category only, not found, warn (no probe).
+    probes (document_id, embedding); chunks as of current versions. Verdicts: ok, category only, not found, warn (no probe). Every probe is
+    compared with every chunk, so the work is probes x chunks: give a sample of probes where documents are many.
     """
     indexed = documents.where("status = 'indexed'").select("document_id", "category")
     p = probes.join(indexed, "document_id").select(F.col("document_id").alias("request_id"), "embedding", F.col("category").alias("own"))
@@ -71,9 +76,13 @@ def retrievability_probe(documents: DataFrame, probes: DataFrame, chunks: DataFr
         own = found.where(F.col("request_id") == F.col("document_id"))
         return own.groupBy("document_id").agg(F.count("*").alias("hits"), F.max("similarity").alias("best"))
 
-    everywhere = hits(match_batch(p, chunks, [(None, k, 0.0)], dim))
-    categories = [r[0] for r in indexed.select("category").distinct().limit(100).collect()]
-    within = match_batch(p, chunks, [(c, k, 0.0) for c in categories], dim).join(p.select("request_id", "own"), "request_id").where(F.col("section") == F.col("own"))
+    everywhere = save(hits(match_batch(p.drop("own"), chunks, [(None, k, 0.0)], dim)), shared_folder(documents.sparkSession, "probe"))
+    # documents that aren't among the nearest of all are few, or else the index is broken; each is tried in its own category
+    missed = p.join(everywhere.select(F.col("document_id").alias("request_id")), "request_id", "left_anti")
+    categories = [r[0] for r in missed.select("own").distinct().limit(MOST_CATEGORIES + 1).collect()]
+    if len(categories) > MOST_CATEGORIES:
+        raise ValueError(f"more than {MOST_CATEGORIES} categories")
+    within = match_batch(missed.drop("own"), chunks, [(c, k, 0.0) for c in categories] or [("", k, 0.0)], dim).join(p.select("request_id", "own"), "request_id").where(F.col("section") == F.col("own"))
     inside = hits(within).select("document_id", F.col("hits").alias("hits_in_category"), F.col("best").alias("best_in_category"))
     out = indexed.join(probes.select("document_id", F.lit(True).alias("probed")).distinct(), "document_id", "left").join(everywhere, "document_id", "left").join(inside, "document_id", "left")
     verdict = F.when(F.col("probed").isNull(), "warn").when(F.col("hits") > 0, "ok").when(F.col("hits_in_category") > 0, "category only").otherwise("not found")

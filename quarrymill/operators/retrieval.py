@@ -5,6 +5,8 @@ Similarity is rounded to 12 digits before ranking, so that sums in another order
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,8 +15,10 @@ from pyspark.sql import functions as F
 from .embedding import is_valid_vector
 
 HIT = ["chunk_id", "document_id", "file_id", "version", "chunk_index", "content", "category", "title", "source_uri"]
-#: Requests are broadcast in blocks of at most so many bytes of vectors.
+#: Requests are broadcast if their vectors take so many bytes at most; more meet the chunks in blocks of so many bytes of either.
 BLOCK_BYTES = 64 << 20
+#: Numbers of a product that is held at once.
+TILE = 1 << 22
 
 
 def current_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -38,60 +42,103 @@ def match_documents(chunks: DataFrame, vector: list[float], threshold: float = 0
     return rows.orderBy(F.desc("similarity"), "chunk_id").limit(max(k, 1)).select(*[c for c in HIT if c in chunks.columns], "similarity")
 
 
-def match_batch(queries: DataFrame, chunks: DataFrame, spec: list[tuple[str | None, int, float]], dim: int) -> DataFrame:
+def match_batch(queries: DataFrame, chunks: DataFrame, spec: list[tuple[str | None, int, float]], dim: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """queries (request_id, embedding) x spec (category or None for all, k, threshold) -> request_id, section, rank, similarity and the chunk.
 
-    Chunks are never shuffled: a block of requests' vectors goes to every partition of chunks, each keeps its local top k of each
-    (request, category) by one matrix product, and only those winners are ranked globally. Requests of any number go in blocks.
+    Requests up to block_bytes (their size is counted first) are broadcast, and chunks stay where they are: a task keeps the k best of
+    each (request, category) of all its chunks, by products of 32 MB, and only those winners are ranked globally. More requests than that meet
+    the chunks in blocks: either side is cut into blocks of block_bytes by a hash, and each pair of blocks is one group of a cogroup, so that
+    neither side passes through the driver. Ids may be of any type that Spark orders.
     """
     q = queries.where(is_valid_vector(F.col("embedding"), dim)).select("request_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    c = chunks.where(is_valid_vector(F.col("embedding"), dim))
-    n = q.count()
-    blocks = max(1, -(-n * dim * 8 // BLOCK_BYTES))
-    local = None
-    for b in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("request_id"), F.lit(blocks)) == b)
-        got = part.toPandas()  # at most a block
-        if len(got):
-            one = _winners(c, got["request_id"].to_numpy(np.int64), np.stack(got["embedding"].to_numpy()), spec)
-            local = one if local is None else local.union(one)
-    if local is None:
-        local = _winners(c.limit(0), np.zeros(0, np.int64), np.zeros((0, dim)), spec)
+    c = chunks.where(is_valid_vector(F.col("embedding"), dim)).select("chunk_id", "embedding", "category")
+    schema = f"request_id {q.schema['request_id'].dataType.simpleString()}, section string, chunk_id {c.schema['chunk_id'].dataType.simpleString()}, similarity double"
+    blocks = -(-q.count() * dim * 8 // block_bytes)
+    local = _beside(q, c, spec, schema) if blocks <= 1 else _in_blocks(q, c, spec, schema, blocks, dim, block_bytes)
     best = Window.partitionBy("request_id", "section").orderBy(F.desc("similarity"), "chunk_id")
     most = F.coalesce(*[F.when(F.col("section") == (s or "all"), F.lit(max(k, 1))) for s, k, _ in spec])
     ranked = local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
     return ranked.join(chunks.drop("embedding"), "chunk_id")
 
 
-def _winners(chunks: DataFrame, ids: np.ndarray, vectors: np.ndarray, spec: list[tuple[str | None, int, float]]) -> DataFrame:
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, unit))
-
-    def run(batches):
-        ids, unit = shared.value
-        for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            lists = batch.column(1)
-            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            chunk = batch.column(0).to_numpy()
-            category = np.array(batch.column(2).to_pylist(), object)
-            for section, k, threshold in spec:
-                at = np.arange(len(x)) if section is None else np.flatnonzero(category == section)
-                if not len(at):
-                    continue
-                s = np.round(unit @ x[at].T, 12)
-                k = min(max(k, 1), len(at))
-                order = np.argsort(chunk[at], kind="stable")
-                top = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-                value = np.take_along_axis(s, top, axis=1)
-                i, j = np.nonzero(value > threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i]), pa.array([section or "all"] * len(i), pa.string()), pa.array(chunk[at][top[i, j]]), pa.array(value[i, j])], names=["request_id", "section", "chunk_id", "similarity"]
-                )
-
-    return chunks.select("chunk_id", "embedding", "category").mapInArrow(run, "request_id long, section string, chunk_id long, similarity double")
+def _unit(lists: pa.Array) -> np.ndarray:
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+class Best:
+    """The k best chunks of each request so far, for one entry of a spec; of equal similarities the smaller chunk ids."""
+
+    def __init__(self, requests: int, section: str | None, k: int, threshold: float, kind: np.dtype):
+        self.section, self.k, self.threshold = section, max(k, 1), threshold
+        self.row, self.value, self.chunk = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, kind)
+        self.least = np.full(requests, -np.inf)  # the worst of a full list
+
+    def add(self, unit: np.ndarray, x: np.ndarray, chunk: np.ndarray) -> None:
+        step = max(1, TILE // max(len(x), 1))
+        for a in range(0, len(unit), step):
+            s = np.round(unit[a : a + step] @ x.T, 12)
+            hit = (s > self.threshold) & (s >= self.least[a : a + step, None])
+            if s.shape[1] > self.k:
+                hit &= s >= np.partition(s, -self.k, axis=1)[:, -self.k, None]
+            i, j = np.nonzero(hit)
+            if len(i):
+                self.row, self.value, self.chunk = np.append(self.row, i + a), np.append(self.value, s[i, j]), np.append(self.chunk, chunk[j])
+        self.trim()
+
+    def trim(self) -> None:
+        order = np.lexsort((np.unique(self.chunk, return_inverse=True)[1], -self.value, self.row))
+        row = self.row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = order[place < self.k]
+        full = order[place == self.k - 1]
+        self.least[self.row[full]] = self.value[full]
+        self.row, self.value, self.chunk = self.row[kept], self.value[kept], self.chunk[kept]
+
+
+def _winners(requests: pa.Array, unit: np.ndarray, batches: Iterator[pa.RecordBatch], spec: list[tuple[str | None, int, float]]) -> Iterator[pa.RecordBatch]:
+    """batches (chunk_id, embedding, category) -> the winners of all of them."""
+    best: list[Best] = []
+    kind = None
+    for batch in batches:
+        if not len(batch) or not len(unit):
+            continue
+        chunk = batch.column(0).to_numpy(zero_copy_only=False)
+        kind = batch.schema.field(0).type
+        best = best or [Best(len(unit), *s, chunk.dtype) for s in spec]
+        x, category = _unit(batch.column(1)), np.array(batch.column(2).to_pylist(), object)
+        for b in best:
+            at = np.arange(len(x)) if b.section is None else np.flatnonzero(category == b.section)
+            if len(at):
+                b.add(unit, x[at], chunk[at])
+    for b in best:
+        yield pa.RecordBatch.from_arrays(
+            [requests.take(pa.array(b.row)), pa.array([b.section or "all"] * len(b.row), pa.string()), pa.array(b.chunk, kind), pa.array(b.value)], names=["request_id", "section", "chunk_id", "similarity"]
+        )
+
+
+def _beside(q: DataFrame, c: DataFrame, spec: list[tuple[str | None, int, float]], schema: str) -> DataFrame:
+    got = q.toArrow().combine_chunks()
+    requests, lists = (got.column(k).combine_chunks() if len(got) else pa.array([], got.schema.field(k).type) for k in range(2))
+    shared = q.sparkSession.sparkContext.broadcast((requests, _unit(lists) if len(got) else np.zeros((0, 0))))
+    return c.mapInArrow(lambda batches: _winners(*shared.value, batches, spec), schema)
+
+
+def _in_blocks(q: DataFrame, c: DataFrame, spec: list[tuple[str | None, int, float]], schema: str, blocks: int, dim: int, block_bytes: int) -> DataFrame:
+    others = -(-c.count() * dim * 8 // block_bytes)
+    place = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumns({"_q": place("request_id", blocks), "_c": every(others)})
+    right = c.withColumns({"_q": every(blocks), "_c": place("chunk_id", others)})
+
+    def run(requests: pa.Table, some: pa.Table) -> pa.Table:
+        found = []
+        if len(requests):
+            ids, lists = (requests.column(k).combine_chunks() for k in ("request_id", "embedding"))
+            found = list(_winners(ids, _unit(lists), iter(some.select(["chunk_id", "embedding", "category"]).to_batches()), spec))
+        return pa.Table.from_batches(found) if found else pa.table({n: pa.array([], t) for n, t in (("request_id", requests.schema.field("request_id").type), ("section", pa.string()), ("chunk_id", some.schema.field("chunk_id").type), ("similarity", pa.float64()))})
+
+    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(run, schema)
 
 
 def match_batch_expression(queries: DataFrame, chunks: DataFrame, spec: DataFrame, dim: int) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +44,47 @@ def stamp(c: str):
     return F.col(c).cast("timestamp_ntz").alias(c)
 
 
+_HITS = r"SELECT request_id, r.text, c.type, c.ord, c.label, list_filter(c.keywords, lambda w: regexp_matches(r.text, '(^|[\s,:;])' || w || '($|[\s,:;.])')) AS hits FROM v_requests r, v_catalogue c"
+_BEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY len(hits) DESC, ord DESC) AS n FROM ({_HITS})) WHERE n = 1"
+
 # A: files ----------------------------------------------------------------------------------------------------------------------
 
 
+@query("a1_read_corpus", "SELECT category, sum(strlen(content) + 1)::BIGINT AS size_bytes, true AS text_only FROM v_documents GROUP BY 1")
+def a1(spark, d):
+    path = shared_folder(spark, "corpus")
+    V.documents(spark, d).select("folder", "content").write.partitionBy("folder").text(path)  # and files that aren't documents: markers and sums
+    found = A.read_corpus(spark, path)
+    return found.groupBy(P.infer_category(F.regexp_replace("rel_path", "folder=", "")).alias("category")).agg(F.sum(F.least("size_bytes", F.octet_length("content"))).alias("size_bytes"), F.bool_and(F.col("extension") == ".txt").alias("text_only"))
+
+
+@query(
+    "a3_docx_text",
+    """SELECT document_id, 'ok' AS status, '[HEADER] ' || title || chr(10) || chr(10) || folder || ' | ' || document_id || chr(10) || chr(10) || array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM v_documents""",
+)
+def a3(spark, d):
+    """Every document as a Word file with a header, a table and its lines as paragraphs, read back."""
+    rows = V.documents(spark, d).select("document_id", "title", "folder", F.split("content", "\n").alias("lines"))
+
+    def pack(batches):
+        for batch in batches:
+            files = [docx_file(*row.values()) for row in batch.select(["document_id", "title", "folder", "lines"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("document_id"), pa.array([".docx"] * len(batch)), pa.array(files, pa.binary())], names=["document_id", "extension", "content"])
+
+    return A.extract_text(rows.mapInArrow(pack, "document_id long, extension string, content binary")).select("document_id", "status", "text")
+
+
+def docx_file(document_id: int, title: str, folder: str, lines: list[str]) -> bytes:
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda t: f'<w:p><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>'
+    cells = "".join(f"<w:tc>{p(t)}</w:tc>" for t in (folder, str(document_id)))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/header1.xml", f"<w:hdr {space}>{p(title)}</w:hdr>")
+        z.writestr("word/document.xml", f"<w:document {space}><w:body><w:tbl><w:tr>{cells}</w:tr></w:tbl>{''.join(map(p, lines))}</w:body></w:document>")
+    return out.getvalue()
+
+
 @query(
     "a2_extract_text",
     f"""SELECT document_id, CASE k WHEN 0 THEN 'ok' WHEN 1 THEN CASE WHEN document_id % 4 = 3 THEN 'empty' ELSE 'ok' END WHEN 2 THEN 'needs_ocr' WHEN 5 THEN 'error' ELSE 'needs_doc_conversion' END AS status,
@@ -118,11 +161,11 @@ def b6(spark, d):
 
 @query(
     "b7_source_uri",
-    r"SELECT item_id, 'manual://' || coalesce(nullif(regexp_replace(regexp_replace(trim(left(text, 60)), '\s+', '-', 'g'), '[^\w-]', '', 'g'), ''), 'doc') AS manual, 'storage://policies/' || item_id || '/v1/a.txt' AS storage FROM benchmark WHERE NOT regexp_matches(left(text, 60), '[^\x00-\x7F]')",
+    r"SELECT item_id, 'manual://' || coalesce(nullif(regexp_replace(regexp_replace(trim(text), '\s+', '-', 'g'), '[^\p{L}\p{M}\p{Nd}\p{Pc}-]', '', 'g'), ''), 'doc') AS manual, 'storage://policies/' || item_id || '/v1/a.txt' AS storage FROM benchmark",
 )
 def b7(spark, d):
-    t = V.table(spark, d, "benchmark").where(~F.left("text", F.lit(60)).rlike(r"[^\x00-\x7F]"))
-    return t.select("item_id", P.source_uri("manual", F.left("text", F.lit(60))).alias("manual"), P.source_uri("storage", F.concat(F.col("item_id").cast("string"), F.lit("/v1/a.txt")), F.lit("policies")).alias("storage"))
+    t = V.table(spark, d, "benchmark")
+    return t.select("item_id", P.source_uri("manual", F.col("text")).alias("manual"), P.source_uri("storage", F.concat(F.col("item_id").cast("string"), F.lit("/v1/a.txt")), F.lit("policies")).alias("storage"))
 
 
 @query("b8_local_paths", r"SELECT file_id, contains(storage_path, '\') OR starts_with(storage_path, '/') OR contains(split_part(storage_path, '/', 1), ':') AS local, regexp_matches(storage_path, '^([A-Za-z]:[\\/]|\\\\|/)') AS absolute FROM v_files")
@@ -142,38 +185,58 @@ def b9(spark, d):
 
 @query(
     "b10_merge_progress",
-    """SELECT job_id, coalesce(CASE WHEN job_id % 2 = 0 THEN (job_id % 50)::INT END, CASE WHEN job_id % 3 = 0 THEN 7 END, 0) AS total_chunks, coalesce(CASE WHEN job_id % 5 = 0 THEN 3 END, 0) AS embedded_chunks,
-    CASE WHEN job_id % 2 = 0 THEN 'embedding' ELSE 'pending' END AS stage, attempts + CASE WHEN status = 'failed' THEN 1 ELSE 0 END AS retry_count, CASE WHEN status = 'failed' THEN left(repeat('e', 600), 500) END AS last_error FROM v_jobs""",
+    f"""SELECT event_id AS job_id, coalesce(CASE WHEN event_id % 2 = 0 THEN user_id END, CASE WHEN event_id % 3 = 0 THEN 7 END, 0)::INT AS total_chunks, coalesce(CASE WHEN event_id % 5 = 0 THEN 3 END, 0) AS processed_chunks, coalesce(CASE WHEN value > 10 THEN 1 END, 0) AS failed_chunks,
+    coalesce(CASE WHEN event_id % 7 = 0 THEN 2 END, CASE WHEN event_id % 3 = 0 THEN 1 END, 0) AS current_batch, event_id % 6 + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS retry_count,
+    CASE event_type WHEN 'error' THEN left(repeat(props, 60), 500) WHEN 'view' THEN '' ELSE CASE WHEN event_id % 3 = 0 THEN 'old' END END AS last_error, coalesce(CASE WHEN event_type = 'signup' THEN ts END, CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' END) AS started_at, TIMESTAMP '{V.NOW}' AS updated_at FROM events""",
 )
 def b10(spark, d):
-    i = F.col("job_id")
-    old = F.struct(F.when(i % 3 == 0, 7).alias("total_chunks"), F.when(i % 5 == 0, 3).alias("embedded_chunks"), F.lit(None).cast("string").alias("stage"), F.col("attempts").alias("retry_count"), F.lit(None).cast("string").alias("last_error"))
-    new = F.struct(F.when(i % 2 == 0, (i % 50).cast("int")).alias("total_chunks"), F.lit(None).cast("int").alias("embedded_chunks"), F.when(i % 2 == 0, "embedding").alias("stage"))
-    error = F.when(F.col("status") == "failed", F.repeat(F.lit("e"), 600))
-    return V.jobs(spark, d).withColumns({"old": old, "new": new}).select("job_id", T.merge_progress(F.col("old"), F.col("new"), error).alias("p")).select("job_id", "p.*")
+    i = F.col("event_id")
+    third = lambda x, kind: F.when(i % 3 == 0, F.lit(x)).cast(kind)
+    old = F.struct(
+        third(7, "int").alias("total_chunks"), F.when(i % 5 == 0, 3).alias("processed_chunks"), F.lit(None).cast("int").alias("failed_chunks"), third(1, "int").alias("current_batch"),
+        (i % 6).alias("retry_count"), third("old", "string").alias("last_error"), third("2024-01-01 00:00:00", "timestamp_ntz").alias("started_at"),
+    )
+    new = F.struct(
+        F.when(i % 2 == 0, F.col("user_id")).cast("int").alias("total_chunks"), F.lit(None).cast("int").alias("processed_chunks"), F.when(F.col("value") > 10, 1).alias("failed_chunks"),
+        F.when(i % 7 == 0, 2).alias("current_batch"), F.when(F.col("event_type") == "signup", F.col("ts").cast("timestamp_ntz")).alias("started_at"),
+    )
+    error = F.when(F.col("event_type") == "error", F.repeat("props", F.lit(60))).when(F.col("event_type") == "view", "")
+    rows = V.table(spark, d, "events").withColumns({"old": old, "new": new, "error": error})
+    return rows.select(i.alias("job_id"), T.merge_progress(F.col("old"), F.col("new"), F.col("error"), F.lit(V.NOW).cast("timestamp_ntz")).alias("p")).select("job_id", "p.*")
+
+
+#: Lines of requests, of which every second one, by its place, starts like a field with its first word as the key.
+_FORM = "SELECT request_id, n, CASE WHEN n % 2 = 1 THEN string_split(x, ' ')[1] || ' : ' || x ELSE x END AS x FROM (SELECT request_id, l, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS x FROM (SELECT request_id, string_split(replace(text, '. ', '.' || chr(10)), chr(10)) AS l FROM v_requests))"
 
 
 @query(
     "b11_parse_fields",
-    r"""SELECT request_id, k AS key, v AS value FROM (
-      SELECT request_id, 'to' AS k, 'second ' || request_id AS v FROM v_requests UNION ALL SELECT request_id, 'ref', 'a:b' FROM v_requests UNION ALL SELECT request_id, 'notes', 'loose line' || CASE WHEN request_id % 2 = 0 THEN chr(10) || 'even' ELSE '' END FROM v_requests)""",
+    f"""WITH f AS ({_FORM}), k AS (SELECT request_id, n, trim(left(x, strpos(x, ':') - 1)) AS key, trim(substring(x, strpos(x, ':') + 1)) AS value FROM f WHERE contains(x, ':')),
+    o AS (SELECT request_id, 'notes' AS key, string_agg(trim(x), chr(10) ORDER BY n) AS value FROM f WHERE NOT contains(x, ':') AND trim(x) <> '' GROUP BY 1),
+    u AS (SELECT request_id, key, arg_max(value, n) AS value FROM k WHERE key <> '' AND value <> '' GROUP BY 1, 2)
+    SELECT * FROM o UNION ALL SELECT * FROM u WHERE NOT (key = 'notes' AND request_id IN (SELECT request_id FROM o))""",
 )
 def b11(spark, d):
-    i = F.col("request_id").cast("string")
-    text = F.concat(F.lit("to: first\nloose line\n ref : a:b \nempty:\nto: second "), i, F.when(F.col("request_id") % 2 == 0, "\neven").otherwise(""))
-    return V.requests(spark, d).select("request_id", F.explode(T.parse_fields(text)).alias("key", "value"))
+    lines = F.split(F.replace("text", F.lit(". "), F.lit(".\n")), "\n")
+    form = F.array_join(F.transform(lines, lambda x, n: F.when(n % 2 == 0, F.concat(F.get(F.split(x, " "), F.lit(0)), F.lit(" : "), x)).otherwise(x)), "\n")
+    return V.requests(spark, d).select("request_id", F.explode(T.parse_fields(form)).alias("key", "value"))
+
+
+_WORDS = "string_split(text, ' ')"
 
 
 @query(
     "b12_resolve_style",
-    """SELECT request_id, CASE WHEN request_id % 3 = 0 THEN 'formal' ELSE 'warm' END AS tone, CASE WHEN request_id % 2 = 0 THEN 'short' ELSE 'long' END AS length, CASE WHEN request_id % 2 = 0 THEN 'colour' ELSE '' END AS rejected FROM v_requests""",
+    f"""SELECT request_id, CASE WHEN t = 'notice' THEN 'formal' ELSE 'warm' END AS tone, CASE WHEN len(w) % 2 = 0 THEN w[1] ELSE 'long' END AS length, CASE WHEN len(w) % 2 = 0 THEN 'colour' ELSE '' END AS rejected
+    FROM (SELECT request_id, {_WORDS} AS w, CASE WHEN len(hits) = 0 THEN 'general' ELSE type END AS t FROM ({_BEST}))""",
 )
 def b12(spark, d):
-    i = F.col("request_id")
-    over = F.when(i % 2 == 0, F.create_map(F.lit("length"), F.lit("short"), F.lit("colour"), F.lit("red")))
-    kind = F.when(i % 3 == 0, "notice").otherwise("unheard of")
+    """Styles by the type of each request; its first and last words override the length and a key that isn't known."""
+    words = F.split("text", " ")
+    over = F.when(F.size(words) % 2 == 0, F.create_map(F.lit("length"), F.get(words, F.lit(0)), F.lit("colour"), F.element_at(words, -1)))
     defaults = spark.createDataFrame([("notice", {"tone": "formal", "length": "long"}), ("general", {"tone": "warm", "length": "long"})], "type string, style map<string,string>")
-    out = N.resolve_style(V.requests(spark, d).select("request_id", kind.alias("type"), over.alias("overrides")), defaults)
+    rows = N.detect_intent(V.requests(spark, d), V.catalogue(spark)).select("request_id", "type", over.alias("overrides"))
+    out = N.resolve_style(rows, defaults)
     return out.select("request_id", F.col("style")["tone"].alias("tone"), F.col("style")["length"].alias("length"), F.array_join("rejected", ",").alias("rejected"))
 
 
@@ -215,16 +278,13 @@ def c3(spark, d):
 
 @query(
     "c5_split_at_words",
-    r"""WITH RECURSIVE w AS (SELECT document_id, string_split(replace(left(content, 600), chr(10), ' '), ' ') AS words FROM v_documents), s AS (
-      SELECT document_id, words, 0 AS i, 0 AS part, 0 AS tokens, false AS held FROM w
-      UNION ALL
-      SELECT document_id, words, i + 1, CASE WHEN full_ THEN part + 1 ELSE part END, CASE WHEN full_ THEN n ELSE tokens + n END, true
-      FROM (SELECT *, held AND tokens + n > 20 AS full_ FROM (SELECT *, CASE WHEN trim(words[i + 1]) = '' THEN 0 ELSE 1 END AS n FROM s WHERE i < len(words)))
-    ), p AS (SELECT document_id, part, trim(string_agg(words[i], ' ' ORDER BY i)) AS piece FROM s WHERE i > 0 GROUP BY 1, 2)
+    r"""WITH w AS (SELECT document_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS word FROM (SELECT document_id, string_split(replace(content, chr(10), ' '), ' ') AS l FROM v_documents)),
+    n AS (SELECT *, sum(CASE WHEN trim(word) = '' THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY i) AS so_far FROM w),
+    p AS (SELECT document_id, (greatest(so_far, 1) - 1) // 20 AS part, trim(string_agg(word, ' ' ORDER BY i)) AS piece FROM n GROUP BY 1, 2)
     SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY part) - 1)::INT AS pos, piece FROM p WHERE piece <> ''""",
 )
 def c5(spark, d):
-    text = F.translate(F.left("content", F.lit(600)), "\n", " ")
+    text = F.translate("content", "\n", " ")
     cut = K.chunker(target=20, hard_max=20, overlap=0)
     return V.documents(spark, d).select("document_id", F.posexplode(cut(F.array(text))).alias("pos", "c")).select("document_id", "pos", F.col("c.content").alias("piece"))
 
@@ -271,13 +331,20 @@ def c8(spark, d):
 
 DIM = 64
 
-
-@query("d1_embed_column")
+@query(
+    "d1_embed_column",
+    packed(200)
+    + rf""", e AS (SELECT document_id, chunk_index, unnest(regexp_split_to_array(lower(content), '\s+')) AS word FROM c),
+    h AS (SELECT document_id, chunk_index, ('0x' || left(md5(word), 8))::BIGINT AS h FROM e), x AS (SELECT document_id, chunk_index, h // 2 % {DIM} AS place, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS x FROM h GROUP BY 1, 2, 3),
+    a AS (SELECT document_id, chunk_index, unnest(range(0, {DIM})) AS place FROM c)
+    SELECT document_id, chunk_index::INT AS chunk_index, string_agg(CASE WHEN coalesce(x, 0) > 0 THEN '+' WHEN x < 0 THEN '-' ELSE '0' END, '' ORDER BY place) AS signs FROM a LEFT JOIN x USING (document_id, chunk_index, place) GROUP BY 1, 2""",
+)
 def d1(spark, d):
-    # documents differ much in length
-    chunks = c7(spark, d).repartition("document_id", "chunk_index")
+    """Every chunk's vector, of which the signs are shown; documents differ much in length."""
+    chunks = K.chunk_documents(paragraphed(spark, d), headings=NONE, overlap=0).repartition("document_id", "chunk_index")
     rows = E.embed_column(chunks, "content", E.hashing_embedder(DIM), DIM)
-    return rows.select("document_id", "chunk_index", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"), F.size("embedding").alias("dim"))
+    sign = lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0")
+    return rows.select("document_id", "chunk_index", F.array_join(F.transform("embedding", sign), "").alias("signs"))
 
 
 @query("d2_valid_vectors", "SELECT chunk_id FROM v_chunks WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: abs(x) >= 1e-9)) > 0")
@@ -375,7 +442,6 @@ def e9(spark, d):
 
 # F: requests -------------------------------------------------------------------------------------------------------------------
 
-_HITS = r"SELECT request_id, r.text, c.type, c.ord, c.label, list_filter(c.keywords, lambda w: regexp_matches(r.text, '(^|[\s,:;])' || w || '($|[\s,:;.])')) AS hits FROM v_requests r, v_catalogue c"
 
 
 @query("f1_keyword_hits", f"SELECT request_id, type, array_to_string(hits, ',') AS hits FROM ({_HITS}) WHERE len(hits) > 0")
@@ -383,7 +449,6 @@ def f1(spark, d):
     return N.keyword_hits(V.requests(spark, d), V.catalogue(spark)).select("request_id", "type", F.array_join("hits", ",").alias("hits"))
 
 
-_BEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY len(hits) DESC, ord DESC) AS n FROM ({_HITS})) WHERE n = 1"
 
 
 @query("f2_detect_intent", f"SELECT request_id, CASE WHEN len(hits) = 0 THEN 'general' ELSE type END AS type, array_to_string(hits, ',') AS hits, CASE WHEN len(hits) = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, round(0.5::DOUBLE + 0.1::DOUBLE * len(hits), 10)) END AS confidence FROM ({_BEST})")
@@ -405,12 +470,19 @@ def f4(spark, d):
     return N.refine_queries(N.detect_intent(V.requests(spark, d), V.catalogue(spark)), patterns=["(never such)x"]).select("request_id", "section", "query")
 
 
-@query("f5_recipient_line", "SELECT request_id, CASE WHEN request_id % 3 = 0 THEN 'individual' WHEN request_id % 3 = 1 THEN 'organization' WHEN request_id % 2 = 0 THEN 'individual' ELSE 'organization' END AS kind, CASE WHEN request_id % 3 = 0 OR (request_id % 3 = 2 AND request_id % 2 = 0) THEN 'To ' || CASE WHEN request_id % 2 = 0 THEN 'Dr. A' ELSE 'company / B' END ELSE 'To the company / ' || CASE WHEN request_id % 2 = 0 THEN 'Dr. A' ELSE 'B' END END AS line FROM v_requests")
+@query(
+    "f5_recipient_line",
+    f"""SELECT request_id, kind, CASE WHEN kind = 'individual' THEN 'To ' || who ELSE 'To the company / ' || coalesce(nullif(trim(regexp_replace(who, '^(That|The|In)\\s*/?\\s*', '')), ''), '{{{{recipient_name}}}}') END AS line
+    FROM (SELECT *, CASE WHEN n % 3 = 0 THEN 'individual' WHEN n % 3 = 1 THEN 'organization' WHEN contains(who, 'th') OR contains(who, 'en') THEN 'individual' ELSE 'organization' END AS kind
+    FROM (SELECT request_id, length(text) AS n, trim(array_to_string({_WORDS}[1:3], ' ')) AS who FROM v_requests))""",
+)
 def f5(spark, d):
-    i = F.col("request_id")
-    kind = F.when(i % 3 == 0, "Person ").when(i % 3 == 1, "company").otherwise("")
-    fields = F.create_map(F.lit("entity_type"), kind, F.lit("recipient_name"), F.when(i % 2 == 0, "Dr. A").otherwise("company / B"))
-    return V.requests(spark, d).withColumn("f", fields).select("request_id", T.entity_type(F.col("f")).alias("kind"), T.recipient_line(F.col("f")).alias("line"))
+    """Recipients are the first words of a request, the kind of recipient by its length."""
+    form = T.LetterForm(titles=["th", "en"], legal_forms=["That", "The", "In"])
+    n = F.char_length("text")
+    who = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    fields = F.create_map(F.lit("entity_type"), F.when(n % 3 == 0, "Person ").when(n % 3 == 1, "company").otherwise(""), F.lit("recipient_name"), who)
+    return V.requests(spark, d).withColumn("f", fields).select("request_id", T.entity_type(F.col("f"), form).alias("kind"), T.recipient_line(F.col("f"), form).alias("line"))
 
 
 # G: drafts ---------------------------------------------------------------------------------------------------------------------
@@ -418,7 +490,7 @@ def f5(spark, d):
 _TAG = r"\[source:\s*[^\]]+\]"
 
 
-@query("g1_split_sources", "SELECT draft_id, CASE WHEN p > 0 THEN regexp_replace(left(body, p - 1), '\\s+$', '') ELSE body END AS body, CASE WHEN p > 0 THEN regexp_replace(substring(body, p), '\\s+$', '') ELSE '' END AS block FROM (SELECT *, CASE WHEN draft_id % 4 = 0 THEN strpos(body, chr(10) || 'Sources' || chr(10)) + 1 ELSE 0 END AS p FROM v_drafts)")
+@query("g1_split_sources", "SELECT draft_id, CASE WHEN p > 0 THEN regexp_replace(left(body, p - 1), '\\s+$', '') ELSE body END AS body, CASE WHEN p > 0 THEN regexp_replace(substring(body, p), '\\s+$', '') ELSE '' END AS block FROM (SELECT *, CASE WHEN draft_id % 4 = 0 THEN strpos(body, chr(10) || '## Sources' || chr(10)) + 1 ELSE 0 END AS p FROM v_drafts)")
 def g1(spark, d):
     return V.drafts(spark, d).select("draft_id", T.split_sources_block(F.col("body")).alias("s")).select("draft_id", "s.*")
 
@@ -439,24 +511,45 @@ def g4(spark, d):
     return V.drafts(spark, d).select("draft_id", T.claim_count(F.col("body")).alias("claims"), T.has_unverified(F.col("body"), "worthless").alias("unverified"))
 
 
-@query("g5_dedupe_lines")
+@query(
+    "g5_dedupe_lines",
+    r"""WITH RECURSIVE l AS (SELECT draft_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS line FROM (SELECT draft_id, string_split(body, chr(10)) AS a FROM v_drafts)),
+    f AS (SELECT draft_id, i, regexp_replace(line, '\s+$', '') AS line, trim(regexp_replace(regexp_replace(line, '\[source:\s*[^\]]+\]', '', 'g'), '\s+', ' ', 'g')) AS form,
+      trim(line) = '' AS blank, trim(line) IN ('...', '…', '. . .', '-', '*', '•') AS filler FROM l),
+    s AS (SELECT draft_id, 0 AS i, []::VARCHAR[] AS seen, false AS after_blank, '' AS line, false AS keep FROM v_drafts
+      UNION ALL SELECT draft_id, i, CASE WHEN NOT blank AND NOT filler AND form <> '' AND NOT again THEN list_append(seen[-11:], form) ELSE seen END, blank, line, CASE WHEN blank THEN NOT after_blank ELSE NOT filler AND NOT (form <> '' AND again) END
+      FROM (SELECT f.*, s.seen, s.after_blank, list_contains(s.seen, f.form) OR (len(s.seen) > 0 AND length(s.seen[-1]) >= 40 AND starts_with(f.form, left(s.seen[-1], 40))) AS again FROM s JOIN f ON f.draft_id = s.draft_id AND f.i = s.i + 1))
+    SELECT draft_id, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keep), ''), chr(10)) AS body FROM s GROUP BY 1""",
+)
 def g5(spark, d):
     return V.drafts(spark, d).select("draft_id", T.dedupe_lines(F.col("body")).alias("body"))
 
 
-@query("g6_structure", "SELECT draft_id, 'To the company / Acme' || chr(10) || chr(10) || 'Subject: s' || draft_id || chr(10) || chr(10) || 'Greetings,' || chr(10) || chr(10) || 'To the matter,' || chr(10) || chr(10) || 'line ' || draft_id || chr(10) || 'last' || chr(10) || chr(10) || 'With kind regards' || chr(10) || chr(10) || 'The office' AS text FROM v_drafts")
+_ENVELOPE = "['To ', 'To the company / ', 'Subject:', 'Greetings,', 'To the matter,', 'With kind regards', 'The office']"
+
+
+@query(
+    "g6_structure",
+    f"""SELECT document_id, array_to_string(['To the company / ' || title, 'Subject: ' || coalesce(nullif(trim(regexp_replace(trim(l[1]), '^(.+?)\\*\\*$', '\\1')), ''), '{{{{subject}}}}'), 'Greetings,', 'To the matter,',
+      coalesce(nullif(array_to_string(list_filter(list_transform(l, lambda x: regexp_replace(x, '\\s+$', '')), lambda x: trim(x) <> '' AND len(list_filter({_ENVELOPE}, lambda p: starts_with(trim(x), p))) = 0), chr(10)), ''), '> No source supports this.'),
+      'With kind regards', 'The office'], chr(10) || chr(10)) AS text FROM (SELECT document_id, title, string_split(content, chr(10)) AS l FROM v_documents)""",
+)
 def g6(spark, d):
-    i = F.col("draft_id").cast("string")
-    body = F.concat(F.lit("To Dr. X\n\nSubject: s"), i, F.lit("\nGreetings,\nTo the matter, \n\nline "), i, F.lit("\n\nlast  \nWith kind regards\nmore"))
-    fields = F.create_map(F.lit("entity_type"), F.lit("company"), F.lit("recipient_name"), F.lit("company Acme"))
-    return V.drafts(spark, d).withColumn("f", fields).select("draft_id", T.enforce_structure(body, F.col("f")).alias("text"))
+    """Every document as the content of a letter that a model wrote, its first line as the subject."""
+    body = F.concat(F.lit("To Dr. X\n\nSubject: "), F.get(F.split("content", "\n"), F.lit(0)), F.lit("\nGreetings,\nTo the matter, \n\n"), F.col("content"), F.lit("\nWith kind regards\nmore"))
+    fields = F.create_map(F.lit("entity_type"), F.lit("company"), F.lit("recipient_name"), F.concat(F.lit("company "), "title"))
+    return V.documents(spark, d).withColumns({"f": fields, "body": body}).select("document_id", T.enforce_structure(F.col("body"), F.col("f")).alias("text"))
 
 
-@query("g7_markdown", "SELECT document_id, (n - 1)::INT AS pos, CASE WHEN n = 1 THEN 'h1' WHEN n % 3 = 0 THEN 'list' ELSE 'normal' END AS style, trim(l[n]) AS text FROM (SELECT document_id, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT document_id, string_split(content, chr(10)) AS l FROM v_documents WHERE NOT regexp_matches(content, '(^|\\n)\\s*[-*#•]')))")
+@query(
+    "g7_markdown",
+    r"""SELECT document_id, (n - 1)::INT AS pos, CASE WHEN regexp_matches(t, '^##\s+') THEN 'h2' WHEN regexp_matches(t, '^#\s+') THEN 'h1' WHEN regexp_matches(t, '^[-*•]\s+') THEN 'list' ELSE 'normal' END AS style, trim(regexp_replace(t, '^(##?|[-*•])\s+', '')) AS text
+    FROM (SELECT document_id, n, trim(CASE WHEN n = 1 THEN '# ' WHEN n % 5 = 4 THEN '## ' WHEN n % 3 = 0 THEN '- ' ELSE '' END || l[n]) AS t FROM (SELECT document_id, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT document_id, string_split(content, chr(10)) AS l FROM v_documents)))""",
+)
 def g7(spark, d):
-    rows = V.documents(spark, d).where(~F.col("content").rlike(r"(^|\n)\s*[-*#•]"))
-    lines = F.transform(F.split("content", "\n"), lambda x, n: F.when(n == 0, F.concat(F.lit("# "), x)).when(n % 3 == 2, F.concat(F.lit("- "), x)).otherwise(x))
-    return rows.select("document_id", F.posexplode(T.markdown_lines(F.array_join(lines, "\n"))).alias("pos", "m")).select("document_id", "pos", "m.*")
+    mark = lambda n: F.when(n == 0, "# ").when(n % 5 == 3, "## ").when(n % 3 == 2, "- ").otherwise("")
+    lines = F.transform(F.split("content", "\n"), lambda x, n: F.concat(mark(n), x))
+    return V.documents(spark, d).select("document_id", F.posexplode(T.markdown_lines(F.array_join(lines, "\n"))).alias("pos", "m")).select("document_id", "pos", "m.*")
 
 
 def _template(spark, d) -> DataFrame:
@@ -491,48 +584,70 @@ def g9(spark, d):
     return body_block(V.documents(spark, d), paragraphs, letters=r"(?s).", least=30)
 
 
-@query("g10_coerce_content", "SELECT document_id, CASE document_id % 3 WHEN 0 THEN 'plain ' || document_id WHEN 1 THEN 'a' || document_id || chr(10) || 'b' ELSE '' END AS text FROM v_documents")
+@query(
+    "g10_coerce_content",
+    """SELECT document_id, CASE document_id % 4 WHEN 0 THEN content WHEN 1 THEN content WHEN 2 THEN coalesce(array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda n: CASE n % 4 WHEN 1 THEN l[n] WHEN 2 THEN l[n] WHEN 3 THEN NULL ELSE l[n] END), lambda x: x IS NOT NULL), chr(10)), '') ELSE '' END AS text
+    FROM (SELECT document_id, content, string_split(content, chr(10)) AS l FROM v_documents)""",
+)
 def g10(spark, d):
-    i = F.col("document_id").cast("string")
-    value = F.when(F.col("document_id") % 3 == 0, F.concat(F.lit('"plain '), i, F.lit('"'))).when(F.col("document_id") % 3 == 1, F.concat(F.lit('[{"type":"text","text":"a'), i, F.lit('"},{"type":"image"},{"content":"b"}]')))
-    return V.documents(spark, d).select("document_id", T.coerce_content(value).alias("text"))
+    """Texts as a model's answer: a string, plain strings, and parts of four kinds, of which images say nothing."""
+    i, lines = F.col("document_id"), F.split("content", "\n")
+    whole = F.to_json(F.struct("content"))
+    quoted = lambda x: F.regexp_replace(F.to_json(F.struct(x.alias("x"))), r'(?s)^\{"x":(.*)\}$', "$1")
+    kinds = lambda x, n: F.when(n % 4 == 0, F.concat(F.lit('{"type":"text","text":'), quoted(x), F.lit("}"))).when(n % 4 == 1, quoted(x)).when(n % 4 == 2, F.concat(F.lit('{"type":"image","text":'), quoted(x), F.lit("}"))).otherwise(F.concat(F.lit('{"type":"block","content":'), quoted(x), F.lit("}")))
+    value = (
+        F.when(i % 4 == 0, F.regexp_replace(whole, r'(?s)^\{"content":(.*)\}$', "$1"))
+        .when(i % 4 == 1, F.to_json(lines))
+        .when(i % 4 == 2, F.concat(F.lit("["), F.array_join(F.transform(lines, kinds), ","), F.lit("]")))
+        .when(i % 8 == 3, "null")
+    )
+    return V.documents(spark, d).withColumn("value", value).select("document_id", T.coerce_content(F.col("value")).alias("text"))
 
 
-@query("g11_parse_review", "SELECT draft_id, CASE WHEN draft_id % 7 = 0 THEN 'unverifiable' ELSE verdict END AS verdict, CASE WHEN draft_id % 7 = 0 OR draft_id % 4 <> 0 THEN '' ELSE 'unsupported-' || draft_id END AS unsupported, 0 AS tone, CASE WHEN draft_id % 7 = 0 THEN '' ELSE 'seen' END AS summary FROM v_reviews")
+_FOUND = ", ".join(f"CASE WHEN draft_id % 7 = 0 THEN '' ELSE array_to_string({f}, '|') END AS {f}" for f in T.FINDINGS)
+
+
+@query("g11_parse_review", f"SELECT draft_id, CASE WHEN draft_id % 7 = 0 OR draft_id % 11 = 0 THEN 'unverifiable' ELSE verdict END AS verdict, {_FOUND}, CASE WHEN draft_id % 7 = 0 THEN '' ELSE coalesce(corrected, '') END AS suggested_corrections, CASE WHEN draft_id % 7 = 0 THEN '' ELSE verdict || ' seen' END AS summary_ar FROM v_reviews")
 def g11(spark, d):
     r = V.reviews(spark, d)
-    body = F.to_json(F.struct("verdict", "unsupported_claims", F.lit("seen").alias("summary")))
-    answer = F.when(F.col("draft_id") % 7 == 0, "I can't say {").when(F.col("draft_id") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
-    p = r.select("draft_id", T.parse_review(answer).alias("p"))
-    return p.select("draft_id", "p.verdict", F.array_join("p.unsupported_claims", ",").alias("unsupported"), F.size("p.tone_issues").alias("tone"), "p.summary")
+    lists = [F.when(F.size(f) > 0, F.col(f)).alias(f) for f in T.FINDINGS]  # kinds without findings are left out
+    body = F.to_json(F.struct(F.when(F.col("draft_id") % 11 != 0, F.col("verdict")).alias("verdict"), *lists, F.col("corrected").alias("suggested_corrections"), F.concat("verdict", F.lit(" seen")).alias("summary_ar")))
+    answer = F.when(F.col("draft_id") % 7 == 0, F.concat(F.lit("I can't say {"), F.get("unverified_claims", F.lit(0)))).when(F.col("draft_id") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    answer = F.coalesce(answer, F.lit("I can't say"))
+    p = r.withColumn("answer", answer).select("draft_id", T.parse_review(F.col("answer")).alias("p"))
+    return p.select("draft_id", "p.verdict", *[F.array_join(f"p.{f}", "|").alias(f) for f in T.FINDINGS], "p.suggested_corrections", "p.summary_ar")
 
 
-@query("g12_parse_draft", "SELECT draft_id, CASE WHEN draft_id % 5 <> 0 THEN 'T' || draft_id END AS title, CASE WHEN draft_id % 5 <> 0 THEN 'f' END AS field FROM v_drafts")
+@query("g12_parse_draft", "SELECT document_id, CASE WHEN ok THEN l[1] END AS title, CASE WHEN ok THEN content END AS body, CASE WHEN ok THEN 'f' || len(l) END AS field, CASE WHEN ok THEN category END AS category FROM (SELECT *, string_split(content, chr(10)) AS l, document_id % 5 <> 0 AS ok FROM v_documents)")
 def g12(spark, d):
-    i = F.col("draft_id").cast("string")
-    body = F.concat(F.lit('{"title":"T'), i, F.lit('","body_markdown":"b","placeholders":[{"field":"f","required":true,"hint":""}],"sources":[]}'))
-    answer = F.when(F.col("draft_id") % 5 == 0, "nothing").otherwise(F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone.")))
-    return V.drafts(spark, d).select("draft_id", T.parse_draft_json(answer).alias("p")).select("draft_id", "p.title", F.get("p.placeholders", F.lit(0))["field"].alias("field"))
+    """Every document as a draft in JSON, plain, fenced or inside prose, or missing from the answer."""
+    i, lines = F.col("document_id"), F.split("content", "\n")
+    place = F.array(F.struct(F.concat(F.lit("f"), F.size(lines).cast("string")).alias("field"), F.lit(True).alias("required"), F.lit("").alias("hint")))
+    source = F.array(F.struct(i.cast("string").alias("document_id"), "title", "category", F.lit("body").alias("contribution")))
+    body = F.to_json(F.struct(F.get(lines, F.lit(0)).alias("title"), F.col("content").alias("body_markdown"), place.alias("placeholders"), source.alias("sources")))
+    answer = F.when(i % 5 == 0, "nothing").when(i % 5 == 1, body).when(i % 5 == 2, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Here it is:\n"), body, F.lit("\nDone.")))
+    p = V.documents(spark, d).withColumn("answer", answer).select("document_id", T.parse_draft_json(F.col("answer")).alias("p"))
+    return p.select("document_id", "p.title", F.col("p.body_markdown").alias("body"), F.get("p.placeholders", F.lit(0))["field"].alias("field"), F.get("p.sources", F.lit(0))["category"].alias("category"))
 
 
 # H: review ---------------------------------------------------------------------------------------------------------------------
 
 
-@query("h1_findings", "SELECT draft_id, array_to_string(unsupported_claims || missing_fields || tone_issues, ',') AS findings FROM v_reviews")
+@query("h1_findings", f"SELECT draft_id, array_to_string({' || '.join(T.FINDINGS)}, '|') AS findings FROM v_reviews")
 def h1(spark, d):
-    return H.all_findings(V.reviews(spark, d)).select("draft_id", F.array_join("findings", ",").alias("findings"))
+    return H.all_findings(V.reviews(spark, d)).select("draft_id", F.array_join("findings", "|").alias("findings"))
 
 
-@query("h1_findings_by_kind", "SELECT * FROM (SELECT draft_id, 'unsupported_claims' AS kind, len(unsupported_claims)::BIGINT AS n FROM v_reviews UNION ALL SELECT draft_id, 'missing_fields', len(missing_fields) FROM v_reviews UNION ALL SELECT draft_id, 'tone_issues', len(tone_issues) FROM v_reviews) WHERE n > 0")
+@query("h1_findings_by_kind", f"SELECT * FROM ({' UNION ALL '.join(f"SELECT draft_id, '{f}' AS kind, len({f})::BIGINT AS n FROM v_reviews" for f in T.FINDINGS)}) WHERE n > 0")
 def h1b(spark, d):
     return H.findings_by_kind(V.reviews(spark, d))
 
 
-_STATUS = "CASE WHEN verdict = 'ok' THEN 'ok' WHEN verdict = 'unverifiable' OR corrected IS NULL OR re_verdict IS NULL OR re_verdict <> 'ok' OR draft_id % 3 = 0 THEN 'needs_review' ELSE 'fixable' END"
+_STATUS = "CASE WHEN verdict = 'ok' THEN 'ok' WHEN verdict = 'unverifiable' OR corrected IS NULL OR re_verdict IS NULL OR re_verdict <> 'ok' OR len(contradictions) > 0 THEN 'needs_review' ELSE 'fixable' END"
 
 
 def _status():
-    return H.final_status(F.col("verdict"), F.col("corrected"), F.col("re_verdict"), (F.col("draft_id") % 3 == 0).cast("int"))
+    return H.final_status(F.col("verdict"), F.col("corrected"), F.col("re_verdict"), F.size("contradictions"))
 
 
 @query("h2_final_status", f"SELECT draft_id, {_STATUS} AS final_status FROM v_reviews")
@@ -576,15 +691,19 @@ def h5(spark, d):
     return H.drafts_listing(V.drafts(spark, d)).select("draft_id", "user_id", "rank")
 
 
-@query("h6_draft_rows", "SELECT draft_id, CASE WHEN draft_id % 2 = 0 THEN 'Draft' ELSE 't' END AS title, final_status, CASE WHEN final_status = 'fixable' THEN corrected ELSE 'body' END AS clean_body, coalesce(re_verdict, verdict) AS compliance_verdict, CASE WHEN draft_id % 3 = 1 THEN draft_id END AS template_document_id FROM (SELECT *, CASE WHEN verdict = 'ok' THEN 'ok' WHEN verdict = 'unverifiable' OR corrected IS NULL OR re_verdict IS NULL OR re_verdict <> 'ok' THEN 'needs_review' ELSE 'fixable' END AS final_status FROM v_reviews)")
+@query(
+    "h6_draft_rows",
+    rf"""SELECT draft_id, coalesce(nullif(trim(string_split(b, chr(10))[1]), ''), 'Draft') AS title, final_status, trim(regexp_replace(CASE WHEN final_status = 'fixable' THEN corrected ELSE b END, '\s*{_TAG}', '', 'g')) AS clean_body, coalesce(re_verdict, verdict) AS compliance_verdict,
+    array_to_string(CASE WHEN re_verdict IS NULL THEN unverified_claims ELSE contradictions END, '|') AS unverified, CASE WHEN draft_id % 3 = 1 THEN draft_id END AS template_document_id
+    FROM (SELECT r.*, d.body AS b, {_STATUS} AS final_status FROM v_reviews r JOIN v_drafts d USING (draft_id))""",
+)
 def h6(spark, d):
     r = V.reviews(spark, d)
     i = F.col("draft_id")
-    none = F.array().cast("array<string>")
-    drafts = r.select("draft_id", F.when(i % 2 == 0, " ").otherwise("t").alias("title"), F.lit("body [source: x]").alias("body"), i.alias("template_document_id"), (i * 10).alias("template_file_id"), F.lit(1).alias("template_version"), (i % 3 == 1).alias("template_used"))
-    reviews = r.select("draft_id", "verdict", F.lit("s").alias("summary"), none.alias("findings"), "corrected", "re_verdict", F.lit("r").alias("re_summary"), none.alias("re_findings"))
-    out = H.persist_draft_rows(drafts, reviews, r.select("draft_id", F.array(F.lit("c")).alias("chunks_used")))
-    return out.select("draft_id", "title", "final_status", "clean_body", "compliance_verdict", "template_document_id")
+    drafts = V.drafts(spark, d).join(r.select("draft_id"), "draft_id").select("draft_id", F.get(F.split("body", "\n"), F.lit(0)).alias("title"), "body", i.alias("template_document_id"), (i * 10).alias("template_file_id"), F.lit(1).alias("template_version"), (i % 3 == 1).alias("template_used"))
+    reviews = r.select("draft_id", "verdict", F.lit("s").alias("summary"), F.col("unverified_claims").alias("findings"), "corrected", "re_verdict", F.lit("r").alias("re_summary"), F.col("contradictions").alias("re_findings"))
+    out = H.persist_draft_rows(drafts, reviews, r.select("draft_id", F.col("wrong_names").alias("chunks_used")))
+    return out.select("draft_id", "title", "final_status", "clean_body", "compliance_verdict", F.array_join("compliance_unverified", "|").alias("unverified"), "template_document_id")
 
 
 # I: catalogue ------------------------------------------------------------------------------------------------------------------
@@ -647,10 +766,10 @@ def i7(spark, d):
 _SAVED = "(chunk_index * 7 + document_id) % 3 <> 0"
 
 
-@query("i8_pending_chunks", f"SELECT chunk_id, file_id, ((n - 1) // 1 + 1)::INT AS batch_no FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY chunk_index) AS n FROM v_chunks WHERE NOT ({_SAVED})) WHERE n <= 1")
+@query("i8_pending_chunks", packed(20) + f" SELECT document_id AS file_id, chunk_index::INT AS chunk_index, ((n - 1) // 20 + 1)::INT AS batch_no FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS n FROM c WHERE NOT ({_SAVED})) WHERE n <= 200")
 def i8(spark, d):
-    c = V.chunks(spark, d).drop("embedding")
-    return C.pending_chunks(c, c.where(_SAVED), budget=1, batch=1).select("chunk_id", "file_id", "batch_no")
+    c = K.chunk_documents(paragraphed(spark, d), headings=NONE, target=20, hard_max=20, overlap=0).select("document_id", F.col("document_id").alias("file_id"), "chunk_index")
+    return C.pending_chunks(c, c.where(_SAVED)).select("file_id", "chunk_index", "batch_no")
 
 
 @query("i9_insert_once", "SELECT chunk_id FROM v_chunks")
@@ -846,9 +965,42 @@ def j6b(spark, d):
 # K: events and sessions --------------------------------------------------------------------------------------------------------
 
 
-@query("k1_storage_events", r"SELECT DISTINCT regexp_extract(name, '^(\d+)/v(\d+)/', 1) AS document_id, regexp_extract(name, '^(\d+)/v(\d+)/', 2)::INT AS version, bucket_id AS storage_bucket, name AS storage_path FROM v_events WHERE type = 'INSERT' AND bucket_id <> 'unknown' AND regexp_matches(name, '^\d+/v\d+/')")
+_GOOD_EVENT = r"type = 'INSERT' AND bucket_id <> 'unknown' AND regexp_matches(name, '^\d+/v\d+/')"
+_LAST = rf"SELECT regexp_extract(name, '^(\d+)/v(\d+)/', 1) AS document_id, regexp_extract(name, '^(\d+)/v(\d+)/', 2)::INT AS version, bucket_id, max(name) AS name, max(original_filename) AS file_name, max(size_bytes) AS size_bytes FROM v_events WHERE {_GOOD_EVENT} GROUP BY 1, 2, 3"
+
+
+@query(
+    "k1_storage_events",
+    f"""WITH f AS ({_LAST}) SELECT document_id || ':v' || version AS file_id, document_id, version, bucket_id AS storage_bucket, name AS storage_path, CASE WHEN size_bytes IS NOT NULL THEN 'text/plain' END AS mime_type, size_bytes, file_name AS original_filename, 'pending' AS status,
+    0 AS processed_chunks, 0 AS retry_count, TIMESTAMP '{V.NOW}' AS updated_at FROM f""",
+)
 def k1(spark, d):
-    return S.storage_events(V.storage_events(spark, d)).select("document_id", "version", "storage_bucket", "storage_path")
+    files = S.storage_rows(V.storage_events(spark, d), V.NOW)["files"]
+    return files.select("*", *[F.col(f"processing_progress.{c}").alias(c) for c in ("processed_chunks", "retry_count", "updated_at")]).drop("processing_progress")
+
+
+@query(
+    "k1_storage_documents",
+    f"""WITH f AS ({_LAST}), t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY version DESC) = 1)
+    SELECT document_id, regexp_replace(file_name, '\\.[^.]+$', '') AS title, CASE bucket_id WHEN 'policies' THEN 'internal_policies' WHEN 'regulations' THEN 'national_regulations' ELSE bucket_id END AS category, bucket_id AS bucket, true AS is_active, '' AS content, 'storage://' || bucket_id || '/' || name AS source_uri FROM t""",
+)
+def k1_documents(spark, d):
+    return S.storage_rows(V.storage_events(spark, d), V.NOW)["documents"]
+
+
+@query("k1_storage_jobs", f"WITH f AS ({_LAST}) SELECT document_id || ':v' || version AS file_id, 'pending' AS status, 100 AS priority, TIMESTAMP '{V.NOW}' AS scheduled_at FROM f")
+def k1_jobs(spark, d):
+    return S.storage_rows(V.storage_events(spark, d), V.NOW)["jobs"]
+
+
+@query("k1_event_stream", f"WITH f AS ({_LAST}) SELECT document_id || ':v' || version AS file_id, document_id, version, name AS storage_path FROM f")
+def k1_stream(spark, d):
+    """The events as JSON files, read as a stream twice: nothing changes the second time."""
+    path = shared_folder(spark, "events")
+    V.storage_events(spark, d).write.json(f"{path}/inbox")
+    for _ in range(2):
+        S.run_storage_events(spark, f"{path}/inbox", f"{path}/out", f"{path}/checkpoint", V.NOW)
+    return S.stored_rows(spark, f"{path}/out", "files").select("file_id", "document_id", "version", "storage_path")
 
 
 @query("k1_skipped", r"SELECT CASE WHEN type <> 'INSERT' THEN 'not an insert' WHEN bucket_id = 'unknown' THEN 'unknown bucket' WHEN NOT contains(name, '/') THEN 'bad path' WHEN NOT regexp_matches(name, '^\d+/v\d+/') THEN 'bad version segment' END AS skip, count(*) AS n FROM v_events GROUP BY 1")
@@ -856,6 +1008,22 @@ def k1b(spark, d):
     return S.parsed_events(V.storage_events(spark, d)).groupBy("skip").agg(F.count("*").alias("n"))
 
 
+@query(
+    "k2_ingest_stream",
+    packed(200).replace("v_documents", "v_parts") + " SELECT chunk_index::INT AS chunk_index, count(*) AS n, sum(n_tokens)::BIGINT AS n_tokens FROM c GROUP BY 1",
+)
+def k2(spark, d):
+    """Documents in fifty files, half of which come later: chunks by their place, after a run on the first, on all, and on nothing new."""
+    path = shared_folder(spark, "ingest")
+    rows = V.documents(spark, d).select((F.col("document_id") % 50).alias("part"), "document_id", F.concat(F.replace("content", F.lit("\n"), F.lit("\n\n")), F.lit("\n")).alias("content"))
+    for half in (0, 1, 2):
+        some = rows.where(F.col("part") % 2 == half).repartition("part").sortWithinPartitions("part", "document_id")
+        some.select("part", "content").write.mode("append").partitionBy("part").text(f"{path}/docs")
+        S.ingest_stream(spark, f"{path}/docs", f"{path}/chunks", f"{path}/checkpoint", E.hashing_embedder(DIM), DIM, headings=NONE, overlap=0)
+    out = spark.read.parquet(f"{path}/chunks")
+    return out.groupBy("chunk_index").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("n_tokens"))
+
+
 @query("k3_active_sessions", "SELECT user_id, max(session_id) AS session_id FROM v_sessions WHERE NOT is_closed GROUP BY 1")
 def k3(spark, d):
     return S.active_sessions(V.sessions(spark, d)).select("user_id", "session_id")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import FOLDERS, category_to_bucket, infer_category
+from ..functions.text import FINDINGS
 
 NOW = "2024-01-31 00:00:00"
 
@@ -79,13 +80,15 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (doc * 10 + version).alias("file_id"),
         F.when(v % 97 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")).alias("embedding"),
     )
-    return rows.join(d.select(F.col("doc_id").alias("document_id"), F.left("text", F.lit(200)).alias("content")), "document_id")
+    # chunks of a document hold fifths of its text, the whole of it between them
+    part, size = (F.col("chunk_id") % 5).cast("int"), F.ceil(F.char_length("text") / 5).cast("int")
+    texts = d.select(F.col("doc_id").alias("document_id"), "text")
+    return rows.join(texts, "document_id").withColumn("content", F.substring(F.col("text"), part * size + 1, size)).drop("text")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    ascii_only = F.regexp_replace("text", r"[^\x20-\x7E]", " ")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), ascii_only.alias("text"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "text")
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +139,7 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     tag = lambda n: F.concat(F.lit(" [source: doc-"), ((i + n) % 40).cast("string"), F.lit(" v1 #"), (n % 3).cast("string"), F.lit("]"))
     lines = F.transform(F.split("text", "\n"), lambda line, n: F.when(n % 3 == 2, F.concat(line, tag(n))).otherwise(line))
-    block = F.concat(F.lit("\nSources\n- [doc-"), (i % 40).cast("string"), F.lit(" v1 #0]: doc-"), (i % 40).cast("string"), F.lit(" - chunk #0 - similarity=0.8125\n"))
+    block = F.concat(F.when(i % 8 == 4, "\nSources").otherwise(""), F.lit("\n## Sources\n- [doc-"), (i % 40).cast("string"), F.lit(" v1 #0]: doc-"), (i % 40).cast("string"), F.lit(" - chunk #0 - similarity=0.8125\n"))
     body = F.concat(F.array_join(lines, "\n"), F.when(i % 4 == 0, block).otherwise(""))
     return d.join(labels, "doc_id", "left").select(
         i.alias("draft_id"), body.alias("body"), (i % 50).alias("user_id"), F.timestamp_seconds(F.lit(1704067200) + i * 37 % 100000).alias("generated_at"), "quality", "toxic"
@@ -144,17 +147,18 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of labelled documents; what they find are lines of the document, dealt to the kinds of findings by their place."""
     i = F.col("doc_id")
     verdict = F.when(i % 10 == 9, "fixable").when(F.col("quality") == 0, "unverifiable").when(F.col("toxic") == 0, "ok").otherwise("fixable")
-    one = lambda name, n: F.when(i % 4 == n, F.array(F.concat(F.lit(name + "-"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf_dir, "labels").select(
+    lines = F.split("text", "\n")
+    found = lambda k: F.filter(lines, lambda line, n: (((n + 1) * 7 + i) % 23 == k) & (line != ""))
+    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return labels.select(
         i.alias("draft_id"),
         verdict.alias("verdict"),
-        F.when(i % 10 == 9, F.concat(F.lit("corrected "), i.cast("string"))).alias("corrected"),
+        F.when(i % 10 == 9, F.concat(F.lit("corrected "), "text")).alias("corrected"),
         F.when(i % 20 == 9, "ok").when(i % 10 == 9, "fixable").alias("re_verdict"),
-        one("unsupported", 0).alias("unsupported_claims"),
-        one("missing", 1).alias("missing_fields"),
-        one("tone", 2).alias("tone_issues"),
+        *[found(k).alias(f) for k, f in enumerate(FINDINGS)],
     )
 
 
@@ -167,13 +171,13 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def storage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
     i = F.col("document_id")
-    once = f.select(
-        F.when(i % 9 == 0, "UPDATE").otherwise("INSERT").alias("type"),
-        F.lit("objects").alias("table"),
+    record = F.struct(
+        F.concat(F.lit("object-"), F.col("file_id").cast("string")).alias("id"),
         F.when(i % 23 == 0, "unknown").otherwise(F.col("storage_bucket")).alias("bucket_id"),
         F.when(i % 29 == 0, F.concat(i.cast("string"), F.lit("/x/"), F.col("original_filename"))).otherwise(F.col("storage_path")).alias("name"),
-        F.when(i % 5 == 0, 2).otherwise(1).alias("times"),
+        F.when(i % 6 != 0, F.struct(F.col("size_bytes").alias("size"), F.lit("text/plain").alias("mimetype"))).alias("metadata"),
     )
+    once = f.select(F.when(i % 9 == 0, "UPDATE").otherwise("INSERT").alias("type"), F.lit("objects").alias("table"), record.alias("record"), F.when(i % 5 == 0, 2).otherwise(1).alias("times"))
     return once.withColumn("n", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "n")
 
 
@@ -189,8 +193,9 @@ SQL = {
       CASE doc_id % 13 WHEN 0 THEN 'failed' WHEN 1 THEN 'needs_ocr' WHEN 2 THEN 'needs_doc_conversion' WHEN 3 THEN 'pending' ELSE 'indexed' END AS status,
       CASE doc_id % 13 WHEN 0 THEN 'could not read: failed' WHEN 1 THEN 'could not read: needs_ocr' WHEN 2 THEN 'could not read: needs_doc_conversion' END AS error_message,
       {_STAMP.format("doc_id")} AS updated_at FROM documents""",
+    "v_parts": r"SELECT document_id % 50 AS document_id, string_agg(replace(content, chr(10), chr(10) || chr(10)) || chr(10), chr(10) ORDER BY document_id) AS content FROM v_documents GROUP BY document_id % 50",
     "v_chunks": """SELECT vec_id AS chunk_id, vec_id // 5 AS document_id, CASE WHEN vec_id % 89 <> 0 THEN (1 + vec_id % 3)::INT END AS version, ((vec_id % 5) // 3)::INT AS chunk_index,
-      (vec_id // 5) * 10 + 1 + vec_id % 3 AS file_id, CASE WHEN vec_id % 97 = 0 THEN list_transform(embedding, lambda x: (x * 0)::FLOAT) ELSE embedding END AS embedding, left(text, 200) AS content
+      (vec_id // 5) * 10 + 1 + vec_id % 3 AS file_id, CASE WHEN vec_id % 97 = 0 THEN list_transform(embedding, lambda x: (x * 0)::FLOAT) ELSE embedding END AS embedding, substring(text, (vec_id % 5) * ((length(text) + 4) // 5) + 1, (length(text) + 4) // 5) AS content
       FROM embeddings JOIN documents ON doc_id = vec_id // 5""",
     "v_files": f"""SELECT document_id * 10 + version AS file_id, document_id, version, {_BUCKET} AS storage_bucket,
       CASE WHEN document_id % 17 = 0 THEN 'C:\\legacy\\' || document_id || '.txt' ELSE document_id || '/v' || version || '/' || document_id || '.txt' END AS storage_path,
@@ -198,22 +203,22 @@ SQL = {
       (coalesce(n, 0) + CASE WHEN document_id % 19 = 0 THEN 1 ELSE 0 END)::INT AS chunk_count
       FROM (SELECT *, unnest(range(1, current_version + 1 + CASE WHEN document_id % 7 = 0 THEN 1 ELSE 0 END))::INT AS version FROM v_documents)
       LEFT JOIN (SELECT file_id AS f, count(*) AS n FROM v_chunks GROUP BY 1) ON f = document_id * 10 + version""",
-    "v_requests": r"SELECT conv_id * 1000 + turn AS request_id, regexp_replace(text, '[^\x20-\x7E]', ' ', 'g') AS text FROM conversations WHERE role = 'user'",
+    "v_requests": "SELECT conv_id * 1000 + turn AS request_id, text FROM conversations WHERE role = 'user'",
     "v_queries": "SELECT vec_id AS request_id, embedding FROM embeddings WHERE vec_id % 100 = 0",
     "v_spec": "SELECT * FROM (VALUES ('templates', 5, 0.20::DOUBLE, 3), ('internal_policies', 8, 0.25::DOUBLE, 6), ('national_regulations', 8, 0.25::DOUBLE, 6)) t(category, k, threshold, cap)",
     "v_jobs": """SELECT event_id AS job_id, user_id * 10 + 1 AS file_id, CASE WHEN event_type IN ('signup', 'purchase') THEN 'pending' WHEN event_type = 'view' THEN 'processing' WHEN event_type = 'click' THEN 'done' ELSE 'failed' END AS status,
       (50 + 50 * (event_id % 4))::INT AS priority, ts AS scheduled_at, CASE WHEN event_id % 3 <> 0 THEN ts END AS claimed_at, (event_id % 6)::INT AS attempts, 5 AS max_attempts FROM events""",
     "v_catalogue": """SELECT * FROM (VALUES ('notice', 1, 'Notice', ['the', 'and', 'of']), ('request', 2, 'Request', ['to', 'of', 'in']), ('reply', 3, 'Reply', ['la', 'le', 'de']), ('report', 4, 'Report', ['und', 'der', 'to'])) t(type, ord, label, keywords)""",
     "v_drafts": f"""SELECT d.doc_id AS draft_id, array_to_string(list_transform(range(1, len(l) + 1), lambda n: l[n] || CASE WHEN (n - 1) % 3 = 2 THEN ' [source: doc-' || ((d.doc_id + n - 1) % 40) || ' v1 #' || ((n - 1) % 3) || ']' ELSE '' END), chr(10))
-      || CASE WHEN d.doc_id % 4 = 0 THEN chr(10) || 'Sources' || chr(10) || '- [doc-' || (d.doc_id % 40) || ' v1 #0]: doc-' || (d.doc_id % 40) || ' - chunk #0 - similarity=0.8125' || chr(10) ELSE '' END AS body,
+      || CASE WHEN d.doc_id % 4 = 0 THEN CASE WHEN d.doc_id % 8 = 4 THEN chr(10) || 'Sources' ELSE '' END || chr(10) || '## Sources' || chr(10) || '- [doc-' || (d.doc_id % 40) || ' v1 #0]: doc-' || (d.doc_id % 40) || ' - chunk #0 - similarity=0.8125' || chr(10) ELSE '' END AS body,
       d.doc_id % 50 AS user_id, {_STAMP.format("d.doc_id")} AS generated_at, quality, toxic FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents) d LEFT JOIN labels USING (doc_id)""",
     "v_reviews": """SELECT doc_id AS draft_id, CASE WHEN doc_id % 10 = 9 THEN 'fixable' WHEN quality = 0 THEN 'unverifiable' WHEN toxic = 0 THEN 'ok' ELSE 'fixable' END AS verdict,
-      CASE WHEN doc_id % 10 = 9 THEN 'corrected ' || doc_id END AS corrected, CASE WHEN doc_id % 20 = 9 THEN 'ok' WHEN doc_id % 10 = 9 THEN 'fixable' END AS re_verdict,
-      CASE WHEN doc_id % 4 = 0 THEN ['unsupported-' || doc_id] ELSE [] END AS unsupported_claims, CASE WHEN doc_id % 4 = 1 THEN ['missing-' || doc_id] ELSE [] END AS missing_fields,
-      CASE WHEN doc_id % 4 = 2 THEN ['tone-' || doc_id] ELSE [] END AS tone_issues FROM labels""",
+      CASE WHEN doc_id % 10 = 9 THEN 'corrected ' || text END AS corrected, CASE WHEN doc_id % 20 = 9 THEN 'ok' WHEN doc_id % 10 = 9 THEN 'fixable' END AS re_verdict, """
+    + ", ".join(f"list_filter(l, lambda x, n: (n * 7 + doc_id) % 23 = {k} AND x <> '') AS {f}" for k, f in enumerate(FINDINGS))
+    + " FROM (SELECT labels.*, text, string_split(text, chr(10)) AS l FROM labels JOIN documents USING (doc_id))",
     "v_sessions": "SELECT DISTINCT conv_id AS session_id, conv_id % 17 AS user_id, conv_id AS opened, conv_id % 2 = 0 AS is_closed FROM conversations",
     "v_events": """SELECT CASE WHEN document_id % 9 = 0 THEN 'UPDATE' ELSE 'INSERT' END AS type, 'objects' AS "table", CASE WHEN document_id % 23 = 0 THEN 'unknown' ELSE storage_bucket END AS bucket_id,
-      CASE WHEN document_id % 29 = 0 THEN document_id || '/x/' || original_filename ELSE storage_path END AS name, unnest(range(0, CASE WHEN document_id % 5 = 0 THEN 2 ELSE 1 END)) AS n FROM v_files""",
+      CASE WHEN document_id % 29 = 0 THEN document_id || '/x/' || original_filename ELSE storage_path END AS name, CASE WHEN document_id % 6 <> 0 THEN size_bytes END AS size_bytes, original_filename, unnest(range(0, CASE WHEN document_id % 5 = 0 THEN 2 ELSE 1 END)) AS n FROM v_files""",
 }
 
 

@@ -21,10 +21,10 @@ LEAST_PDF_CHARS = 50
 
 
 def read_corpus(spark: SparkSession, path: str, name_contains: str | None = None) -> DataFrame:
-    """Files under path by extension: rel_path, name, extension, size_bytes, content. Hidden folders and caches are left out."""
+    """Files under path by extension: rel_path, name, extension, size_bytes, content, in no order. Hidden folders and caches are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     root = F.lit(path.rstrip("/").split("://")[-1].lstrip("/") + "/")
-    return _listed(files, root, name_contains).orderBy("rel_path")
+    return _listed(files, root, name_contains)
 
 
 def _listed(files: DataFrame, root: Column, name_contains: str | None = None) -> DataFrame:

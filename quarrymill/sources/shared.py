@@ -5,16 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
-
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, under a temporary one for the application."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under spark.checkpoint.dir, or the one set by setCheckpointDir. Where neither is set a local master gets a temporary folder
+    for the application, as in tests; on a cluster that is an error, as executors would write to disks of their own.
+    """
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
-        app = spark.sparkContext.applicationId
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = context.applicationId
         where = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="spark-")
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, path: str) -> DataFrame:
+    """Writes df as Parquet and reads it back: cuts lineage and survives lost executors."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,52 +8,87 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import BUCKETS, bucket_to_category, parse_storage_path, source_uri
+from ..functions.text import COUNTERS
 from ..operators.catalog import insert_chunks_idempotent
 from ..operators.chunking import chunk_documents
 from ..operators.embedding import embed_column
 from ..sources.files import _listed, extract_text
 
-EVENT = "type string, `table` string, bucket_id string, name string"
+EVENT = "type string, `table` string, record struct<id:string, bucket_id:string, name:string, metadata:struct<size:bigint, mimetype:string>>"
+#: Priority of a new file's job.
+PRIORITY = 100
+#: Tables that events make rows of, and the keys that a later event's row takes over.
+KEYS = {"documents": ["document_id"], "files": ["document_id", "version"], "jobs": ["file_id"]}
 
 
 def parsed_events(events: DataFrame) -> DataFrame:
-    """events with the parts of their path and skip, why an event counts for nothing."""
-    p = parse_storage_path(F.col("name"))
-    out = events.withColumn("_p", p)
+    """events (EVENT) with the parts of their path and skip, why an event counts for nothing."""
+    r, p = F.col("record"), F.col("_p")
     skip = (
         F.when(F.col("type") != "INSERT", "not an insert")
         .when(F.col("table") != "objects", "other table")
-        .when(~F.col("bucket_id").isin(*BUCKETS.values()) | F.col("bucket_id").isNull(), "unknown bucket")
-        .otherwise(F.col("_p.skip"))
+        .when(~r["bucket_id"].isin(*BUCKETS.values()) | r["bucket_id"].isNull(), "unknown bucket")
+        .otherwise(p["skip"])
     )
-    return out.select("type", "bucket_id", "name", F.col("_p.document").alias("document_id"), F.col("_p.version").alias("version"), F.col("_p.name").alias("file_name"), skip.alias("skip"))
+    out = events.withColumn("_p", parse_storage_path(r["name"]))
+    return out.select(
+        "type", r["bucket_id"].alias("bucket_id"), r["name"].alias("name"), r["metadata"]["size"].alias("size_bytes"), r["metadata"]["mimetype"].alias("mime_type"),
+        p["document"].alias("document_id"), p["version"].alias("version"), p["name"].alias("file_name"), skip.alias("skip"),
+    )
 
 
-def storage_events(events: DataFrame) -> DataFrame:
-    """File rows of new objects, one for each (document, version): works on a batch and on a stream alike.
+def storage_rows(events: DataFrame, now: str) -> dict[str, DataFrame]:
+    """Rows of new objects for documents, files and jobs, one for each key (KEYS); of several events the one of the highest version, then name, counts.
 
-    On a stream the state of dropDuplicates grows with the keys; where events carry a time, set a watermark on it first and add it to the keys.
+    A document is active and without content yet; a file is pending with empty progress; its job is pending at priority 100. file_id is made
+    of document and version, so that an event that comes again makes the same rows.
     """
-    good = parsed_events(events).where("skip IS NULL").dropDuplicates(["document_id", "version"])
-    return good.select(
-        "document_id", "version", F.col("bucket_id").alias("storage_bucket"), F.col("name").alias("storage_path"), "file_name",
-        bucket_to_category(F.col("bucket_id")).alias("category"), source_uri("storage", F.col("name"), F.col("bucket_id")).alias("source_uri"), F.lit("pending").alias("status"),
+    good = parsed_events(events).where("skip IS NULL")
+    stamp = F.to_timestamp_ntz(F.lit(now))
+    last = good.groupBy("document_id", "version").agg(F.max(F.struct("name", "bucket_id", "file_name", "size_bytes", "mime_type")).alias("f")).select("document_id", "version", "f.*")
+    file_id = F.concat("document_id", F.lit(":v"), F.col("version").cast("string"))
+    progress = F.struct(*[F.lit(0).alias(c) for c in COUNTERS], F.lit(0).alias("retry_count"), *[F.lit(None).cast("string").alias(c) for c in ("last_error",)], F.lit(None).cast("timestamp_ntz").alias("started_at"), stamp.alias("updated_at"))
+    files = last.select(
+        file_id.alias("file_id"), "document_id", "version", F.col("bucket_id").alias("storage_bucket"), F.col("name").alias("storage_path"), "mime_type", "size_bytes",
+        F.col("file_name").alias("original_filename"), F.lit("pending").alias("status"), progress.alias("processing_progress"),
+    )
+    top = last.groupBy("document_id").agg(F.max(F.struct("version", "name", "bucket_id", "file_name")).alias("d")).select("document_id", "d.*")
+    documents = top.select(
+        "document_id", F.regexp_replace("file_name", r"\.[^.]+$", "").alias("title"), bucket_to_category(F.col("bucket_id")).alias("category"), F.col("bucket_id").alias("bucket"),
+        F.lit(True).alias("is_active"), F.lit("").alias("content"), source_uri("storage", F.col("name"), F.col("bucket_id")).alias("source_uri"),
     )
+    jobs = last.select(file_id.alias("file_id"), F.lit("pending").alias("status"), F.lit(PRIORITY).alias("priority"), stamp.alias("scheduled_at"))
+    return {"documents": documents, "files": files, "jobs": jobs}
 
 
-def run_storage_events(spark: SparkSession, folder: str, out: str, checkpoint: str) -> None:
-    """Reads JSON events that lie in folder and appends new file rows under out; a replayed event adds nothing, a restart loses nothing."""
-    stream = storage_events(spark.readStream.schema(EVENT).json(folder))
+def run_storage_events(spark: SparkSession, folder: str, out: str, checkpoint: str, now: str) -> None:
+    """Reads JSON events that lie in folder and writes rows under out/<table>/batch=<n>: `stored_rows` has the tables.
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    The stream keeps no state and a batch reads nothing but its events. One that runs again replaces what it wrote, and a row whose key came
+    before takes over when the tables are read, so a replayed event adds nothing and a restart loses nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        for name, rows in storage_rows(batch, now).items():
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
-    stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark.readStream.schema(EVENT).json(folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def stored_rows(spark: SparkSession, out: str, table: str) -> DataFrame:
+    """documents, files or jobs as the last event of each key left them."""
+    rows = spark.read.parquet(f"{out}/{table}")
+    columns = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(*KEYS[table]).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("r.*")
 
 
 def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, embed: Callable, dim: int, **options) -> None:
-    """New files under folder to chunks with vectors under out, batch by batch; a batch that runs again replaces what it wrote, and no chunk is written twice."""
-    schema = spark.read.format("binaryFile").load(folder).schema
+    """New files under folder to chunks with vectors under out, batch by batch.
+
+    The file source gives each file to one batch, as the checkpoint has it, and a batch that runs again replaces what it wrote, so a restart
+    loses nothing and no chunk is written twice; no batch reads an earlier one.
+    """
+    schema = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).schema
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(folder)
     root = F.lit(folder.rstrip("/").split("://")[-1].lstrip("/") + "/")
 
@@ -61,11 +96,7 @@ def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, e
         loaded = extract_text(_listed(batch, root)).where("status = 'ok'").withColumn("file_id", F.xxhash64("rel_path"))
         chunks = chunk_documents(loaded, "file_id", "text", **options).withColumn("chunk_id", F.xxhash64("file_id", "chunk_index"))
         rows = embed_column(chunks.select("chunk_id", "file_id", "chunk_index", "content", "n_tokens"), "content", embed, dim)
-        before = [f"{out}/batch={n}" for n in range(number)]
-        if before:
-            seen = spark.read.parquet(*before)
-            rows = insert_chunks_idempotent(seen.select(*rows.columns).limit(0), rows).join(seen.select("file_id", "chunk_index"), ["file_id", "chunk_index"], "left_anti").select(*rows.columns)
-        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        insert_chunks_idempotent(rows.limit(0), rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
