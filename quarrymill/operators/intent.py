@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import exploded
+
 LEFT, RIGHT = r"(?:^|[\s،,:;])", r"(?:$|[\s،,:;.])"
 GENERAL = "general"
 
@@ -36,7 +38,7 @@ def _scored(text: Column, catalogue: DataFrame) -> Column:
 
 def keyword_hits(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(request_id, type, ord, label, hits) for every type with a hit. No shuffle: the catalogue travels as literals."""
-    rows = requests.select("request_id", F.explode(_scored(F.col("text"), catalogue)).alias("e"))
+    rows = exploded(requests, ["request_id"], _scored(F.col("text"), catalogue), "place", "e")
     return rows.select("request_id", "e.type", "e.ord", "e.label", "e.hits").where(F.size("hits") > 0)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FINDINGS, citation_labels, strip_citation_tags
+from ..functions.text import FINDINGS, citation_labels, exploded, strip_citation_tags
 
 
 def _list(df: DataFrame, name: str) -> Column:
@@ -42,7 +42,7 @@ def ships(status: Column, draft: Column, re_verdict: Column) -> Column:
 
 def citation_audit(bodies: DataFrame, evidence: DataFrame, by: str = "draft_id") -> dict[str, DataFrame]:
     """bodies (by, body), evidence (by, label) -> cited (by, label, n), dangling (cited, not in the evidence), uncited (in the evidence, never cited)."""
-    cited = bodies.select(by, F.explode(citation_labels(F.col("body"))).alias("label")).groupBy(by, "label").agg(F.count("*").alias("n"))
+    cited = exploded(bodies, [by], citation_labels(F.col("body")), "place", "label").groupBy(by, "label").agg(F.count("*").alias("n"))
     known = evidence.select(by, "label").distinct()
     return {"cited": cited, "dangling": cited.join(known, [by, "label"], "left_anti"), "uncited": known.join(cited, [by, "label"], "left_anti")}
 

@@ -219,7 +219,7 @@ _FORM = "SELECT request_id, n, CASE WHEN n % 2 = 1 THEN string_split(x, ' ')[1]
 def b11(spark, d):
     lines = F.split(F.replace("text", F.lit(". "), F.lit(".\n")), "\n")
     form = F.array_join(F.transform(lines, lambda x, n: F.when(n % 2 == 0, F.concat(F.get(F.split(x, " "), F.lit(0)), F.lit(" : "), x)).otherwise(x)), "\n")
-    return V.requests(spark, d).select("request_id", F.explode(T.parse_fields(form)).alias("key", "value"))
+    return V.requests(spark, d).select("request_id", F.explode_outer(T.parse_fields(form)).alias("key", "value")).where("key is not null")
 
 
 _WORDS = "string_split(text, ' ')"
@@ -253,7 +253,7 @@ def paragraphed(spark, d) -> DataFrame:
 
 @query("c1_split_blocks", f"WITH b AS ({BLOCKS}) SELECT document_id, unnest(range(0, len(blocks)))::INT AS pos, unnest(blocks) AS block FROM b")
 def c1(spark, d):
-    return paragraphed(spark, d).select("document_id", F.posexplode(T.split_blocks(F.col("content"))).alias("pos", "block"))
+    return T.exploded(paragraphed(spark, d), ["document_id"], T.split_blocks(F.col("content")), "pos", "block")
 
 
 HEADINGS = T.heading_pattern(["Of", "The", "And"])
@@ -273,7 +273,7 @@ def c2(spark, d):
     SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY pos) - 1)::INT AS pos, CASE WHEN opens THEN regexp_replace(block, '[ :.\-]+$', '') || chr(10) || following ELSE block END AS block FROM g WHERE NOT coalesce(used, false)""",
 )
 def c3(spark, d):
-    return paragraphed(spark, d).select("document_id", F.posexplode(T.attach_headings(T.split_blocks(F.col("content")), HEADINGS)).alias("pos", "block"))
+    return T.exploded(K.blocks_of(paragraphed(spark, d), "document_id", "content", HEADINGS), ["document_id"], F.col("blocks"), "pos", "block")
 
 
 @query(
@@ -286,7 +286,7 @@ def c3(spark, d):
 def c5(spark, d):
     text = F.translate("content", "\n", " ")
     cut = K.chunker(target=20, hard_max=20, overlap=0)
-    return V.documents(spark, d).select("document_id", F.posexplode(cut(F.array(text))).alias("pos", "c")).select("document_id", "pos", F.col("c.content").alias("piece"))
+    return T.exploded(V.documents(spark, d), ["document_id"], cut(F.array(text)), "pos", "c").select("document_id", "pos", F.col("c.content").alias("piece"))
 
 
 @query("c6_lag_overlap", "SELECT chunk_id, CASE WHEN p IS NULL THEN content ELSE array_to_string(list_slice(string_split(p, ' '), -5, -1), ' ') || ' ' || content END AS content FROM (SELECT chunk_id, content, lag(content) OVER (PARTITION BY document_id ORDER BY chunk_id) AS p FROM v_chunks)")
@@ -498,7 +498,7 @@ def g1(spark, d):
 @query("g2_citations", "SELECT draft_id, 'doc-' || (draft_id % 40) || ' v1 #0' AS label, 'doc-' || (draft_id % 40) AS title, 0 AS chunk_index, 0.8125::DOUBLE AS similarity FROM v_drafts WHERE draft_id % 4 = 0")
 def g2(spark, d):
     block = T.split_sources_block(F.col("body"))["block"]
-    return V.drafts(spark, d).select("draft_id", F.explode(T.parse_citations(block)).alias("c")).select("draft_id", "c.*")
+    return T.exploded(V.drafts(spark, d), ["draft_id"], T.parse_citations(block), "pos", "c").select("draft_id", "c.*")
 
 
 @query("g3_strip_tags", rf"SELECT draft_id, trim(regexp_replace(body, '\s*{_TAG}', '', 'g')) AS clean_body FROM v_drafts")
@@ -549,7 +549,7 @@ def g6(spark, d):
 def g7(spark, d):
     mark = lambda n: F.when(n == 0, "# ").when(n % 5 == 3, "## ").when(n % 3 == 2, "- ").otherwise("")
     lines = F.transform(F.split("content", "\n"), lambda x, n: F.concat(mark(n), x))
-    return V.documents(spark, d).select("document_id", F.posexplode(T.markdown_lines(F.array_join(lines, "\n"))).alias("pos", "m")).select("document_id", "pos", "m.*")
+    return T.exploded(V.documents(spark, d), ["document_id"], T.markdown_lines(F.array_join(lines, "\n")), "pos", "m").select("document_id", "pos", "m.*")
 
 
 def _template(spark, d) -> DataFrame:
