@@ -265,13 +265,13 @@ def c2(spark, d):
     return c1(spark, d).select("document_id", "pos", T.is_heading(F.col("block"), HEADINGS).alias("heading"))
 
 
-@query(
-    "c3_attach_headings",
-    rf"""WITH b AS ({BLOCKS}), u AS (SELECT document_id, unnest(range(0, len(blocks)))::INT AS pos, unnest(blocks) AS block, len(blocks) AS n FROM b), h AS (
+HEADED = rf"""b AS ({BLOCKS}), u AS (SELECT document_id, unnest(range(0, len(blocks)))::INT AS pos, unnest(blocks) AS block, len(blocks) AS n FROM b), h AS (
       SELECT *, {_IS_HEADING} AS heading FROM u), r AS (SELECT *, pos - coalesce(max(CASE WHEN NOT heading THEN pos END) OVER (PARTITION BY document_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS run FROM h),
-    g AS (SELECT *, heading AND run % 2 = 1 AND pos + 1 < n AS opens, lag(heading AND run % 2 = 1) OVER w AS used, lead(block) OVER w AS following FROM r WINDOW w AS (PARTITION BY document_id ORDER BY pos))
-    SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY pos) - 1)::INT AS pos, CASE WHEN opens THEN regexp_replace(block, '[ :.\-]+$', '') || chr(10) || following ELSE block END AS block FROM g WHERE NOT coalesce(used, false)""",
-)
+    g AS (SELECT *, heading AND run % 2 = 1 AND pos + 1 < n AS opens, lag(heading AND run % 2 = 1) OVER w AS used, lead(block) OVER w AS following FROM r WINDOW w AS (PARTITION BY document_id ORDER BY pos)),
+    headed AS (SELECT document_id, (row_number() OVER (PARTITION BY document_id ORDER BY pos) - 1)::INT AS pos, CASE WHEN opens THEN regexp_replace(block, '[ :.\-]+$', '') || chr(10) || following ELSE block END AS block FROM g WHERE NOT coalesce(used, false))"""
+
+
+@query("c3_attach_headings", f"WITH {HEADED} SELECT * FROM headed")
 def c3(spark, d):
     return T.exploded(K.blocks_of(paragraphed(spark, d), "document_id", "content", HEADINGS), ["document_id"], F.col("blocks"), "pos", "block")
 
@@ -295,7 +295,28 @@ def c6(spark, d):
     return K.lag_overlap(rows, 5).select(F.col("chunk_index").alias("chunk_id"), "content")
 
 
-@query("c7_chunk_documents")
+@query(
+    "c7_chunk_documents",
+    rf"""WITH RECURSIVE {HEADED},
+    t AS (SELECT document_id, pos, ws, list_transform(ws, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> ''))) AS ts FROM (SELECT document_id, pos, string_split(block, ' ') AS ws FROM headed)),
+    k AS (SELECT document_id, pos, ts, len(ws) AS nw, list_sum(ts)::BIGINT AS n, (sum(len(ws)) OVER (PARTITION BY document_id ORDER BY pos))::BIGINT AS stop FROM t),
+    one AS (SELECT document_id, pos, stop - nw AS base, n, unnest(range(1, len(ts) + 1)) AS i, unnest(ts) AS x FROM k),
+    sums AS (SELECT *, (sum(x) OVER (PARTITION BY document_id ORDER BY pos, i))::BIGINT AS total, (sum(x) OVER (PARTITION BY document_id, pos ORDER BY i))::BIGINT AS c FROM one),
+    doc AS (SELECT w.document_id, w.words, [0::BIGINT] || s.totals AS totals FROM (SELECT document_id, flatten(list(ws ORDER BY pos)) AS words FROM t GROUP BY 1) w JOIN (SELECT document_id, list(total ORDER BY pos, i) AS totals FROM sums GROUP BY 1) s USING (document_id)),
+    piece AS (SELECT document_id, pos, (greatest(c, 1) - 1) // 200 AS part, base + min(i) - 1 AS a, base + max(i) AS b, sum(x)::BIGINT AS n, true AS big FROM sums WHERE n > 200 GROUP BY document_id, pos, base, (greatest(c, 1) - 1) // 200
+      UNION ALL SELECT document_id, pos, 0, stop - nw, stop, n, false FROM k WHERE n <= 200),
+    p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY pos, part) AS i FROM piece),
+    s AS (SELECT document_id, i, a, b, part, big, n, 0 AS chunk, n AS tokens FROM p WHERE i = 1
+      UNION ALL SELECT p.document_id, p.i, p.a, p.b, p.part, p.big, p.n, CASE WHEN NOT p.big AND NOT s.big AND s.tokens + p.n <= 200 THEN s.chunk ELSE s.chunk + 1 END, CASE WHEN NOT p.big AND NOT s.big AND s.tokens + p.n <= 200 THEN s.tokens + p.n ELSE p.n END
+      FROM s JOIN p ON p.document_id = s.document_id AND p.i = s.i + 1),
+    c AS (SELECT document_id, chunk, min(a) AS a, max(b) AS b, bool_or(big AND part = 0) AS opens FROM s GROUP BY 1, 2),
+    l AS (SELECT c.*, words, totals, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM c JOIN doc USING (document_id) WINDOW w AS (PARTITION BY document_id ORDER BY chunk)),
+    e AS (SELECT *, CASE WHEN opens AND pb IS NOT NULL AND totals[b + 1] - totals[greatest(pa, pb - 60) + 1] <= 256 THEN greatest(pa, pb - 60) ELSE a END AS a1 FROM l),
+    f AS (SELECT *, greatest(lag(a1) OVER (PARTITION BY document_id ORDER BY chunk), pb - 80) AS lo, totals[b + 1] - totals[a1 + 1] AS own FROM e),
+    y AS (SELECT *, coalesce(lo + len(list_filter(range(lo, pb), lambda q: totals[pb + 1] - totals[q + 1] > 256 - own)), 0) AS x FROM f)
+    SELECT document_id, chunk::INT AS chunk_index, CASE WHEN x < coalesce(pb, 0) THEN array_to_string(words[x + 1:pb], ' ') || ' ' ELSE '' END || trim(array_to_string(words[a1 + 1:b], ' ')) AS content,
+      (own + CASE WHEN x < coalesce(pb, 0) THEN totals[pb + 1] - totals[x + 1] ELSE 0 END)::INT AS n_tokens FROM y""",
+)
 def c7(spark, d):
     return K.chunk_documents(paragraphed(spark, d), headings=HEADINGS)
 
