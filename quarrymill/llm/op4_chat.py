@@ -59,7 +59,7 @@ def expand(turns: DataFrame) -> DataFrame:
         ends.alias("spans"),
     )
     flat = flat.withColumn("last", F.size("spans") - 1)
-    rows = flat.select("conv_id", "whole", "last", F.posexplode("spans").alias("target", "s")).where("s.reply or target = last")
+    rows = flat.select("conv_id", "whole", "last", F.posexplode_outer("spans").alias("target", "s")).where("s.reply or target = last")  # plain, it would also filter on spans, and work them out twice
     end = F.col("s.loss_to") + len(STOP) + 1
     reply = F.col("s.reply")
     return rows.select(

@@ -51,7 +51,8 @@ RATES, DRAW = 256, 10
 
 def frequent_words(docs: DataFrame, most: int = 500) -> list[str]:
     """The most frequent words of 3 to 12 letters, counted over all texts; `most` bounds what reaches the driver."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,12}"), F.lit(0))).alias("w"))
+    # explode_outer, here and below: a plain explode also filters on the array's size, for which Spark would work it out twice
+    words = docs.select(F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,12}"), F.lit(0))).alias("w")).where("w is not null")
     return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).collect()]
 
 
@@ -66,11 +67,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     some = docs.where(may(F.col("text"))).select("doc_id", "source", words.alias("words"))
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: may(F.get("words", i)) | near(F.col("words"), i, -1).rlike("[=:>]$"))
     one = lambda i: F.struct(i.cast("long").alias("place"), F.get("words", i).alias("word"), *[near(F.col("words"), i, k).alias(n) for n, k in (("w1", -1), ("w2", -2), ("w3", 1), ("w4", -3), ("w5", -4))])
-    placed = some.select("doc_id", "source", F.explode(F.transform(at, one)).alias("p")).select("doc_id", "source", "p.*")
+    placed = some.select("doc_id", "source", F.explode_outer(F.transform(at, one)).alias("p")).where("p is not null").select("doc_id", "source", "p.*")
     runs = F.regexp_extract_all("word", F.lit(RUN), F.lit(0))
     values = F.filter(assigned_values(), lambda v: v != "")
     apart = lambda r: ~F.exists(F.col("values_"), lambda v: F.contains(v, r) | F.contains(r, v))
-    placed = placed.withColumn("values_", values).withColumn("candidate", F.explode(F.concat("values_", F.filter(runs, apart))))
+    placed = placed.withColumn("values_", values).withColumn("candidate", F.explode_outer(F.concat("values_", F.filter(runs, apart)))).where("candidate is not null")
     taken = words_of_name()
     before = lambda k: F.element_at(F.array("w1", "w2", "w4", "w5"), (taken + k).cast("int"))
     return placed.withColumns({"b1": before(1), "b2": before(2)}).drop("values_", "w4", "w5")
