@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -53,9 +54,9 @@ def drop_work(spark: SparkSession) -> int:
     return len(paths)
 
 
-def save(df: DataFrame, path: str) -> DataFrame:
+def save(df: DataFrame, path: str, codec: str = "snappy") -> DataFrame:
     """Writes df as Parquet and reads it back: cuts lineage, survives lost executors and gives joins true sizes."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,7 +70,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def numbered(df: DataFrame, path: str, name: str) -> DataFrame:
     """df written under path, with a number of its own for each row in the column name, which df must not have."""
-    return save(df.withColumn(name, F.monotonically_increasing_id()), path)
+    return save(df.withColumn(name, F.monotonically_increasing_id()), path, "zstd")
 
 
 #: A key with more than a PARTS-th of all rows, and more than LEAST_HOT, is dealt to several tasks.
@@ -148,6 +149,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     return segment_hash(_LOWER[body] if lower else body, starts, ends - starts), np.searchsorted(begins, offsets)
 
 
+def word_digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """SHA-256 of each row's words, lower-cased and parted by one space."""
+    solid = ~_SPACE[data]
+    kept = solid.copy()
+    kept[1:] |= solid[:-1]  # of white space the first after a word
+    at = np.concatenate([[0], np.cumsum(kept)])[offsets]
+    body = np.where(solid, _LOWER[data], np.uint8(32))[kept].tobytes()
+    return [hashlib.sha256(body[a:b].strip()).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-word shingles of each row, repeats included, and the rows' limits in them.
 
@@ -166,10 +177,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.ndar
     return mix64(out), limits
 
 
-def shingle_sets(column: pa.Array, n: int = 5):
-    """Yields (row, sorted distinct shingle hashes) of every row of a string column."""
+def shingle_sets(column: pa.Array, n: int = 5, digests: list[bytes] | None = None):
+    """Yields (row, sorted distinct shingle hashes) of every row of a string column; digests gets the word_digests of all rows."""
     for first, data, offsets in byte_batches(column):
         flat, limits = shingles(data, offsets, n)
+        if digests is not None:
+            digests += word_digests(data, offsets)
         for i in range(len(offsets) - 1):
             yield first + i, np.unique(flat[limits[i] : limits[i + 1]])
 

@@ -13,8 +13,9 @@
    documents into groups, and inside a group, again in blocks, all such pairs are confirmed on the full shingle sets from the texts.
    Tasks send on spanning forests of links, never all pairs.
 
-Copies of a set, found by a 128-bit hash of it, are confirmed on the full sets as all other links are. Shingles are told apart by 64-bit
-hashes of their words' 64-bit hashes. Keys, hubs and sets that over a thousandth of all rows share are dealt to several tasks.
+Documents whose words are the same throughout (by SHA-256 of the whole sequence) have one set; other copies of a set, found by a 128-bit
+hash of it, are confirmed on the full sets as all links are. Shingles are told apart by 64-bit hashes of their words' 64-bit hashes. Keys,
+hubs and sets that over a thousandth of all rows share are dealt to several tasks; where texts meet, adaptive execution splits partitions.
 
 Everything but (1) and the set comparison is DataFrame code. Nulls: a null text is empty; a null doc_id is never linked, and its row
 is returned with component_id null and kept true. Rows that repeat a doc_id are documents of their own (the rows are numbered then, in a
@@ -35,12 +36,12 @@ from pyspark.sql import functions as F
 from .common import block_pairs, dealt_join, groups, hot_keys, mix64, numbered, save, shingle_sets, work_dir
 from .graph import connected_components
 
-SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, signature binary"
+SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, words binary, keys array<long>, signature binary"
 BLOCK, BLOCK_BYTES = 512, 16 << 20
 
 
 def signatures(docs: DataFrame, chunks: int = 10, width: int = 4, errors: int = 1, shingle: int = 5, symbols: int = 256, seed: int = 7) -> DataFrame:
-    """(doc_id, n_shingles, 128-bit set hash, index keys, a byte of each of the signature's symbols) of every row of docs (doc_id, text)."""
+    """(doc_id, n_shingles, 128-bit set hash, digest of the words, index keys, a byte of each of the signature's symbols) of every row of docs (doc_id, text)."""
     n_index = chunks * width
     k = max(symbols, n_index)
     rng = np.random.default_rng(seed)
@@ -63,7 +64,8 @@ def signatures(docs: DataFrame, chunks: int = 10, width: int = 4, errors: int =
             n = len(batch)
             counts, h = np.zeros(n, np.int64), np.zeros((2, n), np.uint64)
             found, size, signs = [], np.zeros(n + 1, np.int32), [b""] * n
-            for i, s in shingle_sets(batch.column(1), shingle):
+            words: list[bytes] = []
+            for i, s in shingle_sets(batch.column(1), shingle, words):
                 counts[i] = len(s)
                 if not len(s):
                     continue
@@ -78,15 +80,15 @@ def signatures(docs: DataFrame, chunks: int = 10, width: int = 4, errors: int =
                 size[i + 1] = len(found[-1])
             flat = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(flat)), pa.array(signs, pa.binary())],
-                names=["doc_id", "n_shingles", "h1", "h2", "keys", "signature"],
+                [batch.column(0), pa.array(counts), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array(words, pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(flat)), pa.array(signs, pa.binary())],
+                names=["doc_id", "n_shingles", "h1", "h2", "words", "keys", "signature"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNATURE)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
-    """Of a written table of pairs (a, b) those with 100 * |A and B| >= percent * |A or B| on the full shingle sets of texts (doc_id, text)."""
+    """Of pairs (a, b) those with 100 * |A and B| >= percent * |A or B| on the full shingle sets of texts (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
@@ -106,8 +108,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = 75, shingle: in
 
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"], pairs.count())
-    return dealt_join(pairs.join(b, "b"), a, ["a"], "b", hot).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _near(signs: np.ndarray, c: np.ndarray, side: np.ndarray, most: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -168,12 +169,15 @@ def linked(texts: DataFrame, work: str, percent: int, shingle: int, chunks: int,
     every = save(signatures(texts, chunks, width, errors, shingle, symbols), f"{work}/signatures")
     filled = every.where("n_shingles > 0")
 
-    # documents with the same set: one representative; hot groups shrink before the shuffle
-    same = ["h1", "h2", "n_shingles"]
-    reps = save(filled.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), f"{work}/sets")
+    # documents with the same words, and with the same set: one representative; hot groups shrink before the shuffle
     total = every.count()
-    copies = dealt_join(filled.select(*same, "doc_id"), reps.where("n > 1").drop("n"), same, "doc_id", hot_keys(reps, same, total))
-    copies = copies.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    same = ["h1", "h2", "n_shingles"]
+    texts_of = save(filled.groupBy(*same, "words").agg(F.min("doc_id").alias("one"), F.count("*").alias("n")), f"{work}/words")
+    copies = dealt_join(filled.select("words", *same, "doc_id"), texts_of.where("n > 1").drop("n"), [*same, "words"], "doc_id", hot_keys(texts_of, [*same, "words"], total))
+    copies = copies.where("doc_id <> one").select(F.col("one").alias("a"), F.col("doc_id").alias("b"))
+    reps = save(texts_of.groupBy(*same).agg(F.min("one").alias("rep"), F.count("*").alias("n")), f"{work}/sets")
+    others = dealt_join(texts_of.select(*same, "one"), reps.where("n > 1").drop("n"), same, "one", hot_keys(reps, same, total))
+    others = others.where("one <> rep").select(F.col("rep").alias("a"), F.col("one").alias("b"))
 
     # the index: keys that several representatives have, with the least of them as hub
     index = filled.join(reps.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
@@ -182,7 +186,7 @@ def linked(texts: DataFrame, work: str, percent: int, shingle: int, chunks: int,
     members = save(dealt_join(index, hubs.drop("n"), ["key"], "doc_id", hot), f"{work}/members")
     star = members.where("doc_id <> hub").groupBy("hub", "doc_id").count()
     best = star.groupBy("doc_id").agg(F.max(F.struct("count", F.negative("hub"))).alias("m")).select(F.negative(F.col("m.col2")).alias("a"), F.col("doc_id").alias("b"))
-    links = save(confirmed(save(best.union(copies), f"{work}/pairs"), texts, percent, shingle), f"{work}/links")
+    links = save(confirmed(save(best.union(others), f"{work}/pairs"), texts, percent, shingle), f"{work}/links")
     part = save(connected_components(links, f"{work}/parts"), f"{work}/part")
 
     # what is left: pairs under one key that lie in different components
@@ -194,7 +198,7 @@ def linked(texts: DataFrame, work: str, percent: int, shingle: int, chunks: int,
     close = close.select(F.col("id").alias("doc_id"), F.col("component").alias("g")).join(open_.select("doc_id", "c", "signature").dropDuplicates(["doc_id"]), "doc_id")
     more = save(crossing(close.join(texts, "doc_id"), "g", percent, symbols, shingle), f"{work}/more")
 
-    ends = connected_components(links.union(more), f"{work}/ends")
+    ends = connected_components(copies.union(links).union(more), f"{work}/ends")
     return every.join(ends, every.doc_id == ends.id, "left").select("doc_id", "n_shingles", "component")
 
 
