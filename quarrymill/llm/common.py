@@ -68,6 +68,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(df: DataFrame) -> list[str]:
+    """The names of all columns of df, for select, whatever they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
 def numbered(df: DataFrame, path: str, name: str) -> DataFrame:
     """df written under path, with a number of its own for each row in the column name, which df must not have."""
     return save(df.withColumn(name, F.monotonically_increasing_id()), path, "zstd")

@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt_join, fresh, hot_keys, numbered, save, work_dir
+from .common import dealt_join, fresh, hot_keys, numbered, quoted, save, work_dir
 
 #: State on disk, checkpointed as changes. Without preallocated logs, which take megabytes for every state partition.
 STATE = {
@@ -127,7 +127,7 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     rows = numbered(docs, path, row)
     place = F.struct(F.lit(path).alias("file_path"), F.col(row).alias("row_index"))
     kept = exact_duplicates(rows, place).where("kept").select(F.col("locator.row_index").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    return rows.join(kept, row, "left_semi").select(*quoted(docs))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

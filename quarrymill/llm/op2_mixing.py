@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, numbered, save, work_dir
+from .common import fresh, numbered, quoted, save, work_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -101,7 +101,7 @@ def mixed(docs: DataFrame, quality: DataFrame | None = None, **options) -> DataF
     rows = numbered(docs, f"{work_dir(docs.sparkSession, 'mixed')}/rows", row)
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))
     times = mix(rows, quality, number=row, **options).where("copies > 0").select(F.col("row").alias(row), each.alias(fresh(docs, "_copy")))
-    return rows.join(times, row).select(*docs.columns)
+    return rows.join(times, row).select(*quoted(docs))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

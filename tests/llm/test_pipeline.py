@@ -17,7 +17,7 @@ from .test_operators import brute_components, fold, prose
 
 
 #: Columns that the operators use inside.
-CLASH = ["copies", "_id", "_copy", "_row", "row", "_locator", "locator", "key", "size", "weight", "component_id", "kept", "n", "score", "_part"]
+CLASH = ["copies", "_id", "_copy", "_row", "row", "_locator", "locator", "key", "size", "weight", "component_id", "kept", "n", "score", "_part", "a.b", "c`d"]
 
 
 @pytest.fixture(scope="module")
