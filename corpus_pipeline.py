@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.llm import op2_mixing, op7_minhash, op8_pieces, op9_quality, op10_exact
-from quarrymill.llm.common import fresh, numbered, save, work_dir
+from quarrymill.llm.common import fresh, numbered, quoted, save, work_dir
 from quarrymill.llm.op6_language import held_out
 
 
@@ -41,7 +41,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     ids = rows.select(F.col(row).alias("row"), "doc_id")
     kept = ids.join(parts, "row").groupBy("component_id").agg(first.alias("k")).select(F.col("k.row").alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    return rows.join(kept, row, "left_semi").select(*quoted(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
