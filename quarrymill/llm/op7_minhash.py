@@ -45,8 +45,8 @@ def signatures(docs: DataFrame, chunks: int = 10, width: int = 4, errors: int =
     n_index = chunks * width
     k = max(symbols, n_index)
     rng = np.random.default_rng(seed)
-    odd = rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    odd = rng.integers(0, 1 << 31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 1 << 32, k, dtype=np.uint32)
     kept = [list(c) for c in combinations(range(width), width - errors)]
 
     def keys(low: np.ndarray) -> np.ndarray:
@@ -59,7 +59,20 @@ def signatures(docs: DataFrame, chunks: int = 10, width: int = 4, errors: int =
             out[:, j] = key
         return out.ravel().view(np.int64)
 
+    def least(s: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """The least of each hash function (of 32 bits) over a set of shingle hashes."""
+        low = np.full(k, np.iinfo(np.uint32).max, np.uint32)
+        x = (s >> np.uint64(32)).astype(np.uint32)
+        for a in range(0, len(x), len(room)):
+            part = x[a : a + len(room)]
+            table = room[: len(part)]
+            np.multiply(part[:, None], odd, out=table)
+            np.add(table, add, out=table)
+            np.minimum(low, table.min(axis=0), out=low)
+        return low
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = np.empty((512, k), np.uint32)  # used again for each set: new memory costs more than the hashes
         for batch in batches:
             n = len(batch)
             counts, h = np.zeros(n, np.int64), np.zeros((2, n), np.uint64)
@@ -70,11 +83,7 @@ def signatures(docs: DataFrame, chunks: int = 10, width: int = 4, errors: int =
                 if not len(s):
                     continue
                 h[0, i], h[1, i] = np.add.reduce(s), np.add.reduce(mix64(s + np.uint64(0x5851F42D4C957F2D)))
-                low = np.full(k, np.iinfo(np.uint64).max, np.uint64)
-                for a in range(0, len(s), 512):
-                    part = s[a : a + 512]
-                    np.minimum(low, (part[None, :] * odd[:, None] + add[:, None]).min(axis=1), out=low)
-                low = mix64(low)
+                low = mix64(least(s, room).astype(np.uint64) + np.uint64(1))
                 signs[i] = (low >> np.uint64(40)).astype(np.uint8).tobytes()
                 found.append(keys(low))
                 size[i + 1] = len(found[-1])
@@ -182,7 +191,7 @@ def linked(texts: DataFrame, work: str, percent: int, shingle: int, chunks: int,
     # the index: keys that several representatives have, with the least of them as hub
     index = filled.join(reps.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
     hubs = save(index.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1"), f"{work}/hubs")
-    hot = hot_keys(hubs, ["key"], total)
+    hot = hot_keys(hubs, ["key"], hubs.agg(F.sum("n")).first()[0] or 0)
     members = save(dealt_join(index, hubs.drop("n"), ["key"], "doc_id", hot), f"{work}/members")
     star = members.where("doc_id <> hub").groupBy("hub", "doc_id").count()
     best = star.groupBy("doc_id").agg(F.max(F.struct("count", F.negative("hub"))).alias("m")).select(F.negative(F.col("m.col2")).alias("a"), F.col("doc_id").alias("b"))
