@@ -32,7 +32,7 @@ from .common import _LOWER, byte_batches, save, work_dir
 
 LONGEST = 3
 #: Places of a run that a task holds, distinct words of a run, words that are counted at once (with WORDS under 2^21), and entries of a range.
-RUN, WORDS, STEP, RANGE = 2_000_000, 1 << 20, 1 << 19, 1_000_000
+RUN, WORDS, STEP, RANGE = 1_000_000, 1 << 20, 1 << 19, 1_000_000
 #: Of how many entries of a run one is told to where ranges are cut; phrases that a first ranking keeps to.
 MARK, SALTED = 1000, 20_000
 _SPACE, _CUT = np.zeros(256, bool), np.zeros(256, bool)
@@ -54,7 +54,7 @@ class Grams:
         """The n-grams from place a to b with the symbols that they use."""
         used = np.unique(np.concatenate([c[a:b] for c in self.columns]))
         used = used[used > 0]
-        return Grams(self.symbols.take(pa.array(used - 1)), [np.where(c[a:b] > 0, np.searchsorted(used, c[a:b]) + 1, 0) for c in self.columns], self.weight[a:b])
+        return Grams(self.symbols.take(pa.array(used - 1)), [np.where(c[a:b] > 0, np.searchsorted(used, c[a:b]) + 1, 0).astype(np.int32) for c in self.columns], self.weight[a:b])
 
     def place(self, gram: list[bytes]) -> int:
         """How many of the n-grams come before gram."""
@@ -94,7 +94,7 @@ def _named(parts: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
     """The distinct symbols of several lists in order, and the number (from 1) of each in it."""
     coded = pa.concat_arrays(parts).dictionary_encode()
     by_name = pc.sort_indices(coded.dictionary).to_numpy(zero_copy_only=False)
-    rank = np.empty(len(by_name), np.int64)
+    rank = np.empty(len(by_name), np.int32)
     rank[by_name] = np.arange(1, len(by_name) + 1)
     return coded.dictionary.take(pa.array(by_name)), rank[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else NONE
 
@@ -103,7 +103,7 @@ def united(parts: list[Grams], least: int = 0) -> Grams:
     """The union of several, weights of equal n-grams added up; those under least are left out."""
     symbols, codes = _named([p.symbols for p in parts])
     base = np.cumsum([0, *(len(p.symbols) for p in parts)])
-    own = [np.append(0, codes[a:b]) for a, b in pairwise(base)]
+    own = [np.append(np.int32(0), codes[a:b]) for a, b in pairwise(base)]
     columns = [np.concatenate([o[p.columns[k]] for o, p in zip(own, parts, strict=True)]) for k in range(LONGEST)]
     order = _order(columns, len(symbols))
     columns = [c[order] for c in columns]
@@ -158,7 +158,7 @@ class Automaton:
             arc = np.repeat(begin[state], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             held = [np.repeat(h, n) for h in held] + [word[arc]]
             some = weight[arc] > 0
-            found.append(([h[some] for h in held] + [np.zeros(int(some.sum()), np.int64)] * (LONGEST - len(held)), weight[arc][some]))
+            found.append(([h[some] for h in held] + [np.zeros(int(some.sum()), np.int32)] * (LONGEST - len(held)), weight[arc][some].astype(np.int64)))
             state = to[arc]
         columns = [np.concatenate([f[0][k] for f in found]) for k in range(LONGEST)]
         order = _order(columns, len(self.symbols))
@@ -192,7 +192,7 @@ class Automaton:
     @staticmethod
     def load(blob: bytes) -> Automaton:
         columns = [c.chunk(0).values for c in pa.ipc.open_stream(blob).read_all().columns]
-        numbers = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[1:]]
+        numbers = [c.to_numpy(zero_copy_only=False) for c in columns[1:]]
         return Automaton(columns[0], [tuple(numbers[4 * k : 4 * k + 4]) for k in range(LONGEST)])
 
 
@@ -289,7 +289,7 @@ class Counter:
         if not self.keys:
             return None
         symbols, rank = _named(self.symbols)
-        rank = np.append(0, rank)
+        rank = np.append(np.int32(0), rank)
         keys, count = np.concatenate(self.keys), np.concatenate(self.counts)
         self.clear()
         columns = [rank[(keys >> (21 * (LONGEST - 1 - k))) & ((1 << 21) - 1)] for k in range(LONGEST)]
@@ -305,7 +305,7 @@ class Counter:
             sums = np.add.reduceat(count, at)
             some = columns[k][at] > 0
             at = at[some]
-            parts.append(([c[at] if j <= k else np.zeros(len(at), np.int64) for j, c in enumerate(columns)], sums[some]))
+            parts.append(([c[at] if j <= k else np.zeros(len(at), np.int32) for j, c in enumerate(columns)], sums[some]))
         columns = [np.concatenate([p[0][k] for p in parts]) for k in range(LONGEST)]
         order = _order(columns, len(symbols))
         return Grams(symbols, [c[order] for c in columns], np.concatenate([p[1] for p in parts])[order])
