@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import MapType, StringType, VariantType
 
 from ..functions.paths import is_local_path
+from ..sources.shared import dealt_left_join, hot_values, save, shared_folder
 
 CLAIM_S, STALE_S = 300, 1800
 MAX_ATTEMPTS = 5
@@ -20,19 +21,28 @@ def _before(column: str, now: str, seconds: int) -> Column:
     return F.col(column) < F.to_timestamp_ntz(F.lit(now)) - F.expr(f"INTERVAL {seconds} SECOND")
 
 
-def upsert_documents(target: DataFrame, batch: DataFrame, key: str = "source_uri", keep: tuple[str, ...] = ("document_id", "created_at")) -> DataFrame:
-    """The new table with action inserted, updated or kept; a match keeps its id and creation time. The batch has one row for each key."""
-    t, b = target.alias("t"), batch.alias("b")
-    both = t.join(b, F.col(f"t.{key}") == F.col(f"b.{key}"), "full_outer")
-    old, new = F.col(f"t.{key}").isNotNull(), F.col(f"b.{key}").isNotNull()
-    action = F.when(old & new, "updated").when(new, "inserted").otherwise("kept")
+def upsert_documents(target: DataFrame, batch: DataFrame, key: str = "source_uri", keep: tuple[str, ...] = ("document_id", "created_at"), order: tuple[str, ...] = ()) -> DataFrame:
+    """The new table with action inserted, updated or kept; a match keeps its id and creation time.
+
+    Of batch rows that share a key the last by `order` counts, of those that tie the one whose other columns are greatest. A null key matches
+    nothing: rows of the target with one stay, rows of the batch with one are all inserted. Null keys meet no join.
+    """
+    whole = lambda df, name: df.select(F.col(key).alias("_key"), F.struct(*[F.col(c) for c in df.columns]).alias(name))
+    old, new = whole(target, "_t"), whole(batch, "_b")
+    ordered = [F.col(f"_b.{c}") for c in order] + [F.col(f"_b.{f.name}") for f in batch.schema if f.name not in order and not isinstance(f.dataType, (MapType, VariantType))]
+    last = new.where("_key is not null").groupBy("_key").agg(F.max_by("_b", F.struct(*ordered)).alias("_b"))
+    both = old.where("_key is not null").join(last, "_key", "full_outer").select("_t", "_b")
+    none = lambda df, name: F.lit(None).cast(df.schema[name].dataType).alias(name)
+    both = both.unionByName(old.where("_key is null").select("_t", none(new, "_b"))).unionByName(new.where("_key is null").select(none(old, "_t"), "_b"))
+    was, comes = F.col("_t").isNotNull(), F.col("_b").isNotNull()
+    action = F.when(was & comes, "updated").when(comes, "inserted").otherwise("kept")
 
     def column(c: str) -> Column:
         if c not in batch.columns:
-            return F.col(f"t.{c}")
+            return F.col(f"_t.{c}")
         if c in keep:
-            return F.when(old, F.col(f"t.{c}")).otherwise(F.col(f"b.{c}"))
-        return F.when(new, F.col(f"b.{c}")).otherwise(F.col(f"t.{c}"))
+            return F.when(was, F.col(f"_t.{c}")).otherwise(F.col(f"_b.{c}"))
+        return F.when(comes, F.col(f"_b.{c}")).otherwise(F.col(f"_t.{c}"))
 
     return both.select(*[column(c).alias(c) for c in target.columns], action.alias("action"))
 
@@ -64,15 +74,19 @@ def ingest_outcome(loaded: DataFrame, categories: list[str]) -> DataFrame:
 def dedupe_content(docs: DataFrame, order: tuple[str, ...] = ("updated_at", "document_id"), hash_col: str = "content_hash") -> DataFrame:
     """Each document with keeper (the earliest of its hash) and is_duplicate; a null hash is never a duplicate.
 
-    The keeper is an aggregate with map-side combine, so one text that many documents share isn't gathered in a task; texts aren't shuffled.
+    The keeper is an aggregate with map-side combine, and only hashes that come twice are joined back, with those that over a
+    thousandth of all documents share dealt to several tasks. Texts aren't shuffled.
     """
-    first = docs.where(F.col(hash_col).isNotNull()).groupBy(hash_col).agg(F.min(F.struct(*order)).alias("_first"))
+    known = docs.where(F.col(hash_col).isNotNull())
+    first = known.groupBy(hash_col).agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_n"))
+    first = save(first.where("_n > 1"), shared_folder(docs.sparkSession, "keepers"))
     keeper = F.coalesce(F.col(f"_first.{order[-1]}"), F.col(order[-1]))
-    return docs.join(first, hash_col, "left").withColumn("keeper", keeper).withColumn("is_duplicate", F.col("keeper") != F.col(order[-1])).drop("_first")
+    out = dealt_left_join(docs, first.drop("_n"), hash_col, order[-1], hot_values(first.select(hash_col, F.col("_n").alias("n")), hash_col))
+    return out.withColumn("keeper", keeper).withColumn("is_duplicate", F.col("keeper") != F.col(order[-1])).drop("_first")
 
 
 def latest_version(documents: DataFrame, files: DataFrame, category: str | None = None, bucket: str | None = None, active: bool | None = None) -> DataFrame:
-    """Every document with its file of the highest version (one aggregate, no sort), last changed first."""
+    """Every document with its file of the highest version: one aggregate, no sort. `list_documents` puts documents in order."""
     top = files.groupBy("document_id").agg(F.max_by(F.struct("file_id", "version", "status", "storage_bucket", "storage_path", "size_bytes"), "version").alias("file"))
     out = documents.join(top, "document_id", "left")
     if category is not None:
@@ -81,18 +95,25 @@ def latest_version(documents: DataFrame, files: DataFrame, category: str | None
         out = out.where(F.col("file.storage_bucket") == bucket)
     if active is not None:
         out = out.where(F.col("is_active") == active)
-    return out.orderBy(F.desc("updated_at"), "document_id")
+    return out
 
 
 def next_version(uploads: DataFrame, documents: DataFrame, files: DataFrame, by_title: bool = False) -> DataFrame:
-    """uploads (upload_id, document_id or title) with version: 1 for a new document, else its current version + 1 and on within the batch; conflict if it exists."""
-    key = F.lower(F.col("title")) if by_title else F.col("document_id")
-    d = documents.select(F.col("document_id").alias("_document"), "current_version", key.alias("_key"))
-    u = uploads.withColumn("_key", key)
-    out = u.join(d, "_key", "left")
+    """uploads (upload_id, document_id or title) with version: 1 for a new document, else its current version + 1 and on within the batch; conflict if it exists.
+
+    Titles match whatever their case; of documents with one title the first (smallest document_id) counts. An upload with neither id nor title
+    is a new document of its own.
+    """
+    key = lambda df: F.lower(F.col("title")) if by_title else F.col("document_id")
+    d = documents.select(F.col("document_id").alias("_document"), "current_version", key(documents).alias("_key"))
+    first = d.where("_key is not null").groupBy("_key").agg(F.min_by(F.struct("_document", "current_version"), "_document").alias("_d")).select("_key", "_d.*")
+    u = uploads.withColumn("_key", key(uploads))
+    known = u.where("_key is not null").join(first, "_key", "left")
     place = F.row_number().over(Window.partitionBy("_key").orderBy("upload_id"))
-    out = out.withColumn("version", (F.coalesce("current_version", F.lit(0)) + place).cast("int")).withColumn("is_new", F.col("_document").isNull())
-    taken = files.select(F.col("document_id").alias("_document"), "version", F.lit(True).alias("_taken"))
+    known = known.withColumn("version", (F.coalesce("current_version", F.lit(0)) + place).cast("int"))
+    alone = u.where("_key is null").withColumns({"_document": F.lit(None).cast(d.schema["_document"].dataType), "current_version": F.lit(None).cast("int"), "version": F.lit(1)})
+    out = known.unionByName(alone).withColumn("is_new", F.col("_document").isNull())
+    taken = files.select(F.col("document_id").alias("_document"), "version", F.lit(True).alias("_taken")).distinct()
     return out.join(taken, ["_document", "version"], "left").withColumn("conflict", F.coalesce("_taken", F.lit(False))).drop("_taken", "_key", "current_version").withColumnRenamed("_document", "existing_document_id")
 
 

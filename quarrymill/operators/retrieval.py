@@ -150,12 +150,19 @@ def match_batch_expression(queries: DataFrame, chunks: DataFrame, spec: DataFram
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.greatest("k", F.lit(1)))
 
 
-def grouped_context(hits: DataFrame, categories: list[str]) -> DataFrame:
-    """Hits of each request by category, in the order of categories, with total and is_empty."""
+def _requests(rows: DataFrame, requests: DataFrame | None) -> DataFrame:
+    """The requests to answer: each once, those without a row too if they are given."""
+    return (rows if requests is None else requests).select("request_id").distinct()
+
+
+def grouped_context(hits: DataFrame, categories: list[str], requests: DataFrame | None = None) -> DataFrame:
+    """Hits of each request by category, in the order of categories, with total and is_empty; `requests` (request_id) without hits have empty lists."""
     by = hits.groupBy("request_id").agg(
         *[F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == c, F.struct("rank", "chunk_id")))), lambda x: x["chunk_id"]).alias(c) for c in categories], F.count("*").alias("total")
     )
-    return by.withColumn("is_empty", F.col("total") == 0)
+    none = F.array().cast(by.schema[categories[0]].dataType) if categories else None
+    out = _requests(hits, requests).join(by, "request_id", "left").withColumns({c: F.coalesce(c, none) for c in categories} | {"total": F.coalesce("total", F.lit(0))})
+    return out.withColumn("is_empty", F.col("total") == 0)
 
 
 def label(title: Column, version: Column, index: Column) -> Column:
@@ -175,6 +182,13 @@ def build_evidence(hits: DataFrame, caps: list[tuple[str, int]]) -> DataFrame:
     return kept.withColumns({"label": label(F.col("title"), F.col("version"), F.col("chunk_index")), "best_template": first, "has_template": first.isNotNull()})
 
 
+def evidence_bundles(evidence: DataFrame, requests: DataFrame, sections: list[str] = SECTIONS) -> DataFrame:
+    """One row for each request, those without evidence too: chunks of each section, best_template and has_template."""
+    own = evidence.groupBy("request_id").agg(*[F.count_if(F.col("section") == s).alias(s) for s in sections], F.first("best_template", ignorenulls=True).alias("best_template"))
+    out = _requests(evidence, requests).join(own, "request_id", "left").withColumns({s: F.coalesce(s, F.lit(0)) for s in sections})
+    return out.withColumn("has_template", F.col("best_template").isNotNull())
+
+
 def citation() -> Column:
     return F.struct("document_id", "file_id", "version", "chunk_index", "title", "category", F.round("similarity", 4).alias("similarity"))
 
@@ -183,11 +197,16 @@ def to_citations(evidence: DataFrame) -> DataFrame:
     return evidence.select("request_id", "position", "label", *[citation()[c].alias(c) for c in ("document_id", "file_id", "version", "chunk_index", "title", "category", "similarity")])
 
 
-def render_evidence(evidence: DataFrame, sections: list[tuple[str, str]] = [("templates", "Templates"), ("internal_policies", "Policies"), ("national_regulations", "Regulations")], drop_templates: bool = False, no_template: str = "_No template was found._") -> DataFrame:
-    """One markdown text for each request: a heading for each section with hits, `### label  (similarity=0.123)` and the content of each hit."""
+def render_evidence(evidence: DataFrame, sections: list[tuple[str, str]] = [("templates", "Templates"), ("internal_policies", "Policies"), ("national_regulations", "Regulations")], drop_templates: bool = False, no_template: str = "_No template was found._", requests: DataFrame | None = None) -> DataFrame:
+    """One markdown text for each request: a heading for each section with hits, `### label  (similarity=0.123)` and the content of each hit.
+
+    Where no template was found there is a notice, for `requests` (request_id) without any evidence too.
+    """
     block = F.concat(F.lit("### "), F.col("label"), F.format_string("  (similarity=%.3f)", "similarity"), F.lit("\n"), F.trim(F.coalesce("content", F.lit(""))))
     rows = evidence.select("request_id", "section", "position", block.alias("block"))
     got = rows.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("position", "section", "block"))).alias("all"))
+    none = F.array().cast(got.schema["all"].dataType)
+    got = _requests(evidence, requests).join(got, "request_id", "left").withColumn("all", F.coalesce("all", none))
 
     def text(section: str, heading: str) -> Column:
         own = F.transform(F.filter("all", lambda x: x["section"] == section), lambda x: x["block"])
@@ -206,7 +225,9 @@ def references_by_document(chunks_used: DataFrame, by: str = "draft_id") -> Data
     return g.withColumn("seen", F.row_number().over(Window.partitionBy(by).orderBy("first_position")))
 
 
-def provenance(evidence: DataFrame) -> DataFrame:
-    """All chunks of a request's evidence in order, as one list with the similarity unrounded."""
+def provenance(evidence: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """All chunks of a request's evidence in order, as one list with the similarity unrounded; empty for `requests` (request_id) without any."""
     one = F.struct("position", "document_id", "file_id", "version", "chunk_index", "title", "category", "similarity")
-    return evidence.groupBy("request_id").agg(F.array_sort(F.collect_list(one)).alias("chunks_used"))
+    got = evidence.groupBy("request_id").agg(F.array_sort(F.collect_list(one)).alias("chunks_used"))
+    none = F.array().cast(got.schema["chunks_used"].dataType)
+    return _requests(evidence, requests).join(got, "request_id", "left").withColumn("chunks_used", F.coalesce("chunks_used", none))

@@ -47,14 +47,24 @@ def citation_audit(bodies: DataFrame, evidence: DataFrame, by: str = "draft_id")
     return {"cited": cited, "dangling": cited.join(known, [by, "label"], "left_anti"), "uncited": known.join(cited, [by, "label"], "left_anti")}
 
 
-def drafts_listing(drafts: DataFrame, user: int | None = None, final_status: str | None = None, limit: int | None = None) -> DataFrame:
-    """Drafts of a user, newest first, or with a status, latest generated first; without either, each user's in order of rank."""
-    if user is not None:
-        out = drafts.where(F.col("user_id") == user).orderBy(F.desc("generated_at"), "draft_id")
-    elif final_status is not None:
-        out = drafts.where(F.col("final_status") == final_status).orderBy(F.desc("generated_at"), "draft_id")
+def drafts_listing(drafts: DataFrame, user: int | None = None, final_status: str | None = None, limit: int | None = None, template: tuple[int, int] | None = None, by_template: bool = False) -> DataFrame:
+    """Drafts of a user, with a status, or made from a template (document, version), newest first.
+
+    Without any of them each user's drafts with their rank, or with by_template those of each template version; drafts without a template are then
+    left out.
+    """
+    newest = [F.desc("generated_at"), "draft_id"]
+    asked = [F.col(c) == v for c, v in (("user_id", user), ("final_status", final_status)) if v is not None]
+    if template is not None:
+        asked += [F.col("template_document_id") == template[0], F.col("template_version") == template[1]]
+    if asked:
+        for one in asked:
+            drafts = drafts.where(one)
+        out = drafts.orderBy(*newest)
     else:
-        out = drafts.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("generated_at"), "draft_id")))
+        keys = ["template_document_id", "template_version"] if by_template else ["user_id"]
+        rows = drafts.where("template_document_id is not null") if by_template else drafts
+        out = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest)))
     return out.limit(limit) if limit else out
 
 

@@ -377,7 +377,7 @@ _VISIBLE = "SELECT c.*, d.category, d.title, d.source_uri FROM v_chunks c JOIN v
 _GOOD = f"SELECT *, embedding::DOUBLE[] AS v FROM ({_VISIBLE}) WHERE len(list_filter(embedding, lambda x: abs(x) >= 1e-9)) > 0"
 _SIM = "round(list_cosine_similarity(v, q), 12)"
 _RANKED = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, category ORDER BY similarity DESC, chunk_id) AS rank FROM (
-  SELECT r.request_id, g.*, s.k, s.cap, s.threshold, round(list_cosine_similarity(g.v, r.embedding::DOUBLE[]), 12) AS similarity FROM good g JOIN v_spec s USING (category) CROSS JOIN v_queries r) WHERE similarity > threshold) WHERE rank <= greatest(k, 1)"""
+  SELECT r.request_id, g.*, s.k, s.cap, s.threshold, round(list_cosine_similarity(g.v, r.embedding::DOUBLE[]), 12) AS similarity FROM good g JOIN v_spec s USING (category) CROSS JOIN (SELECT * FROM v_queries WHERE request_id >= 0) r) WHERE similarity > threshold) WHERE rank <= greatest(k, 1)"""
 _EVIDENCE = "SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY o, rank) AS position FROM (SELECT *, CASE category WHEN 'templates' THEN 0 WHEN 'internal_policies' THEN 1 ELSE 2 END AS o FROM ranked WHERE rank <= cap)"
 _LABEL = "title || ' v' || version || ' #' || chunk_index"
 _WITH = f"WITH good AS ({_GOOD}), ranked AS ({_RANKED}), evidence AS ({_EVIDENCE})"
@@ -400,9 +400,9 @@ def e1(spark, d):
     return visible(spark, d).select("chunk_id", "document_id", "version", "category", "title", "source_uri")
 
 
-@query("e2_match_documents", f"WITH good AS ({_GOOD}) SELECT chunk_id, document_id, category, round(similarity, 6) AS similarity FROM (SELECT *, {_SIM} AS similarity FROM good, (SELECT embedding::DOUBLE[] AS q FROM v_queries ORDER BY request_id LIMIT 1)) WHERE similarity > 0.05 ORDER BY similarity DESC, chunk_id LIMIT 10")
+@query("e2_match_documents", f"WITH good AS ({_GOOD}) SELECT chunk_id, document_id, category, round(similarity, 6) AS similarity FROM (SELECT *, {_SIM} AS similarity FROM good, (SELECT embedding::DOUBLE[] AS q FROM v_queries WHERE request_id >= 0 ORDER BY request_id LIMIT 1)) WHERE similarity > 0.05 ORDER BY similarity DESC, chunk_id LIMIT 10")
 def e2(spark, d):
-    vector = V.query_vectors(spark, d).orderBy("request_id").first()["embedding"]
+    vector = V.query_vectors(spark, d).where("request_id >= 0").orderBy("request_id").first()["embedding"]
     return R.match_documents(visible(spark, d), vector, 0.05, 10).select("chunk_id", "document_id", "category", F.round("similarity", 6).alias("similarity"))
 
 
@@ -411,18 +411,12 @@ def e3(spark, d):
     return hits(spark, d).select("request_id", "category", "rank", "chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("e3_match_batch_expression", _WITH + " SELECT request_id, category, rank::INT AS rank, chunk_id, round(similarity, 6) AS similarity FROM ranked")
-def e3b(spark, d):
-    out = R.match_batch_expression(V.query_vectors(spark, d), visible(spark, d), V.spec(spark), DIM)
-    return out.select("request_id", "category", "rank", "chunk_id", F.round("similarity", 6).alias("similarity"))
-
-
 _OF = "coalesce(string_agg(chunk_id::VARCHAR, ',' ORDER BY rank) FILTER (category = '{0}'), '') AS {0}"
 
 
-@query("e4_grouped_context", _WITH + f" SELECT request_id, count(*)::BIGINT AS total, {', '.join(_OF.format(c) for c in R.SECTIONS)}, false AS is_empty FROM ranked GROUP BY 1")
+@query("e4_grouped_context", _WITH + f" SELECT q.request_id, count(chunk_id)::BIGINT AS total, {', '.join(_OF.format(c) for c in R.SECTIONS)}, count(chunk_id) = 0 AS is_empty FROM v_queries q LEFT JOIN ranked r ON r.request_id = q.request_id GROUP BY 1")
 def e4(spark, d):
-    out = R.grouped_context(hits(spark, d), R.SECTIONS)
+    out = R.grouped_context(hits(spark, d), R.SECTIONS, V.query_vectors(spark, d))
     return out.select("request_id", "total", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in R.SECTIONS], "is_empty")
 
 
@@ -431,6 +425,11 @@ def e5(spark, d):
     return evidence(spark, d).select("request_id", "position", "category", "rank", "chunk_id", "label", F.round("similarity", 6).alias("similarity"), "best_template")
 
 
+@query("e5_bundles", _WITH + f" SELECT q.request_id, {', '.join(f"count(*) FILTER (category = '{c}') AS {c}" for c in R.SECTIONS)}, first(chunk_id ORDER BY position) FILTER (category = 'templates') AS best_template, count(*) FILTER (category = 'templates') > 0 AS has_template FROM v_queries q LEFT JOIN evidence e ON e.request_id = q.request_id GROUP BY 1")
+def e5b(spark, d):
+    return R.evidence_bundles(evidence(spark, d), V.query_vectors(spark, d))
+
+
 @query("e6_citations", _WITH + f" SELECT request_id, position::INT AS position, {_LABEL} AS label, document_id, file_id, version, chunk_index, title, category, round(similarity, 4) AS similarity FROM evidence")
 def e6(spark, d):
     return R.to_citations(evidence(spark, d))
@@ -442,11 +441,11 @@ _BLOCK = f"'### ' || {_LABEL} || '  (similarity=' || printf('%.3f', similarity)
 @query(
     "e7_render_evidence",
     _WITH
-    + f""" SELECT request_id, concat_ws(chr(10) || chr(10), coalesce('## Templates' || chr(10) || chr(10) || string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY position) FILTER (category = 'templates'), '## Templates' || chr(10) || chr(10) || '_No template was found._'),
-    '## Policies' || chr(10) || chr(10) || string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY position) FILTER (category = 'internal_policies'), '## Regulations' || chr(10) || chr(10) || string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY position) FILTER (category = 'national_regulations')) AS text FROM evidence GROUP BY 1""",
+    + f""" SELECT q.request_id, concat_ws(chr(10) || chr(10), coalesce('## Templates' || chr(10) || chr(10) || string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY position) FILTER (category = 'templates'), '## Templates' || chr(10) || chr(10) || '_No template was found._'),
+    '## Policies' || chr(10) || chr(10) || string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY position) FILTER (category = 'internal_policies'), '## Regulations' || chr(10) || chr(10) || string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY position) FILTER (category = 'national_regulations')) AS text FROM v_queries q LEFT JOIN evidence e ON e.request_id = q.request_id GROUP BY 1""",
 )
 def e7(spark, d):
-    return R.render_evidence(evidence(spark, d))
+    return R.render_evidence(evidence(spark, d), requests=V.query_vectors(spark, d))
 
 
 @query("e8_references", _WITH + " SELECT request_id, document_id, any_value(title) AS title, any_value(category) AS category, count(*)::BIGINT AS n, min(position)::INT AS first_position, row_number() OVER (PARTITION BY request_id ORDER BY min(position))::INT AS seen FROM evidence GROUP BY 1, 2")
@@ -454,9 +453,9 @@ def e8(spark, d):
     return R.references_by_document(evidence(spark, d), "request_id")
 
 
-@query("e9_provenance", _WITH + " SELECT request_id, count(*)::BIGINT AS n, string_agg(chunk_index || ':' || document_id, ',' ORDER BY position) AS chunks FROM evidence GROUP BY 1")
+@query("e9_provenance", _WITH + " SELECT q.request_id, count(chunk_id)::BIGINT AS n, coalesce(string_agg(chunk_index || ':' || document_id, ',' ORDER BY position), '') AS chunks FROM v_queries q LEFT JOIN evidence e ON e.request_id = q.request_id GROUP BY 1")
 def e9(spark, d):
-    out = R.provenance(evidence(spark, d))
+    out = R.provenance(evidence(spark, d), V.query_vectors(spark, d))
     one = F.transform("chunks_used", lambda c: F.concat(c["chunk_index"].cast("string"), F.lit(":"), c["document_id"].cast("string")))
     return out.select("request_id", F.size("chunks_used").cast("long").alias("n"), F.array_join(one, ",").alias("chunks"))
 
@@ -477,6 +476,9 @@ def f2(spark, d):
     return N.detect_intent(V.requests(spark, d), V.catalogue(spark)).select("request_id", "type", F.array_join("hits", ",").alias("hits"), "confidence")
 
 
+_RECIPIENT = r"(?:^|\s)on ([a-zA-Z ]{3,80}?)(?:[.,]|$)"
+
+
 @query("f3_recipient", r"SELECT request_id, nullif(trim(regexp_extract(text, '(?:^|\s)on ([a-zA-Z ]{3,80}?)(?:[.,]|$)', 1)), '') AS recipient FROM v_requests")
 def f3(spark, d):
     return V.requests(spark, d).select("request_id", N.extract_recipient(F.col("text"), [r"(?:^|\s)on ([a-zA-Z ]{3,80}?)(?:[.,]|$)"]).alias("recipient"))
@@ -484,11 +486,11 @@ def f3(spark, d):
 
 @query(
     "f4_refine_queries",
-    f"""SELECT request_id, section, CASE WHEN len(hits) = 0 THEN coalesce(nullif(trim(text), ''), prefix) ELSE concat_ws(' ', prefix, label, CASE WHEN section <> 'templates' THEN array_to_string(list_distinct_ordered, ' ') END) END AS query
-    FROM (SELECT *, hits AS list_distinct_ordered FROM ({_BEST})), (VALUES ('templates', 'template'), ('internal_policies', 'policy'), ('national_regulations', 'regulation')) s(section, prefix)""",
+    rf"""SELECT request_id, section, CASE WHEN len(hits) = 0 THEN coalesce(nullif(trim(text), ''), prefix) ELSE concat_ws(' ', prefix, label, CASE WHEN section <> 'internal_policies' THEN who END, CASE WHEN section <> 'templates' THEN array_to_string(hits, ' ') END) END AS query
+    FROM (SELECT *, nullif(trim(regexp_extract(text, '{_RECIPIENT}', 1)), '') AS who FROM ({_BEST})), (VALUES ('templates', 'template'), ('internal_policies', 'policy'), ('national_regulations', 'regulation')) s(section, prefix)""",
 )
 def f4(spark, d):
-    return N.refine_queries(N.detect_intent(V.requests(spark, d), V.catalogue(spark)), patterns=["(never such)x"]).select("request_id", "section", "query")
+    return N.refine_queries(N.detect_intent(V.requests(spark, d), V.catalogue(spark)), patterns=[_RECIPIENT]).select("request_id", "section", "query")
 
 
 @query(
@@ -712,29 +714,49 @@ def h5(spark, d):
     return H.drafts_listing(V.drafts(spark, d)).select("draft_id", "user_id", "rank")
 
 
+@query("h5_by_template", "SELECT draft_id, template_document_id, template_version, row_number() OVER (PARTITION BY template_document_id, template_version ORDER BY generated_at DESC, draft_id)::INT AS rank FROM (SELECT draft_id, generated_at, CASE WHEN draft_id % 3 = 1 THEN draft_id % 20 END AS template_document_id, (1 + draft_id % 2)::INT AS template_version FROM v_drafts) WHERE template_document_id IS NOT NULL")
+def h5b(spark, d):
+    i = F.col("draft_id")
+    drafts = V.drafts(spark, d).select("draft_id", "generated_at", F.when(i % 3 == 1, i % 20).alias("template_document_id"), (1 + i % 2).cast("int").alias("template_version"))
+    return H.drafts_listing(drafts, by_template=True).select("draft_id", "template_document_id", "template_version", "rank")
+
+
 @query(
     "h6_draft_rows",
     rf"""SELECT draft_id, coalesce(nullif(trim(string_split(b, chr(10))[1]), ''), 'Draft') AS title, final_status, trim(regexp_replace(CASE WHEN final_status = 'fixable' THEN corrected ELSE b END, '\s*{_TAG}', '', 'g')) AS clean_body, coalesce(re_verdict, verdict) AS compliance_verdict,
-    array_to_string(CASE WHEN re_verdict IS NULL THEN unverified_claims ELSE contradictions END, '|') AS unverified, CASE WHEN draft_id % 3 = 1 THEN draft_id END AS template_document_id
+    array_to_string(CASE WHEN re_verdict IS NULL THEN unverified_claims ELSE contradictions END, '|') AS unverified, CASE WHEN draft_id % 3 = 1 THEN draft_id END AS template_document_id,
+    len(wrong_names)::BIGINT AS n_used, array_to_string(wrong_names, '|') AS used, CASE WHEN re_verdict IS NULL THEN 'first ' ELSE 'again ' END || draft_id AS compliance_summary
     FROM (SELECT r.*, d.body AS b, {_STATUS} AS final_status FROM v_reviews r JOIN v_drafts d USING (draft_id))""",
 )
 def h6(spark, d):
     r = V.reviews(spark, d)
     i = F.col("draft_id")
     drafts = V.drafts(spark, d).join(r.select("draft_id"), "draft_id").select("draft_id", F.get(F.split("body", "\n"), F.lit(0)).alias("title"), "body", i.alias("template_document_id"), (i * 10).alias("template_file_id"), F.lit(1).alias("template_version"), (i % 3 == 1).alias("template_used"))
-    reviews = r.select("draft_id", "verdict", F.lit("s").alias("summary"), F.col("unverified_claims").alias("findings"), "corrected", "re_verdict", F.lit("r").alias("re_summary"), F.col("contradictions").alias("re_findings"))
+    reviews = r.select("draft_id", "verdict", F.concat(F.lit("first "), i.cast("string")).alias("summary"), F.col("unverified_claims").alias("findings"), "corrected", "re_verdict", F.when(F.col("re_verdict").isNotNull(), F.concat(F.lit("again "), i.cast("string"))).alias("re_summary"), F.col("contradictions").alias("re_findings"))
     out = H.persist_draft_rows(drafts, reviews, r.select("draft_id", F.col("wrong_names").alias("chunks_used")))
-    return out.select("draft_id", "title", "final_status", "clean_body", "compliance_verdict", F.array_join("compliance_unverified", "|").alias("unverified"), "template_document_id")
+    return out.select("draft_id", "title", "final_status", "clean_body", "compliance_verdict", F.array_join("compliance_unverified", "|").alias("unverified"), "template_document_id", F.size("chunks_used").cast("long").alias("n_used"), F.array_join("chunks_used", "|").alias("used"), "compliance_summary")
 
 
 # I: catalogue ------------------------------------------------------------------------------------------------------------------
 
 
-@query("i1_upsert", "SELECT coalesce(t.document_id, b.document_id + 1000000) AS document_id, coalesce(b.title, t.title) AS title, CASE WHEN t.document_id IS NULL THEN 'inserted' WHEN b.document_id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM (SELECT * FROM v_documents WHERE document_id % 3 <> 0) t FULL JOIN (SELECT document_id, source_uri, 'new-' || document_id AS title FROM v_documents WHERE document_id % 2 = 0) b ON t.source_uri = b.source_uri")
+#: Every tenth document has no source_uri in the target, every fourteenth none in the batch, and every fifth row of the batch comes twice.
+_TARGET = "SELECT document_id, CASE WHEN document_id % 10 <> 0 THEN source_uri END AS source_uri, title FROM v_documents WHERE document_id % 3 <> 0"
+_BATCH = "SELECT document_id + 1000000 AS document_id, CASE WHEN document_id % 14 <> 0 THEN source_uri END AS source_uri, 'new-' || document_id || '-' || n AS title, n AS arrival FROM v_documents, (VALUES (1), (2)) v(n) WHERE document_id % 2 = 0 AND (n = 1 OR document_id % 5 = 0)"
+
+
+@query(
+    "i1_upsert",
+    f"""WITH t AS ({_TARGET}), b AS ({_BATCH}), last AS (SELECT * FROM b WHERE source_uri IS NULL UNION ALL SELECT * FROM (SELECT * FROM b WHERE source_uri IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_uri ORDER BY arrival DESC) = 1))
+    SELECT coalesce(t.document_id, l.document_id) AS document_id, CASE WHEN l.document_id IS NOT NULL THEN l.source_uri ELSE t.source_uri END AS source_uri, CASE WHEN l.document_id IS NOT NULL THEN l.title ELSE t.title END AS title, CASE WHEN t.document_id IS NULL THEN 'inserted' WHEN l.document_id IS NULL THEN 'kept' ELSE 'updated' END AS action
+    FROM t FULL JOIN last l ON t.source_uri = l.source_uri""",
+)
 def i1(spark, d):
-    docs = V.documents(spark, d).select("document_id", "source_uri", "title")
-    batch = docs.where("document_id % 2 = 0").select((F.col("document_id") + 1000000).alias("document_id"), "source_uri", F.concat(F.lit("new-"), F.col("document_id").cast("string")).alias("title"))
-    return C.upsert_documents(docs.where("document_id % 3 <> 0"), batch).select("document_id", "title", "action")
+    i, docs = F.col("document_id"), V.documents(spark, d).select("document_id", "source_uri", "title")
+    target = docs.where(i % 3 != 0).withColumn("source_uri", F.when(i % 10 != 0, F.col("source_uri")))
+    times = docs.where(i % 2 == 0).withColumn("arrival", F.explode(F.when(i % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    batch = times.select((i + 1000000).alias("document_id"), F.when(i % 14 != 0, F.col("source_uri")).alias("source_uri"), F.concat(F.lit("new-"), i.cast("string"), F.lit("-"), F.col("arrival").cast("string")).alias("title"), "arrival")
+    return C.upsert_documents(target, batch, order=("arrival",))
 
 
 @query("i2_replace_chunks", "SELECT chunk_id, document_id FROM v_chunks WHERE document_id % 4 <> 0 UNION ALL SELECT chunk_id + 1000000, document_id FROM v_chunks WHERE document_id % 4 = 0")
@@ -762,19 +784,38 @@ def i5(spark, d):
     return C.latest_version(V.documents(spark, d), V.files(spark, d), active=True).select("document_id", "file.version", "file.file_id", "file.status")
 
 
-_UPLOADS = "SELECT doc_id AS upload_id, (doc_id * 3) // 2 AS document_id FROM documents"
+#: Uploads for documents that exist, new ones, and (every eighth) ones that name none.
+_UPLOADS = "SELECT doc_id AS upload_id, CASE WHEN doc_id % 8 <> 0 THEN (doc_id * 3) // 2 END AS document_id FROM documents"
+_VERSIONS = f"SELECT upload_id, d.document_id, CASE WHEN u.document_id IS NULL THEN 1 ELSE coalesce(current_version, 0) + row_number() OVER (PARTITION BY u.document_id ORDER BY upload_id) END::INT AS version FROM ({_UPLOADS}) u LEFT JOIN v_documents d ON d.document_id = u.document_id"
 
 
-@query("i6_next_version", f"SELECT upload_id, (coalesce(current_version, 0) + row_number() OVER (PARTITION BY u.document_id ORDER BY upload_id))::INT AS version, d.document_id IS NULL AS is_new FROM ({_UPLOADS}) u LEFT JOIN v_documents d ON d.document_id = u.document_id")
+def _uploads(spark, d) -> DataFrame:
+    i = F.col("doc_id")
+    return V.table(spark, d, "documents").select(i.alias("upload_id"), F.when(i % 8 != 0, F.expr("(doc_id * 3) div 2")).alias("document_id"))
+
+
+@query("i6_next_version", f"SELECT upload_id, version, document_id IS NULL AS is_new FROM ({_VERSIONS})")
 def i6(spark, d):
-    up = V.table(spark, d, "documents").select(F.col("doc_id").alias("upload_id"), F.expr("(doc_id * 3) div 2").alias("document_id"))
-    return C.next_version(up, V.documents(spark, d), V.files(spark, d).select("document_id", "version")).select("upload_id", "version", "is_new")
+    return C.next_version(_uploads(spark, d), V.documents(spark, d), V.files(spark, d).select("document_id", "version")).select("upload_id", "version", "is_new")
 
 
-@query("i6_conflicts", f"WITH n AS (SELECT upload_id, d.document_id, (coalesce(current_version, 0) + row_number() OVER (PARTITION BY u.document_id ORDER BY upload_id))::INT AS version FROM ({_UPLOADS}) u LEFT JOIN v_documents d ON d.document_id = u.document_id) SELECT upload_id FROM n SEMI JOIN v_files f USING (document_id, version)")
+@query("i6_conflicts", f"WITH n AS ({_VERSIONS}) SELECT upload_id FROM n SEMI JOIN v_files f USING (document_id, version)")
 def i6b(spark, d):
-    up = V.table(spark, d, "documents").select(F.col("doc_id").alias("upload_id"), F.expr("(doc_id * 3) div 2").alias("document_id"))
-    return C.next_version(up, V.documents(spark, d), V.files(spark, d).select("document_id", "version")).where("conflict").select("upload_id")
+    return C.next_version(_uploads(spark, d), V.documents(spark, d), V.files(spark, d).select("document_id", "version")).where("conflict").select("upload_id")
+
+
+@query(
+    "i6_by_title",
+    """WITH t AS (SELECT document_id, current_version, 'letter ' || document_id % 300 AS k FROM v_documents), first AS (SELECT k, min(document_id) AS document_id, min_by(current_version, document_id) AS current_version FROM t GROUP BY k),
+    u AS (SELECT doc_id AS upload_id, 'letter ' || doc_id % 400 AS k FROM documents)
+    SELECT upload_id, first.document_id AS existing_document_id, (coalesce(current_version, 0) + row_number() OVER (PARTITION BY u.k ORDER BY upload_id))::INT AS version FROM u LEFT JOIN first USING (k)""",
+)
+def i6c(spark, d):
+    """Titles that documents share, and uploads that write them in capitals."""
+    title = lambda i, n: F.concat(F.lit("Letter "), (i % n).cast("string"))
+    docs = V.documents(spark, d).withColumn("title", title(F.col("document_id"), 300))
+    up = V.table(spark, d, "documents").select(F.col("doc_id").alias("upload_id"), F.upper(title(F.col("doc_id"), 400)).alias("title"))
+    return C.next_version(up, docs, V.files(spark, d).select("document_id", "version"), by_title=True).select("upload_id", "existing_document_id", "version")
 
 
 @query("i7_validate_upload", "SELECT file_id, CASE WHEN file_id % 11 = 0 THEN 'unknown category' WHEN category = 'other' THEN 'category not allowed' WHEN file_id % 7 = 0 THEN 'empty file' WHEN file_id % 5 = 0 THEN 'file too large' END AS reason FROM v_files JOIN (SELECT document_id AS i, category FROM v_documents) ON i = document_id")
@@ -826,10 +867,9 @@ def i13(spark, d):
 _RESULT = "['indexed', 'partial', 'error', 'crash', 'needs_ocr'][(job_id % 5 + 1)::INT]"
 
 
-@query("i14_outcome", f"SELECT job_id, CASE WHEN r IN ('indexed', 'needs_ocr') THEN 'done' WHEN r = 'partial' THEN 'pending' WHEN attempts >= max_attempts THEN 'failed' ELSE 'pending' END AS next_status, CASE WHEN r IN ('indexed', 'needs_ocr', 'partial') OR attempts >= max_attempts THEN NULL WHEN r = 'crash' THEN least(600, 30 * pow(2, attempts - 1))::BIGINT ELSE 60 END AS retry_in_s FROM (SELECT *, {_RESULT} AS r FROM v_jobs WHERE attempts > 0)")
+@query("i14_outcome", f"SELECT job_id, CASE WHEN r IN ('indexed', 'needs_ocr') THEN 'done' WHEN r = 'partial' THEN 'pending' WHEN attempts >= max_attempts THEN 'failed' ELSE 'pending' END AS next_status, CASE WHEN r IN ('indexed', 'needs_ocr', 'partial') OR attempts >= max_attempts THEN NULL WHEN r = 'crash' THEN least(600, 30 * pow(2, attempts - 1))::BIGINT ELSE 60 END AS retry_in_s FROM (SELECT *, {_RESULT} AS r FROM v_jobs)")
 def i14(spark, d):
-    j = V.jobs(spark, d).where("attempts > 0")
-    j = j.withColumns({"result": V._pick(["indexed", "partial", "error", "crash", "needs_ocr"], F.col("job_id") % 5), "error": F.repeat(F.lit("x"), 1200)})
+    j = V.jobs(spark, d).withColumns({"result": V._pick(["indexed", "partial", "error", "crash", "needs_ocr"], F.col("job_id") % 5), "error": F.repeat(F.lit("x"), 1200)})
     return C.job_outcome(j, V.NOW).select("job_id", "next_status", "retry_in_s")
 
 
@@ -997,31 +1037,46 @@ _LAST = rf"SELECT regexp_extract(name, '^(\d+)/v(\d+)/', 1) AS document_id, rege
 )
 def k1(spark, d):
     files = S.storage_rows(V.storage_events(spark, d), V.NOW)["files"]
-    return files.select("*", *[F.col(f"processing_progress.{c}").alias(c) for c in ("processed_chunks", "retry_count", "updated_at")]).drop("processing_progress")
+    return files.select("*", *[F.col(f"processing_progress.{c}").alias(c) for c in ("processed_chunks", "retry_count", "updated_at")]).drop("processing_progress", "event_order")
 
 
-@query(
-    "k1_storage_documents",
+ORACLE_OF_DOCUMENTS = (
     f"""WITH f AS ({_LAST}), t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY version DESC) = 1)
-    SELECT document_id, regexp_replace(file_name, '\\.[^.]+$', '') AS title, CASE bucket_id WHEN 'policies' THEN 'internal_policies' WHEN 'regulations' THEN 'national_regulations' ELSE bucket_id END AS category, bucket_id AS bucket, true AS is_active, '' AS content, 'storage://' || bucket_id || '/' || name AS source_uri FROM t""",
+    SELECT document_id, regexp_replace(file_name, '\\.[^.]+$', '') AS title, CASE bucket_id WHEN 'policies' THEN 'internal_policies' WHEN 'regulations' THEN 'national_regulations' ELSE bucket_id END AS category, bucket_id AS bucket, true AS is_active, '' AS content, 'storage://' || bucket_id || '/' || name AS source_uri FROM t"""
 )
+
+
+@query("k1_storage_documents", ORACLE_OF_DOCUMENTS)
 def k1_documents(spark, d):
-    return S.storage_rows(V.storage_events(spark, d), V.NOW)["documents"]
+    return S.storage_rows(V.storage_events(spark, d), V.NOW)["documents"].drop("event_order")
 
 
 @query("k1_storage_jobs", f"WITH f AS ({_LAST}) SELECT document_id || ':v' || version AS file_id, 'pending' AS status, 100 AS priority, TIMESTAMP '{V.NOW}' AS scheduled_at FROM f")
 def k1_jobs(spark, d):
-    return S.storage_rows(V.storage_events(spark, d), V.NOW)["jobs"]
+    return S.storage_rows(V.storage_events(spark, d), V.NOW)["jobs"].drop("event_order")
 
 
 @query("k1_event_stream", f"WITH f AS ({_LAST}) SELECT document_id || ':v' || version AS file_id, document_id, version, name AS storage_path FROM f")
 def k1_stream(spark, d):
-    """The events as JSON files, read as a stream twice: nothing changes the second time."""
+    return _streamed(spark, d, "files").select("file_id", "document_id", "version", "storage_path")
+
+
+def _streamed(spark, d, table: str) -> DataFrame:
+    """The events as JSON files that come in three cuts, later versions first, read as a stream after each; then all again from a new checkpoint."""
     path = shared_folder(spark, "events")
-    V.storage_events(spark, d).write.json(f"{path}/inbox")
-    for _ in range(2):
+    events = V.storage_events(spark, d)
+    version = F.regexp_extract("record.name", r"/v(\d+)/", 1)
+    cut = F.when(version == "1", 2).when(version == "2", 1).otherwise(0)
+    for k in range(3):
+        events.where(cut == k).write.mode("append").json(f"{path}/inbox")
         S.run_storage_events(spark, f"{path}/inbox", f"{path}/out", f"{path}/checkpoint", V.NOW)
-    return S.stored_rows(spark, f"{path}/out", "files").select("file_id", "document_id", "version", "storage_path")
+    S.run_storage_events(spark, f"{path}/inbox", f"{path}/out", f"{path}/checkpoint-2", V.NOW)
+    return S.stored_rows(spark, f"{path}/out", table).drop("event_order")
+
+
+@query("k1_stream_documents", ORACLE_OF_DOCUMENTS)
+def k1_stream_documents(spark, d):
+    return _streamed(spark, d, "documents")
 
 
 @query("k1_skipped", r"SELECT CASE WHEN type <> 'INSERT' THEN 'not an insert' WHEN bucket_id = 'unknown' THEN 'unknown bucket' WHEN NOT contains(name, '/') THEN 'bad path' WHEN NOT regexp_matches(name, '^\d+/v\d+/') THEN 'bad version segment' END AS skip, count(*) AS n FROM v_events GROUP BY 1")
@@ -1034,15 +1089,14 @@ def k1b(spark, d):
     packed(200).replace("v_documents", "v_parts") + " SELECT chunk_index::INT AS chunk_index, count(*) AS n, sum(n_tokens)::BIGINT AS n_tokens FROM c GROUP BY 1",
 )
 def k2(spark, d):
-    """Documents in fifty files, half of which come later: chunks by their place, after a run on the first, on all, and on nothing new."""
+    """Documents in fifty files, half of which come later: chunks by their place, after a run on the first, on all, on nothing new, and from a new checkpoint."""
     path = shared_folder(spark, "ingest")
     rows = V.documents(spark, d).select((F.col("document_id") % 50).alias("part"), "document_id", F.concat(F.replace("content", F.lit("\n"), F.lit("\n\n")), F.lit("\n")).alias("content"))
-    for half in (0, 1, 2):
+    for half in (0, 1, 2, 3):
         some = rows.where(F.col("part") % 2 == half).repartition("part").sortWithinPartitions("part", "document_id")
         some.select("part", "content").write.mode("append").partitionBy("part").text(f"{path}/docs")
-        S.ingest_stream(spark, f"{path}/docs", f"{path}/chunks", f"{path}/checkpoint", E.hashing_embedder(DIM), DIM, headings=NONE, overlap=0)
-    out = spark.read.parquet(f"{path}/chunks")
-    return out.groupBy("chunk_index").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("n_tokens"))
+        S.ingest_stream(spark, f"{path}/docs", f"{path}/chunks", f"{path}/checkpoint-{half // 3}", E.hashing_embedder(DIM), DIM, headings=NONE, overlap=0)
+    return S.stored_chunks(spark, f"{path}/chunks").groupBy("chunk_index").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("n_tokens"))
 
 
 @query("k3_active_sessions", "SELECT user_id, max(session_id) AS session_id FROM v_sessions WHERE NOT is_closed GROUP BY 1")

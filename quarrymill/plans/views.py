@@ -92,7 +92,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("request_id"), "embedding")
+    """Requests with their vectors; those with a number below zero have no direction, so that they find nothing."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
+    blank = e.where("vec_id % 500 = 0").select((-F.col("vec_id") - 1).alias("request_id"), F.transform("embedding", lambda x: x * 0).alias("embedding"))
+    return e.select(F.col("vec_id").alias("request_id"), "embedding").union(blank)
 
 
 #: category, k, threshold, how many go into the evidence
@@ -204,7 +207,7 @@ SQL = {
       FROM (SELECT *, unnest(range(1, current_version + 1 + CASE WHEN document_id % 7 = 0 THEN 1 ELSE 0 END))::INT AS version FROM v_documents)
       LEFT JOIN (SELECT file_id AS f, count(*) AS n FROM v_chunks GROUP BY 1) ON f = document_id * 10 + version""",
     "v_requests": "SELECT conv_id * 1000 + turn AS request_id, text FROM conversations WHERE role = 'user'",
-    "v_queries": "SELECT vec_id AS request_id, embedding FROM embeddings WHERE vec_id % 100 = 0",
+    "v_queries": "SELECT vec_id AS request_id, embedding FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT -vec_id - 1, list_transform(embedding, lambda x: (x * 0)::FLOAT) FROM embeddings WHERE vec_id % 500 = 0",
     "v_spec": "SELECT * FROM (VALUES ('templates', 5, 0.20::DOUBLE, 3), ('internal_policies', 8, 0.25::DOUBLE, 6), ('national_regulations', 8, 0.25::DOUBLE, 6)) t(category, k, threshold, cap)",
     "v_jobs": """SELECT event_id AS job_id, user_id * 10 + 1 AS file_id, CASE WHEN event_type IN ('signup', 'purchase') THEN 'pending' WHEN event_type = 'view' THEN 'processing' WHEN event_type = 'click' THEN 'done' ELSE 'failed' END AS status,
       (50 + 50 * (event_id % 4))::INT AS priority, ts AS scheduled_at, CASE WHEN event_id % 3 <> 0 THEN ts END AS claimed_at, (event_id % 6)::INT AS attempts, 5 AS max_attempts FROM events""",

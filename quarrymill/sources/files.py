@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable
 from xml.etree import ElementTree
@@ -20,14 +21,36 @@ MIME = {".md": "text/markdown", ".markdown": "text/markdown", ".txt": "text/plai
 LEAST_PDF_CHARS = 50
 
 
+def _glob(name_contains: str | None = None) -> str:
+    """A pattern over names that the file source tries before it opens a file: the extensions in any case, and what a stem must hold."""
+    either = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e[1:])
+    stem = "*"
+    # a part of a name that may reach into the extension isn't looked for here
+    if name_contains and "." not in name_contains and not any(name_contains.lower() in e for e in EXTENSIONS):
+        stem = "*" + re.sub(r"([*?\[\]{}\\,])", r"\\\1", name_contains) + "*"
+    return stem + ".{" + ",".join(map(either, EXTENSIONS)) + "}"
+
+
+def listed_files(reader, path: str, name_contains: str | None = None):
+    """The binary files under path of a batch or stream reader; those of other extensions are never opened."""
+    return reader.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _glob(name_contains)).load(path)
+
+
 def read_corpus(spark: SparkSession, path: str, name_contains: str | None = None) -> DataFrame:
-    """Files under path by extension: rel_path, name, extension, size_bytes, content, in no order. Hidden folders and caches are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = F.lit(path.rstrip("/").split("://")[-1].lstrip("/") + "/")
-    return _listed(files, root, name_contains)
+    """Files under path by extension: rel_path, name, extension, size_bytes, content, in no order. Hidden folders and caches are left out.
+
+    Names are filtered in the listing, so that only files that are kept are read.
+    """
+    files = listed_files(spark.read, path, name_contains)
+    return with_names(files, path_root(path), name_contains).select("rel_path", "name", "extension", "size_bytes", "content")
+
+
+def path_root(path: str) -> Column:
+    return F.lit(path.rstrip("/").split("://")[-1].lstrip("/") + "/")
 
 
-def _listed(files: DataFrame, root: Column, name_contains: str | None = None) -> DataFrame:
+def with_names(files: DataFrame, root: Column, name_contains: str | None = None) -> DataFrame:
+    """Binary files with rel_path, name, extension and size_bytes; hidden ones and other kinds are left out."""
     full = F.url_decode(F.replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", ""), F.lit("+"), F.lit("%2B")))
     rel = F.substring(full, F.instr(full, root) + F.char_length(root), F.char_length(full))
     out = files.withColumn("rel_path", rel).withColumn("name", F.element_at(F.split("rel_path", "/"), -1))
@@ -36,7 +59,7 @@ def _listed(files: DataFrame, root: Column, name_contains: str | None = None) ->
     out = out.where(F.col("extension").isin(EXTENSIONS) & ~hidden)
     if name_contains:
         out = out.where(F.contains("name", F.lit(name_contains)))
-    return out.select("rel_path", "name", "extension", F.col("length").alias("size_bytes"), "content")
+    return out.withColumnsRenamed({"length": "size_bytes", "modificationTime": "modified"})
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import BUCKETS, bucket_to_category, parse_storage_path, source_uri
 from ..functions.text import COUNTERS
-from ..operators.catalog import insert_chunks_idempotent
 from ..operators.chunking import chunk_documents
 from ..operators.embedding import embed_column
-from ..sources.files import _listed, extract_text
+from ..sources.files import extract_text, listed_files, path_root, with_names
+from ..sources.shared import save, shared_folder
 
-EVENT = "type string, `table` string, record struct<id:string, bucket_id:string, name:string, metadata:struct<size:bigint, mimetype:string>>"
+EVENT = "type string, `table` string, record struct<id:string, bucket_id:string, name:string, metadata:struct<size:bigint, mimetype:string>, updated_at:string>"
 #: Priority of a new file's job.
 PRIORITY = 100
 #: Tables that events make rows of, and the keys that a later event's row takes over.
 KEYS = {"documents": ["document_id"], "files": ["document_id", "version"], "jobs": ["file_id"]}
+#: What orders the events of one key: the object's time, where the event tells it, then its version and path, then what else it says.
+ORDER = "event_order struct<at: timestamp_ntz, version: int, name: string, bucket: string, size: bigint, mime: string>"
 
 
 def parsed_events(events: DataFrame) -> DataFrame:
@@ -30,75 +33,164 @@ def parsed_events(events: DataFrame) -> DataFrame:
         .when(~r["bucket_id"].isin(*BUCKETS.values()) | r["bucket_id"].isNull(), "unknown bucket")
         .otherwise(p["skip"])
     )
+    happened = r["updated_at"].try_cast("timestamp_ntz") if "updated_at" in events.schema["record"].dataType.names else F.lit(None).cast("timestamp_ntz")
     out = events.withColumn("_p", parse_storage_path(r["name"]))
     return out.select(
-        "type", r["bucket_id"].alias("bucket_id"), r["name"].alias("name"), r["metadata"]["size"].alias("size_bytes"), r["metadata"]["mimetype"].alias("mime_type"),
+        "type", r["bucket_id"].alias("bucket_id"), r["name"].alias("name"), happened.alias("event_at"), r["metadata"]["size"].alias("size_bytes"), r["metadata"]["mimetype"].alias("mime_type"),
         p["document"].alias("document_id"), p["version"].alias("version"), p["name"].alias("file_name"), skip.alias("skip"),
     )
 
 
 def storage_rows(events: DataFrame, now: str) -> dict[str, DataFrame]:
-    """Rows of new objects for documents, files and jobs, one for each key (KEYS); of several events the one of the highest version, then name, counts.
+    """Rows of new objects for documents, files and jobs, one for each key (KEYS), each with its event_order (ORDER).
 
-    A document is active and without content yet; a file is pending with empty progress; its job is pending at priority 100. file_id is made
-    of document and version, so that an event that comes again makes the same rows.
+    Of several events of a key the one that is last in this order counts, whatever order they are read in, so that rows of any cut of the
+    events into batches merge to the same tables. A document is active and without content yet; a file is pending with empty progress; its job
+    is pending at priority 100. file_id is made of document and version, so that an event that comes again makes the same rows.
     """
     good = parsed_events(events).where("skip IS NULL")
     stamp = F.to_timestamp_ntz(F.lit(now))
-    last = good.groupBy("document_id", "version").agg(F.max(F.struct("name", "bucket_id", "file_name", "size_bytes", "mime_type")).alias("f")).select("document_id", "version", "f.*")
+    order = F.struct(F.col("event_at").alias("at"), "version", "name", F.col("bucket_id").alias("bucket"), F.col("size_bytes").alias("size"), F.col("mime_type").alias("mime"))
+    rows = good.select("document_id", "version", order.alias("event_order"), "file_name")
+    last = rows.groupBy("document_id", "version").agg(F.max(F.struct("event_order", "file_name")).alias("f")).select("document_id", "version", "f.*")
     file_id = F.concat("document_id", F.lit(":v"), F.col("version").cast("string"))
     progress = F.struct(*[F.lit(0).alias(c) for c in COUNTERS], F.lit(0).alias("retry_count"), *[F.lit(None).cast("string").alias(c) for c in ("last_error",)], F.lit(None).cast("timestamp_ntz").alias("started_at"), stamp.alias("updated_at"))
+    e = F.col("event_order")
     files = last.select(
-        file_id.alias("file_id"), "document_id", "version", F.col("bucket_id").alias("storage_bucket"), F.col("name").alias("storage_path"), "mime_type", "size_bytes",
-        F.col("file_name").alias("original_filename"), F.lit("pending").alias("status"), progress.alias("processing_progress"),
+        file_id.alias("file_id"), "document_id", "version", e["bucket"].alias("storage_bucket"), e["name"].alias("storage_path"), e["mime"].alias("mime_type"), e["size"].alias("size_bytes"),
+        F.col("file_name").alias("original_filename"), F.lit("pending").alias("status"), progress.alias("processing_progress"), "event_order",
     )
-    top = last.groupBy("document_id").agg(F.max(F.struct("version", "name", "bucket_id", "file_name")).alias("d")).select("document_id", "d.*")
+    top = last.groupBy("document_id").agg(F.max(F.struct("event_order", "file_name")).alias("d")).select("document_id", "d.*")
     documents = top.select(
-        "document_id", F.regexp_replace("file_name", r"\.[^.]+$", "").alias("title"), bucket_to_category(F.col("bucket_id")).alias("category"), F.col("bucket_id").alias("bucket"),
-        F.lit(True).alias("is_active"), F.lit("").alias("content"), source_uri("storage", F.col("name"), F.col("bucket_id")).alias("source_uri"),
+        "document_id", F.regexp_replace("file_name", r"\.[^.]+$", "").alias("title"), bucket_to_category(e["bucket"]).alias("category"), e["bucket"].alias("bucket"),
+        F.lit(True).alias("is_active"), F.lit("").alias("content"), source_uri("storage", e["name"], e["bucket"]).alias("source_uri"), "event_order",
     )
-    jobs = last.select(file_id.alias("file_id"), F.lit("pending").alias("status"), F.lit(PRIORITY).alias("priority"), stamp.alias("scheduled_at"))
+    jobs = last.select(file_id.alias("file_id"), F.lit("pending").alias("status"), F.lit(PRIORITY).alias("priority"), stamp.alias("scheduled_at"), "event_order")
     return {"documents": documents, "files": files, "jobs": jobs}
 
 
 def run_storage_events(spark: SparkSession, folder: str, out: str, checkpoint: str, now: str) -> None:
-    """Reads JSON events that lie in folder and writes rows under out/<table>/batch=<n>: `stored_rows` has the tables.
+    """Reads JSON events that lie in folder and writes rows under out/<table>/run=<r>/batch=<n>: `stored_rows` has the tables.
 
-    The stream keeps no state and a batch reads nothing but its events. One that runs again replaces what it wrote, and a row whose key came
-    before takes over when the tables are read, so a replayed event adds nothing and a restart loses nothing.
+    The stream keeps no state and a batch reads nothing but its events: what it writes is a log of the last row of each key, ordered by the
+    events and not by arrival, so that merging is the same however batches are cut, events are ordered, repeated or replayed. A batch that runs
+    again replaces what it wrote; a run from a new checkpoint writes beside earlier ones. `compact_rows` folds the log into one run.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
         for name, rows in storage_rows(batch, now).items():
-            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/run={run}/batch={number}")
 
     spark.readStream.schema(EVENT).json(folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _merged(rows: DataFrame, table: str) -> DataFrame:
+    """The last row of each key; of rows of one event that of the first run and batch."""
+    columns = [c for c in rows.columns if c not in ("run", "batch")]
+    return rows.groupBy(*KEYS[table]).agg(F.max_by(F.struct(*columns), "event_order").alias("r")).select("r.*")
+
+
 def stored_rows(spark: SparkSession, out: str, table: str) -> DataFrame:
-    """documents, files or jobs as the last event of each key left them."""
-    rows = spark.read.parquet(f"{out}/{table}")
-    columns = [c for c in rows.columns if c != "batch"]
-    return rows.groupBy(*KEYS[table]).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("r.*")
+    """documents, files or jobs as the last event of each key left them, with event_order."""
+    return _merged(spark.read.parquet(f"{out}/{table}"), table)
+
+
+def compact_rows(spark: SparkSession, out: str, table: str, to: str) -> None:
+    """Folds the log of a table into one run under the folder `to`, from where it can be read, and added to, as before."""
+    stored_rows(spark, out, table).write.mode("overwrite").parquet(f"{to}/{table}/run=compacted/batch=0")
+
+
+#: Parts that stored chunks are written in, by a hash of the file: a batch rewrites those that its files are in.
+PARTS = 64
+
+
+def _part(file_id: str = "file_id"):
+    return F.pmod(F.xxhash64(file_id, F.lit(41)), F.lit(PARTS)).cast("int").alias("part")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table in parts, or None before its first write."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
+
+
+def _rewrite(spark: SparkSession, path: str, rows: DataFrame, gone: DataFrame) -> None:
+    """Puts rows in place of those of the files in gone (file_id): only parts that hold such files are read and written."""
+    own = rows.withColumn("part", _part())
+    before = _stored(spark, path)
+    if before is not None:
+        parts = [r[0] for r in gone.select(_part()).distinct().collect()]  # PARTS numbers at most
+        rest = before.where(F.col("part").isin(parts)).join(gone.select("file_id"), "file_id", "left_anti")
+        own = own.unionByName(rest.select(*own.columns))
+    staged = save(own, shared_folder(spark, "staged"))  # a table isn't overwritten while it is read
+    dealt = staged.repartition("part", F.pmod(F.xxhash64("file_id", F.lit(43)), F.lit(8)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def store_files(spark: SparkSession, files: DataFrame, out: str, embed: Callable, dim: int, **options) -> None:
+    """Files with their bytes (`with_names`) into out/chunks and out/files, by digest.
+
+    A file whose digest is stored already is passed over, but for its time. Chunks are written first, then the row of the file that
+    vouches for them; a run that breaks off between leaves the old rows valid (`stored_chunks`), and the next does it again. Digests, not bytes,
+    meet what is stored; bytes move only where a batch holds files of either kind.
+    """
+    own = files.withColumns({"file_id": F.xxhash64("rel_path"), "digest": F.sha2("content", 256)})
+    listed = own.select("file_id", "rel_path", "modified", "size_bytes", "digest")
+    known = _stored(spark, f"{out}/files")
+    same = F.lit(False)
+    if known is not None:
+        listed = listed.join(known.select("file_id", F.col("digest").alias("_digest")), "file_id", "left")
+        same = F.coalesce(F.col("_digest") == F.col("digest"), F.lit(False))
+    listed = save(listed.withColumn("_same", same).drop("_digest"), shared_folder(spark, "listed"))
+    changed = listed.where("not _same").select("file_id", "digest")
+    n = changed.count()
+    if n:
+        some = own if n == listed.count() else own.join(changed.select("file_id"), "file_id", "left_semi")
+        loaded = extract_text(some.select("file_id", "rel_path", "name", "extension", "size_bytes", "content")).where("status = 'ok'")
+        chunks = chunk_documents(loaded, "file_id", "text", **options).withColumn("chunk_id", F.xxhash64("file_id", "chunk_index"))
+        rows = embed_column(chunks.select("chunk_id", "file_id", "chunk_index", "content", "n_tokens"), "content", embed, dim)
+        _rewrite(spark, f"{out}/chunks", rows.join(changed, "file_id"), changed)
+    if not listed.isEmpty():
+        _rewrite(spark, f"{out}/files", listed.drop("_same"), listed.select("file_id"))
+
+
+def stored_chunks(spark: SparkSession, out: str) -> DataFrame:
+    """The chunks of the newest content of each file, one row for each (file_id, chunk_index)."""
+    chunks, files = spark.read.parquet(f"{out}/chunks"), spark.read.parquet(f"{out}/files")
+    return chunks.drop("part").join(files.select("file_id", "digest"), ["file_id", "digest"], "left_semi")
+
+
+def changed_files(spark: SparkSession, folder: str, out: str, block: int = 10_000) -> Iterator[DataFrame]:
+    """Files under folder whose time or size isn't the stored one, with their bytes, in blocks of so many files.
+
+    They are found from the listing alone; bytes are read of those files only.
+    """
+    known = _stored(spark, f"{out}/files")
+    listed = with_names(listed_files(spark.read, folder), path_root(folder)).select("path", "rel_path", "modified", "size_bytes")
+    if known is not None:
+        listed = listed.join(known.select("rel_path", "modified", "size_bytes"), ["rel_path", "modified", "size_bytes"], "left_anti")
+    paths = [r[0] for r in listed.select("path").toLocalIterator()]  # names, as every listing of a file source has them
+    for a in range(0, len(paths), block):
+        yield with_names(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths[a : a + block]), path_root(folder))
 
 
 def ingest_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, embed: Callable, dim: int, **options) -> None:
-    """New files under folder to chunks with vectors under out, batch by batch.
+    """New and changed files under folder to chunks with vectors under out: `stored_chunks` has them.
 
-    The file source gives each file to one batch, as the checkpoint has it, and a batch that runs again replaces what it wrote, so a restart
-    loses nothing and no chunk is written twice; no batch reads an earlier one.
+    The stream gives each new file to one batch, as its checkpoint has it. Since a file source never gives a path twice, files that changed are
+    then found by their time and size in the listing. Either way `store_files` goes by digests: a batch that runs again, a new checkpoint or a file
+    that comes back unchanged stores nothing twice, and of changed content the newest stays. Empty folders and files without text store no chunk.
     """
-    schema = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).schema
-    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(folder)
-    root = F.lit(folder.rstrip("/").split("://")[-1].lstrip("/") + "/")
+    schema = listed_files(spark.read, folder).schema
 
     def write(batch: DataFrame, number: int) -> None:
-        loaded = extract_text(_listed(batch, root)).where("status = 'ok'").withColumn("file_id", F.xxhash64("rel_path"))
-        chunks = chunk_documents(loaded, "file_id", "text", **options).withColumn("chunk_id", F.xxhash64("file_id", "chunk_index"))
-        rows = embed_column(chunks.select("chunk_id", "file_id", "chunk_index", "content", "n_tokens"), "content", embed, dim)
-        insert_chunks_idempotent(rows.limit(0), rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        store_files(spark, with_names(batch, path_root(folder)), out, embed, dim, **options)
 
+    files = listed_files(spark.readStream.schema(schema), folder)
     files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    for some in changed_files(spark, folder, out):
+        store_files(spark, some, out, embed, dim, **options)
 
 
 def active_sessions(sessions: DataFrame) -> DataFrame:

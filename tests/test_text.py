@@ -326,7 +326,7 @@ def test_streams(spark, tmp_path):
     go()
     (docs / "b.txt").write_text(words(10))
     go()
-    got = spark.read.parquet(str(tmp_path / "chunks"))
+    got = S.stored_chunks(spark, str(tmp_path / "chunks"))
     assert got.count() == 4 and got.select("file_id", "chunk_index").distinct().count() == 4
 
 
