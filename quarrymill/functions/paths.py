@@ -16,6 +16,7 @@ FOLDERS = {
     "policies": "internal_policies",
     "examples": "examples",
 }
+# fixed value: bytes of an upload at most
 MAX_UPLOAD = 50 * 1024 * 1024
 
 

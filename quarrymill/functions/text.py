@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import operator
 import re
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import groupby
 
 import pyarrow as pa
@@ -34,17 +36,27 @@ def _strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 
 
-#: A block that starts like a Markdown heading, or with a number and a mark as sections have; chapter words come on top of these.
-MARKDOWN, NUMBERED = r"#{1,6}\s", r"\(?\s*\d{1,3}\s*[./-]"
+#: Characters of a heading at most, number signs and digits that it starts with, and marks after a number.
+HEADING_CHARS, SIGNS, DIGITS, MARKS = 200, 6, 3, [".", "-", "/"]
 
 
-def heading_pattern(chapter_words: list[str] = ()) -> str:
-    starts = [*(re.escape(w) for w in chapter_words), MARKDOWN, NUMBERED]
-    return r"(?U)^\s*(?:" + "|".join(starts) + ")"
+def is_heading(block: Column, chapters: list[str] | None = ()) -> Column:
+    """Whether a short block starts with a chapter word, with number signs and a space, or with a number (after a parenthesis or not) and a mark.
 
-
-def is_heading(block: Column, pattern: str = heading_pattern()) -> Column:
-    return (block != "") & (F.char_length(block) <= 200) & block.rlike(pattern)
+    Without a list of chapter words (None) nothing is a heading.
+    """
+    if chapters is None:
+        return F.lit(False)
+    white = F.lit(WHITE)
+    after = lambda s, n: F.substring(s, n + 1, F.char_length(s))
+    t = F.ltrim(block, white)
+    signs = F.char_length(t) - F.char_length(F.ltrim(t, F.lit("#")))
+    titled = signs.between(1, SIGNS) & F.contains(white, F.left(after(t, signs), F.lit(1))) & (F.char_length(t) > signs)
+    inner = F.when(t.startswith("("), F.ltrim(after(t, F.lit(1)), white)).otherwise(t)
+    figures = F.char_length(F.regexp_extract(inner, r"^\p{Nd}+", 0))
+    numbered = figures.between(1, DIGITS) & F.left(F.ltrim(after(inner, figures), white), F.lit(1)).isin(MARKS)
+    named = [t.startswith(w) for w in chapters]
+    return (block != "") & (F.char_length(block) <= HEADING_CHARS) & reduce(operator.or_, [titled, numbered, *named])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -57,12 +69,12 @@ def exploded(df: DataFrame, keep: list[str], array: Column, place: str, value: s
     return df.select(*keep, F.posexplode_outer(array).alias(place, value)).where(F.col(place).isNotNull())
 
 
-def attach_headings(blocks: Column, pattern: str = heading_pattern()) -> Column:
+def attach_headings(blocks: Column, chapters: list[str] | None = ()) -> Column:
     """A heading with a block after it is glued to it, and both are used up; the last one stays.
 
     Blocks become a string of one letter each, in which every heading takes up its successor, from left to right.
     """
-    letters = lambda all_: F.array_join(F.transform(all_, lambda b: F.when(is_heading(b, pattern), "h").otherwise("t")), "")
+    letters = lambda all_: F.array_join(F.transform(all_, lambda b: F.when(is_heading(b, chapters), "h").otherwise("t")), "")
     glued = lambda x: F.concat(F.regexp_replace(x["block"], r"[ :.\-]+$", ""), F.lit("\n"), x["following"])
     one = lambda x: F.when(x["role"] == "O", glued(x)).when(x["role"] != "U", x["block"])
 
@@ -146,28 +158,50 @@ def split_sources_block(text: Column, heading: str = "Sources") -> Column:
     )
 
 
-#: What follows the title in a line of a sources block; an em dash or a hyphen parts it.
-_DASH = r"\s*[\x{2014}-]\s*"
-ORIGIN = rf"{_DASH}chunk\s*#(\d+){_DASH}similarity=([0-9.]+)"
+# fixed values: what stands before a cited line, what parts it, and how its last two parts begin
+BULLETS, DASHES = "\u2022*-", "\u2014-"
+PLACE, NEARNESS = "chunk", "similarity="
 
 
 def parse_citations(block: Column) -> Column:
-    """array<struct(label, title, chunk_index, similarity)> of the lines `[label]: title - chunk #n - similarity=s`, bullets before them or not."""
-
-    def parts(line: Column) -> Column:
-        rest = F.ltrim(F.regexp_replace(line, r"^[\s\x{2022}*-]*\[[^\]]+\]\s*:?\s*", ""))
-        label = F.regexp_extract(line, r"^[\s\x{2022}*-]*\[([^\]]+)\]", 1)
-        return F.struct(label.alias("label"), rest.alias("rest"), F.regexp_instr(F.substring(rest, 2, 1 << 30), F.lit(ORIGIN)).alias("at"))
+    """array<struct(label, title, chunk_index, similarity)> of the lines `[label]: title - chunk #n - similarity=s`, bullets before them or not.
 
-    cited = F.filter(F.transform(F.split(block, "\n"), parts), lambda p: (p["label"] != "") & (p["at"] > 0))
-    origin = lambda p, k: F.regexp_extract(F.substring(p["rest"], p["at"] + 1, F.char_length(p["rest"])), ORIGIN, k)
-    one = lambda p: F.struct(F.trim(p["label"]).alias("label"), F.trim(F.left(p["rest"], p["at"])).alias("title"), origin(p, 1).try_cast("int").alias("chunk_index"), origin(p, 2).try_cast("double").alias("similarity"))
-    return F.transform(cited, one)
+    A line is cut at its dashes; the first two parts in a row that tell place and nearness end the title, which may hold dashes itself.
+    """
+    white, cut = F.lit(WHITE), lambda s, n: F.substring(s, n, F.char_length(s))
+
+    def headed(line: Column) -> Column:
+        bare = F.ltrim(line, F.lit(WHITE + BULLETS))
+        shut = F.instr(bare, "]")
+        tail = F.ltrim(cut(bare, shut + 1), white)
+        return F.struct(
+            F.when(bare.startswith("[") & (shut > 2), F.substring(bare, F.lit(2), shut - 2)).alias("label"), F.when(tail.startswith(":"), F.ltrim(cut(tail, F.lit(2)), white)).otherwise(tail).alias("rest")
+        )
+
+    def named(h: Column) -> Column:
+        parts = F.split(F.translate(h["rest"], DASHES, "--"), "-")
+        told = F.transform(parts, lambda p: F.btrim(p, white))
+        place = lambda i: F.ltrim(cut(F.get(told, i), F.lit(len(PLACE) + 1)), white)
+        fits = lambda i: F.get(told, i).startswith(PLACE) & place(i).rlike("^#[0-9]+$") & F.get(told, i + 1).rlike(f"^{NEARNESS}[0-9.]")
+        at = F.when(F.size(parts) > 2, F.get(F.filter(F.sequence(F.lit(1), F.size(parts) - 2), fits), F.lit(0)))
+        title = F.left(h["rest"], F.char_length(F.array_join(F.slice(parts, F.lit(1), at), "-")))
+        return F.when(
+            at.isNotNull() & (title != ""),
+            F.struct(
+                F.trim(h["label"]).alias("label"),
+                F.trim(title).alias("title"),
+                cut(place(at), F.lit(2)).try_cast("int").alias("chunk_index"),
+                F.regexp_extract(F.get(told, at + 1), "[0-9.]+", 0).try_cast("double").alias("similarity"),
+            ),
+        )
+
+    lines = F.filter(F.transform(F.split(block, "\n"), headed), lambda h: h["label"].isNotNull())
+    return F.filter(F.transform(lines, named), lambda c: c.isNotNull())
 
 
 # drafts ----------------------------------------------------------------------------------------------------------------------
 
-#: Lines that say nothing: dots and bare bullets.
+# fixed values: lines that say nothing
 FILLERS = {"...", "…", ". . .", "-", "*", "•"}
 
 
@@ -213,16 +247,17 @@ def dedupe_lines(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class LetterForm:
-    """The fixed phrases of a letter; defaults are placeholders of our own, deployments pass theirs."""
+    """The phrases of a letter; defaults are placeholders of our own, deployments pass theirs."""
 
     to_person: str = "To {name}"
     to_organization: str = "To the company / {name}"
     legal_forms: list[str] = field(default_factory=lambda: ["company", "association"])
+    # fixed values: what the field entity_type may say, and the fields that a subject may stand in
     persons: list[str] = field(default_factory=lambda: ["individual", "person"])
     organizations: list[str] = field(default_factory=lambda: ["organization", "company", "entity"])
+    subject_keys: list[str] = field(default_factory=lambda: ["subject", "letter_subject", "project_name"])
     titles: list[str] = field(default_factory=lambda: ["Dr.", "Prof."])
     subject_label: str = "Subject:"
-    subject_keys: list[str] = field(default_factory=lambda: ["subject", "letter_subject", "project_name"])
     greeting: str = "Greetings,"
     transition: str = "To the matter,"
     transition_pattern: str = r"(?i)to the matter\s*,?"
@@ -234,49 +269,66 @@ class LetterForm:
     no_recipient: str = "{{recipient_name}}"
 
 
+def _given(text: Column) -> Column:
+    """text without outer spaces, or null where nothing is left."""
+    return F.nullif(F.trim(text), F.lit(""))
+
+
+def _first_of(words: list[str], fits: Callable[[Column], Column]) -> Column:
+    """The first of some words that fits, or null."""
+    return F.get(F.filter(F.array(*map(F.lit, words)), fits), F.lit(0)) if words else F.lit(None).cast("string")
+
+
 def entity_type(fields: Column, form: LetterForm = LetterForm()) -> Column:
-    given = F.lower(F.trim(fields["entity_type"]))
-    titled = F.exists(F.array(*map(F.lit, form.titles)), lambda t: F.contains(F.coalesce(fields["recipient_name"], F.lit("")), t))
-    return F.when(given.isin(form.persons), "individual").when(given.isin(form.organizations), "organization").when(titled, "individual").otherwise("organization")
+    """individual or organization: by the field of that name, else by a personal title in the recipient's name."""
+    kinds = F.create_map(*[F.lit(x) for words, kind in ((form.organizations, "organization"), (form.persons, "individual")) for w in words for x in (w, kind)])
+    titled = _first_of(form.titles, lambda title: F.contains(fields["recipient_name"], title))
+    return F.coalesce(F.try_element_at(kinds, F.coalesce(F.lower(F.trim(fields["entity_type"])), F.lit(""))), F.when(titled.isNotNull(), "individual"), F.lit("organization"))
 
 
 def recipient_line(fields: Column, form: LetterForm = LetterForm()) -> Column:
-    name = F.trim(F.coalesce(F.nullif(fields["recipient_name"], F.lit("")), F.lit(form.no_recipient)))
-    bare = F.trim(F.regexp_replace(name, r"^(?:" + "|".join(map(re.escape, form.legal_forms)) + r")\s*/?\s*", ""))
-    bare = F.coalesce(F.nullif(bare, F.lit("")), F.lit(form.no_recipient))
-    return F.when(entity_type(fields, form) == "individual", F.replace(F.lit(form.to_person), F.lit("{name}"), name)).otherwise(F.replace(F.lit(form.to_organization), F.lit("{name}"), bare))
+    """The opening: an organization's name comes without the legal form that it starts with, since the opening has one."""
+    into = lambda phrase, name: F.replace(F.lit(phrase), F.lit("{name}"), name)
+    name = F.coalesce(_given(fields["recipient_name"]), F.when(fields["recipient_name"] != "", F.lit("")), F.lit(form.no_recipient))
+
+    def bare(n: Column) -> Column:
+        form_of = _first_of(form.legal_forms, lambda w: F.startswith(n, w))
+        rest = F.ltrim(F.substring(n, F.coalesce(F.char_length(form_of), F.lit(0)) + 1, F.char_length(n)))
+        return F.coalesce(_given(F.when(form_of.isNotNull() & rest.startswith("/"), F.substring(rest, 2, 1 << 30)).otherwise(rest)), F.lit(form.no_recipient))
+
+    return let(name, lambda n: F.when(entity_type(fields, form) == "individual", into(form.to_person, n)).otherwise(into(form.to_organization, bare(n))))
 
 
 def letter_subject(text: Column, fields: Column, form: LetterForm = LetterForm(), fallback: Column | None = None) -> Column:
-    line = F.regexp_extract(text, rf"(?m)^\s*(?:\*\*)?{re.escape(form.subject_label)}\s*(.+?)(?:\*\*)?\s*$", 1)
-    given = [F.nullif(F.trim(fields[k]), F.lit("")) for k in form.subject_keys]
-    return F.coalesce(*given, F.nullif(strip_citation_tags(line), F.lit("")), F.nullif(F.trim(fallback), F.lit("")) if fallback is not None else F.lit(None), F.lit(form.no_subject))
+    """The subject that a field gives, else that of the first line with the label (bold or not), else the fallback."""
+    label = form.subject_label
+
+    def told(line: Column) -> Column:
+        t = F.btrim(line, F.lit(WHITE))
+        t = F.when(t.startswith("**"), F.substring(t, 3, 1 << 30)).otherwise(t)
+        own = F.btrim(F.substring(t, len(label) + 1, 1 << 30), F.lit(WHITE))
+        own = F.when(own.endswith("**") & (F.char_length(own) > 2), F.rtrim(F.left(own, F.char_length(own) - 2), F.lit(WHITE))).otherwise(own)
+        return F.when(t.startswith(label) & (own != ""), own)
+
+    line = F.get(F.array_compact(F.transform(F.split(text, "\n"), told)), F.lit(0))
+    ways = [*(fields[k] for k in form.subject_keys), strip_citation_tags(line), *([] if fallback is None else [fallback])]
+    return F.coalesce(*map(_given, ways), F.lit(form.no_subject))
 
 
 def main_content(text: Column, form: LetterForm = LetterForm()) -> Column:
-    begin = F.regexp_instr(text, F.lit(form.transition_pattern))
-    found = F.regexp_extract(text, f"({form.transition_pattern})", 1)
-    t = F.when(begin > 0, F.substring(text, begin + F.char_length(found), F.char_length(text))).otherwise(text)
-    end = F.regexp_instr(t, F.lit(form.closing_pattern))
-    t = F.when(end > 0, F.left(t, end - 1)).otherwise(t)
-    openings = [form.to_person.split("{")[0], form.to_organization.split("{")[0], form.subject_label, form.greeting, form.transition, form.closing, form.footer]
-    envelope = lambda line: F.exists(F.array(*map(F.lit, openings)), lambda p: F.startswith(F.trim(line), p))
-    lines = F.filter(F.split(t, r"\r?\n"), lambda line: (F.trim(line) != "") & ~envelope(line))
-    return F.coalesce(F.nullif(_strip(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"\s+$", "")), "\n")), F.lit("")), F.lit(form.no_content))
+    """Lines between the first transition and the closing after it, without those that belong to the envelope."""
+    begun = F.split(text, form.transition_pattern, 2)
+    ended = F.split(F.coalesce(F.get(begun, F.lit(1)), F.get(begun, F.lit(0))), form.closing_pattern, 2)
+    envelope = [*(phrase.partition("{")[0] for phrase in (form.to_person, form.to_organization)), form.subject_label, form.greeting, form.transition, form.closing, form.footer]
+    outer = lambda line: _first_of(envelope, lambda p: F.startswith(F.trim(line), p)).isNotNull()
+    lines = F.filter(F.split(F.get(ended, F.lit(0)), "\r?\n"), lambda line: (F.trim(line) != "") & ~outer(line))
+    return F.coalesce(F.nullif(_strip(F.array_join(F.transform(lines, lambda x: F.rtrim(x, F.lit(WHITE))), "\n")), F.lit("")), F.lit(form.no_content))
 
 
 def enforce_structure(text: Column, fields: Column, form: LetterForm = LetterForm(), fallback_subject: Column | None = None) -> Column:
     """Exactly seven parts: opening, subject, greeting, transition, content, closing, footer."""
-    return F.concat_ws(
-        "\n\n",
-        recipient_line(fields, form),
-        F.concat(F.lit(form.subject_label + " "), letter_subject(text, fields, form, fallback_subject)),
-        F.lit(form.greeting),
-        F.lit(form.transition),
-        main_content(text, form),
-        F.lit(form.closing),
-        F.lit(form.footer),
-    )
+    subject = F.concat(F.lit(f"{form.subject_label} "), letter_subject(text, fields, form, fallback_subject))
+    return F.concat_ws("\n\n", recipient_line(fields, form), subject, *map(F.lit, (form.greeting, form.transition)), main_content(text, form), *map(F.lit, (form.closing, form.footer)))
 
 
 def markdown_lines(text: Column) -> Column:
@@ -334,8 +386,16 @@ FINDINGS = [
 REVIEW = "struct<verdict:string," + ",".join(f"{f}:array<string>" for f in FINDINGS) + ",suggested_corrections:string,summary_ar:string>"
 
 
+FENCE = "```"
+
+
 def unfenced(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(text), r"(?m)^```(?:json)?\s*|\s*```$", ""))
+    """An answer without the fence around it, and the name of its language."""
+    white = F.lit(WHITE)
+    t = F.btrim(text, white)
+    inner = F.when(t.startswith(FENCE), F.substring(t, len(FENCE) + 1, 1 << 30)).otherwise(t)
+    inner = F.when(t.startswith(FENCE) & inner.startswith("json"), F.substring(inner, 5, 1 << 30)).otherwise(inner)
+    return F.btrim(F.when(inner.endswith(FENCE), F.left(inner, F.char_length(inner) - len(FENCE))).otherwise(inner), white)
 
 
 def parse_review(text: Column) -> Column:

@@ -2,50 +2,93 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import exploded
 
-LEFT, RIGHT = r"(?:^|[\s،,:;])", r"(?:$|[\s،,:;.])"
+#: What may stand before and after a keyword, besides white space and the ends of a text.
+LEFT, RIGHT = "،,:;", "،,:;."
 GENERAL = "general"
+#: Styles that may be set by default.
+MOST_TYPES = 1000
+#: Keywords of one automaton. A catalogue of more is looked up by several, one after the other.
+BLOCK = 200_000
 
-
-#: Types, and keywords of all types, that a catalogue may have: it becomes literals.
-MOST_TYPES, MOST_KEYWORDS = 1000, 5000
-
-
-def _entries(catalogue: DataFrame) -> list:
-    """The catalogue's rows in order; it is a small table by nature, and its size is checked."""
-    rows = catalogue.orderBy("ord").limit(MOST_TYPES + 1).collect()
-    if len(rows) > MOST_TYPES or sum(len(r["keywords"]) for r in rows) > MOST_KEYWORDS:
-        raise ValueError(f"a catalogue has at most {MOST_TYPES} types and {MOST_KEYWORDS} keywords")
-    return rows
+HITS = "array<struct<n: int, ord: int, type: string, label: string, hits: array<string>>>"
 
 
-def _scored(text: Column, catalogue: DataFrame) -> Column:
-    """array<struct(n, ord, type, label, hits)> of the types: keywords that stand in the text as whole words, in the order of the list.
+def _automata(catalogue: DataFrame, block: int) -> Iterator[tuple[list, ahocorasick.Automaton]]:
+    """The entries of a catalogue (ord, type, label), and an Aho-Corasick automaton over their keywords, in blocks of so many keywords.
 
-    Each keyword is a constant pattern, compiled once, and looked up once in a text.
+    A keyword's value is the list of (entry, place in its list).
     """
-    whole = lambda w: "(?U)" + LEFT + r"\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E" + RIGHT
-    found = lambda words: F.array_compact(F.array(*[F.when(text.rlike(whole(w)), F.lit(w)) for w in words])) if words else F.array().cast("array<string>")
-    one = lambda r: F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["type"]).alias("type"), F.lit(r["label"]).alias("label"), found(r["keywords"]).alias("hits"))
-    rows = _entries(catalogue)
-    scored = F.array(*map(one, rows)) if rows else F.array().cast("array<struct<ord:int,type:string,label:string,hits:array<string>>>")
-    return F.transform(scored, lambda e: F.struct(F.size(e["hits"]).alias("n"), e["ord"].alias("ord"), e["type"].alias("type"), e["label"].alias("label"), e["hits"].alias("hits")))
-
-
-def keyword_hits(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(request_id, type, ord, label, hits) for every type with a hit. No shuffle: the catalogue travels as literals."""
-    rows = exploded(requests, ["request_id"], _scored(F.col("text"), catalogue), "place", "e")
-    return rows.select("request_id", "e.type", "e.ord", "e.label", "e.hits").where(F.size("hits") > 0)
-
 
-def detect_intent(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    def made(entries: list, words: dict) -> tuple[list, ahocorasick.Automaton]:
+        automaton = ahocorasick.Automaton()
+        for word, places in words.items():
+            automaton.add_word(word, (len(word), places))
+        automaton.make_automaton()
+        return entries, automaton
+
+    entries: list = []
+    words: dict[str, list[tuple[int, int]]] = {}
+    for r in catalogue.orderBy("ord").select("ord", "type", "label", "keywords").toLocalIterator():
+        entries.append((r["ord"], r["type"], r["label"]))
+        for place, word in enumerate(r["keywords"] or []):
+            if word:
+                words.setdefault(word, []).append((len(entries) - 1, place))
+            if len(words) >= block:
+                yield made(entries, words)
+                entries, words = [entries[-1]], {}
+    if words:
+        yield made(entries, words)
+
+
+def found_keywords(text: str, automaton: ahocorasick.Automaton) -> dict[int, dict[int, str]]:
+    """Of each entry the keywords, by their place, that stand in the text as whole words."""
+    out: dict[int, dict[int, str]] = {}
+    for end, (size, places) in automaton.iter(text):
+        start = end - size + 1
+        if (start == 0 or text[start - 1].isspace() or text[start - 1] in LEFT) and (end + 1 == len(text) or text[end + 1].isspace() or text[end + 1] in RIGHT):
+            for entry, place in places:
+                out.setdefault(entry, {})[place] = text[start : end + 1]
+    return out
+
+
+def _scored(text: Column, catalogue: DataFrame, block: int = BLOCK) -> Column:
+    """HITS: the types with keywords that stand in the text as whole words, in the order of the list. A text is read once for each automaton."""
+    models = [catalogue.sparkSession.sparkContext.broadcast(m) for m in _automata(catalogue, block)]
+
+    @F.arrow_udf(HITS)
+    def look(column: pa.Array) -> pa.Array:
+        rows = []
+        for t in column.to_pylist():
+            hits: dict[tuple, dict[int, str]] = {}
+            for model in models if t else []:
+                entries, automaton = model.value
+                for entry, places in found_keywords(t, automaton).items():
+                    hits.setdefault(entries[entry], {}).update(places)
+            rows.append([{"n": len(h), "ord": e[0], "type": e[1], "label": e[2], "hits": [h[k] for k in sorted(h)]} for e, h in hits.items()])
+        return pa.array(rows, pa.list_(pa.struct([("n", pa.int32()), ("ord", pa.int32()), ("type", pa.string()), ("label", pa.string()), ("hits", pa.list_(pa.string()))])))
+
+    return look(text)
+
+
+def keyword_hits(requests: DataFrame, catalogue: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(request_id, type, ord, label, hits) for every type with a hit. No shuffle: the catalogue travels as automata, and the plan is the same whatever its size."""
+    rows = exploded(requests, ["request_id"], _scored(F.col("text"), catalogue, block), "place", "e")
+    return rows.select("request_id", "e.type", "e.ord", "e.label", "e.hits")
+
+
+def detect_intent(requests: DataFrame, catalogue: DataFrame, block: int = BLOCK) -> DataFrame:
     """The type with most hits, the later entry on a tie; without hits general with confidence 0, else min(1, 0.5 + 0.1 * hits)."""
-    best = F.array_max(F.filter(_scored(F.col("text"), catalogue), lambda e: (e["n"] > 0) & (e["type"] != GENERAL)))
-    out = requests.withColumn("best", best)
+    scored = requests.withColumn("_hits", _scored(F.col("text"), catalogue, block))
+    out = scored.withColumn("best", F.array_max(F.filter("_hits", lambda e: e["type"] != GENERAL)))
     none = F.array().cast("array<string>")
     return out.select(
         "request_id",

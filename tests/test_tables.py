@@ -4,12 +4,14 @@ import itertools
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.operators import catalog as C
 from quarrymill.operators import embedding as E
+from quarrymill.operators import intent as N
 from quarrymill.operators import retrieval as R
 from quarrymill.operators import review as H
 from quarrymill.sources import files as A
@@ -208,3 +210,29 @@ def test_drafts_by_template(spark):
     assert [r.draft_id for r in H.drafts_listing(drafts, template=(7, 2)).collect()] == [2, 1]
     assert rows(H.drafts_listing(drafts, by_template=True), "draft_id", "rank") == [(1, 2), (2, 1), (3, 1)]
     assert [r.draft_id for r in H.drafts_listing(drafts, user=6, final_status="ok").collect()] == [4]
+
+
+def test_a_catalogue_of_many_keywords(spark):
+    """Hits equal a search for each keyword by a pattern; the plan doesn't grow with the catalogue."""
+    rng = random.Random(11)
+    bits = ["طلب", "a", "a b", "a.b", "b", "x*y", "c", "ab", "(", "b c a", "."]
+    words = [*bits, *(" ".join(rng.choice(bits) for _ in range(rng.randint(1, 3))) for _ in range(120))]
+    types = [(f"t{k}", k, f"L{k}", [rng.choice(words) for _ in range(rng.randint(0, 30))] + ["", "a"][: k % 3], []) for k in range(12)] + [("general", 99, "G", ["a"], []), ("none", 100, None, None, [])]
+    schema = "type string, ord int, label string, keywords array<string>, fields array<string>"
+    texts = ["".join(rng.choice([*bits, " ", " ", "،", ",", ".", ";", "\u00a0", "\n"]) for _ in range(rng.randint(0, 25))) for _ in range(150)] + [None, ""]
+    rows_ = spark.createDataFrame(list(enumerate(texts)), "request_id long, text string")
+    catalogue = spark.createDataFrame(types, schema)
+    whole = lambda w, t: re.search(r"(?:^|[\s،,:;])" + re.escape(w) + r"(?:$|[\s،,:;.])", t or "")
+    want = sorted((i, name, tuple(w for w in keywords or [] if w and whole(w, t))) for i, t in enumerate(texts) for name, _, _, keywords, _ in types)
+    for block in (200_000, 7):
+        got = sorted((r.request_id, r.type, tuple(r.hits)) for r in N.keyword_hits(rows_, catalogue, block).collect())
+        assert got == [w for w in want if w[2]]
+        best = {r.request_id: r.type for r in N.detect_intent(rows_, catalogue, block).collect()}
+        for i in range(len(texts)):
+            scores = [(len(h), next(o for n, o, *_ in types if n == name), name) for k, name, h in want if k == i and h and name != "general"]
+            assert best[i] == (max(scores)[2] if scores else "general")
+    many = spark.createDataFrame([("big", 1, "B", [f"word{k}" for k in range(100_000)], [])], schema)
+    plan = lambda c: len(N.detect_intent(rows_, c)._jdf.queryExecution().toString())
+    assert plan(many) < 1.2 * plan(catalogue)
+    got = N.keyword_hits(spark.createDataFrame([(1, "see word99999, word7 wordx word12")], "request_id long, text string"), many).first()
+    assert got.hits == ["word7", "word12", "word99999"]
