@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, FloatType, StructField, StructType
 
 LONG_TEXT = 4000
 TINY = 1e-9
@@ -31,8 +33,11 @@ def hashing_embedder(dim: int) -> Callable[[list[str]], list[list[float]]]:
     return embed
 
 
-def embed_texts(texts: list[str], embed: Callable[[list[str]], list[list[float]]], dim: int, batch: int = 20) -> list[list[float]]:
-    """Vectors in the order of texts. Blocks of `batch` texts; long texts go alone, and one that fails gets a zero vector."""
+Embed = Callable[[list[str]], list[list[float]]]
+
+
+def embed_texts(texts: list[str], embed: Embed, dim: int, batch: int = 20, failed: list[int] | None = None) -> list[list[float]]:
+    """Vectors in the order of texts. Blocks of `batch` texts; long texts go alone, and one that fails gets a zero vector (its place is added to `failed`)."""
     if any(t is None or not t.strip() for t in texts):
         raise ValueError("blank texts can't be embedded")
     out: list[list[float] | None] = [None] * len(texts)
@@ -50,21 +55,43 @@ def embed_texts(texts: list[str], embed: Callable[[list[str]], list[list[float]]
                 (out[i],) = embed([t])
             except Exception:  # noqa: BLE001  a text too long for the model is kept with a placeholder
                 out[i] = [0.0] * dim
+                if failed is not None:
+                    failed.append(i)
     if any(len(v) != dim for v in out):
         raise ValueError(f"vectors must have {dim} dimensions")
     return out
 
 
-def embedder(embed: Callable[[list[str]], list[list[float]]], dim: int, batch: int = 20) -> Callable[[Column], Column]:
-    @F.arrow_udf("array<float>")
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array(embed_texts(column.to_pylist(), embed, dim, batch), pa.list_(pa.float32()))
-
-    return run
-
-
-def embed_column(df: DataFrame, text_col: str, embed: Callable[[list[str]], list[list[float]]], dim: int, batch: int = 20, out: str = "embedding") -> DataFrame:
-    return df.withColumn(out, embedder(embed, dim, batch)(F.col(text_col)))
+def whole_blocks(batches: Iterator[pa.RecordBatch], column: str, batch: int) -> Iterator[pa.Table]:
+    """Arrow batches recut so that each but the last holds whole blocks of `batch` short texts; what is left over goes on with the next."""
+    held: pa.Table | None = None
+    for b in batches:
+        held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        size = pc.fill_null(pc.utf8_length(held.column(column)), 0).to_numpy()
+        short = np.cumsum(size <= LONG_TEXT)
+        full = int(short[-1]) // batch * batch if len(short) else 0
+        if full:
+            cut = int(np.searchsorted(short, full)) + 1
+            yield held.slice(0, cut)
+            held = held.slice(cut)
+    if held is not None and len(held):
+        yield held
+
+
+def embed_column(df: DataFrame, text_col: str, embed: Embed, dim: int, batch: int = 20, out: str = "embedding", failed_col: str | None = None) -> DataFrame:
+    """df with vectors of a text column. Blocks of `batch` texts go on through a task's Arrow batches; `failed_col` tells which vectors are placeholders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_blocks(batches, text_col, batch):
+            failed: list[int] = []
+            vectors = embed_texts(rows.column(text_col).to_pylist(), embed, dim, batch, failed)
+            rows = rows.append_column(out, pa.array(vectors, pa.list_(pa.float32())))
+            if failed_col:
+                rows = rows.append_column(failed_col, pa.array(np.isin(np.arange(len(rows)), failed)))
+            yield from rows.combine_chunks().to_batches()
+
+    schema = StructType([f for f in df.schema if f.name not in (out, failed_col)] + [StructField(out, ArrayType(FloatType()))] + ([StructField(failed_col, BooleanType())] if failed_col else []))
+    return df.drop(out, *([failed_col] if failed_col else [])).mapInArrow(run, schema)
 
 
 def is_valid_vector(vector: Column, dim: int) -> Column:

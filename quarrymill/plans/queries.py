@@ -20,8 +20,9 @@ from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import review as H
 from ..operators.drafts import body_block
+from ..operators.resume import ingest_resumable
 from ..sources import files as A
-from ..sources.shared import shared_folder
+from ..sources.shared import save, shared_folder
 from ..streaming import events as S
 from . import views as V
 
@@ -859,6 +860,23 @@ def i11(spark, d):
 _NOW = f"TIMESTAMP '{V.NOW}'"
 
 
+@query(
+    "i11_resumable_ingest",
+    packed(200) + ", t AS (SELECT document_id, count(*) AS n FROM c GROUP BY 1) SELECT d.document_id, CASE WHEN t.n IS NULL THEN d.current_version ELSE d.current_version + 1 END::INT AS current_version, coalesce(t.n, 0)::BIGINT AS vectors, d.is_active OR t.n IS NOT NULL AS is_active FROM v_documents d LEFT JOIN t USING (document_id)",
+)
+def i11b(spark, d):
+    """A new version of every document, embedded in rounds of 40 chunks a file; the run stops after the first round and is taken up again."""
+    docs = V.documents(spark, d).select("document_id", "current_version", "is_active", "title", "status")
+    chunks = K.chunk_documents(paragraphed(spark, d), headings=NONE, overlap=0).withColumnRenamed("document_id", "file_id").drop("n_tokens")
+    chunks = save(chunks, shared_folder(spark, "new_chunks"))
+    files = docs.select(F.col("document_id").alias("file_id"), "document_id", (F.col("current_version") + 1).alias("version"), F.col("title").alias("original_filename"), F.lit("examples").alias("storage_bucket"))
+    out = shared_folder(spark, "resumable")
+    for rounds in (1, None):
+        got = ingest_resumable(docs, files, chunks, out, E.hashing_embedder(DIM), DIM, budget=40, rounds=rounds)
+    n = E.valid_vectors(got["chunks"], DIM).groupBy(F.col("file_id").alias("document_id")).agg(F.countDistinct("chunk_index").alias("vectors"))
+    return got["documents"].join(n, "document_id", "left").select("document_id", "current_version", F.coalesce("vectors", F.lit(0)).alias("vectors"), "is_active")
+
+
 @query("i12_claimable", f"SELECT job_id, attempts + 1 AS attempts, 'processing' AS status FROM v_jobs WHERE status = 'pending' AND (claimed_at IS NULL OR claimed_at < {_NOW} - INTERVAL 300 SECOND) ORDER BY priority DESC, scheduled_at, job_id LIMIT 100")
 def i12(spark, d):
     return C.claimable_jobs(V.jobs(spark, d), V.NOW, 100).select("job_id", "attempts", "status")
@@ -995,16 +1013,21 @@ def j3b(spark, d):
 
 @query(
     "j4_probe",
-    f"""WITH good AS ({_GOOD}), p AS (SELECT document_id, min_by(v, chunk_id) AS q, any_value(category) AS own FROM good JOIN (SELECT document_id AS i, status FROM v_documents) ON i = document_id WHERE status = 'indexed' GROUP BY 1),
+    f"""WITH good AS ({_GOOD}), p AS (SELECT document_id, CASE WHEN document_id % 4 = 1 THEN list_reverse(min_by(v, chunk_id)) ELSE min_by(v, chunk_id) END AS q, any_value(category) AS own FROM good JOIN (SELECT document_id AS i, status FROM v_documents) ON i = document_id WHERE status = 'indexed' AND i % 15 <> 4 GROUP BY 1),
     s AS (SELECT p.document_id AS request_id, p.own, g.document_id, g.chunk_id, g.category, round(list_cosine_similarity(g.v, p.q), 12) AS similarity FROM good g, p),
     a AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY similarity DESC, chunk_id) AS n FROM s WHERE similarity > 0),
-    h AS (SELECT request_id, count(*) AS hits, max(similarity) AS best FROM a WHERE n <= 5 AND document_id = request_id GROUP BY 1)
-    SELECT d.document_id, d.category, coalesce(hits, 0)::BIGINT AS hits, round(best, 6) AS best, CASE WHEN p.document_id IS NULL THEN 'warn' WHEN hits > 0 THEN 'ok' ELSE 'not found' END AS verdict
-    FROM v_documents d LEFT JOIN p ON p.document_id = d.document_id LEFT JOIN h ON h.request_id = d.document_id WHERE d.status = 'indexed'""",
+    h AS (SELECT request_id, count(*) AS hits, max(similarity) AS best FROM a WHERE n <= 5 AND document_id = request_id GROUP BY 1),
+    w AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY similarity DESC, chunk_id) AS n FROM s WHERE similarity > 0 AND category = own AND request_id NOT IN (SELECT request_id FROM h)),
+    i AS (SELECT request_id, count(*) AS hits, max(similarity) AS best FROM w WHERE n <= 5 AND document_id = request_id GROUP BY 1)
+    SELECT d.document_id, d.category, coalesce(h.hits, i.hits, 0)::BIGINT AS hits, round(coalesce(h.best, i.best), 6) AS best, CASE WHEN p.document_id IS NULL THEN 'warn' WHEN h.hits > 0 THEN 'ok' WHEN i.hits > 0 THEN 'category only' ELSE 'not found' END AS verdict
+    FROM v_documents d LEFT JOIN p ON p.document_id = d.document_id LEFT JOIN h ON h.request_id = d.document_id LEFT JOIN i ON i.request_id = d.document_id WHERE d.status = 'indexed'""",
 )
 def j4(spark, d):
+    """Probes are vectors of the documents' own; of every fourth document they are reversed, which only its category may answer, or nothing, and some have none."""
     c = visible(spark, d)
-    probes = E.valid_vectors(c, DIM).groupBy("document_id").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
+    i = F.col("document_id")
+    probes = E.valid_vectors(c, DIM).where(i % 15 != 4).groupBy("document_id").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
+    probes = probes.withColumn("embedding", F.when(i % 4 == 1, F.reverse("embedding")).otherwise(F.col("embedding")))
     return Q.retrievability_probe(V.documents(spark, d), probes, c, DIM, 5)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -69,16 +69,33 @@ def _paragraph(node) -> str:
     return "".join(t.text or "" if t.tag == _W + "t" else "\t" if t.tag == _W + "tab" else "\n" for t in node.iter() if t.tag in (_W + "t", _W + "tab", _W + "br"))
 
 
-def _body(root) -> list[str]:
-    """Paragraphs and tables of a body in their order; a table's rows are lines of cells."""
-    out = []
-    for node in root:
-        if node.tag == _W + "p":
-            out.append(_paragraph(node).strip())
-        elif node.tag == _W + "tbl":
-            rows = [[" ".join(filter(None, (_paragraph(p).strip() for p in cell.iter(_W + "p")))) for cell in row.findall(_W + "tc")] for row in node.findall(_W + "tr")]
-            out.append("\n".join(" | ".join(r) for r in rows if any(r)))
-    return [x for x in out if x]
+def _body(stream) -> Iterator[str]:
+    """Paragraphs and tables of a body, header or footer in their order; a table's rows are lines of cells.
+
+    The XML is read piece by piece: a paragraph or a row is dropped once its text was taken, so that memory holds the texts and one of these.
+    """
+    path: list = []
+    rows: list[str] = []
+    outer = {_W + n for n in ("body", "hdr", "ftr")}
+    for event, node in ElementTree.iterparse(stream, ("start", "end")):
+        if event == "start":
+            path.append(node)
+            continue
+        path.pop()
+        up = path[-1].tag if path else None
+        if node.tag == _W + "tr" and up == _W + "tbl" and len(path) > 1 and path[-2].tag in outer:
+            cells = [" ".join(filter(None, (_paragraph(p).strip() for p in cell.iter(_W + "p")))) for cell in node.findall(_W + "tc")]
+            rows += [" | ".join(cells)] if any(cells) else []
+        elif up in outer and node.tag == _W + "p":
+            if text := _paragraph(node).strip():
+                yield text
+        elif up in outer and node.tag == _W + "tbl":
+            if rows:
+                yield "\n".join(rows)
+            rows = []
+        elif up not in outer:
+            continue
+        del path[-1][:]
 
 
 def docx_text(content: bytes) -> str:
@@ -87,11 +104,12 @@ def docx_text(content: bytes) -> str:
         parts: list[str] = []
         for kind, mark in (("header", "[HEADER] "), ("footer", "[FOOTER] ")):
             for name in sorted(n for n in z.namelist() if n.startswith(f"word/{kind}") and n.endswith(".xml")):
-                text = " ".join(_body(ElementTree.fromstring(z.read(name))))
+                with z.open(name) as stream:
+                    text = " ".join(_body(stream))
                 if text and mark + text not in parts:
                     parts.append(mark + text)
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(_W + "body")
-        return "\n\n".join(parts + (_body(body) if body is not None else []))
+        with z.open("word/document.xml") as stream:
+            return "\n\n".join([*parts, *_body(stream)])
 
 
 LOADED = "text string, status string, mime_type string, error_message string, extractor string"

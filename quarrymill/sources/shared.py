@@ -25,6 +25,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store its path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def save(df: DataFrame, path: str) -> DataFrame:
     """Writes df as Parquet and reads it back: cuts lineage and survives lost executors."""
     df.write.mode("overwrite").parquet(path)

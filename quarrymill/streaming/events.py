@@ -13,7 +13,7 @@ from ..functions.text import COUNTERS
 from ..operators.chunking import chunk_documents
 from ..operators.embedding import embed_column
 from ..sources.files import extract_text, listed_files, path_root, with_names
-from ..sources.shared import save, shared_folder
+from ..sources.shared import folder_exists, save, shared_folder
 
 EVENT = "type string, `table` string, record struct<id:string, bucket_id:string, name:string, metadata:struct<size:bigint, mimetype:string>, updated_at:string>"
 #: Priority of a new file's job.
@@ -111,8 +111,7 @@ def _part(file_id: str = "file_id"):
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     """A table in parts, or None before its first write."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return spark.read.parquet(path) if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
+    return spark.read.parquet(path) if folder_exists(spark, path) else None
 
 
 def _rewrite(spark: SparkSession, path: str, rows: DataFrame, gone: DataFrame) -> None:

@@ -6,6 +6,7 @@ import os
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from quarrymill.operators import embedding as E
 from quarrymill.operators import intent as N
 from quarrymill.operators import retrieval as R
 from quarrymill.operators import review as H
+from quarrymill.operators.resume import ingest_resumable
 from quarrymill.sources import files as A
 from quarrymill.sources import shared
 from quarrymill.streaming import events as S
@@ -236,3 +238,82 @@ def test_a_catalogue_of_many_keywords(spark):
     assert plan(many) < 1.2 * plan(catalogue)
     got = N.keyword_hits(spark.createDataFrame([(1, "see word99999, word7 wordx word12")], "request_id long, text string"), many).first()
     assert got.hits == ["word7", "word12", "word99999"]
+
+
+def test_ingest_is_taken_up_where_it_broke_off(spark, tmp_path):
+    sizes = {1: 53, 2: 7, 3: 0, 4: 25}
+    rows_ = [(f, k, f"file {f} chunk {k}" if k != 3 else "x" * 5000) for f, n in sizes.items() for k in range(n)]
+    chunks = spark.createDataFrame(rows_, "file_id long, chunk_index int, content string").repartition(3)
+    documents = spark.createDataFrame([(f, 1, False, f"t{f}", "pending") for f in sizes], "document_id long, current_version int, is_active boolean, title string, status string")
+    files = documents.select(F.col("document_id").alias("file_id"), "document_id", F.lit(2).alias("version"), F.col("title").alias("original_filename"), F.lit("examples").alias("storage_bucket"))
+    log, breaks = tmp_path / "log", tmp_path / "breaks"
+    log.mkdir()
+    inner = E.hashing_embedder(8)
+
+    def embed(texts):
+        if os.path.exists(breaks) and any(t.startswith("file 4") for t in texts):
+            raise RuntimeError("lost")
+        if len(texts) == 1 and len(texts[0]) > 4000:
+            raise ValueError("too long")
+        with open(log / f"{os.getpid()}", "a") as out:
+            out.writelines(t + "\n" for t in texts)
+        return inner(texts)
+
+    go = lambda **k: ingest_resumable(documents, files, chunks, str(tmp_path / "out"), embed, 8, budget=10, batch=4, **k)
+    status = lambda got: {r.file_id: (r.saved_chunks, r.status) for r in got["progress"].collect()}
+    assert status(go(rounds=1)) == {1: (10, "processing"), 2: (7, "indexed"), 4: (10, "processing")}
+    breaks.touch()
+    with pytest.raises(Exception, match="lost"):
+        go()
+    assert status(go(rounds=0)) == {1: (10, "processing"), 2: (7, "indexed"), 4: (10, "processing")}
+    lost = {line for p in log.iterdir() for line in p.read_text().split("\n")[:-1]}
+    breaks.unlink()
+    for p in log.iterdir():
+        p.unlink()
+    got = go()
+    assert status(got) == {1: (53, "indexed"), 2: (7, "indexed"), 4: (25, "indexed")}
+    assert got["chunks"].count() == got["chunks"].select("file_id", "chunk_index").distinct().count() == 85
+    assert {r.chunk_index for r in got["chunks"].where("failed").collect()} == {3}
+    again = [line for p in log.iterdir() for line in p.read_text().split("\n")[:-1]]
+    first = {f"file {f} chunk {k}" for f, n in sizes.items() for k in range(min(n, 10))}
+    assert len(again) == len(set(again)) and not first & set(again) and set(again) | first == {f"file {f} chunk {k}" for f, n in sizes.items() for k in range(n)} | {f"file {f} chunk 3" for f in (1, 2, 4)} and lost <= set(again) | first
+    assert {r.document_id: (r.current_version, r.is_active) for r in got["documents"].collect()} == {1: (2, True), 2: (2, True), 3: (1, False), 4: (2, True)}
+    before = sorted(os.listdir(tmp_path / "out"))
+    assert status(go()) == status(got) and sorted(os.listdir(tmp_path / "out")) == before
+
+
+def test_blocks_go_on_through_arrow_batches(spark):
+    sizes = []
+
+    def batches():
+        for a in range(0, 50, 3):
+            yield pa.record_batch({"t": pa.array(["x" * 5000 if k % 10 == 9 else f"t{k}" for k in range(a, min(a + 3, 50))]), "k": pa.array(range(a, min(a + 3, 50)))})
+
+    keys = []
+    for part in E.whole_blocks(batches(), "t", 20):
+        sizes.append(sum(len(t) < 4000 for t in part.column("t").to_pylist()))
+        keys += part.column("k").to_pylist()
+    assert keys == list(range(50)) and sizes == [20, 20, 5]
+    assert list(E.whole_blocks(iter([]), "t", 20)) == []
+
+
+def test_a_large_word_file_is_read_piece_by_piece():
+    import io
+    import tracemalloc
+    import zipfile
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    padding = "<w:rPr>" + "<w:b/>" * 200 + "</w:rPr>"
+    one = f"<w:p><w:r>{padding}<w:t>word</w:t></w:r></w:p>"
+    row = f"<w:tr><w:tc>{one}</w:tc><w:tc>{one}</w:tc></w:tr>"
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>' + one * 3000 + "<w:tbl>" + row * 2000 + "<w:tr><w:tc/></w:tr></w:tbl>" + one + "</w:body></w:document>")
+        z.writestr("word/header1.xml", f'<w:hdr xmlns:w="{w}">{one}</w:hdr>')
+    data = buffer.getvalue()
+    tracemalloc.start()
+    text = A.docx_text(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert text.split("\n\n") == ["[HEADER] word", *["word"] * 3000, "\n".join(["word | word"] * 2000), "word"]
+    assert peak < 8 << 20  # the tree of all of it takes over a hundred
