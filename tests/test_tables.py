@@ -5,12 +5,15 @@ import json
 import os
 import random
 import re
+import sys
 
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quarrymill.operators import catalog as C
+from quarrymill.operators import chunking as K
 from quarrymill.operators import embedding as E
 from quarrymill.operators import intent as N
 from quarrymill.operators import retrieval as R
@@ -20,6 +23,7 @@ from quarrymill.sources import files as A
 from quarrymill.sources import shared
 from quarrymill.streaming import events as S
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NOW = "2024-01-31 00:00:00"
 DOC = "document_id long, source_uri string, title string"
 
@@ -317,3 +321,57 @@ def test_a_large_word_file_is_read_piece_by_piece():
     tracemalloc.stop()
     assert text.split("\n\n") == ["[HEADER] word", *["word"] * 3000, "\n".join(["word | word"] * 2000), "word"]
     assert peak < 8 << 20  # the tree of all of it takes over a hundred
+
+
+def merging(text):
+    """Two letters a token, one less where a word that ends in a comes before one that starts with b: tokens reach across words."""
+    w = text.split()
+    return sum(-(-len(x) // 2) for x in w) - sum(x[-1] == "a" and y[0] == "b" for x, y in zip(w, w[1:]))
+
+
+def plain_chunks(blocks, measure, target, hard_max, overlap):
+    """Chunking as it is described, word by word and text by text."""
+
+    def cut(text, most):
+        out, held = [], []
+        for w in text.split(" "):
+            if held and measure(" ".join([*held, w]).strip()) > most:
+                out.append(" ".join(held).strip())
+                held = []
+            held.append(w)
+        return [p for p in [*out, " ".join(held).strip()] if p]
+
+    chunks, held, n = [], [], 0
+    for block in [*blocks, None]:
+        size = measure(block) if block is not None else 0
+        if block is not None and n + size <= target:
+            held.append(block)
+            n += size
+            continue
+        if held:
+            chunks.append(" ".join(held).strip())
+        held, n = ([block], size) if block is not None and size <= target else ([], 0)
+        if block is not None and size > target:
+            parts = cut(block, target)
+            if chunks and overlap and measure(" ".join(chunks[-1].split(" ")[-60:]) + " " + parts[0]) <= hard_max:
+                parts[0] = " ".join(chunks[-1].split(" ")[-60:]) + " " + parts[0]
+            chunks += parts
+    out = chunks[:1]
+    for before, own in zip(chunks, chunks[1:]):
+        tail = before.split(" ")[-80:] if overlap else []
+        while tail and measure(" ".join([*tail, own])) > hard_max:
+            tail.pop(0)
+        out.append(" ".join([*tail, own]))
+    return [(p, measure(p)) for c in out for p in (cut(c, hard_max) if measure(c) > hard_max else [c]) if p]
+
+
+@pytest.mark.parametrize("measure", [merging, lambda t: -(-len(t) // 4), lambda t: len(t.split())])
+def test_chunks_by_counters_that_reach_across_words(spark, measure):
+    rng = random.Random(6)
+    for _ in range(120):
+        blocks = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, rng.choice([3, 3, 30])))) for _ in range(rng.randint(1, rng.choice([4, 60])))) for _ in range(rng.randint(0, 8))]
+        for target, hard_max, overlap in ((20, 30, 0), (20, 30, 5), (8, 8, 3), (40, 200, 9)):
+            assert K.Measured(blocks, measure).chunks(K.Limits(target, hard_max, overlap)) == plain_chunks(blocks, measure, target, hard_max, overlap)
+    docs = spark.createDataFrame([(1, "\n\n".join(blocks or ["a b"])), (2, None), (3, "")], "document_id long, content string")
+    got = K.chunk_documents(docs, headings=None, text_counter=measure, target=20, hard_max=30, overlap=5)
+    assert [(r.content, r.n_tokens) for r in got.orderBy("document_id", "chunk_index").collect()] == plain_chunks(blocks or ["a b"], measure, 20, 30, 5)
