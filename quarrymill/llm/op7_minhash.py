@@ -97,7 +97,10 @@ def signatures(docs: DataFrame, chunks: int = 10, width: int = 4, errors: int =
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
-    """Of pairs (a, b) those with 100 * |A and B| >= percent * |A or B| on the full shingle sets of texts (doc_id, text)."""
+    """Of pairs (a, b), a written table, those with 100 * |A and B| >= percent * |A or B| on the full shingle sets of texts (doc_id, text).
+
+    A text that over a thousandth of all pairs have as their a is dealt to several tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
@@ -117,7 +120,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = 75, shingle: in
 
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"], pairs.count())
+    return dealt_join(pairs.join(b, "b"), a, ["a"], "b", hot).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _near(signs: np.ndarray, c: np.ndarray, side: np.ndarray, most: float) -> Iterator[tuple[int, np.ndarray]]:

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quarrymill.llm import op11_phrases, op12_runs, op13_private
 
@@ -264,3 +265,28 @@ def test_rounds_raise_patterns_by_what_they_share(spark):
     added = lambda n: {s["value"] for r in op13_private.personal_data(docs(spark, rows), rounds=n).collect() for s in r["spans"] if not s["is_base"]}
     assert "743 558 3899" not in added(0)
     assert "743 558 3899" in added(4)
+
+
+def test_a_hub_that_most_pairs_share_is_dealt(spark, monkeypatch):
+    """Most documents share most words with one: its text meets theirs in several tasks, and the links are the same."""
+    from quarrymill.llm import common, op7_minhash
+
+    monkeypatch.setattr(common, "LEAST_HOT", 10)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(200)]
+    texts = [(0, " ".join(base))] + [(i, " ".join(base[: 100 + i % 100] + [f"x{i}"] + base[100 + i % 100 :])) for i in range(1, 160)] + [(i, " ".join(rng.choice(base) for _ in range(80))) for i in range(160, 200)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(1, 2), (170, 171)], "a long, b long")
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts}
+    want = sorted((a, b) for a, b in [(0, i) for i in range(1, 200)] + [(1, 2), (170, 171)] if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(before, ("-1", "false", "16"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        out = op7_minhash.confirmed(pairs, table)
+        assert sorted(map(tuple, out.collect())) == want and len(want) > 100
+        joined = common.dealt_join(pairs, table.withColumnRenamed("doc_id", "a"), ["a"], "b", [(0, 20)])
+        assert max(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()) < 60
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
