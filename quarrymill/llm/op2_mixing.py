@@ -6,13 +6,13 @@ share that is left for it once all before it have stopped.
 
 A source's target is that many complete epochs of all its documents, then a fraction: documents in the order of -ln(u) / w (u a keyed hash
 of doc_id, w the document's quality weight), as many as bring their sizes nearest to the words that are left. The order is laid out by a
-range partitioning over (source, key); sizes are summed within ranges, ranges are prefix-summed, so a source with a third of all rows is
-spread over many tasks.
+range partitioning over (source, key, the row's number); sizes are summed within ranges, ranges are prefix-summed, so a source with a third
+of all rows, or one doc_id on as many, is spread over many tasks. Sizes are written before, so texts are read once.
 
 Only DataFrame and SQL functions. A null text has size 0. Null sources are one source, the last. Documents of size 0 are repeated with
 their source's epochs and never in the fraction; a source without words has target 0. Rows with a null doc_id, and rows that repeat one,
-count each on their own; equal keys are ordered by doc_id and size, then by the row's number where it is given. Texts of any length count
-whole. Empty tables give no rows; other columns, whatever their names, are kept by `mixed` only, which joins by the row's number, never by
+count each on their own: the key of a null doc_id is drawn from the row's number, equal keys are ordered by doc_id, size and number. Texts of
+any length count whole. Empty tables give no rows; other columns, whatever their names, are kept by `mixed` only, which joins by the row's number, never by
 doc_id.
 """
 
@@ -26,9 +26,9 @@ from .common import fresh, numbered, quoted, save, work_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
+def uniform(drawn: Column, seed: int) -> Column:
     """52 bits of an MD5 as a number in (0, 1)."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), drawn).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
@@ -61,16 +61,22 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     `number` names a column that numbers the rows of docs; it comes along as row.
     """
     work = work_dir(docs.sparkSession, "mixing")
-    row = ["row"] if number else []
-    sized = docs.select("doc_id", *([F.col(number).alias("row")] if number else []), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    source, size = F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    if number:
+        sized = docs.select("doc_id", F.col(number).alias("row"), source, size)
+    else:
+        sized = numbered(docs.select("doc_id", source, size), f"{work}/sizes", "row")
     if quality is None:
         sized = sized.withColumn("weight", F.lit(1.0))
     else:
-        one = quality.where("doc_id is not null").groupBy("doc_id").agg(F.max("weight").alias("weight"))
-        sized = sized.join(one, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    keyed = sized.withColumn("key", -F.ln(uniform(F.col("doc_id"), seed)) / F.col("weight"))
+        one = quality.where("doc_id is not null").groupBy("doc_id").agg(F.max("weight").alias("weight")).withColumn("_spread", F.lit(0).cast("long"))
+        # rows without doc_id find nothing, and are spread over the tasks of the join by their numbers
+        sized = sized.withColumn("_spread", F.when(F.col("doc_id").isNull(), F.col("row")).otherwise(0)).join(one, ["doc_id", "_spread"], "left").drop("_spread")
+        sized = sized.withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    drawn = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))
+    keyed = sized.withColumn("key", -F.ln(uniform(drawn, seed)) / F.col("weight"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keyed.repartitionByRange(parts, F.col("source").asc_nulls_last(), "key", "doc_id", "size", *row).withColumn("range", F.spark_partition_id())
+    ranged = keyed.repartitionByRange(parts, F.col("source").asc_nulls_last(), "key", "doc_id", "size", "row").withColumn("range", F.spark_partition_id())
     ranged = save(ranged, f"{work}/ranges")
 
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("n"))
@@ -80,14 +86,14 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     plan = sums.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumnRenamed("source", "_source").withColumnRenamed("range", "_range")
     rows = ranged.join(plan, (F.col("range") == F.col("_range")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_range")
 
-    inside = Window.partitionBy("range", "source").orderBy("key", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("range", "source").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     out = rows.withColumns({"before": before, "epochs": epochs})
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     more = (F.col("size") > 0) & (2 * F.col("before") + F.col("size") <= 2 * rest)
     out = out.withColumn("copies", F.col("epochs") + F.when(more, 1).otherwise(0))
-    return out.select("doc_id", *row, "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", *(["row"] if number else []), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:

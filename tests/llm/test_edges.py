@@ -139,6 +139,21 @@ def test_op2_mixed_counts_rows_on_their_own(spark):
     assert all(abs(taken[s] - t) <= 9 for s, (t, _) in target.items())
 
 
+def test_op2_one_id_or_none_on_most_rows(spark):
+    """Rows with one doc_id, or none, are spread over the ranges, and those without one are drawn one by one."""
+    rows = [(None, "a b", "s")] * 400 + [(7, "c d", "s")] * 400 + [(1000 + i, "e f", "t") for i in range(400)]
+    table = docs(spark, rows).repartition(3)
+    got = op2_mixing.mix(table, weights=(1, 1)).collect()
+    taken, target = defaultdict(int), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.taken
+    assert len(got) == 1200 and all(abs(taken[s] - t) <= 1 for s, t in target.items())
+    lone = Counter(r.taken for r in got if r.doc_id is None)
+    assert len(lone) > 1  # not taken all together
+    again = op2_mixing.mix(table, spark.createDataFrame([(7, 2.0)], "doc_id long, weight double"), weights=(1, 1)).collect()
+    assert len(again) == 1200 and sum(r.taken for r in again) == sum(r.taken for r in got)
+
+
 def test_op3_hot_payload(spark, monkeypatch):
     monkeypatch.setattr(common, "LEAST_HOT", 10)
     pages = spark.createDataFrame([(i, f"http://h/{i % 50}", "same " * 40 if i % 3 else f"own {i} " * 30) for i in range(300)], "page_id long, url string, html string")

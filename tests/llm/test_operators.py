@@ -193,6 +193,19 @@ def test_op4_round_trip(spark):
     assert op4_chat.read_back(op4_chat.expand(turns.limit(0))).count() == 0
 
 
+def test_op4_rows_without_conversation_repeats_and_many_turns(spark):
+    """Rows without conv_id stand alone; repeated rows are turns of their own; hundreds of turns and long texts come back whole."""
+    alone = [(None, 0, "assistant", "a"), (None, 0, "assistant", "a"), (None, 1, "user", "b")]
+    long = [(7, i, ("user", "assistant")[i % 2], f"t{i} <|im_end|> " + "y" * (9000 if i == 3 else 5)) for i in range(300)]
+    twice = [(8, 0, "assistant", "same")] * 3
+    got = op4_chat.read_back(op4_chat.expand(spark.createDataFrame(alone + long + twice, "conv_id long, turn long, role string, text string"))).collect()
+    digest = lambda ts: hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in ts).encode()).hexdigest()
+    assert sorted((r.n_turns, r.turns_sha256, r.loss_chars) for r in got if r.conv_id is None) == sorted((1, digest([t]), len(t[3]) * (t[2] == "assistant")) for t in alone)
+    one = {r.conv_id: r for r in got}
+    assert (one[7].n_turns, one[7].turns_sha256) == (300, digest(long)) and (one[8].n_turns, one[8].turns_sha256) == (3, digest(twice))
+    assert one[7].loss_sha256 == hashlib.sha256("".join(t for _, _, r, t in long if r == "assistant").encode()).hexdigest()
+
+
 def test_op5_findings(spark):
     rows = []
     for i in range(60):
