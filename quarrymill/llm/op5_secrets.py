@@ -1,12 +1,15 @@
 """Secret scanning with a random forest that removes false findings.
 
-A candidate is a run of 16 or more characters of keys, tokens, paths and numbers inside a word, or the value of an assignment whatever its
-length and characters, up to white space: after = or := of any name, after : or => of a credential's name, in a URL after ?name= or &name=.
-
-Labels and features are two views of a finding that share nothing. Where no reviewed findings are at hand, labels come from the name that
-a value is assigned to (`assigned_name`). The forest never sees that name or its sign. Its features are the candidate's length; character
+A candidate is a run of 16 or more characters of keys, tokens, paths and numbers inside a word; the value of an assignment whatever its
+length and characters: after = or := of any name, after : or => of a credential's name, in a URL after ?name= or &name=; or a whole PEM block
+of a private key. A value ends at white space, a quoted one at its quote: with spaces inside it has to end on its line and hold no =, else
+it ends at white space too. Such a value, and a PEM block, counts as one word. Of a block that isn't closed the lines are found as runs.
+
+Labels and features are two views of a finding that share nothing. Labels are those of reviewed findings (`reviewed`: candidate, label), by
+the majority where one was reviewed often, a tie being a secret. Where none are at hand, labels come from the name that a value is assigned
+to (`assigned_name`). The forest never sees that name or its sign. Its features are the candidate's length; character
 transitions (runs of one class for each character), shares of digits, upper case and vowels, share of distinct characters, hexadecimal only;
-dictionary coverage (the share taken by frequent words of the whole corpus); path (the source, slashes and dots); neighbouring words (the two
+dictionary coverage (the share taken by frequent words of the whole corpus, from left to right, the longest first); path (the source, slashes and dots); neighbouring words (the two
 words before name and value and the one after, whether they are dictionary words, quotes). So it can turn down what an ill-chosen name made
 a finding (`password = hunter_season2`), and find what no name points to. Source and words are no numbers: each is a category, hashed to
 `RATES` values, and stands for the share of secrets among the labelled findings that have it, drawn to the mean where they are few. Shares
@@ -23,13 +26,15 @@ findings, rows with a null doc_id too. Empty tables give no rows. Other columns,
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, work_dir
+from .common import save, spread_join, work_dir
 from .op6_language import held_out
 
 RUN = r"[A-Za-z0-9+/_=.\-]{16,}"
@@ -41,6 +46,12 @@ KEYS = ["api", "access", "secret", "private", "encryption", "signing", "account"
 OWN = r"""^[^\w]*(\w[\w.\-]*)["'\]]*(:=|=>|=|:(?!//))(.*)$"""
 #: A word that ends a name, with the sign or without.
 SIGN = r"^(?::=|=>|=|:)"
+#: A closed PEM block; a quoted value with spaces after = or := of any name, or after : or => of what looks like a credential's name.
+PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+LIKELY = r"""(?i:token|secret|passw|passwd|passphrase|password|pwd|key|auth|credential|credentials)[\w.\-]{0,20}["'\]]{0,2}[ \t]{0,4}(?::|=>)[ \t]{0,4}"""
+SPACED = rf"""(?=["'`])(?:(?<==[ \t]{{0,4}})|(?<={LIKELY}))(?:""" + "|".join(rf"{q}[^{q}= \t\r\n]*+[ \t][^{q}=\r\n]*+{q}" for q in "\"'`") + ")"
+#: Stands for such a block or value in the text's words; a code point that is no character.
+MARK = "\ufdd0"
 PARAMETER = r"""[?&][\w.\-]+=([^&#"'<>]+)"""
 NUMBERS = ["length", "transitions", "digits", "upper", "vowels", "distinct", "hexadecimal", "coverage", "slashes", "dots", "quoted", "known_before", "known_after"]
 CATEGORIES = ["path", "before_1", "before_2", "after_1"]
@@ -60,21 +71,28 @@ def candidates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, source) -> doc_id, source, place (number of the word), candidate, the words around it (w1, w2, w3), and its view for
     the forest: the words before the assignment (b1, b2).
     """
-    may = lambda w: w.rlike(RUN) | w.rlike("[=:]")
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    may = lambda w: w.rlike(RUN) | w.rlike(f"[=:{MARK}]")
+    some = docs.where(may(F.col("text")) | F.contains("text", F.lit("-----BEGIN "))).select("doc_id", "source", F.replace("text", F.lit(MARK), F.lit(" ")).alias("text"))
+    whole = f"{PEM}|{SPACED}"
+    words = F.regexp_extract_all(F.regexp_replace("text", whole, f'"{MARK}" '), F.lit(WORD), F.lit(0))
     near = lambda all_, i, k: F.coalesce(F.get(all_, i + k), F.lit(""))
-    # only words that may hold a candidate leave the array, each with its neighbours
-    some = docs.where(may(F.col("text"))).select("doc_id", "source", words.alias("words"))
+    # only words that may hold a candidate leave the array, each with its neighbours and the block or value that it stands for
+    some = some.select("doc_id", "source", words.alias("words"), F.regexp_extract_all("text", F.lit(whole), F.lit(0)).alias("blocks"))
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: may(F.get("words", i)) | near(F.col("words"), i, -1).rlike("[=:>]$"))
-    one = lambda i: F.struct(i.cast("long").alias("place"), F.get("words", i).alias("word"), *[near(F.col("words"), i, k).alias(n) for n, k in (("w1", -1), ("w2", -2), ("w3", 1), ("w4", -3), ("w5", -4))])
+    marked = lambda w: F.contains(w, F.lit(MARK))
+    block = lambda i: F.when(marked(F.get("words", i)), F.get("blocks", F.size(F.filter(F.slice("words", F.lit(1), i), marked))))
+    one = lambda i: F.struct(i.cast("long").alias("place"), F.get("words", i).alias("word"), block(i).alias("block_"), *[near(F.col("words"), i, k).alias(n) for n, k in (("w1", -1), ("w2", -2), ("w3", 1), ("w4", -3), ("w5", -4))])
     placed = some.select("doc_id", "source", F.explode_outer(F.transform(at, one)).alias("p")).where("p is not null").select("doc_id", "source", "p.*")
-    runs = F.regexp_extract_all("word", F.lit(RUN), F.lit(0))
-    values = F.filter(assigned_values(), lambda v: v != "")
+    key = F.coalesce(F.startswith("block_", F.lit("-----")), F.lit(False))
+    inside = F.when(key, F.col("block_")).otherwise(F.substring(F.col("block_"), F.lit(2), F.char_length("block_") - 2))
+    values = F.transform(F.filter(assigned_values(), lambda v: v != ""), lambda v: F.when(marked(v), inside).otherwise(v))
+    runs = F.regexp_extract_all(F.concat_ws(" ", "word", "block_"), F.lit(RUN), F.lit(0))
+    values = F.when(key, F.array(inside)).otherwise(values)
     apart = lambda r: ~F.exists(F.col("values_"), lambda v: F.contains(v, r) | F.contains(r, v))
     placed = placed.withColumn("values_", values).withColumn("candidate", F.explode_outer(F.concat("values_", F.filter(runs, apart)))).where("candidate is not null")
     taken = words_of_name()
     before = lambda k: F.element_at(F.array("w1", "w2", "w4", "w5"), (taken + k).cast("int"))
-    return placed.withColumns({"b1": before(1), "b2": before(2)}).drop("values_", "w4", "w5")
+    return placed.withColumns({"b1": before(1), "b2": before(2)}).drop("values_", "block_", "w4", "w5")
 
 
 def words_of_name() -> Column:
@@ -126,14 +144,22 @@ def bare(w: Column) -> Column:
     return F.regexp_replace(F.lower(w), r"[^\p{L}_]", "")
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern for the longest of some words at a place, that reads each letter once: words of one beginning share it."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    ways = [re.escape(c) + (any_of(rest) if any(rest) else "") for c, rest in sorted(by.items()) if c]
+    return f"(?:{'|'.join(ways)}){'?' if '' in by else ''}" if ways else ""
+
+
 def featured(found: DataFrame, dictionary: list[str]) -> DataFrame:
     """found with the numbers, and the categories as hashes; nothing here reads the name or sign of an assignment."""
     c, low = F.col("candidate"), F.lower("candidate")
-    words = F.array(*map(F.lit, dictionary)) if dictionary else F.array().cast("array<string>")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / F.char_length(c)
-    rest = F.aggregate(F.filter(words, lambda w: F.contains(low, w)), low, lambda left, w: F.replace(left, w, F.lit("")))
+    rest = F.regexp_replace(low, any_of(dictionary), "") if dictionary else low
     bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(RATES)).cast("int")
-    known = lambda w: F.array_contains(words, bare(F.col(w))).cast("double")
+    known = lambda w: bare(F.col(w)).isin(dictionary).cast("double")
     columns: dict[str, Column] = {
         "length": F.char_length(c).cast("double"),
         "transitions": F.regexp_count(c, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")) / F.char_length(c),
@@ -185,20 +211,30 @@ def judged(found: DataFrame, labelled: DataFrame, sample: int = 10_000, trees: i
     return out.withColumn("probability", vector_to_array("probability")[1]).drop("x", "rawPrediction", "prediction")
 
 
-def scan(docs: DataFrame, label: Column | None = None, known: Column | None = None, **options) -> DataFrame:
+def verdicts(reviewed: DataFrame) -> DataFrame:
+    """reviewed (candidate, label 0.0 or 1.0, null: undecided) -> candidate, label: one row a candidate, by the majority, a tie being a secret."""
+    told = reviewed.where("candidate is not null and label is not null").groupBy("candidate").agg(F.avg("label").alias("share"))
+    return told.select("candidate", (F.col("share") >= 0.5).cast("double").alias("label"))
+
+
+def scan(docs: DataFrame, label: Column | None = None, known: Column | None = None, reviewed: DataFrame | None = None, **options) -> DataFrame:
     """docs (doc_id, text, source) -> findings with candidate, features, probability and is_secret.
 
-    `label` (0.0 or 1.0, null: unknown) is a column over findings, for instance of a joined table of reviewed ones; `known` says which may be learned from.
+    `reviewed` (candidate, label) are findings that were looked at; `label` (0.0 or 1.0, null: unknown) is a column over findings. Without either
+    names label them. `known` says which may be learned from.
     """
     dictionary = frequent_words(docs)
     found = save(featured(candidates(docs), dictionary), f"{work_dir(docs.sparkSession, 'secrets')}/findings")
-    labelled = found.withColumn("label", assigned_name() if label is None else label).where("label is not null")
+    if reviewed is not None:
+        labelled = spread_join(found, save(verdicts(reviewed), f"{work_dir(docs.sparkSession, 'reviewed')}/labels"), ["candidate"], "doc_id")
+    else:
+        labelled = found.withColumn("label", assigned_name() if label is None else label).where("label is not null")
     out = judged(found, labelled.where(known) if known is not None else labelled, **options)
     return out.withColumn("is_secret", F.col("probability") >= 0.5)
 
 
 def assigned_name() -> Column:
-    """Labels where no reviewed findings are at hand, by names and signs alone: 1.0 for what is assigned to a credential's name; 0.0 for what is
+    """Labels where no reviewed findings are at hand, by names and signs alone: 1.0 for a PEM block and what is assigned to a credential's name; 0.0 for what is
     assigned to another name, or to none and has no such name beside it; null (unknown) for the doubtful rest.
     """
     name, sign = name_and_sign()
@@ -207,7 +243,8 @@ def assigned_name() -> Column:
     near = is_credential(F.concat_ws(" ", "w2", "w1", "word", "w3"))
     doubtful_key = F.array_contains(name_parts(name), "key")
     return (
-        F.when(parameter, F.lit(None).cast("double"))
+        F.when(F.startswith("candidate", F.lit("-----BEGIN ")), 1.0)
+        .when(parameter, F.lit(None).cast("double"))
         .when(given & is_credential(name), 1.0)
         .when(given & ~doubtful_key & ~near, 0.0)
         .when(~given & ~near, 0.0)
