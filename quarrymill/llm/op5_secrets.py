@@ -73,11 +73,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     """
     may = lambda w: w.rlike(RUN) | w.rlike(f"[=:{MARK}]")
     some = docs.where(may(F.col("text")) | F.contains("text", F.lit("-----BEGIN "))).select("doc_id", "source", F.replace("text", F.lit(MARK), F.lit(" ")).alias("text"))
-    whole = f"{PEM}|{SPACED}"
-    words = F.regexp_extract_all(F.regexp_replace("text", whole, f'"{MARK}" '), F.lit(WORD), F.lit(0))
+    # most texts have no sign before a quote and no block, and are spared the pattern for both
+    whole, may_hold = f"{PEM}|{SPACED}", F.contains("text", F.lit("-----BEGIN ")) | F.col("text").rlike(r"""[=:>][ \t]{0,4}["'`]""")
+    words = F.regexp_extract_all(F.when(may_hold, F.regexp_replace("text", whole, f'"{MARK}" ')).otherwise(F.col("text")), F.lit(WORD), F.lit(0))
     near = lambda all_, i, k: F.coalesce(F.get(all_, i + k), F.lit(""))
     # only words that may hold a candidate leave the array, each with its neighbours and the block or value that it stands for
-    some = some.select("doc_id", "source", words.alias("words"), F.regexp_extract_all("text", F.lit(whole), F.lit(0)).alias("blocks"))
+    some = some.select("doc_id", "source", words.alias("words"), F.when(may_hold, F.regexp_extract_all("text", F.lit(whole), F.lit(0))).alias("blocks"))
     at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: may(F.get("words", i)) | near(F.col("words"), i, -1).rlike("[=:>]$"))
     marked = lambda w: F.contains(w, F.lit(MARK))
     block = lambda i: F.when(marked(F.get("words", i)), F.get("blocks", F.size(F.filter(F.slice("words", F.lit(1), i), marked))))
