@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import operator
 import re
-from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import groupby
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,44 +202,47 @@ def parse_citations(block: Column) -> Column:
 FILLERS = {"...", "…", ". . .", "-", "*", "•"}
 
 
-class Lately:
-    """The last lines that were kept, in the form in which lines are compared: without citation tags and extra spaces."""
+def compared_form(line: Column, odd: Column) -> Column:
+    """The form in which lines are compared: without citation tags and extra spaces. `odd`: whether there may be white space that isn't a space."""
+    untagged = F.when(F.contains(line, F.lit("[source:")), F.regexp_replace(line, TAG, "")).otherwise(line)
+    plain = lambda t: F.trim(F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " +", " ")).otherwise(t))
+    return let(untagged, lambda t: F.when(odd, F.trim(F.regexp_replace(t, f"[{WHITE}]+", " "))).otherwise(plain(t)))
 
-    def __init__(self, window: int, prefix: int):
-        self.forms: deque[str] = deque(maxlen=window)
-        self.prefix = prefix
 
-    def keeps(self, line: str) -> bool:
-        form = " ".join(re.sub(TAG, "", line).split())
-        if not form:
-            return True
-        head = self.forms[-1][: self.prefix] if self.forms else ""
-        if form in self.forms or (len(head) == self.prefix and form.startswith(head)):
-            return False
-        self.forms.append(form)
-        return True
-
-
-def tidy_lines(text: str, window: int = 12, prefix: int = 40) -> str:
-    """One text without repeated lines, as `dedupe_lines` describes."""
-    lately, out = Lately(window, prefix), []
-    for blank, run in groupby(map(str.rstrip, text.split("\n")), lambda line: not line):
-        out += [""] if blank else [line for line in run if line.strip() not in FILLERS and lately.keeps(line)]
-    return "\n".join(out).strip("\n")
-
-
-def dedupe_lines(text: Column) -> Column:
+def dedupe_lines(text: Column, window: int = 12, prefix: int = 40) -> Column:
     """Lines of generated text without repeats, compared without citation tags and extra spaces.
 
-    Runs of blank lines keep their first; lines of dots and bare bullets go; a line goes if it equals one of the last 12 kept or starts with
-    the first 40 characters of the last one kept. Lines of citation tags only stay and count for nothing. Outer blank lines go.
-    """
+    Runs of blank lines keep their first; lines of dots and bare bullets go; a line goes if it equals one of the last `window` kept or starts
+    with the first `prefix` characters of the last one kept. Lines of citation tags only stay and count for nothing. Outer blank lines go.
 
-    @F.arrow_udf("string")
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else tidy_lines(t) for t in column.to_pylist()], pa.string())
+    A fold along the lines, whose state is the forms of the last lines kept and a mark for each line seen; null stays null. Texts whose
+    only white space is spaces and line ends, found by plain searches, are spared patterns of all white space.
+    """
 
-    return run(text)
+    def formed(lines: Column, odd: Column) -> Column:
+        """line and form: null where a line goes whatever was kept, empty where it stays and counts for nothing."""
+        again = lambda i: (i > 0) & (F.get(lines, i - 1) == "")
+        form = lambda x, i: F.when(x == "", F.when(~again(i), F.lit(""))).when(~F.when(odd, _strip(x)).otherwise(F.trim(x)).isin(*sorted(FILLERS)), compared_form(x, odd))
+        return F.transform(lines, lambda x, i: F.struct(x.alias("line"), form(x, i).alias("form")))
+
+    def fold(state: Column, form: Column) -> Column:
+        forms, head = state["forms"], F.left(F.try_element_at(state["forms"], F.lit(-1)), F.lit(prefix))
+        counts = F.coalesce(form, F.lit("")) != ""
+        seen = F.array_contains(forms, form) | F.coalesce((F.char_length(head) == prefix) & F.startswith(form, head), F.lit(False))
+        stays = F.when(counts, ~seen).otherwise(form.isNotNull())
+        added = lambda: F.when(F.size(forms) < window, F.array_append(forms, form)).otherwise(F.array_append(F.slice(forms, 2, window - 1), form))
+        return let(stays, lambda ok: F.struct(F.when(ok & counts, added()).otherwise(forms).alias("forms"), F.concat(state["marks"], F.when(ok, F.lit("1")).otherwise(F.lit("0"))).alias("marks")))
+
+    def kept(rows: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("forms"), F.lit("").alias("marks"))
+        marks = F.aggregate(rows, start, lambda state, row: fold(state, row["form"]), lambda state: F.split(state["marks"], ""))
+        stay = let(marks, lambda m: F.filter(rows, lambda _, i: F.get(m, i) == "1"))
+        return F.btrim(F.array_join(F.transform(stay, lambda row: row["line"]), "\n"), F.lit("\n"))
+
+    ended = lambda x, odd: F.when(odd, F.rtrim(x, F.lit(WHITE))).otherwise(F.rtrim(x))
+    odd = reduce(operator.or_, [F.contains(text, F.lit(c)) for c in WHITE if c not in " \n"])
+    rows = let(odd, lambda o: let(F.transform(F.split(text, "\n"), lambda x: ended(x, o)), lambda lines: formed(lines, o)))
+    return let(rows, kept)
 
 
 @dataclass(frozen=True)

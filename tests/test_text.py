@@ -3,7 +3,10 @@
 import hashlib
 import io
 import random
+import re
 import zipfile
+from collections import deque
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,13 +135,48 @@ def test_chunk_invariants(spark):
     assert len(stats) == len(rows) and all(stats[i].num_chunks == len(by.get(i, [])) for i, _ in rows)
 
 
-def test_tidy_lines():
+class Lately:
+    """The last lines that were kept, in the form in which lines are compared: without citation tags and extra spaces."""
+
+    def __init__(self, window: int, prefix: int):
+        self.forms: deque[str] = deque(maxlen=window)
+        self.prefix = prefix
+
+    def keeps(self, line: str) -> bool:
+        form = " ".join(re.sub(T.TAG, "", line).split())
+        if not form:
+            return True
+        head = self.forms[-1][: self.prefix] if self.forms else ""
+        if form in self.forms or (len(head) == self.prefix and form.startswith(head)):
+            return False
+        self.forms.append(form)
+        return True
+
+
+def tidy_lines(text: str, window: int = 12, prefix: int = 40) -> str:
+    """The plain form of `dedupe_lines`."""
+    lately, out = Lately(window, prefix), []
+    for blank, run in groupby(map(str.rstrip, text.split("\n")), lambda line: not line):
+        out += [""] if blank else [line for line in run if line.strip() not in T.FILLERS and lately.keeps(line)]
+    return "\n".join(out).strip("\n")
+
+
+def test_lines_without_repeats(spark):
     same = "a line that is longer than forty characters, surely"
     text = "\n\nx [source: a]\nx\n- \n...\n\n\ny\nx\n" + same + " one\n" + same + " two\n[source: b]\n\n-\n\nend\n\n"
-    assert T.tidy_lines(text) == "x [source: a]\n\ny\n" + same + " one\n[source: b]\n\n\nend"
     many = "\n".join([f"l{i}" for i in range(13)] + ["l0", "l12", "l5"])
-    assert T.tidy_lines(many).split("\n") == [f"l{i}" for i in range(13)] + ["l0"]
-    assert T.tidy_lines("") == ""
+    rnd = random.Random(7)
+    parts = ["a", "b", "a  b", "\u00a0a", "a\u3000\tb", "a\x1cb ", "", " ", "-", "\u00a0…\t", "[source: x]", "a [source:\u2003y] b", "[source: ]", same, same + " z", same[:40], "سطر", "\r"]
+    texts = [text, many, "", "\n\n", "x", *("\n".join(rnd.choices(parts, k=rnd.randint(1, 60))) for _ in range(300)), *("\n".join(f"l{rnd.randint(0, 15)}" for _ in range(80)) for _ in range(50))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    dedupe = T.dedupe_lines(F.col("t"))
+    got = {r.i: r.x for r in df.select("i", dedupe.alias("x")).collect()}
+    assert got[0] == "x [source: a]\n\ny\n" + same + " one\n[source: b]\n\n\nend" and got[2] == got[3] == ""
+    assert got[1].split("\n") == [f"l{i}" for i in range(13)] + ["l0"]
+    assert got == {i: tidy_lines(t) for i, t in enumerate(texts)}
+    assert one(spark, T.dedupe_lines(F.col("t"), window=2, prefix=3), t="a\nb\nc\na\nabcd\nabcx\nb\nc") == tidy_lines("a\nb\nc\na\nabcd\nabcx\nb\nc", 2, 3)
+    assert df.select(T.dedupe_lines(F.lit(None).cast("string")).alias("x")).first().x is None and df.limit(0).select(dedupe).count() == 0
+    assert "Python" not in df.select(dedupe)._jdf.queryExecution().toString()
 
 
 def test_fields_and_names(spark):
