@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, VariantType
 
 from ..functions.paths import is_local_path
+from ..sources.parts import PartedTable
 from ..sources.shared import dealt_left_join, hot_values, save, shared_folder
 
 CLAIM_S, STALE_S = 300, 1800
@@ -156,6 +157,34 @@ def activate_versions(documents: DataFrame, indexed: DataFrame) -> DataFrame:
     ).drop("f")
 
 
+# tables in parts: the same changes, reading and writing only the parts that hold a key of the batch -----------------------------
+
+
+def upsert_into(table: PartedTable, batch: DataFrame, number: int, keep: tuple[str, ...] = ("document_id", "created_at"), order: tuple[str, ...] = ()) -> list[str]:
+    """`upsert_documents` by the table's key; `number` tells batches apart. The parts that were rewritten."""
+    return table.merge(batch, lambda old, new: upsert_documents(old, new, table.key, keep, order).drop("action"), number)
+
+
+def replace_chunks_in(table: PartedTable, batch: DataFrame, number: int) -> list[str]:
+    """`replace_chunks` by the table's key."""
+    return table.merge(batch, lambda old, new: replace_chunks(old, new, table.key), number)
+
+
+def insert_chunks_into(table: PartedTable, batch: DataFrame, number: int) -> list[str]:
+    """`insert_chunks_idempotent` into a table whose key is file_id."""
+    return table.merge(batch, insert_chunks_idempotent, number)
+
+
+def delete_documents_from(ids: DataFrame, documents: PartedTable, files: PartedTable, chunks: PartedTable, jobs: PartedTable) -> dict[str, list[str]]:
+    """`delete_documents`: what hangs on documents goes first, so that a run that breaks off finds the rest when it is called again."""
+    by_uri = "source_uri" in ids.columns and "document_id" not in ids.columns
+    own = documents.rows().join(ids.select("source_uri").distinct(), "source_uri", "left_semi") if by_uri else ids
+    gone = save(own.select("document_id").distinct(), shared_folder(documents.spark, "gone"))
+    of_files = files.rows().select("document_id", "file_id").join(gone, "document_id", "left_semi").select("file_id")
+    steps = {"jobs": (jobs, of_files, "file_id"), "chunks": (chunks, gone, "document_id"), "files": (files, gone, "document_id"), "documents": (documents, gone, "document_id")}
+    return {name: table.drop(keys, on) for name, (table, keys, on) in steps.items()}
+
+
 # the queue -------------------------------------------------------------------------------------------------------------------
 
 

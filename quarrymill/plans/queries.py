@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from functools import reduce
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -22,6 +23,7 @@ from ..operators import review as H
 from ..operators.drafts import body_block
 from ..operators.resume import ingest_resumable
 from ..sources import files as A
+from ..sources.parts import PartedTable, hashed, ranged
 from ..sources.shared import save, shared_folder
 from ..streaming import events as S
 from . import views as V
@@ -751,18 +753,40 @@ _TARGET = "SELECT document_id, CASE WHEN document_id % 10 <> 0 THEN source_uri E
 _BATCH = "SELECT document_id + 1000000 AS document_id, CASE WHEN document_id % 14 <> 0 THEN source_uri END AS source_uri, 'new-' || document_id || '-' || n AS title, n AS arrival FROM v_documents, (VALUES (1), (2)) v(n) WHERE document_id % 2 = 0 AND (n = 1 OR document_id % 5 = 0)"
 
 
-@query(
-    "i1_upsert",
-    f"""WITH t AS ({_TARGET}), b AS ({_BATCH}), last AS (SELECT * FROM b WHERE source_uri IS NULL UNION ALL SELECT * FROM (SELECT * FROM b WHERE source_uri IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_uri ORDER BY arrival DESC) = 1))
+_UPSERTED = f"""WITH t AS ({_TARGET}), b AS ({_BATCH}), last AS (SELECT * FROM b WHERE source_uri IS NULL UNION ALL SELECT * FROM (SELECT * FROM b WHERE source_uri IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_uri ORDER BY arrival DESC) = 1))
     SELECT coalesce(t.document_id, l.document_id) AS document_id, CASE WHEN l.document_id IS NOT NULL THEN l.source_uri ELSE t.source_uri END AS source_uri, CASE WHEN l.document_id IS NOT NULL THEN l.title ELSE t.title END AS title, CASE WHEN t.document_id IS NULL THEN 'inserted' WHEN l.document_id IS NULL THEN 'kept' ELSE 'updated' END AS action
-    FROM t FULL JOIN last l ON t.source_uri = l.source_uri""",
-)
-def i1(spark, d):
+    FROM t FULL JOIN last l ON t.source_uri = l.source_uri"""
+
+
+def upserted(spark, d):
+    """The target and the batch."""
     i, docs = F.col("document_id"), V.documents(spark, d).select("document_id", "source_uri", "title")
     target = docs.where(i % 3 != 0).withColumn("source_uri", F.when(i % 10 != 0, F.col("source_uri")))
     times = docs.where(i % 2 == 0).withColumn("arrival", F.explode(F.when(i % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     batch = times.select((i + 1000000).alias("document_id"), F.when(i % 14 != 0, F.col("source_uri")).alias("source_uri"), F.concat(F.lit("new-"), i.cast("string"), F.lit("-"), F.col("arrival").cast("string")).alias("title"), "arrival")
-    return C.upsert_documents(target, batch, order=("arrival",))
+    return target, batch
+
+
+@query("i1_upsert", _UPSERTED)
+def i1(spark, d):
+    return C.upsert_documents(*upserted(spark, d), order=("arrival",))
+
+
+def parted(spark, rows: DataFrame, key: str, part) -> PartedTable:
+    """rows as a new table in parts."""
+    table = PartedTable(spark, shared_folder(spark, "parts"), rows.schema, key, part)
+    table.create(rows)
+    return table
+
+
+@query("i1_upsert_parts", f"SELECT document_id, source_uri, title FROM ({_UPSERTED})")
+def i1_parts(spark, d):
+    """The batch as two, of which the second comes twice."""
+    target, batch = upserted(spark, d)
+    table = parted(spark, target, "source_uri", hashed(16))
+    for number in (1, 2, 2):
+        C.upsert_into(table, batch.where(F.col("arrival") == number), number, order=("arrival",))
+    return table.rows()
 
 
 @query("i2_replace_chunks", "SELECT chunk_id, document_id FROM v_chunks WHERE document_id % 4 <> 0 UNION ALL SELECT chunk_id + 1000000, document_id FROM v_chunks WHERE document_id % 4 = 0")
@@ -771,6 +795,14 @@ def i2(spark, d):
     return C.replace_chunks(c, c.where("document_id % 4 = 0").withColumn("chunk_id", F.col("chunk_id") + 1000000))
 
 
+@query("i2_replace_parts", "SELECT chunk_id, document_id FROM v_chunks WHERE document_id // 20 % 4 <> 0 UNION ALL SELECT chunk_id + 1000000, document_id FROM v_chunks WHERE document_id // 20 % 4 = 0")
+def i2_parts(spark, d):
+    c = V.chunks(spark, d).select("chunk_id", "document_id")
+    table = parted(spark, c, "document_id", ranged(20))
+    C.replace_chunks_in(table, c.where("document_id div 20 % 4 = 0").withColumn("chunk_id", F.col("chunk_id") + 1000000), 1)
+    return table.rows()
+
+
 @query("i3_outcome", "SELECT document_id, CASE WHEN document_id % 13 IN (1, 2) THEN status WHEN document_id % 13 = 0 OR document_id % 5 = 0 OR document_id % 7 = 0 THEN 'failed' ELSE 'indexed' END AS db_status, CASE WHEN document_id % 13 IN (0, 1, 2) OR document_id % 5 = 0 OR document_id % 7 = 0 THEN 0 ELSE 2 END AS chunk_count, document_id % 17 = 0 AS rejected FROM v_documents")
 def i3(spark, d):
     i = F.col("document_id")
@@ -846,6 +878,16 @@ def i9(spark, d):
     return C.insert_chunks_idempotent(c.where(_SAVED.replace("document_id", "file_id div 10")), c.union(c.withColumn("chunk_id", F.col("chunk_id") + 1000000))).select("chunk_id")
 
 
+@query("i9_insert_parts", "SELECT chunk_id FROM v_chunks")
+def i9_parts(spark, d):
+    """All chunks into a table that has some of them, twice."""
+    c = V.chunks(spark, d).select("chunk_id", "file_id", "chunk_index")
+    table = parted(spark, c.where(_SAVED.replace("document_id", "file_id div 10")), "file_id", ranged(1000))
+    for number in (1, 1):
+        C.insert_chunks_into(table, c.union(c.withColumn("chunk_id", F.col("chunk_id") + 1000000)), number)
+    return table.rows().select("chunk_id")
+
+
 @query("i10_file_progress", f"SELECT file_id, saved AS saved_chunks, total - saved AS remaining, CASE WHEN saved >= total THEN 'indexed' ELSE 'processing' END AS status FROM (SELECT file_id, count(*) AS total, count(*) FILTER ({_SAVED}) AS saved FROM v_chunks GROUP BY 1)")
 def i10(spark, d):
     c = V.chunks(spark, d).select("file_id", "document_id", "chunk_index")
@@ -922,15 +964,28 @@ def i17(spark, d):
     return C.set_active(docs, docs.where("document_id % 4 = 0"), False).select("document_id", "is_active")
 
 
-@query("i18_delete", "SELECT 'documents' AS t, count(*) AS n FROM v_documents WHERE document_id % 5 <> 0 UNION ALL SELECT 'files', count(*) FROM v_files WHERE document_id % 5 <> 0 UNION ALL SELECT 'chunks', count(*) FROM v_chunks WHERE document_id % 5 <> 0 UNION ALL SELECT 'jobs', count(*) FROM v_jobs ANTI JOIN (SELECT file_id FROM v_files WHERE document_id % 5 = 0) USING (file_id)")
+_DELETED = "SELECT 'documents' AS t, count(*) AS n FROM v_documents WHERE document_id % 5 <> 0 UNION ALL SELECT 'files', count(*) FROM v_files WHERE document_id % 5 <> 0 UNION ALL SELECT 'chunks', count(*) FROM v_chunks WHERE document_id % 5 <> 0 UNION ALL SELECT 'jobs', count(*) FROM v_jobs ANTI JOIN (SELECT file_id FROM v_files WHERE document_id % 5 = 0) USING (file_id)"
+
+
+def tallied(tables: dict[str, DataFrame]) -> DataFrame:
+    """The rows of each table."""
+    one = [df.agg(F.lit(name).alias("t"), F.count("*").alias("n")) for name, df in tables.items()]
+    return reduce(DataFrame.union, one)
+
+
+@query("i18_delete", _DELETED)
 def i18(spark, d):
     docs = V.documents(spark, d)
-    left = C.delete_documents(docs.where("document_id % 5 = 0").select("source_uri"), docs, V.files(spark, d), V.chunks(spark, d), V.jobs(spark, d))
-    out = None
-    for name, df in left.items():
-        one = df.agg(F.lit(name).alias("t"), F.count("*").alias("n"))
-        out = one if out is None else out.union(one)
-    return out
+    return tallied(C.delete_documents(docs.where("document_id % 5 = 0").select("source_uri"), docs, V.files(spark, d), V.chunks(spark, d), V.jobs(spark, d)))
+
+
+@query("i18_delete_parts", _DELETED)
+def i18_parts(spark, d):
+    docs = V.documents(spark, d)
+    rows = {"documents": (docs, "source_uri", hashed(16)), "files": (V.files(spark, d), "document_id", ranged(500)), "chunks": (V.chunks(spark, d), "document_id", ranged(500)), "jobs": (V.jobs(spark, d), "file_id", ranged(5000))}
+    tables = {name: parted(spark, *r) for name, r in rows.items()}
+    C.delete_documents_from(docs.where("document_id % 5 = 0").select("source_uri"), **tables)
+    return tallied({name: t.rows() for name, t in tables.items()})
 
 
 @query("i18_unlink_sessions", "SELECT draft_id, CASE WHEN user_id % 3 <> 0 THEN user_id END AS session_id FROM v_drafts")

@@ -31,6 +31,12 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder in whatever store its path names; one that isn't there is left."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def save(df: DataFrame, path: str) -> DataFrame:
     """Writes df as Parquet and reads it back: cuts lineage and survives lost executors."""
     df.write.mode("overwrite").parquet(path)

@@ -21,6 +21,7 @@ from quarrymill.operators import review as H
 from quarrymill.operators.resume import ingest_resumable
 from quarrymill.sources import files as A
 from quarrymill.sources import shared
+from quarrymill.sources.parts import PartedTable, hashed, ranged
 from quarrymill.streaming import events as S
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -375,3 +376,98 @@ def test_chunks_by_counters_that_reach_across_words(spark, measure):
     docs = spark.createDataFrame([(1, "\n\n".join(blocks or ["a b"])), (2, None), (3, "")], "document_id long, content string")
     got = K.chunk_documents(docs, headings=None, text_counter=measure, target=20, hard_max=30, overlap=5)
     assert [(r.content, r.n_tokens) for r in got.orderBy("document_id", "chunk_index").collect()] == plain_chunks(blocks or ["a b"], measure, 20, 30, 5)
+
+
+def parts_of(table):
+    """Each file of a table with the time of its last change."""
+    return {f"{d}/{f}": os.stat(f"{d}/{f}").st_mtime_ns for d, _, files in os.walk(table.path) for f in files if f.startswith("part-")}
+
+
+def parted(spark, folder, rows, key="document_id", part=None):
+    table = PartedTable(spark, str(folder), rows.schema, key, part or ranged(10))
+    table.create(rows)
+    return table
+
+
+def test_a_small_batch_rewrites_a_small_part(spark, tmp_path):
+    docs = spark.range(10_000).select(F.col("id").alias("document_id"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("source_uri"), F.lit("old").alias("title"))
+    table = parted(spark, tmp_path / "t", docs, part=ranged(100))
+    before = parts_of(table)
+    batch = docs.where("document_id between 4200 and 4299").withColumn("title", F.lit("new"))
+    assert C.upsert_into(table, batch, 1) == ["42"]
+    after = parts_of(table)
+    same = {f for f, t in before.items() if after.get(f) == t}
+    assert {f for f in before if "/part=42/" not in f} == same and len(before) - len(same) <= 4
+    assert table.rows().groupBy("title").count().orderBy("title").collect() == [("new", 100), ("old", 9900)]
+    read = table._read().where(F.col("part").isin(["42"]))._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[.*part#\d+ (=|IN)", read)
+
+
+def test_changes_of_tables_in_parts_equal_those_of_whole_tables(spark, tmp_path):
+    rnd = random.Random(5)
+    uri = lambda: rnd.choice([None, *map("u{}".format, range(30))])
+    target = spark.createDataFrame([(i, None if i % 9 == 0 else f"u{i}", "t") for i in range(25)], DOC)
+    batches = [spark.createDataFrame([(100 * k + i, uri(), f"b{k}-{i}") for i in range(20)], DOC) for k in (1, 2)]
+    table = parted(spark, tmp_path / "u", target, "source_uri", hashed(7))
+    for number in (0, 1, 1):  # the last comes again
+        C.upsert_into(table, batches[number], number + 1)
+    want = target
+    for b in batches:
+        want = C.upsert_documents(want, b).drop("action")
+    assert rows(table.rows(), *table.schema.names) == rows(want, *table.schema.names)
+
+    chunk = "chunk_id long, file_id long, chunk_index int, document_id long"
+    old = spark.createDataFrame([(i, i // 4, i % 4, i // 8) for i in range(200)] + [(900, None, 0, None)], chunk)
+    new = spark.createDataFrame([(1000 + i, 40 + i // 5, i % 5, 20 + i // 10) for i in range(70)] + [(2000, 45, 0, 22), (3000, None, 0, None), (3000, None, 0, None)], chunk)
+    for name, key, into, whole in (("r", "document_id", C.replace_chunks_in, C.replace_chunks), ("i", "file_id", C.insert_chunks_into, C.insert_chunks_idempotent)):
+        table = parted(spark, tmp_path / name, old, key, ranged(3))
+        for _ in range(2):
+            into(table, new, 1)
+        assert rows(table.rows(), *old.columns) == rows(whole(old, new).select(*old.columns), *old.columns)
+
+
+def test_deleting_from_tables_in_parts(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"u{i}", "t") for i in range(40)] + [(50, None, "t")], DOC)
+    files = spark.createDataFrame([(10 * i + v, i) for i in range(40) for v in (1, 2)] + [(7, None)], "file_id long, document_id long")
+    chunks = files.select((F.col("file_id") * 2).alias("chunk_id"), "document_id")
+    jobs = files.select("file_id", F.lit("pending").alias("status"))
+    gone = spark.createDataFrame([(f"u{i}",) for i in range(20, 30)] + [("none",), (None,)], "source_uri string")
+    tables = dict(documents=parted(spark, tmp_path / "d", docs, "source_uri", hashed(8)), files=parted(spark, tmp_path / "f", files), chunks=parted(spark, tmp_path / "c", chunks), jobs=parted(spark, tmp_path / "j", jobs, "file_id", ranged(100)))
+    touched = C.delete_documents_from(gone, **tables)
+    assert touched["chunks"] == ["2"] and touched["jobs"] == ["2"] and not (tmp_path / "c/part=2").exists()  # a part without rows goes
+    for name, want in C.delete_documents(gone, docs, files, chunks, jobs).items():
+        assert rows(tables[name].rows(), *want.columns) == rows(want, *want.columns)
+    assert all(not t for t in C.delete_documents_from(gone, **tables).values())  # nothing left to do
+    C.delete_documents_from(docs.select("document_id"), **tables)
+    assert tables["files"].rows().collect() == [(7, None)] and tables["documents"].rows().count() == 0
+    C.upsert_into(tables["documents"], docs, 1)  # an empty table takes rows again
+    assert rows(tables["documents"].rows(), "document_id") == rows(docs, "document_id")
+
+
+@pytest.mark.parametrize("step", ["rows", "in place", "parts"])
+def test_a_change_that_breaks_off(spark, tmp_path, monkeypatch, step):
+    """Broken off before or after it was written whole, or while it is put in place, a change is forgotten or carried through."""
+    table = parted(spark, tmp_path / "t", spark.createDataFrame([(i, f"u{i}", "old") for i in range(30)], DOC))
+    batch = spark.createDataFrame([(i, f"u{i}", "new") for i in range(5, 15)], DOC)
+
+    def write(self, rows, path, *how):
+        raise RuntimeError("lost")
+
+    def apply(self):
+        if step == "parts":
+            self._at(f"{self._staged()}/rows").where("part = '0'").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        if step == "rows":
+            m.setattr(PartedTable, "_write", write)
+        else:
+            m.setattr(PartedTable, "_apply", apply)
+        with pytest.raises(RuntimeError, match="lost"):
+            C.upsert_into(table, batch, 1)
+    table.recover()
+    new = [i for i in range(30) if 5 <= i < 15] if step in ("in place", "parts") else []
+    assert rows(table.rows().where("title = 'new'"), "document_id") == [(i,) for i in sorted(new, key=lambda i: repr((i,)))]
+    C.upsert_into(table, batch, 1)
+    assert rows(table.rows(), *table.schema.names) == sorted([(i, f"u{i}", "new" if 5 <= i < 15 else "old") for i in range(30)], key=repr)
+    assert not os.path.exists(table._staged())
