@@ -27,6 +27,15 @@ def test_dealt_join_equals_join(spark, monkeypatch):
     assert sorted(map(tuple, common.spread_join(left, right, ["k"], "id").collect())) == want
 
 
+def test_dealt_join_passes_no_row_through_a_table_of_hot_keys(spark):
+    left = spark.range(1000).select((F.col("id") % 7).cast("int").alias("k"), "id")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(5)], "k long, v string")  # of another type: equal keys are dealt alike
+    got = common.dealt_join(left, right, ["k"], "id", [(0, 3), (2, 40), (6, 1000)])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "LeftOuter" not in plan
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+
+
 def test_components_of_hubs(spark, monkeypatch):
     monkeypatch.setattr(common, "LEAST_HOT", 20)
     rng = np.random.default_rng(1)
