@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -447,6 +448,32 @@ def test_op9_repeated_ids_stay_within_the_sample(spark):
     assert s[0] > 0 > s[1] or s[0] > s[1]
 
 
+def test_op9_learns_from_all_labelled_rows(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab AB,. 12") for _ in range(30)) for _ in range(90)]
+    labels = [(i, int(i % 3 > 0)) for i in range(90)]
+    table, known = docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), spark.createDataFrame(labels, "doc_id long, quality int")
+    dealt = op9_quality.blocks(known, {0: 30, 1: 60}, 5, 9).collect()
+    assert {r.doc_id for r in dealt} == set(range(90)) and {r.block for r in dealt} <= set(range(12))
+    assert all(n == (2 if i % 3 == 0 else 1) for i, n in Counter(r.doc_id for r in dealt).items())
+    w, middle, threshold = op9_quality.train(table, known, sample=5, pairs=20)
+    s = np.sort(np.concatenate([part * (x @ w - middle) for x, part in op9_quality.features(pa.array(texts))]))
+    assert s[29] <= threshold <= s[30] and threshold == pytest.approx((s[29] + s[30]) / 2)
+    # the model is the mean of the blocks' ones, whichever rows a block has
+    one = op9_quality.train(table.where("doc_id < 89"), known, sample=5, pairs=20)
+    assert not np.allclose(one[0], w, atol=1e-12)
+
+
+def test_op9_quantile_by_counts_of_leading_bits(spark):
+    rng = np.random.default_rng(5)
+    s = np.concatenate([rng.standard_normal(40), rng.standard_normal(20).round(1), np.zeros(9), [-1e-300, 1e300, -7.5, -7.5]]) + 0.0
+    k = s.view(np.int64)
+    table = spark.createDataFrame([(int(x),) for x in k ^ ((k >> 63) & np.int64(2**63 - 1))], "key long")
+    s = np.append(np.sort(s), s.max())
+    for rank in (1, 2, 30, 37, 38, 46, len(s) - 1):
+        assert op9_quality.quantile(table, rank) == (s[rank - 1] + s[rank]) / 2
+
+
 # 10 --------------------------------------------------------------------------------------------------------------------------
 
 
