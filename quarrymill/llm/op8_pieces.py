@@ -265,9 +265,21 @@ class Runs:
     def __init__(self, values: np.ndarray, count: np.ndarray):
         self.values, self.count = values, count
         self.first = np.cumsum(count) - count
+        self.room: list[np.ndarray] = []
 
     def __add__(self, other: Runs) -> Runs:
-        return Runs(np.concatenate([self.values, other.values]), np.concatenate([self.count, other.count]))
+        """Both in the memory behind self, if it has room (else in more of it): what another sum with self has put there is lost."""
+        out = Runs.__new__(Runs)
+        parts = [(self.values, other.values), (self.count, other.count), (self.first, other.first + len(self.values))]
+        out.room = list(self.room) or [a for a, _ in parts]
+        for k, (a, b) in enumerate(parts):
+            n = len(a) + len(b)
+            if len(out.room[k]) < n:
+                out.room[k] = np.empty(n + n // 4, a.dtype)
+                out.room[k][: len(a)] = a
+            out.room[k][len(a) : n] = b
+        out.values, out.count, out.first = (room[: len(a) + len(b)] for room, (a, b) in zip(out.room, parts, strict=True))
+        return out
 
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of those runs, and how many each has."""

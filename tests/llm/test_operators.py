@@ -276,6 +276,22 @@ def test_op8_lockstep_equals_agenda(pieces):
         assert s.tolist() == op8_pieces.agenda(pieces, symbols.tolist(), int(key[0]), limit)
 
 
+def test_op8_runs_grow_in_place():
+    none = op8_pieces.Runs(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    kept, want = none, []
+    for k in range(1, 40):
+        more = [list(range(j)) for j in range(k % 5)]
+        want += more
+        grown = kept + op8_pieces.Runs(np.array(sum(more, []), np.int64), np.array([len(m) for m in more], np.int64))
+        aside = grown + op8_pieces.Runs(np.array([-k, -k]), np.array([2]))  # put behind what is kept, lost at the next sum
+        values, n = aside.take(np.array([len(want), *range(len(want))]))
+        assert values.tolist() == [-k, -k, *sum(want, [])] and n.tolist() == [2, *map(len, want)]
+        kept = grown
+    few = lambda n: op8_pieces.Runs(np.arange(n), np.array([n]))
+    kept = none + few(80)
+    assert np.shares_memory((kept + few(9)).values, kept.values)  # nothing is copied while there is room
+
+
 def test_op8_dropout_is_lossless_and_varied(spark):
     table = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None])], "doc_id int, text string")
     encode = lambda rate, seed: {r.doc_id: r for r in op8_pieces.encode_documents(table.repartition(3), rate=rate, seed=seed).collect()}
