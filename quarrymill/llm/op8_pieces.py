@@ -19,15 +19,15 @@ for ids, n_ids and lossless, which are replaced.
 from __future__ import annotations
 
 import heapq
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, segment_hash
+from .common import fresh, mix64, segment_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
@@ -68,7 +68,7 @@ class Pieces:
         if any("▁" in p.lstrip("▁") for p in ids):
             raise ValueError("pieces with a space after another character are not supported")
         self.base = n  # symbols from here on are characters without a piece
-        self.char = np.arange(0x110000, dtype=np.int64) + n
+        self.char = np.arange(0x110000, dtype=np.int32) + np.int32(n)
         for p, i in ids.items():
             if len(p) == 1:
                 self.char[ord(p)] = i
@@ -297,26 +297,33 @@ def merged_plain(p: Pieces, symbols: np.ndarray, start: np.ndarray, size: np.nda
 
 
 class Merged:
-    """Units merged before without dropout, by key: their ids and the terms of their candidates."""
+    """Units merged before without dropout, by key: their ids and the terms of their candidates. Keys are sorted, here and in calls."""
 
     def __init__(self):
-        self.place: dict[int, int] = {}
-        self.ids, self.terms = Runs(np.zeros(0, np.int64), np.zeros(0, np.int64)), Runs(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.terms = Runs(np.zeros(0, np.int32), np.zeros(0, np.int32)), Runs(np.zeros(0, np.uint64), np.zeros(0, np.int32))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The places of keys, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[i] == keys, self.place[i], -1).astype(np.int64)
 
     def add(self, keys: np.ndarray, ids: Runs, terms: Runs) -> None:
-        n = len(self.place)
+        n, i = len(self.place), np.searchsorted(self.keys, keys)
         self.ids, self.terms = ids, terms
-        self.place.update(zip(keys.tolist(), range(n, n + len(keys)), strict=True))
+        self.keys, self.place = np.insert(self.keys, i, keys), np.insert(self.place, i, np.arange(n, n + len(keys)))
 
 
 def encode_texts(p: Pieces, texts: list[str], seed: int, rate: float, kept: int = KEPT, known: Merged | None = None, row_keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, and the number of each text's ids. `known` grows to `kept` units."""
     limit = min(int(rate * 2**64), _MASK)
-    points = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    points = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
     if not len(points):
         return np.zeros(0, np.int64), lengths
-    row = np.repeat(np.arange(len(texts)), lengths)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     symbols = p.char[points]
     odd, space = symbols >= p.base, points == 0x20
     cut = np.ones(len(points), bool)
@@ -326,7 +333,7 @@ def encode_texts(p: Pieces, texts: list[str], seed: int, rate: float, kept: int
     keys = segment_hash(points, start, size)
     different, pick, back = np.unique(keys, return_index=True, return_inverse=True)
     known = Merged() if known is None else known
-    at = np.fromiter(map(known.place.get, different.tolist(), itertools.repeat(-1)), np.int64, len(different))
+    at = known.find(different)
     new = np.flatnonzero(at < 0)
     more_ids, more_terms = merged_plain(p, symbols, start[pick[new]], size[pick[new]])
     ids, terms = known.ids + more_ids, known.terms + more_terms
@@ -356,16 +363,14 @@ def encode_texts(p: Pieces, texts: list[str], seed: int, rate: float, kept: int
     return ids, np.diff(bounds)
 
 
-def slices(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
-    part, total = [], 0
-    for t in texts:
-        if part and total + len(t) > most:
-            yield part
-            part, total = [], 0
-        part.append(t)
-        total += len(t)
-    if part:
-        yield part
+def slices(column: pa.Array, most: int = 1 << 18) -> Iterator[pa.Array]:
+    """A column of strings without nulls in slices of up to `most` characters, or of one text."""
+    total = np.append(0, np.cumsum(pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)))
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + most, "right")) - 1)
+        yield column.slice(i, j - i)
+        i = j
 
 
 def utf8(data: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -379,24 +384,61 @@ def utf8(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.large_string())
 
 
-def coder(spark: SparkSession, path: str = MODEL, seed: int = 8, rate: float = 0.1):
-    """Column functions encode(text, row key) -> array<int>, where a null row key is none, and decode(ids) -> string for one vocabulary."""
+def encoded(p: Pieces, column: pa.Array, salts: np.ndarray, seed: int, rate: float) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Slices of a column without nulls, with the ids of all texts in one array and the number of each text's ids."""
+    known, at = Merged(), 0
+    for part in slices(column):
+        ids, n = encode_texts(p, part.to_pylist(), seed, rate, known=known, row_keys=salts[at : at + len(part)])
+        yield part, ids.astype(np.int32, copy=False), n
+        at += len(part)
+
+
+def decoded(p: Pieces, ids: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the texts whose ids lie between `limits`, which begin at 0, and the number of each text's bytes."""
+    n = p.sizes[ids]
+    total = np.append(0, np.cumsum(n))
+    got = p.bytes[np.repeat(p.starts[ids] - total[:-1], n) + np.arange(total[-1])]
+    ends = total[limits]
+    length = np.diff(ends)
+    led = np.flatnonzero(length)  # texts that aren't empty have one space in front
+    led = led[got[ends[led]] == 0x20]
+    length[led] -= 1
+    return np.delete(got, ends[led]), length
+
+
+def coders(spark: SparkSession, path: str = MODEL, seed: int = 8, rate: float = 0.1):
+    """Functions encode and decode of coder(), and both(text, row key) -> struct of ids and lossless (they decode to the text), in one pass."""
     shared = spark.sparkContext.broadcast(vars(Pieces(path)))
 
+    def salted(keys: pa.Array) -> np.ndarray:
+        return keys.fill_null(0).to_numpy().view(np.uint64)
+
+    def lists(ids: list[np.ndarray], count: list[np.ndarray]) -> pa.Array:
+        limits = np.cumsum(np.concatenate([np.zeros(1, np.int64), *count]), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(limits), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
     @F.arrow_udf("array<int>")
     def encode_rows(column: pa.Array, keys: pa.Array) -> pa.Array:
-        p, texts = Pieces.of(shared.value), column.fill_null("").to_pylist()
-        salts = keys.fill_null(0).to_numpy().view(np.uint64)
-        ids, count, known, at = [np.zeros(0, np.int32)], [np.zeros(1, np.int32)], Merged(), 0
-        for part in slices(texts):
-            some, n = encode_texts(p, part, seed, rate, known=known, row_keys=salts[at : at + len(part)])
-            at += len(part)
-            ids.append(some.astype(np.int32))
+        ids, count = [], []
+        for _, some, n in encoded(Pieces.of(shared.value), column.fill_null(""), salted(keys), seed, rate):
+            ids.append(some)
             count.append(n)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(count), dtype=np.int32)), pa.array(np.concatenate(ids)))
+        return lists(ids, count)
 
-    def encode(text: Column, key: Column | None = None) -> Column:
-        return encode_rows(text, F.lit(0).cast("long") if key is None else key.cast("long"))
+    @F.arrow_udf("struct<ids: array<int>, lossless: boolean>")
+    def both_rows(column: pa.Array, keys: pa.Array) -> pa.Array:
+        p = Pieces.of(shared.value)
+        ids, count, same = [], [], [pa.array([], pa.bool_())]
+        for part, some, n in encoded(p, column.fill_null(""), salted(keys), seed, rate):
+            ids.append(some)
+            count.append(n)
+            data, length = decoded(p, some, np.append(0, np.cumsum(n)))
+            back = utf8(data, np.append(0, np.cumsum(length)))
+            same.append(pc.equal(back, part.cast(back.type)))
+        return pa.StructArray.from_arrays([lists(ids, count), pa.concat_arrays(same)], ["ids", "lossless"])
+
+    def keyed(f):
+        return lambda text, key=None: f(text, F.lit(0).cast("long") if key is None else key.cast("long"))
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
@@ -406,29 +448,30 @@ def coder(spark: SparkSession, path: str = MODEL, seed: int = 8, rate: float = 0
         i = 0
         while i < len(column):
             j = max(i + 1, int(np.searchsorted(limits, limits[i] + (1 << 17), "right")) - 1)
-            some = ids[limits[i] : limits[j]]
-            n = p.sizes[some]
-            total = np.append(0, np.cumsum(n))
-            got = p.bytes[np.repeat(p.starts[some] - total[:-1], n) + np.arange(total[-1])]
-            ends = total[limits[i : j + 1] - limits[i]]
-            led = np.flatnonzero(np.diff(ends))  # texts that aren't empty have one space in front
-            led = led[got[ends[led]] == 0x20]
-            length = np.diff(ends)
-            length[led] -= 1
-            flat.append(np.delete(got, ends[led]))
+            data, length = decoded(p, ids[limits[i] : limits[j]], limits[i : j + 1] - limits[i])
+            flat.append(data)
             size.append(length)
             i = j
         return utf8(np.concatenate(flat), np.cumsum(np.concatenate(size)))
 
-    return encode, decode
+    return keyed(encode_rows), decode, keyed(both_rows)
+
+
+def coder(spark: SparkSession, path: str = MODEL, seed: int = 8, rate: float = 0.1):
+    """Column functions encode(text, row key) -> array<int>, where a null row key is none, and decode(ids) -> string for one vocabulary."""
+    return coders(spark, path, seed, rate)[:2]
 
 
 def encode_documents(docs: DataFrame, path: str = MODEL, seed: int = 8, rate: float = 0.1, text: str = "text", key: Column | None = None) -> DataFrame:
-    """Adds ids, n_ids and lossless (the ids decode to the text). key, a long, is the row key."""
-    encode, decode = coder(docs.sparkSession, path, seed, rate)
-    whole: Column = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs.withColumn("ids", encode(whole, key))
-    return out.withColumns({"n_ids": F.size("ids").cast("long"), "lossless": decode("ids") == whole})
+    """Adds ids, n_ids and lossless (the ids decode to the text). key, a long, is the row key.
+
+    Both come from one function: Spark would run encode a second time inside decode(encode(text)).
+    """
+    *_, both = coders(docs.sparkSession, path, seed, rate)
+    name = fresh(docs, "_coded")
+    out = docs.withColumn(name, both(F.coalesce(F.col(text).cast("string"), F.lit("")), key))
+    ids = F.col(name)["ids"]
+    return out.withColumns({"ids": ids, "n_ids": F.size(ids).cast("long"), "lossless": F.col(name)["lossless"]}).drop(name)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

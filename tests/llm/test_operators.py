@@ -302,6 +302,34 @@ def test_op8_dropout_is_lossless_and_varied(spark):
     assert a[2].ids == [] and a[len(TEXTS)].ids == []
 
 
+def test_op8_encodes_each_row_once(spark, monkeypatch):
+    seen, encode = spark.sparkContext.accumulator(0), op8_pieces.encode_texts
+
+    def counted(p, texts, *a, **b):
+        seen.add(len(texts))
+        return encode(p, texts, *a, **b)
+
+    monkeypatch.setattr(op8_pieces, "encode_texts", counted)
+    table = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, None])], "_coded int, text string")
+    rows = op8_pieces.encode_documents(table).collect()
+    assert seen.value == len(rows) == len(TEXTS) + 1
+    assert all(r.lossless and r.n_ids == len(r.ids) for r in rows) and sorted(r._coded for r in rows) == list(range(len(rows)))
+
+
+def test_op8_merged_units_take_little_memory(pieces):
+    import tracemalloc
+
+    texts = [" ".join(f"w{i}a{j}" for j in range(100)) for i in range(300)]
+    known = op8_pieces.Merged()
+    op8_pieces.encode_texts(pieces, texts[:1], 8, 0.1, known=known)
+    tracemalloc.start()
+    op8_pieces.encode_texts(pieces, texts, 8, 0.1, known=known)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    n = len(known.place)
+    assert n == 30_000 and held < 8 * len(known.terms.room[0]) + 4 * len(known.ids.room[0]) + 50 * n
+
+
 def test_op8_every_occurrence_decides(pieces):
     word = "internationalization"
     texts = [" ".join([word] * 100) + f" {i}" for i in range(20)]
