@@ -101,9 +101,12 @@ def learner(pairs: int, seed: int):
         y = np.concatenate([q for q, _, _ in parts])
         if y.min() == y.max():
             return
-        x = np.concatenate([f for _, f, _ in parts])
         part = np.concatenate([w for _, _, w in parts]).astype(np.float32)
-        parts.clear()
+        x, at = np.empty((len(y), parts[0][1].shape[1]), np.float32), len(y)
+        while parts:  # from the last, so that the memory of a part is free before the next one's is filled
+            at -= len(f := parts.pop()[1])
+            x[at : at + len(f)] = f
+            del f
         mean = x.mean(axis=0, dtype=np.float64).astype(np.float32)
         x -= mean
         x *= part[:, None]
