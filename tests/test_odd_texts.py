@@ -4,9 +4,12 @@ import hashlib
 import itertools
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from quarrymill import registry
+from quarrymill.plans import queries as Q
+from quarrymill.sources import files as A
 
 
 def rows_of(table):
@@ -32,3 +35,23 @@ def test_a_chunk_whose_words_cancel_out_has_a_vector(spark, tmp_path):
     some = [f"w{k}" for k in range(300)]
     a, b = next((x, y) for x, y in itertools.combinations(some, 2) if h(x) // 2 % 64 == h(y) // 2 % 64 and h(x) % 2 != h(y) % 2)
     assert differing(spark, tmp_path / "t", "i11_resumable_ingest", [f"{a} {b}", "plain words here", "", f"{a}\n{b}\n{a}"]) == ([], [])
+
+
+@pytest.mark.parametrize("texts", [["", "  \n ", "　"], [None, "after"], ["a\tb\t", "\t\n\tc"], ["a\r\nb", "\r"], ["a\x01b\x00", "\x1f\x0c", "x￿y￾"], ["_x0041_ _x", "_x0041\x01", "__x0001_"], ["\xa0a\xa0\n b\x85", "<&>]]>", "x" * 100_000]])
+def test_a_word_file_holds_any_text(spark, tmp_path, texts):
+    assert differing(spark, tmp_path / "t", "a3_docx_text", texts) == ([], [])
+
+
+def test_want_of_memory_is_no_status_of_a_file():
+    def greedy(content):
+        raise MemoryError
+
+    with pytest.raises(MemoryError):
+        A._load(".docx", Q.docx_file(1, "t", "f", ["a"]), {".docx": greedy})
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.record_batch({"k": pa.array(range(6)), "t": pa.array(["aaaa", None, "bb", "c" * 20, "", "dddd"])})
+    assert [b.column("k").to_pylist() for b in A.by_bytes(iter([batch]), "t", 6)] == [[0, 1, 2], [3], [4, 5]]
+    assert [b.column("k").to_pylist() for b in A.by_bytes(iter([batch.slice(2)]), "t", 100)] == [[2, 3, 4, 5]]
+    assert list(A.by_bytes(iter([batch.slice(0, 0)]), "t")) == []
