@@ -2,14 +2,24 @@
 
 import hashlib
 import itertools
+import random
+import sys
 
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from quarrymill import registry
+from quarrymill.functions import text as T
+from quarrymill.operators import chunking as K
+from quarrymill.operators import embedding as E
 from quarrymill.plans import queries as Q
 from quarrymill.sources import files as A
+from quarrymill.streaming import events as S
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def rows_of(table):
@@ -55,3 +65,88 @@ def test_batches_are_cut_by_bytes():
     assert [b.column("k").to_pylist() for b in A.by_bytes(iter([batch]), "t", 6)] == [[0, 1, 2], [3], [4, 5]]
     assert [b.column("k").to_pylist() for b in A.by_bytes(iter([batch.slice(2)]), "t", 100)] == [[2, 3, 4, 5]]
     assert list(A.by_bytes(iter([batch.slice(0, 0)]), "t")) == []
+
+
+WORDS = ["a", "bb", "Of", "#", "##", "1.", "(2)", "3 -", "and.", "end :", "　", "\x85", "wwwwww", "long" * 30]
+
+
+def some_lines(rng, n):
+    """Lines of a text, of which some are blank, some headings and some many words."""
+    out = []
+    for _ in range(n):
+        kind = rng.random()
+        if kind < 0.35:
+            out.append(rng.choice(["", " ", "\t", "　 ", "\x01"]))
+        else:
+            out.append(rng.choice(["", " ", "\t"]) + " ".join(rng.choice(WORDS) for _ in range(rng.choice([1, 2, 5, 60]))) + rng.choice(["", " ", "\r", "\x0c"]))
+    return out
+
+
+def merging(text):
+    """Two letters a token, one less where a word that ends in a comes before one that starts with b."""
+    w = text.split()
+    return sum(-(-len(x) // 2) for x in w) - sum(x[-1] == "a" and y[0] == "b" for x, y in zip(w, w[1:]))
+
+
+@pytest.mark.parametrize("headings", [None, ["Of"]])
+@pytest.mark.parametrize("counter", [{}, {"token_counter": lambda words: [len(w) // 3 for w in words]}, {"text_counter": merging}])
+def test_chunks_of_lines_equal_those_of_whole_texts(spark, headings, counter):
+    rng = random.Random(5)
+    texts = {i: some_lines(rng, rng.choice([0, 1, 3, 40, 200])) for i in range(40)}
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in texts.items()], "document_id long, content string")
+    lines = spark.createDataFrame([(i, n, line) for i, x in texts.items() for n, line in enumerate(x)], "document_id long, n int, line string").repartition(5, "line")
+    for limits in ({"target": 20, "hard_max": 25, "overlap": 0}, {"target": 30, "hard_max": 45, "overlap": 10}, {"target": 70, "hard_max": 150}, {}):
+        want = sorted(map(tuple, K.chunk_documents(docs, headings=headings, **counter, **limits).collect()))
+        assert sorted(map(tuple, K.chunk_lines(lines, headings=headings, **counter, **limits).collect())) == want
+        assert len(want) > 100 or not limits
+
+
+def test_a_heading_of_a_text_is_one_of_a_column(spark):
+    rng = random.Random(6)
+    blocks = ["", "Of", "1", "#a", "# a", "####### a", "( 12 . x", "1234. x", "x" * 200, "1." + "x" * 200, "1." + "x" * 198, *(" ".join(rng.choice(WORDS) for _ in range(rng.choice([1, 2, 30]))) for _ in range(300))]
+    for chapters in (None, [], ["Of", "bb a"]):
+        got = spark.createDataFrame([(b,) for b in blocks], "b string").select("b", T.is_heading(F.col("b"), chapters).alias("h")).collect()
+        assert [r.h for r in got] == [T.heading_of(chapters)(r.b) for r in got]
+
+
+def ingested(spark, docs, out, **options):
+    S.ingest_stream(spark, str(docs), str(out), str(out) + "-ck", E.hashing_embedder(8), 8, target=20, hard_max=25, **options)
+    rows = S.stored_chunks(spark, str(out)).select("file_id", "chunk_index", "content", "n_tokens", F.col("embedding").cast("string")).collect()
+    return sorted(map(tuple, rows)), {r.rel_path: r.digest for r in spark.read.parquet(f"{out}/files").collect()}
+
+
+def test_large_files_go_by_lines(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    docs = tmp_path / "docs"
+    (docs / "in").mkdir(parents=True)
+    names = ["a b.txt", "in/odd[1].md", "in/plus+{x}.TXT", "st*r,?.markdown"]
+    for name in names:
+        (docs / name).write_bytes("\n".join(some_lines(rng, 150)).encode() + rng.choice([b"", b"\n", b"\n \xff x"]))
+    (docs / "small.txt").write_text("x")
+    whole, digests = ingested(spark, docs, tmp_path / "whole")
+    monkeypatch.setattr(S, "WHOLE", 100)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # a file is read in several parts
+    try:
+        lines, others = ingested(spark, docs, tmp_path / "lines")
+        assert lines == whole and len(whole) > 50 and set(digests) == set(others) == {*names, "small.txt"}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        again = ingested(spark, docs, tmp_path / "again")
+        assert again == (lines, others)  # digests don't tell how a file was read
+        (docs / names[0]).write_text("\n".join(some_lines(rng, 80)))
+        changed, now = ingested(spark, docs, tmp_path / "lines")
+        assert {n for n in now if now[n] != others[n]} == {names[0]}
+        monkeypatch.setattr(S, "WHOLE", 1 << 20)
+        assert changed == ingested(spark, docs, tmp_path / "last")[0]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_no_row_holds_a_large_file(spark, tmp_path):
+    """The source may give no file over 1 MB as a row, and none of the queries asks for one."""
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1 << 20)
+    try:
+        text = "\n".join(f"w{k % 97} " * 30 for k in range(30_000))
+        assert differing(spark, tmp_path / "t", "k2_ingest_stream", [text[: 1 << 20], "b\nc", text, "", "d\r\n\r\ne", text[:2000]]) == ([], [])
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
